@@ -27,7 +27,7 @@ from gridloom.llm.common import batch_of, utf8_texts
 BUCKETS = 1 << 18
 NGRAM_BYTES = 3
 SMOOTHING = 1.0
-THRESHOLD = -0.25
+THRESHOLD = -0.65
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
