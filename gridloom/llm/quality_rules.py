@@ -72,7 +72,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def ngram_ratio(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(trusted / corpus) per bucket. ``trusted``: doc_ids of the trusted documents."""
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left")
+    # a merge join at every size: the trusted ids grow with the corpus and are never broadcast
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "doc_id", "left")
     counts = rows.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(_count_batches, "bucket int, raw long, trusted long")
     totals = np.zeros((2, BUCKETS))
     for row in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toLocalIterator():
