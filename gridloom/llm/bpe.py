@@ -46,17 +46,20 @@ _SPLIT = re.compile(r"(?<=\S)(?=\s)")
 
 
 class Codec:
-    """One vocabulary file, loaded once per Python worker."""
+    """One vocabulary file.
 
-    def __init__(self, path: str):
+    ``pattern`` must give the pre-tokens of Latin-1 texts (lower-cased first if ``lower``) just as the file's own rules do.
+    """
+
+    def __init__(self, path: str, pattern: re.Pattern = LATIN_PATTERN, lower: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        spec = json.loads(self.library.to_str())
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.pattern, self.lower = pattern, lower
+        self.specials = [t["content"] for t in json.loads(self.library.to_str())["added_tokens"]]
         size = self.library.get_vocab_size(with_added_tokens=True)
         byte_of = {c: b for b, c in enumerate(_byte_chars())}
         self.pieces = [b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in self.library.id_to_token(i) or "") for i in range(size)]
@@ -74,7 +77,8 @@ class Codec:
             plain = False
         if not plain:
             return self.library.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.memo.__getitem__, LATIN_PATTERN.findall(text))))
+        words = self.pattern.findall(text.lower() if self.lower else text)
+        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> str:
         try:

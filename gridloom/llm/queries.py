@@ -7,14 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, quality_rules, simhash
-from gridloom.llm.common import table
+from gridloom.llm import bpe, quality_rules, rangecoder, simhash
+from gridloom.llm.common import scratch_path, table
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "ids")
+    rangecoder.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return rangecoder.digest(rangecoder.read_ids(spark, folder))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), trusted)
@@ -25,7 +31,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op7_quality_rules, op8_simhash)}
+    return {f.__name__: f for f in (op3_bpe, op4_token_output, op7_quality_rules, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
