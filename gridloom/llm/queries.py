@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, quality_rules, rangecoder, simhash
+from gridloom.llm import bpe, line_dedup, quality_rules, rangecoder, simhash
 from gridloom.llm.common import scratch_path, table
 
 
@@ -21,6 +21,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangecoder.digest(rangecoder.read_ids(spark, folder))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), trusted)
@@ -31,8 +35,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_token_output, op7_quality_rules, op8_simhash)}
+    return {f.__name__: f for f in (op3_bpe, op4_token_output, op5_line_dedup, op7_quality_rules, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.ORACLE}
