@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, line_dedup, quality_rules, rangecoder, simhash
-from gridloom.llm.common import scratch_path, table
+from gridloom.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, rangecoder, simhash, toxicity
+from gridloom.llm.common import held_out, scratch_path, table
+
+
+def _predictions(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_model(docs, table(spark, sf_dir, "labels"))
+    return _predictions(toxicity.score(docs, model), toxicity.THRESHOLD, "hits")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +45,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality_classifier.train_model(docs, table(spark, sf_dir, "labels"))
+    return _predictions(quality_classifier.score(docs, machine), quality_classifier.THRESHOLD)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_token_output, op5_line_dedup, op7_quality_rules, op8_simhash)}
+    found = (op1_toxicity, op3_bpe, op4_token_output, op5_line_dedup, op7_quality_rules, op8_simhash, op9_quality_classifier, op10_decontamination)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -90,8 +90,8 @@ class _Model:
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id's share of SCALE * total0."""
-        second = self.known[1] & (self.ids[1] == ids)
-        first = self.known[0] & (self.ids[0] == ids) & ~second
+        second = self.known[1] & (self.ids[1] == ids) & (self.w2 > 0)
+        first = self.known[0] & (self.ids[0] == ids) & ~second & (self.w1 > 0)
         cum, count = self._order0(ids)
         start = np.where(second, 0, np.where(first, self.w2 * self.total0, (self.w1 + self.w2) * self.total0 + self.w0 * (ids + _COUNT_WEIGHT * cum)))
         width = np.where(second, self.w2 * self.total0, np.where(first, self.w1 * self.total0, self.w0 * (1 + _COUNT_WEIGHT * count)))

@@ -29,6 +29,13 @@ def test_round_trip(n, kind):
         assert len(payload) < n / 4
 
 
+def test_a_prediction_without_weight():
+    # order 2 is always right, then wrong: order 1's share of the rest rounds to nothing
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.tile([1, 2, 3, 4], 400), rng.integers(0, 5, 1500), np.tile([1, 2, 1, 3], 300), rng.integers(0, 3, 9000)])
+    assert np.array_equal(rangecoder.decode_ids(rangecoder.encode_ids(ids, 16)), ids)
+
+
 def test_damage_is_found():
     payload = bytearray(rangecoder.encode_ids(np.arange(3000) % 50, 16))
     payload[60] ^= 4
