@@ -77,3 +77,37 @@ def str_texts(column: pa.Array) -> list[str]:
 
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *named: str) -> DataFrame:
+    """The named columns, and all others in the struct _row, so that no working column can clash with them."""
+    others = [F.col(_quoted(c)).alias(c) for c in docs.columns if c not in named]
+    return docs.select(*[F.col(_quoted(c)) for c in named], F.struct(*others or [F.lit(0).alias("_")]).alias("_row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], named: Iterable[str], *appended: str) -> DataFrame:
+    """The columns that were packed, in their order, then the appended ones; those replace columns of the same name."""
+    named = set(named)
+    kept = [F.col(_quoted(c)) if c in named else F.col(f"_row.{_quoted(c)}").alias(c) for c in columns if c not in appended]
+    return rows.select(*kept, *[F.col(_quoted(c)) for c in appended])
+
+
+def map_rows(rows: DataFrame, make, appended: str, text: str = "text") -> DataFrame:
+    """``rows`` with columns appended that ``make()`` computes from a batch's text column in each task.
+
+    make returns a function from an Arrow array of texts to the list of the appended Arrow arrays.
+    """
+    at = rows.columns.index(text)
+    names = [part.split()[0] for part in appended.split(", ")]
+
+    def run(batches):
+        act = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *act(batch.column(at))], [*batch.schema.names, *names])
+
+    fields = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, {appended}")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import packed, unpacked
+
 LONG_LINE = 200
 MIN_CHARS = 60
 
@@ -58,18 +60,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     repeated = found.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min("_place").alias("first")).where("n > 1")
     repeated = repeated.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where("texts = 1").select("hash", "first")
     removed = found.drop("chunk").join(repeated, "hash").where("_place > first").groupBy("_id", "_key").agg(F.collect_set("k").alias("_removed"))
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text_key": F.xxhash64("text")})
+    keyed = packed(docs, "doc_id", "text").withColumns({"_doc": F.col("doc_id").cast("long"), "_text_key": F.xxhash64("text")})
     joined = keyed.join(removed, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").drop("_id", "_key", "_doc", "_text_key")
     cut = _with_ends(joined.withColumn("_cut", F.when(F.col("_removed").isNotNull(), F.col("text"))), "_cut")
     kept = cut.withColumn("_kept", F.explode(F.expr("array(array_except(sequence(1, size(_ends)), _removed))")))
     clean = F.expr(f"array_join(transform(_kept, k -> {_CHUNK}), '\\n')")
     lost = F.expr(f"cast(size(_lines) - aggregate(_kept, 0, (a, k) -> a + {_N_LINES}) as long)")
     lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.translate("text", "\n", "")) + 1).otherwise(0)
-    return kept.select(
-        *[F.coalesce(clean, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        lines.cast("long").alias("n_lines"),
-        F.coalesce(lost, F.lit(0).cast("long")).alias("n_lines_removed"),
-    )
+    done = kept.withColumns({"text": F.coalesce(clean, F.col("text")), "n_lines": lines.cast("long"), "n_lines_removed": F.coalesce(lost, F.lit(0).cast("long"))})
+    return unpacked(done, docs.columns, ["doc_id", "text"], "n_lines", "n_lines_removed")
 
 
 ORACLE = f"""

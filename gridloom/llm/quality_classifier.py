@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import training_texts, utf8_texts
+from gridloom.llm.common import map_rows, packed, training_texts, unpacked, utf8_texts
 
 TRAIN_DOCS = 6000
 BUCKETS = 1 << 16
@@ -153,17 +152,19 @@ def train_model(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) ->
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with the column score (double, the probability of label 1) appended."""
     held = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32)))
-    text = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         own = Machine.__new__(Machine)
         own.bias, own.linear, own.factors = held.value
-        for batch in batches:
-            texts, scores = utf8_texts(batch.column(text)), []
+
+        def act(column: pa.Array) -> list[pa.Array]:
+            texts, scores = utf8_texts(column), [np.zeros(0)]
             for at in range(0, len(texts), _TOGETHER):
                 margin = own.margins(*features(texts[at : at + _TOGETHER]))
                 scores.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64())], [*batch.schema.names, "score"])
+            return [pa.array(np.concatenate(scores), pa.float64())]
+
+        return act
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    scored = map_rows(packed(docs, "text"), make, "score double")
+    return unpacked(scored, docs.columns, ["text"], "score")

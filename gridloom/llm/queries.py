@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, rangecoder, simhash, toxicity
+from gridloom.llm import bpe, chat, decontamination, line_dedup, pii, quality_classifier, quality_rules, rangecoder, simhash, toxicity
 from gridloom.llm.common import held_out, scratch_path, table
 
 
@@ -22,6 +22,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(toxicity.score(docs, model), toxicity.THRESHOLD, "hits")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_pii(docs, pii.train_field(docs)).drop("text")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), trusted)
@@ -56,9 +65,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op3_bpe, op4_token_output, op5_line_dedup, op7_quality_rules, op8_simhash, op9_quality_classifier, op10_decontamination)
+    found = (op1_toxicity, op2_pii, op3_bpe, op4_token_output, op5_line_dedup, op6_chat_format, op7_quality_rules, op8_simhash, op9_quality_classifier, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_of, checkpointed, utf8_texts
+from gridloom.llm.common import batch_of, checkpointed, packed, unpacked, utf8_texts
 
 MAX_DISTANCE = 2
 SHINGLE_WORDS = 3
@@ -180,6 +180,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     root = docs_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))
     winners = root.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_hash_", F.xxhash64("text"))
+    keyed = packed(docs, "doc_id", "text").withColumn("_hash_", F.xxhash64("text"))
     kept = keyed.join(winners, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash_") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash_"]).drop("_hash_")
+    return unpacked(kept.dropDuplicates(["doc_id", "_hash_"]), docs.columns, ["doc_id", "text"])

@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import training_texts
+from gridloom.llm.common import checkpointed, map_rows, packed, training_texts, unpacked
 
 TRAIN_DOCS = 8000
 MIN_CONTEXTS = 8
@@ -85,13 +86,7 @@ def _contexts(text: str) -> Iterator[tuple[str, int]]:
     words = ["", *fold(text).split(), ""]
     for before, word, after in zip(words, words[1:], words[2:]):
         if len(word) >= 4:
-            yield word, hash_text(f"{before} {after}")
-
-
-def hash_text(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode())
+            yield word, zlib.crc32(f"{before} {after}".encode())
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +197,6 @@ class Model:
 
 def train_model(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
     """labels: (doc_id, toxic); only training rows are used."""
-    from gridloom.llm.common import checkpointed
-
     train = checkpointed(training_texts(docs, labels, "toxic", bound))
     lexicon = learn_lexicon(train)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -220,18 +213,30 @@ def train_model(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) ->
     return Model(lexicon, *fit_curve(each[:, 0], each[:, 1]))
 
 
+def _weights(held):
+    def make():
+        lexicon, slope, intercept = held.value
+        matcher = Matcher(lexicon)
+
+        def act(texts: pa.Array) -> list[pa.Array]:
+            found = [matcher.weight(t) for t in texts.to_pylist()]
+            scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, slope * w + intercept)))) for w, _ in found]
+            return [pa.array(scores, pa.float64()), pa.array([n for _, n in found], pa.int64())]
+
+        return act
+
+    return make
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the columns score (double) and hits (long) appended."""
     held = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.slope, model.intercept))
-    text = docs.columns.index("text")
+    scored = map_rows(packed(docs, "text"), _weights(held), "score double, hits long")
+    return unpacked(scored, docs.columns, ["text"], "score", "hits")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, slope, intercept = held.value
-        matcher = Matcher(lexicon)
-        for batch in batches:
-            found = [matcher.weight(t) for t in batch.column(text).to_pylist()]
-            scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, slope * w + intercept)))) for w, _ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([n for _, n in found], pa.int64())], [*batch.schema.names, "score", "hits"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, hits long")
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents of ``docs`` that score below the threshold; all columns stay."""
+    held = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.slope, model.intercept))
+    scored = map_rows(packed(docs, "text"), _weights(held), "score double, hits long")
+    return unpacked(scored.where(F.col("score") < threshold), docs.columns, ["text"])
