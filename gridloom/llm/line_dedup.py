@@ -5,19 +5,21 @@ says so (one time in two), if the line or the next one is long (``LONG_LINE`` ch
 chunk of its own), or if the text ends. As a boundary depends on two lines only, a passage is cut in
 the same way wherever it stands, whatever is before it.
 
-Chunks of two or more lines, or of one long line, with ``MIN_CHARS`` characters or more are grouped over all documents by hash
-and text, i.e. compared byte by byte. The first occurrence (smallest doc_id, then text hash, then position)
-stays, all others are removed. Other lines are never touched.
+Chunks are grouped over all documents by hash and text, i.e. compared byte by byte. The first occurrence (smallest
+doc_id, then text hash, then position) of a chunk always stays. Another one goes if it is an anchor (two or more lines,
+or a long one, with ``MIN_CHARS`` characters) or if only chunks that go lie between it and an anchor: so
+a shared passage goes with its short single lines, while a common line alone is never touched.
 
 Defined results: a null text stays null; a text whose chunks are all removed becomes empty, its row stays; null
-doc_ids come first; rows that repeat doc_id and text are one document and keep the same lines; chunks whose
-MD5 agrees but whose text differs are kept; other columns, whatever their names, pass through.
+doc_ids come first; rows that repeat doc_id and text are one document and keep the same lines; other
+columns, whatever their names, pass through, but those named like an appended one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import packed, unpacked
 
@@ -45,21 +47,32 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     chunks = _with_ends(rows, "text").select(
         "_id", "_key", F.explode(F.expr(f"transform(sequence(1, size(_ends)), k -> struct(k, {_N_LINES} as n, {_CHUNK} as chunk))")).alias("c")
     )
-    chunks = chunks.where(f"length(c.chunk) >= {MIN_CHARS} and (c.n >= 2 or length(c.chunk) >= {LONG_LINE})")
+    chunks = chunks.where("length(c.chunk) > 0")
+    anchor = F.expr(f"length(c.chunk) >= {MIN_CHARS} and (c.n >= 2 or length(c.chunk) >= {LONG_LINE})")
     # one number for (doc_id, text hash, position): hash aggregation can take its minimum
     place = F.expr(
         "(coalesce(cast(_id as decimal(19, 0)), cast(-9223372036854775809 as decimal(19, 0))) * cast(2147483648 as decimal(10, 0))"
         " + cast(pmod(_key, 2147483648) as decimal(10, 0))) * cast(1000000000 as decimal(10, 0)) + cast(c.k as decimal(10, 0))"
     )
-    return chunks.select("_id", "_key", place.cast("decimal(38,0)").alias("_place"), F.col("c.k").alias("k"), F.col("c.chunk").alias("chunk"), F.md5(F.col("c.chunk")).alias("hash"))
+    return chunks.select(
+        "_id", "_key", place.cast("decimal(38,0)").alias("_place"), F.col("c.k").alias("k"), anchor.alias("anchor"), F.col("c.chunk").alias("chunk"), F.md5(F.col("c.chunk")).alias("hash"), F.xxhash64("c.chunk").alias("hash2")
+    )
+
+
+def _removed(found: DataFrame) -> DataFrame:
+    """(_id, _key, _removed): the positions of the chunks that go."""
+    repeated = found.groupBy("hash", "hash2", "chunk").agg(F.count("*").alias("n"), F.min("_place").alias("first")).where("n > 1")
+    # the text was compared above; 192 bits of hashes stand for it here, so that it isn't moved again
+    later = found.drop("chunk").join(repeated.select("hash", "hash2", "first"), ["hash", "hash2"]).where("_place > first")
+    order = Window.partitionBy("_id", "_key").orderBy("k")
+    runs = later.withColumn("run", F.col("k") - F.dense_rank().over(order)).groupBy("_id", "_key", "run").agg(F.max("anchor").alias("anchor"), F.collect_set("k").alias("ks"))
+    return runs.where("anchor").groupBy("_id", "_key").agg(F.flatten(F.collect_list("ks")).alias("_removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text cleaned and the columns n_lines and n_lines_removed (long) appended."""
     found = _occurrences(docs)
-    repeated = found.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min("_place").alias("first")).where("n > 1")
-    repeated = repeated.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where("texts = 1").select("hash", "first")
-    removed = found.drop("chunk").join(repeated, "hash").where("_place > first").groupBy("_id", "_key").agg(F.collect_set("k").alias("_removed"))
+    removed = _removed(found)
     keyed = packed(docs, "doc_id", "text").withColumns({"_doc": F.col("doc_id").cast("long"), "_text_key": F.xxhash64("text")})
     joined = keyed.join(removed, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").drop("_id", "_key", "_doc", "_text_key")
     cut = _with_ends(joined.withColumn("_cut", F.when(F.col("_removed").isNotNull(), F.col("text"))), "_cut")
@@ -82,11 +95,14 @@ numbered AS (
   SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, whole ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM marked),
 chunks AS (SELECT doc_id, whole, k, count(*) AS n, string_agg(line, chr(10) ORDER BY j) AS chunk FROM numbered GROUP BY ALL),
 ranked AS (
-  SELECT *, (length(chunk) >= {MIN_CHARS} AND (n >= 2 OR length(chunk) >= {LONG_LINE}))
-    AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks),
+  SELECT *, length(chunk) >= {MIN_CHARS} AND (n >= 2 OR length(chunk) >= {LONG_LINE}) AS anchor,
+    length(chunk) > 0 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS later FROM chunks),
+runs AS (
+  SELECT *, later AND bool_or(anchor AND later) OVER (PARTITION BY doc_id, whole, run) AS gone FROM (
+    SELECT *, sum(CASE WHEN later THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, whole ORDER BY k) AS run FROM ranked)),
 done AS (
   SELECT doc_id, whole, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text,
-    sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_lines_removed FROM ranked GROUP BY doc_id, whole)
+    sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_lines_removed FROM runs GROUP BY doc_id, whole)
 SELECT d.doc_id, coalesce(x.text, d.text) AS text, coalesce(x.n_lines, 0)::BIGINT AS n_lines, coalesce(x.n_lines_removed, 0)::BIGINT AS n_lines_removed
 FROM documents d LEFT JOIN done x ON d.doc_id = x.doc_id AND d.text = x.whole
 """
