@@ -1,0 +1 @@
+"""Time-series and gridded-array analytics on Spark DataFrames."""
