@@ -35,13 +35,13 @@ LONG_CHARS = 1 << 15
 LEAF_CHARS = 1 << 14
 #: Bytes on each side of a join in the first window.
 FIRST_WINDOW = 64
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 19
 #: Text handed to the library, and put into one Arrow batch, at a time.
 BLOCK_CHARS = 1 << 18
 
 # The byte-level pre-token pattern, restricted to the characters of Latin-1.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-LATIN_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+LATIN_PATTERN = re.compile(f" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _SPLIT = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -64,34 +64,42 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(_byte_chars())}
         self.pieces = [b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in self.library.id_to_token(i) or "") for i in range(size)]
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.memo: dict[str, list[int]] = _Memo(self._word)
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.memo: dict[str, bytes] = _Memo(self._word)
 
-    def _word(self, word: str) -> list[int]:
-        return self.library.encode(word, add_special_tokens=False).ids
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def encode(self, text: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        return self._whole(word).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
         try:
             text.encode("latin-1")
             plain = not any(s in text for s in self.specials)
         except UnicodeEncodeError:
             plain = False
         if not plain:
-            return self.library.encode(text, add_special_tokens=False).ids
+            return self._whole(text)
         words = self.pattern.findall(text.lower() if self.lower else text)
-        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), self.kind)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64).tolist()
         try:
             return b"".join(map(self.pieces.__getitem__, ids)).decode()
         except (UnicodeDecodeError, IndexError):
-            return self.library.decode(list(ids), skip_special_tokens=False)
+            return self.library.decode(ids, skip_special_tokens=False)
 
 
 class _Memo(dict):
-    def __init__(self, make: Callable[[str], list[int]]):
+    """The ids of words as bytes, so that a text's ids are one join."""
+
+    def __init__(self, make: Callable[[str], bytes]):
         self.make = make
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_WORDS:
             self.clear()
         ids = self.make(word)
@@ -108,8 +116,8 @@ def _byte_chars() -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, pattern: re.Pattern = LATIN_PATTERN, lower: bool = False) -> Codec:
+    return Codec(path, pattern, lower)
 
 
 def leaves(text: str, specials: list[str], size: int) -> list[tuple[str, bool]]:
@@ -180,15 +188,17 @@ def join_halves(left: list[int], right: list[int], lengths: np.ndarray, pieces:
         window = min(2 * window, end)
 
 
-def concatenate(parts: list[list[int]], cuts: list[bool], tool: Codec, window: int = FIRST_WINDOW) -> list[int]:
+def concatenate(parts: list[np.ndarray], cuts: list[bool], tool: Codec, window: int = FIRST_WINDOW) -> list[int]:
     """Joins neighbouring leaves pairwise, level by level. cuts: whether a leaf's left edge cuts unsplit text."""
+    parts = [np.asarray(p).tolist() for p in parts]
+    own = lambda text: tool.encode(text).tolist()
     while len(parts) > 1:
         merged, edges = [], []
         for k in range(0, len(parts), 2):
             if k + 1 == len(parts):
                 merged.append(parts[k])
             elif cuts[k + 1]:
-                merged.append(join_halves(parts[k], parts[k + 1], tool.lengths, tool.pieces, tool.encode, window))
+                merged.append(join_halves(parts[k], parts[k + 1], tool.lengths, tool.pieces, own, window))
             else:
                 merged.append(parts[k] + parts[k + 1])
             edges.append(cuts[k])
@@ -228,10 +238,10 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def _ids_array(lists: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))))
+def _ids_array(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(x) for x in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32)))
 
 
 def _map_text(rows: DataFrame, act: Callable[[Codec, str], list[int]], path: str) -> DataFrame:
@@ -274,8 +284,8 @@ def _encode_leaves(path: str):
 def _join_leaves(path: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_leaf").combine_chunks()
-        ids = concatenate(table.column("ids").to_pylist(), table.column("_cut").to_pylist(), codec(path))
-        return pa.Table.from_arrays([_ids_array([ids]), table.column("_row").slice(0, 1)], ["ids", "_row"])
+        ids = concatenate(_lists(table.column("ids").chunk(0)), table.column("_cut").to_pylist(), codec(path))
+        return pa.Table.from_arrays([_ids_array([np.array(ids, np.int32)]), table.column("_row").slice(0, 1)], ["ids", "_row"])
 
     return run
 
@@ -289,7 +299,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
             at = batch.schema.get_field_index(ids)
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                texts = [tool.decode(x.tolist() if len(x) else []) for x in _lists(part.column(at))]
+                texts = [tool.decode(x) for x in _lists(part.column(at))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

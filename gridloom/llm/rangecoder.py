@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import BLOCK_CHARS, Codec
+from gridloom.llm.bpe import BLOCK_CHARS, codec
 
 MAGIC = b"GLR1"
 BLOCK_IDS = 2048
@@ -42,12 +42,13 @@ _SLOTS = 1 << 12
 _SCALE = 1 << 12
 _MOST = 4000
 _COUNT_WEIGHT = 32
+_CONF = 28
 _U = np.uint64
 _TOP, _LOW = _U(48), _U(1 << 40)
 
 # The split pattern of the lower-case vocabulary, restricted to the characters of Latin-1.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+WORD_PATTERN = re.compile(f"[{_L}]+|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_S}{_L}{_N}]+")
 
 
 class _Model:
@@ -56,24 +57,31 @@ class _Model:
     def __init__(self, lanes: int, bits: int):
         self.bits = bits
         self.levels = np.arange(bits)
-        self.lane = np.arange(lanes)
         self.left = np.zeros((lanes, 1 << bits), np.uint16)  # counts below the left child, by heap index
         self.flat = self.left.reshape(-1)
-        self.guess = np.zeros((2, lanes, _SLOTS), np.int32)
-        self.trust = np.zeros((2, lanes, _SLOTS), np.int8)
-        self.hits = np.ones((2, lanes, 4), np.int64)
-        self.tries = np.full((2, lanes, 4), 3, np.int64)
+        self.count = np.zeros(lanes << bits, np.uint16)
+        self.base = (np.arange(lanes) << bits).astype(np.int32)
+        self.shift = (bits - self.levels).astype(np.int32)
+        # what followed a context last, and above its bits the confidence in it
+        self.table = np.zeros(2 * lanes * _SLOTS, np.int32)
+        self.hits = np.ones(2 * lanes * 4, np.int64)
+        self.tries = np.full(2 * lanes * 4, 3, np.int64)
+        self.row = np.arange(2 * lanes).reshape(2, lanes)
         self.prev = np.zeros((2, lanes), np.int64)
         self.seen = 0
 
     def predict(self, n: int) -> None:
-        lane = self.lane[:n]
         a, b = self.prev[0, :n], self.prev[1, :n]
-        self.slot = np.stack([(a * 40503 >> 3) & (_SLOTS - 1), ((a * 40503) ^ (b * 30011 + 977)) >> 2 & (_SLOTS - 1)])
-        self.order = np.array([[0], [1]])
-        self.ids = self.guess[self.order, lane, self.slot]
-        self.conf = self.trust[self.order, lane, self.slot]
-        rate_hits, rate_tries = self.hits[self.order, lane, self.conf], self.tries[self.order, lane, self.conf]
+        c = a * 40503
+        row = self.row[:, :n]
+        self.place = row * _SLOTS
+        self.place[0] += (c >> 3) & (_SLOTS - 1)
+        self.place[1] += (c ^ (b * 30011 + 977)) >> 2 & (_SLOTS - 1)
+        entry = self.table.take(self.place)
+        self.conf = entry >> _CONF
+        self.ids = entry & ((1 << _CONF) - 1)
+        self.case = row * 4 + self.conf
+        rate_hits, rate_tries = self.hits.take(self.case), self.tries.take(self.case)
         known = self.conf > 0
         w2 = np.where(known[1], _MOST * rate_hits[1] // rate_tries[1], 0)
         w1 = np.where(known[0], (_MOST - w2) * rate_hits[0] // rate_tries[0], 0)
@@ -85,56 +93,60 @@ class _Model:
         self.known = known
 
     def _nodes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nodes = (ids[:, None] | (1 << self.bits)) >> (self.bits - self.levels)
-        return nodes + (self.lane[: len(ids), None] << self.bits), (ids[:, None] >> (self.bits - 1 - self.levels)) & 1
+        """Flat places of the nodes above each id, and whether the way goes right there."""
+        path = (ids.astype(np.int32)[:, None] | np.int32(1 << self.bits)) >> self.shift
+        right = np.empty(path.shape, bool)
+        np.bitwise_and(path[:, 1:], 1, out=right[:, :-1], casting="unsafe")
+        np.bitwise_and(ids, 1, out=right[:, -1], casting="unsafe")
+        path += self.base[: len(ids), None]
+        return path, right
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id's share of SCALE * total0."""
+        self.path, self.right = self._nodes(ids)
+        cum = (self.flat.take(self.path) * self.right).sum(axis=1, dtype=np.int64)
+        return self._share(ids, cum)
+
+    def _share(self, ids: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         second = self.known[1] & (self.ids[1] == ids) & (self.w2 > 0)
         first = self.known[0] & (self.ids[0] == ids) & ~second & (self.w1 > 0)
-        cum, count = self._order0(ids)
+        count = self.count.take(self.base[: len(ids)] + ids).astype(np.int64)
         start = np.where(second, 0, np.where(first, self.w2 * self.total0, (self.w1 + self.w2) * self.total0 + self.w0 * (ids + _COUNT_WEIGHT * cum)))
         width = np.where(second, self.w2 * self.total0, np.where(first, self.w1 * self.total0, self.w0 * (1 + _COUNT_WEIGHT * count)))
         return start, width
 
-    def _order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nodes, right = self._nodes(ids)
-        below = self.flat[nodes].astype(np.int64)
-        cum = (below * right).sum(axis=1)
-        # walking down, what a right turn leaves is the total above it less the left count
-        count = np.full(len(ids), self.seen, np.int64)
-        for k in range(self.bits):
-            count = np.where(right[:, k] == 1, count - below[:, k], below[:, k])
-        return cum, count
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The id whose share holds value."""
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose share holds value, with the share's start and width."""
         split1, split0 = self.w2 * self.total0, (self.w1 + self.w2) * self.total0
         rest = np.maximum(value - split0, 0) // self.w0
-        node = np.ones(len(value), np.int64)
-        base = self.lane[: len(value)] << self.bits
+        base = self.base[: len(value)]
+        node = np.ones(len(value), np.int32)
+        cum = np.zeros(len(value), np.int64)
         half = 1 << (self.bits - 1)
         for _ in range(self.bits):
-            left = half + _COUNT_WEIGHT * self.flat[base + node].astype(np.int64)
+            below = self.flat.take(base + node).astype(np.int64)
+            left = half + _COUNT_WEIGHT * below
             go = rest >= left
-            rest = np.where(go, rest - left, rest)
-            node = 2 * node + go
+            rest -= left * go
+            cum += below * go
+            node += node + go
             half >>= 1
-        found = node - (1 << self.bits)
-        return np.where(value < split1, self.ids[1], np.where(value < split0, self.ids[0], found))
+        ids = np.where(value < split1, self.ids[1], np.where(value < split0, self.ids[0], node - (1 << self.bits)))
+        self.path, self.right = self._nodes(ids)
+        # where a prediction gave the id, cum belongs to another one, but isn't needed
+        return ids, *self._share(ids, cum)
 
     def update(self, ids: np.ndarray) -> None:
         n = len(ids)
-        lane = self.lane[:n]
-        nodes, right = self._nodes(ids)
-        self.flat[nodes] += (1 - right).astype(np.uint16)
-        right_guess = self.ids == ids
+        self.flat[self.path] += ~self.right
+        self.count[self.base[:n] + ids] += np.uint16(1)
+        right_guess = (self.ids == ids) & self.known
         # order 1 is judged where order 2 didn't settle the id already
-        judged = np.stack([self.known[0] & ~self.agree & ~(self.known[1] & right_guess[1]), self.known[1]])
-        self.tries[self.order, lane, self.conf] += judged
-        self.hits[self.order, lane, self.conf] += judged & right_guess
-        self.guess[self.order, lane, self.slot] = ids
-        self.trust[self.order, lane, self.slot] = np.where(right_guess & self.known, np.minimum(self.conf + 1, 3), 1)
+        judged = self.known.copy()
+        judged[0] &= ~self.agree & ~right_guess[1]
+        self.tries[self.case] += judged
+        self.hits[self.case] += judged & right_guess
+        self.table[self.place] = ids + (np.where(right_guess, np.minimum(self.conf + 1, 3), 1) << _CONF)
         self.prev[1, :n], self.prev[0, :n] = self.prev[0, :n].copy(), ids
         self.seen += 1
 
@@ -226,8 +238,8 @@ def decode_ids(payload: bytes) -> np.ndarray:
         model.predict(n)
         unit = span[:n] // _U(_SCALE * model.total0)
         value = np.minimum((code[:n] - low[:n]) // unit, _U(_SCALE * model.total0 - 1)).astype(np.int64)
-        ids = model.find(value).astype(np.int64)
-        start, width = model.interval(ids)
+        ids, start, width = model.find(value)
+        ids = ids.astype(np.int64)
         low[:n] += unit * start.astype(_U)
         span[:n] = unit * width.astype(_U)
         _shift(low, span, n, take)
@@ -245,7 +257,7 @@ _PAGES = "part int, page int, start long, doc_ids array<long>, lengths array<int
 
 def _page_batches(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Codec(path, WORD_PATTERN, lower=True)
+        tool = codec(path, WORD_PATTERN, True)
         bits = max(2, int(tool.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         part, page, start = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, parts, held = [], [], [], 0
@@ -258,7 +270,7 @@ def _page_batches(path: str, end_id: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*tool.encode(text or ""), end_id], np.int32)
+                ids = np.append(tool.encode(text or ""), tool.kind.type(end_id))
                 if held and held + len(ids) > PAGE_IDS:
                     yield close()
                     page, start = page + 1, start + held
