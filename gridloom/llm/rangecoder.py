@@ -56,12 +56,16 @@ class _Model:
 
     def __init__(self, lanes: int, bits: int):
         self.bits = bits
-        self.levels = np.arange(bits)
-        self.left = np.zeros((lanes, 1 << bits), np.uint16)  # counts below the left child, by heap index
-        self.flat = self.left.reshape(-1)
-        self.count = np.zeros(lanes << bits, np.uint16)
-        self.base = (np.arange(lanes) << bits).astype(np.int32)
-        self.shift = (bits - self.levels).astype(np.int32)
+        # order 0: counts of ids under each node of a 16-way tree, one row of 16 children per node
+        self.levels = bits // 4
+        nodes = [16**k for k in range(self.levels)]
+        self.children = np.zeros((lanes * sum(nodes), 16), np.uint16)
+        self.flat = self.children.reshape(-1)
+        self.first = (np.arange(lanes)[:, None] * sum(nodes) + np.cumsum([0, *nodes[:-1]])).astype(np.int32)
+        self.above = (bits - 4 * np.arange(self.levels)).astype(np.int32)
+        self.digits = np.arange(16, dtype=np.int32)
+        self.digits_f = self.digits.astype(np.float32)
+        self.earlier = np.triu(np.ones((16, 16), np.float32), 1)
         # what followed a context last, and above its bits the confidence in it
         self.table = np.zeros(2 * lanes * _SLOTS, np.int32)
         self.hits = np.ones(2 * lanes * 4, np.int64)
@@ -92,25 +96,22 @@ class _Model:
         self.total0 = (1 << self.bits) + _COUNT_WEIGHT * self.seen
         self.known = known
 
-    def _nodes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat places of the nodes above each id, and whether the way goes right there."""
-        path = (ids.astype(np.int32)[:, None] | np.int32(1 << self.bits)) >> self.shift
-        right = np.empty(path.shape, bool)
-        np.bitwise_and(path[:, 1:], 1, out=right[:, :-1], casting="unsafe")
-        np.bitwise_and(ids, 1, out=right[:, -1], casting="unsafe")
-        path += self.base[: len(ids), None]
-        return path, right
+    def _place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tree's rows on the way to each id, and the child taken in each."""
+        ids = ids.astype(np.int32)[:, None]
+        return self.first[: len(ids)] + (ids >> self.above), (ids >> (self.above - 4)) & 15
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id's share of SCALE * total0."""
-        self.path, self.right = self._nodes(ids)
-        cum = (self.flat.take(self.path) * self.right).sum(axis=1, dtype=np.int64)
-        return self._share(ids, cum)
+        rows, child = self._place(ids)
+        self.path = rows * 16 + child
+        smaller = self.children.take(rows, axis=0) * (self.digits < child[:, :, None])
+        return self._share(ids, smaller.reshape(len(ids), -1).sum(axis=1, dtype=np.int64))
 
     def _share(self, ids: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         second = self.known[1] & (self.ids[1] == ids) & (self.w2 > 0)
         first = self.known[0] & (self.ids[0] == ids) & ~second & (self.w1 > 0)
-        count = self.count.take(self.base[: len(ids)] + ids).astype(np.int64)
+        count = self.flat.take(self.path[:, -1]).astype(np.int64)
         start = np.where(second, 0, np.where(first, self.w2 * self.total0, (self.w1 + self.w2) * self.total0 + self.w0 * (ids + _COUNT_WEIGHT * cum)))
         width = np.where(second, self.w2 * self.total0, np.where(first, self.w1 * self.total0, self.w0 * (1 + _COUNT_WEIGHT * count)))
         return start, width
@@ -118,28 +119,32 @@ class _Model:
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose share holds value, with the share's start and width."""
         split1, split0 = self.w2 * self.total0, (self.w1 + self.w2) * self.total0
-        rest = np.maximum(value - split0, 0) // self.w0
-        base = self.base[: len(value)]
-        node = np.ones(len(value), np.int32)
-        cum = np.zeros(len(value), np.int64)
-        half = 1 << (self.bits - 1)
-        for _ in range(self.bits):
-            below = self.flat.take(base + node).astype(np.int64)
-            left = half + _COUNT_WEIGHT * below
-            go = rest >= left
-            rest -= left * go
-            cum += below * go
-            node += node + go
-            half >>= 1
-        ids = np.where(value < split1, self.ids[1], np.where(value < split0, self.ids[0], node - (1 << self.bits)))
-        self.path, self.right = self._nodes(ids)
+        # whole numbers below 2 ** 24 are exact in single precision
+        rest = (np.maximum(value - split0, 0) // self.w0).astype(np.float32)
+        n = len(value)
+        lane = np.arange(n) * 16
+        found, cum = np.zeros(n, np.int64), np.zeros(n, np.float32)
+        for level in range(self.levels):
+            size = 1 << (self.bits - 4 * (level + 1))
+            before = self.children.take(self.first[:n, level] + found, axis=0).astype(np.float32) @ self.earlier
+            share = before * np.float32(_COUNT_WEIGHT)
+            share += self.digits_f * np.float32(size)
+            # the last child whose share starts at or before the rest
+            child = 15 - (share <= rest[:, None])[:, ::-1].argmax(axis=1)
+            at = lane + child
+            rest -= share.reshape(-1).take(at)
+            cum += before.reshape(-1).take(at)
+            found = found * 16 + child
+        cum = cum.astype(np.int64)
+        ids = np.where(value < split1, self.ids[1], np.where(value < split0, self.ids[0], found))
+        rows, child = self._place(ids)
+        self.path = rows * 16 + child
         # where a prediction gave the id, cum belongs to another one, but isn't needed
         return ids, *self._share(ids, cum)
 
     def update(self, ids: np.ndarray) -> None:
         n = len(ids)
-        self.flat[self.path] += ~self.right
-        self.count[self.base[:n] + ids] += np.uint16(1)
+        self.flat[self.path] += np.uint16(1)
         right_guess = (self.ids == ids) & self.known
         # order 1 is judged where order 2 didn't settle the id already
         judged = self.known.copy()
@@ -152,7 +157,10 @@ class _Model:
 
 
 def encode_ids(ids: np.ndarray, bits: int) -> bytes:
-    """The payload of a run of ids."""
+    """The payload of a run of ids below 2 ** bits."""
+    bits = -(-bits // 4) * 4
+    if bits > 20:
+        raise ValueError("ids need more than 20 bits")
     ids = np.asarray(ids, np.int64)
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << bits:
         raise ValueError(f"an id is outside 0 to {(1 << bits) - 1}")
