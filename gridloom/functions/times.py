@@ -121,7 +121,7 @@ class TimePattern:
             hour = hour % 12 + F.when(late, 12).otherwise(0)
         minute = F.coalesce(number("M"), number("h") % 100, F.lit(0.0))
         second = F.coalesce(number("S"), F.lit(0.0)) + F.coalesce(number("q"), F.lit(0.0)) / MICROS
-        right = (months.between(1, 12)) & days.between(1, days_in_month(years, F.least(F.greatest(months, F.lit(1)), F.lit(12)))) & hour.between(0, 23) & minute.between(0, 59) & (second < 61)
+        right = self.matches(text) & (months.between(1, 12)) & days.between(1, days_in_month(years, F.least(F.greatest(months, F.lit(1)), F.lit(12)))) & hour.between(0, 23) & minute.between(0, 59) & (second < 61)
         date = F.make_date(F.when(right, years), F.when(right, months), F.when(right, days))
         return F.when(right, F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long") * 86400 * MICROS + ((hour * 3600 + minute * 60) * MICROS).cast("long") + F.round(second * MICROS).cast("long"))
 

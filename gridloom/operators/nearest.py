@@ -108,7 +108,7 @@ def subsample(rows: DataFrame, targets: DataFrame, series: list[str], chunk: flo
     wanted = wanted.withColumns({"near": nearer, "raw": F.least(d["r1"], d["r2"])})
     chosen = F.abs(F.col("near.x") - x)
     found = F.col("near").isNotNull() if reach is None else F.coalesce(chosen <= reach, F.lit(False))
-    past = F.lit(False) if reach is None else F.coalesce(x - F.lit(reach) > F.col("_last"), F.lit(True))
+    past = F.coalesce(F.lit(False) if reach is None else x - F.lit(reach) > F.col("_last"), F.lit(True)) | (F.coalesce(F.col("_n"), F.lit(0)) == 0)
     qc = bits.either(
         bits.bit_if(~found & past, bits.OUTSIDE | bits.BAD),
         bits.bit_if(~found & ~past, bits.ALL_BAD | bits.BAD),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textwrap
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,7 @@ def parse_conf(text: str) -> CsvConf:
     """
     sections: dict[str, list[str]] = {}
     key = None
-    for raw in text.splitlines():
+    for raw in textwrap.dedent(text).splitlines():
         line = raw.split("#", 1)[0].strip()
         if not line:
             continue
