@@ -15,26 +15,34 @@ from pyspark.sql.window import Window
 DAY = 86_400_000_000
 
 
+def keyed(rows: DataFrame, series: list[str], coord: str, chunk: float) -> DataFrame:
+    """Adds _k, the series and chunk of a row. As one struct it is never null and equals itself where a series column is null,
+    and rows dealt out by it stay where they are for every window, summary and join of carry()."""
+    return rows.withColumn("_k", F.struct(*series, F.floor(F.col(coord) / F.lit(chunk)).alias("_chunk")))
+
+
+def carry(rows: DataFrame, series: list[str], order: list[str], values: dict[str, Column], *, backward: bool = False, inclusive: bool = True) -> DataFrame:
+    """carried() for several values at once, for rows that keyed() has prepared; _k stays."""
+    rows = rows.withColumns({f"_v_{out}": value for out, value in values.items()})
+    direction = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
+    within = Window.partitionBy("_k").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    pick = F.min_by if backward else F.max_by
+    edges = rows.groupBy("_k").agg(*[pick(f"_v_{out}", F.when(F.col(f"_v_{out}").isNotNull(), F.struct(*order))).alias(f"_e_{out}") for out in values])
+    chunk_order = F.col("_k._chunk").desc() if backward else F.col("_k._chunk").asc()
+    before = Window.partitionBy(*[F.col(f"_k.{c}") for c in series]).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("_k", *[F.last(f"_e_{out}", ignorenulls=True).over(before).alias(f"_c_{out}") for out in values])
+    rows = rows.withColumns({f"_o_{out}": F.last(f"_v_{out}", ignorenulls=True).over(within) for out in values})
+    joined = rows.join(edges, "_k", "left").withColumns({out: F.coalesce(f"_o_{out}", f"_c_{out}") for out in values})
+    return joined.drop(*[f"_{x}_{out}" for out in values for x in "voc"])
+
+
 def carried(rows: DataFrame, series: list[str], order: list[str], value: Column, out: str, chunk: float, *, backward: bool = False, inclusive: bool = True) -> DataFrame:
     """Adds ``out``: the last value that isn't null at or before each row of its series.
 
     order: the coordinate, then columns that settle ties. backward: the first value at or after the row.
     inclusive: whether the row itself counts.
     """
-    rows = rows.withColumns({"_v": value, "_chunk": F.floor(F.col(order[0]) / F.lit(chunk))})
-    direction = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
-    within = Window.partitionBy(*series, "_chunk").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = rows.withColumn("_own", F.last("_v", ignorenulls=True).over(within))
-    pick = F.min_by if backward else F.max_by
-    edges = rows.groupBy(*series, "_chunk").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_edge"))
-    chunk_order = F.col("_chunk").desc() if backward else F.col("_chunk").asc()
-    before = Window.partitionBy(*series).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select(*[F.col(c).alias(f"_s_{c}") for c in series], F.col("_chunk").alias("_c"), F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
-    same = F.col("_chunk").eqNullSafe(F.col("_c"))
-    for c in series:
-        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    joined = rows.join(edges, same, "left")
-    return joined.withColumn(out, F.coalesce("_own", "_carry")).drop("_v", "_chunk", "_own", "_c", "_carry", *[f"_s_{c}" for c in series])
+    return carry(keyed(rows, series, order[0], chunk), series, order, {out: value}, backward=backward, inclusive=inclusive).drop("_k")
 
 
 def previous(rows: DataFrame, series: list[str], order: list[str], columns: list[str], out: str, chunk: float, *, backward: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.chunks import previous
+from gridloom.operators.chunks import carry, keyed, previous
 
 
 def regular(spark: SparkSession, start: float, interval: float, length: int) -> DataFrame:
@@ -41,12 +41,12 @@ def with_width(rows: DataFrame, coord: str, width: Column | float, alignment: fl
 
 def inferred_edges(rows: DataFrame, series: list[str], coord: str, chunk: float) -> DataFrame:
     """Adds lo and hi: contiguous cells that meet half-way; the outer ones are as wide outside as inside."""
-    rows = previous(rows, series, [coord], [coord], "_before", chunk)
-    rows = previous(rows, series, [coord], [coord], "_after", chunk, backward=True)
+    rows = carry(keyed(rows, series, coord, chunk), series, [coord], {"_before": F.struct(coord)}, inclusive=False)
+    rows = carry(rows, series, [coord], {"_after": F.struct(coord)}, backward=True, inclusive=False)
     c, before, after = F.col(coord), F.col(f"_before.{coord}"), F.col(f"_after.{coord}")
     lo = F.coalesce((c + before) / 2, c - (after - c) / 2, c)
     hi = F.coalesce((c + after) / 2, c + (c - before) / 2, c)
-    return rows.withColumns({"lo": lo, "hi": hi}).drop("_before", "_after")
+    return rows.withColumns({"lo": lo, "hi": hi}).drop("_before", "_after", "_k")
 
 
 def midpoint(lo: Column, hi: Column) -> Column:

@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import bits
-from gridloom.operators.chunks import carried
+from gridloom.operators.chunks import carry, keyed
 
 _EXACT = 1e-8
 
 
-def _merged(rows: DataFrame, targets: DataFrame, series: list[str], mask: int) -> DataFrame:
+def _merged(rows: DataFrame, targets: DataFrame, series: list[str], mask: int, chunk: float) -> DataFrame:
     """Inputs and targets in one table. point: the input; good: the input if it can be used; place: inputs first."""
     good = bits.is_good(F.col("value"), F.col("qc"), mask)
     point = F.struct(F.col("coord").cast("double").alias("x"), F.col("value").cast("double").alias("y"), F.coalesce(F.col("qc"), F.lit(0)).cast("int").alias("qc"), good.alias("good"))
     inputs = rows.select(*series, F.lit(None).cast("long").alias("bin"), F.col("coord").cast("double").alias("coord"), F.lit(0).alias("place"), point.alias("point"))
     wanted = targets.select(*series, F.col("bin").cast("long").alias("bin"), F.col("coord").cast("double").alias("coord"), F.lit(1).alias("place"), F.lit(None).cast(inputs.schema["point"].dataType).alias("point"))
-    return inputs.unionByName(wanted)
+    return keyed(inputs.unionByName(wanted), series, "coord", chunk)
 
 
 
@@ -40,22 +40,16 @@ def _edges(rows: DataFrame, series: list[str]) -> DataFrame:
 
 def interpolate(rows: DataFrame, targets: DataFrame, series: list[str], chunk: float, *, reach: float | None = None, mask: int = 1) -> DataFrame:
     """(series, bin, coord, value, dist_1, dist_2, qc) by the good inputs on both sides of each target."""
-    merged = _merged(rows, targets, series, mask)
+    merged = _merged(rows, targets, series, mask, chunk)
     order = ["coord", "place"]
-    # the good input before each good input, and after it, and the same for all inputs
-    inputs = merged.where("place = 0")
-    inputs = carried(inputs, series, order, _good(), "_pg", chunk, inclusive=False)
-    inputs = carried(inputs, series, order, _good(), "_ng", chunk, backward=True, inclusive=False)
-    inputs = carried(inputs, series, order, F.col("point"), "_pp", chunk, inclusive=False)
-    inputs = carried(inputs, series, order, F.col("point"), "_np", chunk, backward=True, inclusive=False)
-    own = F.struct("point", "_pg", "_ng", "_pp", "_np")
-    both = inputs.withColumn("own", own).drop("_pg", "_ng", "_pp", "_np")
-    both = both.unionByName(merged.where("place = 1").withColumn("own", F.lit(None).cast(both.schema["own"].dataType)))
+    # for each input the good one and the one of any kind before and after it; targets don't come between
+    beside = carry(merged, series, order, {"_pg": _good(), "_pp": F.col("point")}, inclusive=False)
+    beside = carry(beside, series, order, {"_ng": _good(), "_np": F.col("point")}, backward=True, inclusive=False)
+    own = F.when(F.col("place") == 0, F.struct("point", "_pg", "_ng", "_pp", "_np"))
+    both = beside.withColumn("own", own).drop("_pg", "_ng", "_pp", "_np")
     good = F.when(F.col("own.point.good"), F.col("own"))
-    both = carried(both, series, order, good, "g1", chunk)
-    both = carried(both, series, order, good, "g2", chunk, backward=True)
-    both = carried(both, series, order, F.col("own"), "r1", chunk)
-    both = carried(both, series, order, F.col("own"), "r2", chunk, backward=True)
+    both = carry(both, series, order, {"g1": good, "r1": F.col("own")})
+    both = carry(both, series, order, {"g2": good, "r2": F.col("own")}, backward=True)
     wanted = both.where("place = 1").join(_edges(merged, series), series, "left")
     x = F.col("coord")
     # the raw bracket; beyond an end it is the two points of that end
@@ -95,12 +89,10 @@ def interpolate(rows: DataFrame, targets: DataFrame, series: list[str], chunk: f
 
 def subsample(rows: DataFrame, targets: DataFrame, series: list[str], chunk: float, *, reach: float | None = None, mask: int = 1) -> DataFrame:
     """(series, bin, coord, value, dist, qc): the nearest good input within reach; of two equally near ones the earlier."""
-    merged = _merged(rows, targets, series, mask)
+    merged = _merged(rows, targets, series, mask, chunk)
     order = ["coord", "place"]
-    both = carried(merged, series, order, _good(), "g1", chunk)
-    both = carried(both, series, order, _good(), "g2", chunk, backward=True)
-    both = carried(both, series, order, F.col("point"), "r1", chunk)
-    both = carried(both, series, order, F.col("point"), "r2", chunk, backward=True)
+    both = carry(merged, series, order, {"g1": _good(), "r1": F.col("point")})
+    both = carry(both, series, order, {"g2": _good(), "r2": F.col("point")}, backward=True)
     wanted = both.where("place = 1").join(_edges(merged, series), series, "left")
     x = F.col("coord")
     d = {c: F.abs(F.col(f"{c}.x") - x) for c in ("g1", "g2", "r1", "r2")}
