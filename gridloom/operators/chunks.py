@@ -21,19 +21,26 @@ def keyed(rows: DataFrame, series: list[str], coord: str, chunk: float) -> DataF
     return rows.withColumn("_k", F.struct(*series, F.floor(F.col(coord) / F.lit(chunk)).alias("_chunk")))
 
 
-def carry(rows: DataFrame, series: list[str], order: list[str], values: dict[str, Column], *, backward: bool = False, inclusive: bool = True) -> DataFrame:
-    """carried() for several values at once, for rows that keyed() has prepared; _k stays."""
-    rows = rows.withColumns({f"_v_{out}": value for out, value in values.items()})
-    direction = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
-    within = Window.partitionBy("_k").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    pick = F.min_by if backward else F.max_by
-    edges = rows.groupBy("_k").agg(*[pick(f"_v_{out}", F.when(F.col(f"_v_{out}").isNotNull(), F.struct(*order))).alias(f"_e_{out}") for out in values])
-    chunk_order = F.col("_k._chunk").desc() if backward else F.col("_k._chunk").asc()
-    before = Window.partitionBy(*[F.col(f"_k.{c}") for c in series]).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select("_k", *[F.last(f"_e_{out}", ignorenulls=True).over(before).alias(f"_c_{out}") for out in values])
-    rows = rows.withColumns({f"_o_{out}": F.last(f"_v_{out}", ignorenulls=True).over(within) for out in values})
-    joined = rows.join(edges, "_k", "left").withColumns({out: F.coalesce(f"_o_{out}", f"_c_{out}") for out in values})
-    return joined.drop(*[f"_{x}_{out}" for out in values for x in "voc"])
+def carry(rows: DataFrame, series: list[str], order: list[str], last: dict[str, Column] | None = None, first: dict[str, Column] | None = None, *, inclusive: bool = True) -> DataFrame:
+    """carried() for several values and both directions at once, for rows that keyed() has prepared; _k stays.
+
+    last: values whose last one at or before a row is wanted, by output column; first: those whose first one at or after it is.
+    One summary serves all of them, so the rows are computed twice in all, however many values there are.
+    """
+    wanted = [(out, value, False) for out, value in (last or {}).items()] + [(out, value, True) for out, value in (first or {}).items()]
+    rows = rows.withColumns({f"_v_{out}": value for out, value, _ in wanted})
+    place = F.struct(*order)
+    edges = rows.groupBy("_k").agg(*[(F.min_by if back else F.max_by)(f"_v_{out}", F.when(F.col(f"_v_{out}").isNotNull(), place)).alias(f"_e_{out}") for out, _, back in wanted])
+
+    def window(back: bool, by: list[Column], over: list[Column], end: int):
+        return Window.partitionBy(*by).orderBy(*[c.desc() if back else c.asc() for c in over]).rowsBetween(Window.unboundedPreceding, end)
+
+    names = [F.col(f"_k.{c}") for c in series]
+    edges = edges.select("_k", *[F.last(f"_e_{out}", ignorenulls=True).over(window(back, names, [F.col("_k._chunk")], -1)).alias(f"_c_{out}") for out, _, back in wanted])
+    inside = [F.col("_k")]
+    rows = rows.withColumns({f"_o_{out}": F.last(f"_v_{out}", ignorenulls=True).over(window(back, inside, [F.col(c) for c in order], 0 if inclusive else -1)) for out, _, back in wanted})
+    joined = rows.join(edges, "_k", "left").withColumns({out: F.coalesce(f"_o_{out}", f"_c_{out}") for out, _, _ in wanted})
+    return joined.drop(*[f"_{x}_{out}" for out, _, _ in wanted for x in "voc"])
 
 
 def carried(rows: DataFrame, series: list[str], order: list[str], value: Column, out: str, chunk: float, *, backward: bool = False, inclusive: bool = True) -> DataFrame:
@@ -42,7 +49,8 @@ def carried(rows: DataFrame, series: list[str], order: list[str], value: Column,
     order: the coordinate, then columns that settle ties. backward: the first value at or after the row.
     inclusive: whether the row itself counts.
     """
-    return carry(keyed(rows, series, order[0], chunk), series, order, {out: value}, backward=backward, inclusive=inclusive).drop("_k")
+    values = {out: value}
+    return carry(keyed(rows, series, order[0], chunk), series, order, None if backward else values, values if backward else None, inclusive=inclusive).drop("_k")
 
 
 def previous(rows: DataFrame, series: list[str], order: list[str], columns: list[str], out: str, chunk: float, *, backward: bool = False) -> DataFrame:

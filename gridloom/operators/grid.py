@@ -41,8 +41,7 @@ def with_width(rows: DataFrame, coord: str, width: Column | float, alignment: fl
 
 def inferred_edges(rows: DataFrame, series: list[str], coord: str, chunk: float) -> DataFrame:
     """Adds lo and hi: contiguous cells that meet half-way; the outer ones are as wide outside as inside."""
-    rows = carry(keyed(rows, series, coord, chunk), series, [coord], {"_before": F.struct(coord)}, inclusive=False)
-    rows = carry(rows, series, [coord], {"_after": F.struct(coord)}, backward=True, inclusive=False)
+    rows = carry(keyed(rows, series, coord, chunk), series, [coord], {"_before": F.struct(coord)}, {"_after": F.struct(coord)}, inclusive=False)
     c, before, after = F.col(coord), F.col(f"_before.{coord}"), F.col(f"_after.{coord}")
     lo = F.coalesce((c + before) / 2, c - (after - c) / 2, c)
     hi = F.coalesce((c + after) / 2, c + (c - before) / 2, c)

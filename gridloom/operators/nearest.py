@@ -43,13 +43,11 @@ def interpolate(rows: DataFrame, targets: DataFrame, series: list[str], chunk: f
     merged = _merged(rows, targets, series, mask, chunk)
     order = ["coord", "place"]
     # for each input the good one and the one of any kind before and after it; targets don't come between
-    beside = carry(merged, series, order, {"_pg": _good(), "_pp": F.col("point")}, inclusive=False)
-    beside = carry(beside, series, order, {"_ng": _good(), "_np": F.col("point")}, backward=True, inclusive=False)
+    beside = carry(merged, series, order, {"_pg": _good(), "_pp": F.col("point")}, {"_ng": _good(), "_np": F.col("point")}, inclusive=False)
     own = F.when(F.col("place") == 0, F.struct("point", "_pg", "_ng", "_pp", "_np"))
     both = beside.withColumn("own", own).drop("_pg", "_ng", "_pp", "_np")
     good = F.when(F.col("own.point.good"), F.col("own"))
-    both = carry(both, series, order, {"g1": good, "r1": F.col("own")})
-    both = carry(both, series, order, {"g2": good, "r2": F.col("own")}, backward=True)
+    both = carry(both, series, order, {"g1": good, "r1": F.col("own")}, {"g2": good, "r2": F.col("own")})
     wanted = both.where("place = 1").join(_edges(merged, series), series, "left")
     x = F.col("coord")
     # the raw bracket; beyond an end it is the two points of that end
@@ -91,8 +89,7 @@ def subsample(rows: DataFrame, targets: DataFrame, series: list[str], chunk: flo
     """(series, bin, coord, value, dist, qc): the nearest good input within reach; of two equally near ones the earlier."""
     merged = _merged(rows, targets, series, mask, chunk)
     order = ["coord", "place"]
-    both = carry(merged, series, order, {"g1": _good(), "r1": F.col("point")})
-    both = carry(both, series, order, {"g2": _good(), "r2": F.col("point")}, backward=True)
+    both = carry(merged, series, order, {"g1": _good(), "r1": F.col("point")}, {"g2": _good(), "r2": F.col("point")})
     wanted = both.where("place = 1").join(_edges(merged, series), series, "left")
     x = F.col("coord")
     d = {c: F.abs(F.col(f"{c}.x") - x) for c in ("g1", "g2", "r1", "r2")}

@@ -49,8 +49,7 @@ def find_index(times: DataFrame, refs: DataFrame, series: list[str], chunk: floa
     # a ref stands before equal times (place 0) for lt and gteq, and after them (place 2) for lteq and gt
     for place in (0, 2):
         rows = rows.unionByName(asked.select(*series, F.col("ref").alias("at"), F.lit(place).alias("place"), F.lit(None).cast(kind).alias("point")))
-    rows = carry(keyed(rows, series, "at", chunk), series, ["at", "place"], {"before": F.col("point")})
-    rows = carry(rows, series, ["at", "place"], {"after": F.col("point")}, backward=True)
+    rows = carry(keyed(rows, series, "at", chunk), series, ["at", "place"], {"before": F.col("point")}, {"after": F.col("point")})
     number = lambda column, place: F.max(F.when(F.col("place") == place, F.coalesce(F.col(column), F.lit(-1)))).cast("long")
     found = rows.where("place <> 1").groupBy(*series, F.col("at").alias("ref")).agg(
         number("before.last", 0).alias("lt"), number("before.last", 2).alias("lteq"), number("after.first", 2).alias("gt"), number("after.first", 0).alias("gteq"),
