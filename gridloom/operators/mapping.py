@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import bits, units
+from gridloom.functions.metadata import METRICS
 
-METRICS = ("std", "goodfraction", "dist", "dist_1", "dist_2", "nstat", "deriv_lat", "deriv_lon")
 
 
 @dataclass
@@ -26,10 +26,6 @@ class Target:
     attributes: dict[str, object] = field(default_factory=dict)
 
 
-def companions(columns: list[str], name: str) -> list[str]:
-    return [c for c in (f"qc_{name}", *(f"{name}_{m}" for m in METRICS)) if c in columns]
-
-
 def _column(t: Target) -> Column:
     out = F.col(t.source)
     if t.source_unit and t.unit:

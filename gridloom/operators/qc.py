@@ -70,6 +70,26 @@ def shaded(azimuth: Column, elevation: Column, shades: list[Shade]) -> Column:
     return out
 
 
+def shaded_between(azimuth: tuple[Column, Column], elevation: tuple[Column, Column], shades: list[Shade]) -> Column:
+    """Whether the way of the sun over a sample's cell, from first to last place, touches any of the rectangles.
+
+    Azimuth and elevation are taken as closed intervals; an azimuth interval whose first end is the larger goes through north.
+    """
+    first, last = azimuth
+    low, high = F.least(*elevation), F.greatest(*elevation)
+    out = F.lit(False)
+    for s in shades:
+        # an interval through north is two intervals
+        theirs = [(s.az_min, s.az_max)] if s.az_min <= s.az_max else [(s.az_min, 360.0), (0.0, s.az_max)]
+        across = F.lit(False)
+        for a, b in theirs:
+            whole = (first <= b) & (last >= a)
+            split = (F.lit(360.0) >= a) & (first <= b) | (last >= a) & (F.lit(0.0) <= b)
+            across = across | F.when(first <= last, whole).otherwise(split)
+        out = out | (across & (low <= s.el_max) & (high >= s.el_min))
+    return out
+
+
 def with_reports(rows: DataFrame, reports: DataFrame, keys: list[str], coord: str, bucket: float) -> DataFrame:
     """Rows joined with the quality reports (keys, report, code, start, end) that cover them, ends included: a bucketed range join."""
     spread = reports.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))

@@ -127,6 +127,15 @@ def intervals(begin: int, end: int, interval: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def observation_intervals(files: list[tuple[int, int]], begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Intervals of the observation loop: the extent of the next file after the one before, of files that begin together the longest."""
+    at = begin
+    for first, last in sorted(files, key=lambda f: (f[0], -f[1])):
+        if at <= first < end:
+            yield first, last
+            at = last + 1
+
+
 def real_time_end(latest: dict[str, int], now: int, begin: int, interval: int, max_wait: int = 3 * DAY, end_offsets: dict[str, int] | None = None) -> int | None:
     """End of the interval to process: the earliest of the inputs' latest times that aren't older than max_wait, else the newest.
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import bits, solar, text, times, units
+from gridloom.functions import bits, metadata, solar, text, times, units
 from gridloom.operators import bin_average, grid, mapping, nearest, objective, outliers, overlap, qc, retrieve
 from gridloom.operators.chunks import DAY
-from gridloom.plans import transform
-from gridloom.sources import csv_ingest, store
+from gridloom.plans import datasets, process, transform
+from gridloom.sources import csv_ingest, scratch, store
+from gridloom.streaming import pipelines
 
 HOUR = DAY // 24
 #: 2024-01-01, the start of the event series, in microseconds.
@@ -588,6 +589,77 @@ def valid_times(spark, sf_dir):
     return store.valid_times(observations(spark, sf_dir, "event_id"), "coord", START + DAY, START + 25 * DAY, START + 3 * DAY).select("event_id", "invalid")
 
 
+# --- datasets, processes and streams ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 17 = 0 THEN -9999 ELSE round(value * 9 / 5 + 32, 6) END AS value, (CASE WHEN value > 30 THEN 4 ELSE 0 END | CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END)::INTEGER AS qc_value,
+  (event_id % 17 = 0) AS missing, 41.0::DOUBLE AS valid_min, 5::INTEGER AS mask, 'degF' AS units FROM events""")
+def dataset_variables(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select("event_id", F.when(F.col("event_id") % 17 == 0, -9999.0).otherwise(F.col("value")).alias("value"), F.col("value").alias("plain"))
+    rows = metadata.with_attributes(rows, "value", units="degC", missing_value=-9999.0, valid_min=5.0)
+    rows = datasets.record_qc_results(rows, "value", 3, F.col("plain") > 30, description="above 30")
+    rows = datasets.record_qc_results(rows, "value", 1, metadata.missing_mask(rows, "value"))
+    rows = datasets.convert_units(rows, "degC", "degF")
+    held = metadata.attributes(rows, "value")
+    extra = [metadata.missing_mask(rows, "value").alias("missing"), F.lit(held["valid_min"]).alias("valid_min"), F.lit(metadata.bad_mask(rows, "value")).alias("mask"), F.lit(held["units"]).alias("units")]
+    return rounded(rows.select("event_id", "value", "qc_value", *extra), "value")
+
+
+@query(f"""SELECT epoch_us(ts) AS t, event_id, round(value * 3.6, 6) AS speed, (CASE WHEN value > 20 THEN 2 ELSE 0 END)::INTEGER AS qc_speed FROM events WHERE epoch_us(ts) >= {START + 2 * DAY} AND epoch_us(ts) < {START + 5 * DAY}""")
+def process_run(spark, sf_dir):
+    """Three daily intervals of a process, stored by day and read again."""
+
+    class Speeds(process.Process):
+        def transform_hook(self, begin, end):
+            self.transformed = {"speeds": process.add_quality(self.inputs["winds"], "value", (2, F.col("value") > 20))}
+
+    def source(s):
+        return table(s, sf_dir, "events").select(times.micros(F.col("ts")).alias("t"), "event_id", "value")
+
+    path = scratch.folder(spark, "speeds")
+    out = process.Output(path, ["t", "event_id"], [mapping.Target("speed", "value", "double", "m/s", "km/h")])
+    Speeds(spark, {"winds": process.Input([source])}, {"speeds": out}).run(START + 2 * DAY, START + 5 * DAY)
+    return rounded(store.read(spark, path), "speed")
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "value", F.lit(0).alias("qc"), "event_id")
+
+
+def _finished(spark, stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what there is and reads what it wrote."""
+    path = scratch.folder(spark, name)
+    pipelines.sink(stream, lambda rows, n: rows.write.mode("append").parquet(path), f"{path}-state").awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("""WITH w AS (SELECT event_type AS series, date_trunc('hour', ts) AS h, value FROM events)
+SELECT series, epoch_us(h) AS start, round(avg(value), 6) AS value, round(stddev_pop(value), 6) AS value_std, 1.0::DOUBLE AS value_goodfraction, 0::INTEGER AS qc FROM w
+GROUP BY series, h HAVING h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 72 HOUR FROM events)""")
+def stream_averages(spark, sf_dir):
+    """Hourly averages of a stream: those that are final 72 hours before its latest sample."""
+    rows = _finished(spark, pipelines.averages(_stream(spark, sf_dir), ["series"], "1 hour"), "averages")
+    return rounded(rows.select("series", F.unix_micros("start").alias("start"), "value", "value_std", "value_goodfraction", "qc"), "value", "value_std")
+
+
+@query("SELECT event_type AS series, epoch_us(ts) AS t, value FROM events")
+def stream_distinct(spark, sf_dir):
+    """A stream that delivers every sample twice."""
+    both = _stream(spark, sf_dir).unionByName(_stream(spark, sf_dir))
+    rows = _finished(spark, pipelines.distinct_samples(both, ["series", "ts", "value"]), "distinct")
+    return rows.select("series", F.unix_micros("ts").alias("t"), "value")
+
+
+@query("""WITH p AS (SELECT event_type AS series, ts, value, lag(value) OVER w AS pv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+SELECT series, epoch_us(ts) AS t, value, (CASE WHEN step <= 0 THEN 16 WHEN step < 60000000 THEN 32 WHEN step > 7200000000 THEN 64 ELSE 0 END | CASE WHEN abs(value - pv) > 25 THEN 8 ELSE 0 END)::INTEGER AS qc FROM p""")
+def stream_step_checks(spark, sf_dir):
+    rows = _finished(spark, pipelines.step_checks(_stream(spark, sf_dir), "series", most_delta=25.0, least_step=60.0, most_step=7200.0), "steps")
+    return rows.select("series", F.unix_micros("ts").alias("t"), "value", "qc")
+
+
 @query()
 def solar_position(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (times.micros(F.col("ts")) / 1_000_000).alias("s"))
