@@ -35,7 +35,7 @@ LONG_CHARS = 1 << 15
 LEAF_CHARS = 1 << 14
 #: Bytes on each side of a join in the first window.
 FIRST_WINDOW = 64
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 #: Text handed to the library, and put into one Arrow batch, at a time.
 BLOCK_CHARS = 1 << 18
 
@@ -226,7 +226,7 @@ def _row_type(rows: DataFrame) -> str:
     return rows.schema["_row"].dataType.simpleString()
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about BLOCK_CHARS of text each."""
     start, held = 0, 0
     for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
@@ -248,7 +248,7 @@ def _map_text(rows: DataFrame, act: Callable[[Codec, str], list[int]], path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            for part in _blocks(batch, 1):
+            for part in blocks(batch, 1):
                 ids = _ids_array([act(tool, t) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([ids, part.column(0)], ["ids", "_row"])
 
@@ -274,7 +274,7 @@ def _encode_leaves(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            for part in _blocks(batch, 3):
+            for part in blocks(batch, 3):
                 ids = _ids_array([tool.encode(t) for t in part.column("_text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_leaf"), part.column("_cut"), ids, part.column("_row")], ["_key", "_leaf", "_cut", "ids", "_row"])
 

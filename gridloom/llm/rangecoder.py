@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import BLOCK_CHARS, codec
+from gridloom.llm.bpe import BLOCK_CHARS, blocks, codec
 
 MAGIC = b"GLR1"
 BLOCK_IDS = 2048
@@ -276,7 +277,7 @@ def _page_batches(path: str, end_id: int):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "page", "start", "doc_ids", "lengths", "payload"])
 
-        for batch in batches:
+        for batch in chain.from_iterable(blocks(b, 1) for b in batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(tool.encode(text or ""), tool.kind.type(end_id))
                 if held and held + len(ids) > PAGE_IDS:
