@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import bounded_batches
+
 LONG_CHARS = 1 << 15
 LEAF_CHARS = 1 << 14
 #: Bytes on each side of a join in the first window.
@@ -211,6 +213,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     path: the vocabulary file; every worker must be able to read it there.
     """
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*kept).alias("_row") if kept else F.struct(F.lit(0).alias("_")).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     short = _map_text(rows.where(F.length("_text") <= LONG_CHARS), lambda tool, t: tool.encode(t), path)

@@ -60,8 +60,23 @@ def training_ids(labels: DataFrame, label: str, bound: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+#: Rows and bytes that a Python worker gets at a time; the usual 10,000 rows are too many for long texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES; lower ones stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    held = spark.conf.get(size)
+    if not (held.rstrip("b").isdigit() and 0 < int(held.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, text, label) of the bounded training sample."""
+    bounded_batches(docs.sparkSession)
     ids = training_ids(labels, label, bound)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
@@ -96,18 +111,23 @@ def unpacked(rows: DataFrame, columns: list[str], named: Iterable[str], *appende
     return rows.select(*kept, *[F.col(_quoted(c)) for c in appended])
 
 
-def map_rows(rows: DataFrame, make, appended: str, text: str = "text") -> DataFrame:
+def map_rows(rows: DataFrame, make, appended: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``rows`` with columns appended that ``make()`` computes from a batch's text column in each task.
 
+    keep_text: whether the text column comes back from Python with the others.
+
     make returns a function from an Arrow array of texts to the list of the appended Arrow arrays.
     """
+    bounded_batches(rows.sparkSession)
     at = rows.columns.index(text)
     names = [part.split()[0] for part in appended.split(", ")]
 
     def run(batches):
         act = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *act(batch.column(at))], [*batch.schema.names, *names])
+            found = act(batch.column(at))
+            batch = batch if keep_text else batch.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
 
-    fields = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema)
+    fields = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != text)
     return rows.mapInArrow(run, f"{fields}, {appended}")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import bounded_batches
+
 MIN_MATCH = 5
 MIN_COVERAGE = 0.8
 BLOCK_WORDS = 2_000_000
@@ -138,6 +140,7 @@ _PAIRS = "doc_id long, item_id long, item_words int, covered_words int, tiles in
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per document and item that is found in it."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = spark.createDataFrame([], _PAIRS)
     for k, index in enumerate(_indexes(benchmark)):
@@ -162,6 +165,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_coverage: floa
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The documents of ``docs`` in which no item is found; all columns stay."""
+    bounded_batches(docs.sparkSession)
     text = docs.columns.index("text")
     for index in _indexes(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(index)

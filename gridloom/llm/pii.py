@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_rows, packed, unpacked
+from gridloom.llm.common import bounded_batches, map_rows, packed, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 4000
@@ -286,6 +286,7 @@ MAX_STRETCHES = 1200
 
 def train_field(docs: DataFrame, bound: int = TRAIN_DOCS, most: int = MAX_STRETCHES) -> Field:
     """Fits the field on stretches of at most ``bound`` documents, ``most`` stretches in all, chosen by hash."""
+    bounded_batches(docs.sparkSession)
     ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("text")
 
@@ -304,8 +305,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
 _COLUMNS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
-def find_pii(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with the counts and the digest of the base spans, all spans, and the number of added ones."""
+def find_pii(docs: DataFrame, field: Field, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, if ``keep_text`` is off) with the counts and the digest of the base spans, all spans, and the number of added ones."""
     held = docs.sparkSession.sparkContext.broadcast((field.weights, field.follow))
 
     def make():
@@ -325,4 +326,5 @@ def find_pii(docs: DataFrame, field: Field) -> DataFrame:
 
     rows = packed(docs, "text")
     appended = [part.split()[0] for part in _COLUMNS.split(", ")]
-    return unpacked(map_rows(rows, make, _COLUMNS), docs.columns, ["text"], *appended)
+    found = map_rows(rows, make, _COLUMNS, keep_text=keep_text)
+    return unpacked(found, [c for c in docs.columns if keep_text or c != "text"], ["text"], *appended)

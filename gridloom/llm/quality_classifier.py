@@ -149,8 +149,8 @@ def train_model(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) ->
     return fit(texts, np.array(wanted, np.float64))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with the column score (double, the probability of label 1) appended."""
+def score(docs: DataFrame, machine: Machine, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, if ``keep_text`` is off) with the column score (double, the probability of label 1) appended."""
     held = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32)))
 
     def make():
@@ -166,5 +166,5 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
         return act
 
-    scored = map_rows(packed(docs, "text"), make, "score double")
-    return unpacked(scored, docs.columns, ["text"], "score")
+    scored = map_rows(packed(docs, "text"), make, "score double", keep_text=keep_text)
+    return unpacked(scored, [c for c in docs.columns if keep_text or c != "text"], ["text"], "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_of, utf8_texts
+from gridloom.llm.common import batch_of, bounded_batches, utf8_texts
 
 BUCKETS = 1 << 18
 NGRAM_BYTES = 3
@@ -71,6 +71,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def ngram_ratio(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(trusted / corpus) per bucket. ``trusted``: doc_ids of the trusted documents."""
+    bounded_batches(docs.sparkSession)
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     # a merge join at every size: the trusted ids grow with the corpus and are never broadcast
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "doc_id", "left")

@@ -19,12 +19,12 @@ def _predictions(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"))
-    return _predictions(toxicity.score(docs, model), toxicity.THRESHOLD, "hits")
+    return _predictions(toxicity.score(docs, model, keep_text=False), toxicity.THRESHOLD, "hits")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.find_pii(docs, pii.train_field(docs)).drop("text")
+    return pii.find_pii(docs, pii.train_field(docs), keep_text=False)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality_classifier.train_model(docs, table(spark, sf_dir, "labels"))
-    return _predictions(quality_classifier.score(docs, machine), quality_classifier.THRESHOLD)
+    return _predictions(quality_classifier.score(docs, machine, keep_text=False), quality_classifier.THRESHOLD)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

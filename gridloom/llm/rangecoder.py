@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import BLOCK_CHARS, blocks, codec
+from gridloom.llm.common import bounded_batches
 
 MAGIC = b"GLR1"
 BLOCK_IDS = 2048
@@ -296,6 +297,7 @@ def _page_batches(path: str, end_id: int):
 
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None:
     """Encodes the texts with the vocabulary file ``path`` and writes their ids to ``folder``."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     ordered.mapInArrow(_page_batches(path, end_id), _PAGES).write.mode("errorifexists").parquet(folder)

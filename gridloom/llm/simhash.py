@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_of, checkpointed, packed, unpacked, utf8_texts
+from gridloom.llm.common import batch_of, bounded_batches, checkpointed, packed, unpacked, utf8_texts
 
 MAX_DISTANCE = 2
 SHINGLE_WORDS = 3
@@ -70,6 +70,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp): one row per document; text_hash tells rows of one doc_id apart."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 

@@ -228,11 +228,11 @@ def _weights(held):
     return make
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the columns score (double) and hits (long) appended."""
+def score(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, if ``keep_text`` is off) with the columns score (double) and hits (long) appended."""
     held = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.slope, model.intercept))
-    scored = map_rows(packed(docs, "text"), _weights(held), "score double, hits long")
-    return unpacked(scored, docs.columns, ["text"], "score", "hits")
+    scored = map_rows(packed(docs, "text"), _weights(held), "score double, hits long", keep_text=keep_text)
+    return unpacked(scored, [c for c in docs.columns if keep_text or c != "text"], ["text"], "score", "hits")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
