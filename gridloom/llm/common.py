@@ -75,10 +75,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, label) of the bounded training sample."""
+    """(doc_id, text, label) of the bounded training sample; of several texts of one doc_id the smallest."""
     bounded_batches(docs.sparkSession)
     ids = training_ids(labels, label, bound)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def utf8_texts(column: pa.Array) -> list[bytes]:
