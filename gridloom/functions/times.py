@@ -99,7 +99,8 @@ class TimePattern:
         """The text of the first of the directives that the pattern has; null without a match."""
         for name in names:
             if name in self.fields:
-                return F.when(self.matches(text), F.regexp_extract(text, self.regex, self.fields.index(name) + 1))
+                # no directive matches an empty text
+                return F.nullif(F.regexp_extract(text, self.regex, self.fields.index(name) + 1), F.lit(""))
         return F.lit(None).cast("string")
 
     def parse(self, text: Column, *, year: Column | None = None, month: Column | None = None, day: Column | None = None) -> Column:
@@ -121,9 +122,10 @@ class TimePattern:
             hour = hour % 12 + F.when(late, 12).otherwise(0)
         minute = F.coalesce(number("M"), number("h") % 100, F.lit(0.0))
         second = F.coalesce(number("S"), F.lit(0.0)) + F.coalesce(number("q"), F.lit(0.0)) / MICROS
-        right = self.matches(text) & (months.between(1, 12)) & days.between(1, days_in_month(years, F.least(F.greatest(months, F.lit(1)), F.lit(12)))) & hour.between(0, 23) & minute.between(0, 59) & (second < 61)
-        date = F.make_date(F.when(right, years), F.when(right, months), F.when(right, days))
-        return F.when(right, F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long") * 86400 * MICROS + ((hour * 3600 + minute * 60) * MICROS).cast("long") + F.round(second * MICROS).cast("long"))
+        right = self.part(text, *self.fields).isNotNull() & (months.between(1, 12)) & days.between(1, days_in_month(years, F.least(F.greatest(months, F.lit(1)), F.lit(12)))) & hour.between(0, 23) & minute.between(0, 59) & (second < 61)
+        # evaluated for right parts only
+        day_number = F.datediff(F.make_date(years, months, days), F.lit("1970-01-01").cast("date")).cast("long")
+        return F.when(right, day_number * (86400 * MICROS) + F.round((hour * 3600 + minute * 60 + second) * MICROS).cast("long"))
 
 
 def first_match(patterns: list[str], text: Column, **parts: Column) -> Column:
