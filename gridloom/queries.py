@@ -660,7 +660,20 @@ def stream_step_checks(spark, sf_dir):
     return rows.select("series", F.unix_micros("ts").alias("t"), "value", "qc")
 
 
-@query()
+_SUN = """WITH a AS (SELECT event_id, epoch_us(ts) / 1000000.0 AS s, epoch_us(ts) / 1000000.0 / 86400.0 - 10957.5 AS n FROM events),
+b AS (SELECT *, 357.528 + 0.9856003 * n AS g0, 280.460 + 0.9856474 * n AS l0, radians(23.439 - 0.0000004 * n) AS tilt, 18.697374558 + 24.06570982441908 * n AS st FROM a),
+c AS (SELECT *, radians(g0 - floor(g0 / 360) * 360) AS g, l0 - floor(l0 / 360) * 360 AS l, st - floor(st / 24) * 24 AS gst, radians(36.6) AS lat FROM b),
+d AS (SELECT *, l + 1.915 * sin(g) + 0.020 * sin(2 * g) AS ec0 FROM c), e AS (SELECT *, radians(ec0 - floor(ec0 / 360) * 360) AS ec FROM d),
+f AS (SELECT *, atan2(cos(tilt) * sin(ec), cos(ec)) AS ra, asin(sin(tilt) * sin(ec)) AS de FROM e), h AS (SELECT *, gst * 15 - 97.5 - degrees(ra) + 180 AS ha0 FROM f),
+i AS (SELECT *, radians(ha0 - floor(ha0 / 360) * 360 - 180) AS ha FROM h),
+j AS (SELECT *, asin(sin(de) * sin(lat) + cos(de) * cos(lat) * cos(ha)) AS alt, degrees(atan2(-cos(de) * sin(ha), sin(de) * cos(lat) - cos(de) * cos(ha) * sin(lat))) AS az FROM i),
+k AS (SELECT *, degrees(alt) AS h, degrees(ra) / 15 AS r FROM j),
+m AS (SELECT *, CASE WHEN h >= 19.225 THEN 0.00452 * 3.51561 / tan(alt) WHEN h > -0.766 THEN 3.51561 * (0.1594 + 0.0196 * h + 0.00002 * h * h) / (1 + 0.505 * h + 0.0845 * h * h) ELSE 0 END AS bent FROM k)
+SELECT event_id, round(az - floor(az / 360) * 360, 6) AS azimuth, round(h, 6) AS altitude, round(bent, 6) AS refraction, round(h + bent, 6) AS elevation, round(degrees(de), 6) AS declination,
+  round(r - floor(r / 24) * 24, 6) AS right_ascension, round(1.00014 - 0.01671 * cos(g) - 0.00014 * cos(2 * g), 6) AS distance FROM m"""
+
+
+@query(_SUN)
 def solar_position(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (times.micros(F.col("ts")) / 1_000_000).alias("s"))
     sun = solar.position(F.col("s"), F.lit(36.6), F.lit(-97.5))

@@ -15,7 +15,8 @@ def write(rows: DataFrame, path: str, coord: str = "t", *, mode: str = "days", i
     save_mode overwrite replaces only the splits that the rows belong to.
     """
     split = F.date_format(F.timestamp_micros(times.split_key(F.col(coord), mode, interval, start, tz_hours)), "yyyyMMdd'T'HHmmss")
-    out = rows.withColumn("split", split).repartition("split").sortWithinPartitions("split", coord)
+    # ranges of time, so that a split with most of the rows is written by several tasks
+    out = rows.withColumn("split", split).repartitionByRange("split", coord).sortWithinPartitions("split", coord)
     writer = out.write.partitionBy("split").mode(save_mode).option("partitionOverwriteMode", "dynamic").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
