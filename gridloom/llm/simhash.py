@@ -181,9 +181,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     root = docs_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))
     winners = root.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))
-    # one non-null key for the join and for repeated rows, so that the texts are moved once
-    winners = winners.withColumn("_key", F.xxhash64("_id", "_hash"))
-    keyed = packed(docs, "doc_id", "text").withColumn("_text_hash", F.xxhash64("text"))
-    keyed = keyed.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_text_hash"))
-    kept = keyed.join(winners.hint("merge"), (keyed["_key"] == winners["_key"]) & keyed["doc_id"].cast("long").eqNullSafe(winners["_id"]) & (keyed["_text_hash"] == winners["_hash"]), "left_semi")
-    return unpacked(kept.dropDuplicates(["_key", "doc_id", "_text_hash"]), docs.columns, ["doc_id", "text"])
+    # the same plain keys for the join and for repeated rows, so that the texts are moved once
+    keys = ["_known", "_number", "_text_hash"]
+    named = lambda doc_id: {"_known": F.col(doc_id).isNotNull(), "_number": F.coalesce(F.col(doc_id).cast("long"), F.lit(0))}
+    winners = winners.withColumns({**named("_id"), "_text_hash": F.col("_hash")}).select(*keys)
+    keyed = packed(docs, "doc_id", "text").withColumns({**named("doc_id"), "_text_hash": F.xxhash64("text")})
+    kept = keyed.join(winners.hint("merge"), keys, "left_semi")
+    return unpacked(kept.dropDuplicates(keys), docs.columns, ["doc_id", "text"])
