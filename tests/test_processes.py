@@ -20,13 +20,13 @@ def us(*when):
 def test_parameters():
     p = params.parse("""
     # comment
-    time:transform = TRANS_BIN_AVERAGE;
+    time:transform = bin_average;
     range:values = 1, 2,
         3.5;
     var_1:time:width = 60; var_1:missing = -9999;
     """)
-    assert p.get("range", "values", float) == [1, 2, 3.5] and p.get("time", "transform") == "TRANS_BIN_AVERAGE"
-    assert p.for_dimension("var_1", "time", "width", int) == 60 and p.for_dimension("var_2", "time", "transform") == "TRANS_BIN_AVERAGE"
+    assert p.get("range", "values", float) == [1, 2, 3.5] and p.get("time", "transform") == "bin_average"
+    assert p.for_dimension("var_1", "time", "width", int) == 60 and p.for_dimension("var_2", "time", "transform") == "bin_average"
     child = params.Params(p)
     child.set("time", "transform", "x")
     assert child.get("time", "transform") == "x" and child.get("var_1", "missing", float) == -9999 and params.parse(str(p)).values == p.values
@@ -36,11 +36,11 @@ def test_parameters():
 
 
 def test_files_of_parameters(tmp_path):
-    for name in ("abc", "abc.b1", "sgpabc.b1"):
+    for name in ("abc", "abc.b1", "northabc.b1"):
         (tmp_path / name).write_text("")
-    assert params.find_file([str(tmp_path)], "sgp", "C1", "abc", "b1").name == "sgpabc.b1"
-    assert params.find_file([str(tmp_path)], "nsa", "C1", "abc", "b1").name == "abc.b1"
-    assert params.find_file([str(tmp_path)], "nsa", "C1", "xyz", "b1") is None
+    assert params.find_file([str(tmp_path)], "north", "C1", "abc", "b1").name == "northabc.b1"
+    assert params.find_file([str(tmp_path)], "south", "C1", "abc", "b1").name == "abc.b1"
+    assert params.find_file([str(tmp_path)], "south", "C1", "xyz", "b1") is None
 
 
 def test_time_patterns(spark):
