@@ -623,6 +623,16 @@ def process_run(spark, sf_dir):
     return rounded(store.read(spark, path), "speed")
 
 
+@query("SELECT event_id, epoch_us(ts) AS t, event_type, value FROM events")
+def csv_roundtrip(spark, sf_dir):
+    """Samples written as delimited text, split by month, and read again."""
+    rows = table(spark, sf_dir, "events").select("event_id", times.micros(F.col("ts")).alias("t"), "event_type", "value")
+    path = scratch.folder(spark, "text")
+    store.write(rows, path, mode="months", fmt="csv")
+    back = store.read(spark, path, fmt="csv")
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
+
+
 def _stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
