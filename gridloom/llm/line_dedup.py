@@ -5,7 +5,7 @@ says so (one time in two), if the line or the next one is long (``LONG_LINE`` ch
 chunk of its own), or if the text ends. As a boundary depends on two lines only, a passage is cut in
 the same way wherever it stands, whatever is before it.
 
-Chunks are grouped over all documents by hash and text, i.e. compared byte by byte. The first occurrence (smallest
+Chunks are grouped over all documents by their text, i.e. compared byte by byte. The first occurrence (smallest
 doc_id, then text hash, then position) of a chunk always stays. Another one goes if it is an anchor (two or more lines,
 or a long one, with ``MIN_CHARS`` characters) or if only chunks that go lie between it and an anchor: so
 a shared passage goes with its short single lines, while a common line alone is never touched.
@@ -17,7 +17,7 @@ columns, whatever their names, pass through, but those named like an appended on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,15 +55,20 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         " + cast(pmod(_key, 2147483648) as decimal(10, 0))) * cast(1000000000 as decimal(10, 0)) + cast(c.k as decimal(10, 0))"
     )
     return chunks.select(
-        "_id", "_key", place.cast("decimal(38,0)").alias("_place"), F.col("c.k").alias("k"), anchor.alias("anchor"), F.col("c.chunk").alias("chunk"), F.md5(F.col("c.chunk")).alias("hash"), F.xxhash64("c.chunk").alias("hash2")
+        "_id", "_key", place.cast("decimal(38,0)").alias("_place"), F.col("c.k").alias("k"), anchor.alias("anchor"), F.col("c.chunk").alias("chunk"), *_hashes("c.chunk")
     )
 
 
+def _hashes(chunk: str) -> list[Column]:
+    """192 bits that stand for a chunk where its text needn't be moved."""
+    return [F.unhex(F.md5(F.col(chunk))).alias("hash"), F.xxhash64(chunk).alias("hash2")]
+
+
 def _removed(found: DataFrame) -> DataFrame:
     """(_id, _key, _removed): the positions of the chunks that go."""
-    repeated = found.groupBy("hash", "hash2", "chunk").agg(F.count("*").alias("n"), F.min("_place").alias("first")).where("n > 1")
-    # the text was compared above; 192 bits of hashes stand for it here, so that it isn't moved again
-    later = found.drop("chunk").join(repeated.select("hash", "hash2", "first"), ["hash", "hash2"]).where("_place > first")
+    repeated = found.groupBy("chunk").agg(F.count("*").alias("n"), F.min("_place").alias("first")).where("n > 1")
+    # the text was compared above; its hashes stand for it here, so that it isn't moved again
+    later = found.drop("chunk").join(repeated.select(*_hashes("chunk"), "first"), ["hash", "hash2"]).where("_place > first")
     order = Window.partitionBy("_id", "_key").orderBy("k")
     runs = later.withColumn("run", F.col("k") - F.dense_rank().over(order)).groupBy("_id", "_key", "run").agg(F.max("anchor").alias("anchor"), F.collect_set("k").alias("ks"))
     return runs.where("anchor").groupBy("_id", "_key").agg(F.flatten(F.collect_list("ks")).alias("_removed"))
