@@ -177,7 +177,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Ties (one doc_id with several texts in a component) go to the smallest text hash; of rows that
     repeat doc_id and text one stays. A null doc_id is kept only where its component has no other.
     """
-    docs_fp, roots = _grouped(docs)
+    return keep_first(docs, *_grouped(docs))
+
+
+def keep_first(docs: DataFrame, docs_fp: DataFrame, roots: DataFrame) -> DataFrame:
+    """One document of each component, given each row's (doc_id, text_hash, fp) and the (node, root) of the fps with links."""
     root = docs_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))
     winners = root.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))
