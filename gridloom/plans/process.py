@@ -48,6 +48,7 @@ class Process:
         self.transformed: dict[str, DataFrame] = {}
         self.outputs: dict[str, DataFrame] = {}
         self.shift = 0
+        self.interval = (0, 0)
 
     # hooks, in the order they are called
     def init_process_hook(self) -> None: ...
@@ -91,10 +92,11 @@ class Process:
         for name, rows in self.outputs.items():
             spec = self.output_specs[name]
             rows = self.quality_hook(name, rows)
-            store.write(rows, spec.path, mode=spec.split_mode, interval=spec.split_interval, start=spec.split_start, tz_hours=spec.tz_hours, fmt=spec.fmt, save_mode="overwrite")
+            store.replace(rows, spec.path, *self.interval, mode=spec.split_mode, interval=spec.split_interval, start=spec.split_start, tz_hours=spec.tz_hours, fmt=spec.fmt)
 
     def run_interval(self, begin: int, end: int) -> None:
         begin, end = begin + self.shift, end + self.shift
+        self.interval = begin, end
         self.inputs, self.transformed, self.outputs = {}, {}, {}
         self.pre_retrieval_hook(begin, end)
         self.retrieve(begin, end)

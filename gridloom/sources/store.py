@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import times
+from gridloom.sources import scratch
+
+
+def _split(coord: Column, *kind) -> Column:
+    return F.date_format(F.timestamp_micros(times.split_key(coord, *kind)), "yyyyMMdd'T'HHmmss")
 
 
 def write(rows: DataFrame, path: str, coord: str = "t", *, mode: str = "days", interval: int = 1, start: int = 0, tz_hours: float = 0.0, fmt: str = "parquet", save_mode: str = "append") -> None:
@@ -14,13 +20,37 @@ def write(rows: DataFrame, path: str, coord: str = "t", *, mode: str = "days", i
 
     save_mode overwrite replaces only the splits that the rows belong to.
     """
-    split = F.date_format(F.timestamp_micros(times.split_key(F.col(coord), mode, interval, start, tz_hours)), "yyyyMMdd'T'HHmmss")
+    split = _split(F.col(coord), mode, interval, start, tz_hours)
     # ranges of time, so that a split with most of the rows is written by several tasks
     out = rows.withColumn("split", split).repartitionByRange("split", coord).sortWithinPartitions("split", coord)
     writer = out.write.partitionBy("split").mode(save_mode).option("partitionOverwriteMode", "dynamic").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def replace(rows: DataFrame, path: str, begin: int, end: int, coord: str = "t", *, mode: str = "days", interval: int = 1, start: int = 0, tz_hours: float = 0.0, fmt: str = "parquet") -> None:
+    """Overwrites with the rows of [begin, end), but keeps stored rows outside that interval where they share a split with it."""
+    spark, kind = rows.sparkSession, (mode, interval, start, tz_hours)
+    out = rows
+    try:
+        stored = spark.read.format(fmt).option("header", fmt == "csv").option("mergeSchema", fmt in ("parquet", "orc")).load(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        stored = None
+    if stored is not None:
+        inside = F.coalesce((F.col(coord) >= begin) & (F.col(coord) < end), F.lit(False))
+        touched = rows.select(_split(F.col(coord), *kind).alias("split")).distinct()
+        types = {f.name: f.dataType for f in rows.schema}
+        stored = stored.where(F.col("split").between(_split(F.lit(begin), *kind), _split(F.lit(end - 1), *kind)) & ~inside).join(touched, "split", "left_semi")
+        stored = stored.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in stored.columns if c != "split"])
+        if not stored.isEmpty():
+            # what is read here is overwritten below
+            folder = scratch.folder(spark, "replaced")
+            rows.unionByName(stored, allowMissingColumns=True).write.parquet(folder)
+            out = spark.read.parquet(folder)
+    write(out, path, coord, mode=mode, interval=interval, start=start, tz_hours=tz_hours, fmt=fmt, save_mode="overwrite")
+
+
 def read(spark: SparkSession, path: str, begin: int | None = None, end: int | None = None, coord: str = "t", fmt: str = "parquet", columns: list[str] | None = None, longest_split_days: int = 366) -> DataFrame:
     """Samples of [begin, end): splits that can't reach the interval aren't opened."""
     rows = spark.read.format(fmt).option("header", fmt == "csv").load(path)
