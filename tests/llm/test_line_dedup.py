@@ -1,45 +1,59 @@
 import hashlib
+import random
 
 import duckdb
+import pytest
 
 from gridloom.llm import line_dedup
-from gridloom.llm.line_dedup import LONG_LINE, MIN_CHARS
+from gridloom.llm.line_dedup import LONG_LINE, MIN_CHARS, MIN_WORDS
 
 
-def chunks(text):
-    lines, out, own, before = text.split("\n"), [], [], ""
+def chunks(lines):
+    """For each line the number of its chunk."""
+    out, before, k = [], "", 0
     for j, line in enumerate(lines):
-        own.append(line)
+        out.append(k)
         h = hashlib.md5(line.encode()).hexdigest()
         long = len(line) >= LONG_LINE or (j + 1 < len(lines) and len(lines[j + 1]) >= LONG_LINE)
-        if j + 1 == len(lines) or long or hashlib.md5((before + h).encode()).hexdigest()[0] < "8":
-            out.append(own)
-            own = []
+        if long or hashlib.md5((before + h).encode()).hexdigest()[0] < "8":
+            k += 1
         before = h
     return out
 
 
 def brute(docs):
     """docs: (doc_id, text), unique doc_ids, in ascending order."""
-    seen, out = set(), {}
+    everywhere, seen, seen_chunks, out = {}, set(), set(), {}
+    for _, text in docs:
+        for line in text.split("\n"):
+            everywhere[line] = everywhere.get(line, 0) + 1
     for doc_id, text in docs:
-        own = ["\n".join(c) for c in chunks(text)]
-        sizes = [len(c) for c in chunks(text)]
-        later = []
-        for chunk in own:
-            later.append(bool(chunk) and chunk in seen)
-            seen.add(chunk)
-        anchor = [len(c) >= MIN_CHARS and (m > 1 or len(c) >= LONG_LINE) for c, m in zip(own, sizes, strict=True)]
-        gone, k = [False] * len(own), 0
-        while k < len(own):
-            end = k
-            while end < len(own) and later[end]:
+        lines = text.split("\n")
+        filled = [j for j, x in enumerate(lines) if x.strip(" \t\r")]
+        own = {}
+        for j, k in enumerate(chunks(lines)):
+            if j in filled:
+                own.setdefault(k, []).append(j)
+        later, again = {}, set()
+        for j in filled:
+            later[j] = lines[j] in seen
+            seen.add(lines[j])
+        for js in own.values():
+            key = tuple((j - js[0], lines[j]) for j in js)
+            if len(js) > 1 and sum(len(lines[j]) for j in js) + len(js) - 1 >= MIN_CHARS and all(everywhere[lines[j]] > 1 for j in js):
+                if key in seen_chunks:
+                    again.update(js)
+                seen_chunks.add(key)
+        gone, at = set(), 0
+        while at < len(filled):
+            end = at
+            while end < len(filled) and later[filled[end]]:
                 end += 1
-            if any(anchor[k:end]):
-                gone[k:end] = [True] * (end - k)
-            k = end + 1
-        kept, n = [c for c, g in zip(own, gone, strict=True) if not g], sum(m for m, g in zip(sizes, gone, strict=True) if g)
-        out[doc_id] = ("\n".join(kept), n)
+            run = filled[at:end]
+            if run and (again & set(run) or any(len(lines[j]) >= LONG_LINE for j in run) or sum(lines[j].count(" ") + lines[j].count("\t") + 1 for j in run) >= MIN_WORDS):
+                gone |= set(range(run[0], run[-1] + 1))
+            at = end + 1
+        out[doc_id] = ("\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone))
     return out
 
 
@@ -81,3 +95,33 @@ def test_ties(spark):
     rows = [(1, block), (1, block), (2, block), (None, block), (3, f"{block}\n{block}")]
     found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["text"], r["n_lines_removed"]) for r in found) == sorted([("None", block, 0), ("1", "", 2), ("1", "", 2), ("2", "", 2), ("3", "", 4)])
+
+
+@pytest.mark.parametrize("n_lines", [2, 3, 4, 5, 6])
+def test_short_passages_between_any_neighbours(spark, n_lines):
+    """Passages of few lines and just over 50 words go wherever they stand; their neighbours and shorter repeats stay."""
+    rnd = random.Random(n_lines)
+    docs = []
+    for p in range(20):
+        total, cuts = 51, sorted(rnd.sample(range(3, 49), n_lines - 1))
+        words = [f"p{p}w{i}x{rnd.randint(0, 99)}" for i in range(total)]
+        passage = [" ".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, total])]
+        if p % 4 == 0:
+            passage.insert(1, "")
+        for c in range(3):
+            own = [[f"own {side} {p} {c} {i} {rnd.random()}" for i in range(rnd.randint(0, 3))] for side in "ab"]
+            docs.append((len(docs), "\n".join([*own[0], "Share this", *passage, *own[1]]), passage, own))
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()}
+    for k, text, passage, own in docs:
+        left = found[k].split("\n")
+        assert all(x in left for x in own[0] + own[1])
+        assert found[k] == text if k % 3 == 0 else not set(passage) & set(left) - {""}
+    assert found == {k: t for k, (t, _) in brute([d[:2] for d in docs]).items()}
+
+
+def test_random_lines_against_brute_force(spark):
+    rnd = random.Random(8)
+    pool = [f"{'word ' * rnd.randint(1, 20)}{i}" for i in range(40)] + ["", " ", "x" * 210]
+    docs = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.8 else f"own {rnd.random()}" for _ in range(rnd.randint(0, 25)))) for i in range(150)]
+    rows = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in rows} == brute(docs)
