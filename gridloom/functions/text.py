@@ -37,13 +37,23 @@ def count_delimiters(line: Column, delimiter: str = ",") -> Column:
     return (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))).cast("int")
 
 
+#: Stands for a delimiter inside quotes while a line is split.
+_HELD = "\ue000"
+
+
 def split_delimited(line: Column, delimiter: str = ",") -> Column:
-    """Fields of a delimited line: quotes hold delimiters, fields are trimmed, a run of spaces counts as one delimiter."""
-    if delimiter == " ":
-        parts = F.split(F.trim(line), r' +(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    else:
-        parts = F.split(line, "\\Q" + delimiter + '\\E(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    """Fields of a delimited line: quotes hold delimiters, a doubled quote inside them is one, fields are trimmed, a run of spaces counts as one delimiter.
+
+    The line is cut at its quotes first and only then at delimiters, so time is linear in its length. What follows the last quote is outside.
+    """
+    line = F.trim(line) if delimiter == " " else line
+    # the pieces are bound once as the argument of a transform over one element
+    joined = F.transform(
+        F.array(F.split(line, '"')),
+        lambda parts: F.array_join(F.transform(parts, lambda x, k: F.when((F.size(parts) - k) % 2 == 1, x).otherwise(F.replace(x, F.lit(delimiter), F.lit(_HELD)))), '"'),
+    )
+    cells = F.split(joined[0], " +" if delimiter == " " else "\\Q" + delimiter + "\\E")
+    return F.transform(cells, lambda x: F.replace(F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"')), F.lit(_HELD), F.lit(delimiter)))
 
 
 def version_parts(text: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.sources import scratch
+
 #: Microseconds of a day: the usual chunk where coordinates are times.
 DAY = 86_400_000_000
 
@@ -62,3 +64,28 @@ def with_margins(rows: DataFrame, coord: str, half: int, chunk: int) -> DataFram
     """Copies each row to every chunk that a window of +-half around it reaches: _chunk, and _home for the row's own one."""
     reach = F.sequence(F.floor((F.col(coord) - half) / chunk), F.floor((F.col(coord) + half) / chunk))
     return rows.withColumn("_chunk", F.explode(reach)).withColumn("_home", F.col("_chunk") == F.floor(F.col(coord) / chunk))
+
+
+def running_sum(rows: DataFrame, series: list[str], order: list[str], value: Column, out: str, chunk: float) -> DataFrame:
+    """Adds ``out``: the sum of a value up to each row of its series, from the sums of chunks and the sum within one."""
+    rows = keyed(rows.withColumn("_v", value), series, order[0], chunk)
+    names = [F.col(f"_k.{c}") for c in series]
+    earlier = Window.partitionBy(*names).orderBy("_k._chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_k").agg(F.sum("_v").alias("_s")).select("_k", F.sum("_s").over(earlier).alias("_before"))
+    own = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum("_v").over(own)).join(sums, "_k", "left")
+    return rows.withColumn(out, F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_k", "_v", "_own", "_before")
+
+
+def numbered(rows: DataFrame, keys: list[Column], out: str) -> DataFrame:
+    """Adds ``out``: the row's number (from 1) in the order of the keys over the whole table: ranges of the keys are
+    numbered where they are, after the counts of the ranges before (one row each)."""
+    names = [f"_key{k}" for k in range(len(keys))]
+    rows = rows.withColumns(dict(zip(names, keys, strict=True)))
+    ranges = rows.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_id", F.monotonically_increasing_id())
+    # the number of a range is in the upper bits of the id, the row's place in the lower ones
+    ranges = scratch.written(ranges.withColumns({"_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return ranges.join(before, "_range").withColumn(out, F.col("_before") + F.col("_place") + 1).drop("_id", "_range", "_place", "_before", *names)

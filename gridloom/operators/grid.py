@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators.chunks import carry, keyed, previous
+from gridloom.sources import scratch
 
 
 def regular(spark: SparkSession, start: float, interval: float, length: int) -> DataFrame:
@@ -24,12 +27,20 @@ def length_of(start: Column | float, end: Column | float, interval: float) -> Co
     return (F.floor((end - start) / F.lit(interval)) + 1).cast("long")
 
 
+#: Grid points that one row gives at a time.
+PART_POINTS = 100_000
+
+
 def per_series(rows: DataFrame, series: list[str], coord: str, interval: int, start: Column | None = None) -> DataFrame:
-    """(series, bin, coord): a grid over each series' extent, from ``start`` (default: its first coordinate)."""
+    """(series, bin, coord): a grid over each series' extent, from ``start`` (default: its first coordinate).
+
+    A long grid is made in parts, which are dealt out over the tasks.
+    """
     extent = rows.groupBy(*series).agg(F.min(coord).alias("_low"), F.max(coord).alias("_high"))
-    extent = extent.withColumn("_start", F.col("_low") if start is None else start)
-    bins = F.sequence(F.lit(0).cast("long"), length_of(F.col("_start"), F.col("_high"), interval) - 1)
-    grid = extent.select(*series, "_start", F.explode(bins).alias("bin"))
+    extent = extent.withColumn("_start", F.col("_low") if start is None else start).withColumn("_n", length_of(F.col("_start"), F.col("_high"), interval))
+    parts = extent.where("_n > 0").withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 1) div {PART_POINTS})")))
+    parts = parts.repartition(*series, "_part")
+    grid = parts.select(*series, "_start", F.explode(F.expr(f"sequence(_part * {PART_POINTS}, least(_n, (_part + 1) * {PART_POINTS}) - 1)")).alias("bin"))
     return grid.select(*series, "bin", (F.col("_start") + F.col("bin") * interval).alias("coord"))
 
 
@@ -52,14 +63,28 @@ def midpoint(lo: Column, hi: Column) -> Column:
     return (lo + hi) / 2
 
 
+#: Ranges of distances for each power of two.
+_RANGES = 4096
+
+
 def sampling_interval(rows: DataFrame, series: list[str], coord: str, chunk: float) -> DataFrame:
     """(series, interval): the element at index (n - 1) div 2 of the sorted distances of n coordinates.
 
-    Distances are counted first, so that only different ones are sorted.
+    Distances are counted by ranges (4096 for each power of two) first; only those in the range that holds the middle are sorted.
     """
     steps = previous(rows.select(*series, coord), series, [coord], [coord], "_before", chunk)
     steps = steps.select(*series, F.abs(F.col(coord) - F.col(f"_before.{coord}")).alias("step")).where("step is not null")
-    counted = steps.groupBy(*series, "step").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*series).orderBy("step")
-    upto = counted.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy(*series))})
-    return upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*series).agg(F.min("step").alias("interval"))
+    power = F.when(F.col("step") > 0, F.floor(F.log2("step")))
+    place = F.coalesce(power * _RANGES + F.floor((F.col("step") / F.pow(F.lit(2.0), power) - 1) * _RANGES), F.lit(-(1 << 40)))
+    counted = scratch.written(steps.groupBy(*series, "step").agg(F.count("*").alias("n")).withColumn("_range", place.cast("long")))
+
+    def upto(counts: DataFrame, by: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(*series).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+
+    ranges = counted.groupBy(*series, "_range").agg(F.sum("n").alias("n"))
+    ranges = ranges.withColumns({"_upto": upto(ranges, "_range"), "_all": F.sum("n").over(Window.partitionBy(*series))})
+    middle = ranges.where((F.col("_upto") > F.floor(F.col("_all") / 2)) & (F.col("_upto") - F.col("n") <= F.floor(F.col("_all") / 2)))
+    middle = middle.select(*[F.col(c).alias(f"_s_{c}") for c in series], F.col("_range").alias("_r"), (F.floor(F.col("_all") / 2) - (F.col("_upto") - F.col("n"))).alias("_want"))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in series], F.col("_range") == F.col("_r"))
+    inside = counted.join(middle, same)
+    return inside.withColumn("_upto", upto(inside, "step")).where("_upto > _want").groupBy(*series).agg(F.min("step").alias("interval"))

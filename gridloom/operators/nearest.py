@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import bits
 from gridloom.operators.chunks import carry, keyed
+from gridloom.sources import scratch
 
 _EXACT = 1e-8
 
@@ -23,8 +24,8 @@ def _merged(rows: DataFrame, targets: DataFrame, series: list[str], mask: int, c
     point = F.struct(F.col("coord").cast("double").alias("x"), F.col("value").cast("double").alias("y"), F.coalesce(F.col("qc"), F.lit(0)).cast("int").alias("qc"), good.alias("good"))
     inputs = rows.select(*series, F.lit(None).cast("long").alias("bin"), F.col("coord").cast("double").alias("coord"), F.lit(0).alias("place"), point.alias("point"))
     wanted = targets.select(*series, F.col("bin").cast("long").alias("bin"), F.col("coord").cast("double").alias("coord"), F.lit(1).alias("place"), F.lit(None).cast(inputs.schema["point"].dataType).alias("point"))
-    return keyed(inputs.unionByName(wanted), series, "coord", chunk)
-
+    # both passes and the ends read the merged table, not what it is made of
+    return keyed(scratch.written(inputs.unionByName(wanted)), series, "coord", chunk)
 
 
 def _good() -> Column:
@@ -45,7 +46,7 @@ def interpolate(rows: DataFrame, targets: DataFrame, series: list[str], chunk: f
     # for each input the good one and the one of any kind before and after it; targets don't come between
     beside = carry(merged, series, order, {"_pg": _good(), "_pp": F.col("point")}, {"_ng": _good(), "_np": F.col("point")}, inclusive=False)
     own = F.when(F.col("place") == 0, F.struct("point", "_pg", "_ng", "_pp", "_np"))
-    both = beside.withColumn("own", own).drop("_pg", "_ng", "_pp", "_np")
+    both = keyed(scratch.written(beside.withColumn("own", own).drop("_pg", "_ng", "_pp", "_np", "_k")), series, "coord", chunk)
     good = F.when(F.col("own.point.good"), F.col("own"))
     both = carry(both, series, order, {"g1": good, "r1": F.col("own")}, {"g2": good, "r2": F.col("own")})
     wanted = both.where("place = 1").join(_edges(merged, series), series, "left")

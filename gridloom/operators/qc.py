@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions import bits
+from gridloom.functions import bits, metadata
 from gridloom.operators.chunks import previous
 
 
@@ -46,6 +46,45 @@ def time_steps(rows: DataFrame, series: list[str], order: list[str], time: str,
     return rows.withColumn(qc, bits.either(F.coalesce(F.col(qc), F.lit(0)), flag.otherwise(F.lit(0)))).drop("_before")
 
 
+# The limits that standard_checks() reads from a column's attributes, and the bit of each test.
+STANDARD_TESTS = {"missing": 1, "valid_min": 2, "valid_max": 3, "valid_delta": 4, "fail_min": 5, "fail_max": 6, "fail_delta": 7, "warn_min": 8, "warn_max": 9, "warn_delta": 10}
+
+
+def standard_checks(rows: DataFrame, variables: list[str], series: list[str], order: list[str], chunk: float) -> DataFrame:
+    """Adds or extends qc_<variable> by the tests that a variable's attributes ask for: missing values, and minimum, maximum and greatest step
+    of the kinds valid, fail (both bad) and warn (indeterminate). Tests without an attribute set nothing; a missing value fails no other test.
+
+    All steps are taken by one ordered pass over the rows. Descriptions and assessments of the bits are attributes of qc_<variable>.
+    """
+    held = {v: metadata.attributes(rows, v) for v in variables}
+    stepped = [v for v in variables if any(f"{k}_delta" in held[v] for k in ("valid", "fail", "warn"))]
+    old = {c: metadata.attributes(rows, c) for c in rows.columns}
+    if stepped:
+        rows = previous(rows, series, order, [*stepped, *[c for v in stepped if (c := f"qc_{v}") in rows.columns]], "_before", chunk)
+        for c, values in old.items():
+            rows = rows.withMetadata(c, values)
+    for v in variables:
+        qc = f"qc_{v}"
+        value, missing = F.col(v), metadata.missing_mask(rows, v)
+        known = F.coalesce(F.col(qc), F.lit(0)) if qc in rows.columns else F.lit(0)
+        flags, said = [known, bits.bit_if(missing, 1)], {"bit_1_description": "value is missing", "bit_1_assessment": "Bad"}
+        for kind in ("valid", "fail", "warn"):
+            tests = {"min": lambda limit: value < limit, "max": lambda limit: value > limit, "delta": lambda limit: F.abs(value - F.col(f"_before.{v}")) > limit}
+            for what, test in tests.items():
+                limit, bit = held[v].get(f"{kind}_{what}"), STANDARD_TESTS[f"{kind}_{what}"]
+                if limit is None or (what == "delta" and limit <= 0):
+                    continue
+                failed = test(limit) & ~missing
+                if what == "delta":
+                    before = F.col(f"_before.{v}")
+                    failed = failed & before.isNotNull() & ~before.isin(*metadata.missing_values(rows, v))
+                flags.append(bits.bit_if(F.coalesce(failed, F.lit(False)), 1 << (bit - 1)))
+                said |= {f"bit_{bit}_description": f"{kind}_{what} is {limit}", f"bit_{bit}_assessment": "Indeterminate" if kind == "warn" else "Bad"}
+        attributes = {**(metadata.attributes(rows, qc) if qc in rows.columns else {}), **said}
+        rows = rows.withColumn(qc, bits.either(*flags).cast("int")).withMetadata(qc, attributes)
+    return rows.drop("_before")
+
+
 def nan_to_missing(value: Column, missing: float | None) -> Column:
     """Values that aren't finite become the missing value; they stay if there is none."""
     return value if missing is None else F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(missing)).otherwise(value)

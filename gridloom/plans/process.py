@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import bits
-from gridloom.operators import mapping, retrieve
+from gridloom.functions import bits, metadata
+from gridloom.operators import mapping, qc, retrieve
 from gridloom.sources import store
 
 DAY = 86_400_000_000
@@ -37,6 +37,13 @@ class Output:
     tz_hours: float = 0.0
     dynamic: bool = False
     fmt: str = "parquet"
+    #: Rows that repeat all columns go; of those that repeat the keys only, the job fails unless told to keep the ``first`` by the other columns.
+    duplicates: str = "fail"
+    #: Whether limits among the variables' attributes set quality bits before rows are stored.
+    standard_checks: bool = False
+    #: Rows at or before this time, or after ``latest``, aren't stored (microseconds; None: no limit).
+    earliest: int | None = None
+    latest: int | None = None
 
 
 class Process:
@@ -88,10 +95,33 @@ class Process:
                 rows = rows.where((F.col("t") >= begin) & (F.col("t") < end))
                 self.outputs[name] = mapping.map_outputs(rows, spec.keys, spec.targets, dynamic=spec.dynamic)
 
+    def filtered(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows that are stored: without repeated ones, checked, through quality_hook(), and with valid times."""
+        spec = self.output_specs[name]
+        attributes = {c: metadata.attributes(rows, c) for c in rows.columns}
+        rows = rows.dropDuplicates()
+        others = [c for c in rows.columns if c not in spec.keys]
+        if others and spec.duplicates == "first":
+            rows = rows.groupBy(*spec.keys).agg(F.min(F.struct(*others)).alias("_row")).select(*spec.keys, *[F.col(f"_row.`{c}`").alias(c) for c in others])
+        elif others:
+            failing = F.raise_error(F.concat(F.lit(f"{name}: samples with the same keys differ: "), F.to_json(F.struct(*spec.keys))))
+            counted = rows.groupBy(*spec.keys).agg(F.count("*").alias("_n"), F.min(F.struct(*others)).alias("_row"))
+            rows = counted.select(*spec.keys, *[F.when(F.col("_n") == 1, F.col(f"_row.`{c}`")).otherwise(failing.cast(rows.schema[c].dataType)).alias(c) for c in others])
+        for c, held in attributes.items():
+            rows = rows.withMetadata(c, held)
+        if spec.standard_checks:
+            checked = [c for c in rows.columns if any(metadata.attributes(rows, c).get(f"{k}_{w}") is not None for k in ("valid", "warn", "fail") for w in ("min", "max", "delta"))]
+            series = [k for k in spec.keys if k != "t"]
+            rows = qc.standard_checks(rows, checked, series, ["t"], DAY)
+        rows = self.quality_hook(name, rows)
+        if spec.earliest is not None:
+            rows = rows.where(F.col("t") > spec.earliest)
+        return rows if spec.latest is None else rows.where(F.col("t") <= spec.latest)
+
     def store(self) -> None:
         for name, rows in self.outputs.items():
             spec = self.output_specs[name]
-            rows = self.quality_hook(name, rows)
+            rows = self.filtered(name, rows)
             store.replace(rows, spec.path, *self.interval, mode=spec.split_mode, interval=spec.split_interval, start=spec.split_start, tz_hours=spec.tz_hours, fmt=spec.fmt)
 
     def run_interval(self, begin: int, end: int) -> None:
@@ -155,7 +185,7 @@ def real_time_end(latest: dict[str, int], now: int, begin: int, interval: int, m
 
 def add_quality(rows: DataFrame, name: str, *tests) -> DataFrame:
     """Adds or extends qc_<name>: tests are (bit, Column)."""
-    qc = F.col(f"qc_{name}") if f"qc_{name}" in rows.columns else F.lit(0)
+    flags = F.col(f"qc_{name}") if f"qc_{name}" in rows.columns else F.lit(0)
     for bit, test in tests:
-        qc = bits.record(qc, bit, test)
-    return rows.withColumn(f"qc_{name}", qc)
+        flags = bits.record(flags, bit, test)
+    return rows.withColumn(f"qc_{name}", flags)

@@ -71,8 +71,16 @@ def serial(rows: DataFrame, steps: list[dict], keys: list[str]) -> DataFrame:
     return rows
 
 
+#: Grid points that one row of the join in _for_all stands for.
+_PART = 4096
+
+
 def _for_all(rows: DataFrame, targets: DataFrame, series: list[str]) -> DataFrame:
-    """The targets for each of the series, without a join: the grid is one array that every series explodes."""
-    points = [(r["bin"], float(r["coord"])) for r in targets.select("bin", "coord").orderBy("bin").collect()]
-    grid_points = F.array(*[F.struct(F.lit(b).cast("long").alias("bin"), F.lit(c).alias("coord")) for b, c in points])
-    return rows.select(*series).distinct().withColumn("_g", F.explode(grid_points)).select(*series, "_g.bin", "_g.coord")
+    """The targets for each of the series: every series takes each part of the grid, whose points are joined to it by part."""
+    points = targets.select(F.col("bin").cast("long").alias("bin"), F.col("coord").cast("double").alias("coord")).withColumn("_part", F.floor(F.col("bin") / _PART))
+    # two numbers come to the driver
+    low, high = points.agg(F.min("_part"), F.max("_part")).first()
+    parts = F.array().cast("array<long>") if low is None else F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))
+    grids = points.groupBy("_part").agg(F.collect_list(F.struct("bin", "coord")).alias("_g"))
+    wanted = rows.select(*series).distinct().withColumn("_part", F.explode(parts))
+    return wanted.join(grids, "_part").select(*series, F.explode("_g").alias("_p")).select(*series, "_p.bin", "_p.coord")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import bits, metadata, solar, text, times, units
-from gridloom.operators import bin_average, grid, mapping, nearest, objective, outliers, overlap, qc, retrieve
+from gridloom.operators import bin_average, chunks, grid, mapping, nearest, objective, outliers, overlap, qc, retrieve
 from gridloom.operators.chunks import DAY
 from gridloom.plans import datasets, process, transform
 from gridloom.sources import csv_ingest, scratch, store
@@ -46,6 +46,12 @@ OBS = """obs AS (SELECT event_type AS series, epoch_us(ts) AS coord, CASE WHEN e
   CASE WHEN event_id % 23 = 0 THEN 1 WHEN event_id % 29 = 0 THEN 2 ELSE 0 END AS qc, event_id, user_id FROM events)"""
 
 
+def _days(rows: DataFrame, coord: str) -> tuple[int, int]:
+    """The whole days that a table's samples are in, as an interval."""
+    low, high = rows.agg(F.min(coord), F.max(coord)).first()
+    return low // DAY * DAY, (high // DAY + 1) * DAY
+
+
 def rounded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -384,10 +390,9 @@ r AS (SELECT DISTINCT user_id, epoch_us(ts) // {HOUR} + event_id % 3 - 1 AS ref
 SELECT r.user_id, ref, coalesce(max(idx) FILTER (t < ref), -1) AS lt, coalesce(max(idx) FILTER (t <= ref), -1) AS lteq, coalesce(min(idx) FILTER (t > ref), -1) AS gt,
   coalesce(min(idx) FILTER (t >= ref), -1) AS gteq, coalesce(min(idx) FILTER (t = ref), -1) AS eq FROM r JOIN t USING (user_id) GROUP BY 1, 2""")
 def find_time_index(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    e = table(spark, sf_dir, "events").withColumn("hour", F.floor(times.micros(F.col("ts")) / HOUR))
-    index = e.select("user_id", F.col("hour").alias("t"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("idx"))
+    e = table(spark, sf_dir, "events").withColumns({"hour": F.floor(times.micros(F.col("ts")) / HOUR), "us": times.micros(F.col("ts"))})
+    index = chunks.running_sum(e.select("user_id", "hour", "us", "event_id"), ["user_id"], ["us", "event_id"], F.lit(1), "k", DAY)
+    index = scratch.written(index.select("user_id", F.col("hour").alias("t"), (F.col("k") - 1).alias("idx")))
     refs = e.select("user_id", (F.col("hour") + F.col("event_id") % 3 - 1).alias("ref"))
     return retrieve.find_index(index, refs, ["user_id"], 24)
 
@@ -406,12 +411,13 @@ def fetch_times(spark, sf_dir):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query(f"""WITH {OBS}, a AS (SELECT series, coord, CASE WHEN series NOT IN ('view', 'click') THEN value END AS value, 0 AS source FROM obs WHERE coord < {START + 20 * DAY}),
-b AS (SELECT series, coord, value * 2 AS value, 1 AS source FROM obs WHERE coord < {START + 20 * DAY} AND series <> 'click'), c AS (SELECT series, coord, value * 3 AS value, 2 AS source FROM obs WHERE coord < {START + 20 * DAY}),
+@query(f"""WITH {OBS}, a AS (SELECT series, coord, CASE WHEN series NOT IN ('view', 'click') THEN value END AS value, 0 AS source FROM obs),
+b AS (SELECT series, coord, value * 2 AS value, 1 AS source FROM obs WHERE series <> 'click'), c AS (SELECT series, coord, value * 3 AS value, 2 AS source FROM obs),
 u AS (FROM a UNION ALL FROM b UNION ALL FROM c), f AS (SELECT series, min(source) AS source FROM u WHERE value IS NOT NULL GROUP BY 1)
 SELECT series, coord, round(value, 6) AS value, source FROM u SEMI JOIN f USING (series, source)""")
 def retrieve_prioritised(spark, sf_dir):
-    rows = retrieve.in_interval(observations(spark, sf_dir).select("series", "coord", "value"), "coord", START, START + 20 * DAY)
+    rows = observations(spark, sf_dir).select("series", "coord", "value")
+    rows = retrieve.in_interval(rows, "coord", *_days(rows, "coord"))
     first = rows.withColumn("value", F.when(~F.col("series").isin("view", "click"), F.col("value")))
     second = rows.where("series <> 'click'").withColumn("value", F.col("value") * 2)
     return rounded(retrieve.prioritised([first, second, rows.withColumn("value", F.col("value") * 3)], ["series"], "value"), "value").select("series", "coord", "value", "source")
@@ -444,12 +450,15 @@ def station_view(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * 9 / 5 + 32, 6) AS fahrenheit, round(l_quantity + 273.15, 6) AS kelvin, round(l_quantity / 1000, 6) AS kilometres, round(l_extendedprice / 1852 * 3600, 6) AS knots,
-  CASE WHEN l_quantity = 7 THEN 7 ELSE round(l_quantity * 100, 6) END AS pascals, round(l_quantity * 9 / 5, 6) AS fahrenheit_delta FROM lineitem""")
+  CASE WHEN l_quantity = 7 THEN 7 ELSE round(l_quantity * 100, 6) END AS pascals, round(l_quantity * 9 / 5, 6) AS fahrenheit_delta,
+  round(l_quantity * 3600, 6) AS rain, round(l_quantity / 10, 6) AS flux, round(l_quantity * 1000, 6) AS mixing, round(l_quantity * 1000000, 6) AS number, round(l_quantity * 3.6, 6) AS energy FROM lineitem""")
 def unit_convert(spark, sf_dir):
     q, p = F.col("l_quantity"), F.col("l_extendedprice")
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.round(units.convert(q, "degC", "degF"), 6).alias("fahrenheit"), F.round(units.convert(q, "celsius", "kelvin"), 6).alias("kelvin"), F.round(units.convert(q, "m", "km"), 6).alias("kilometres"),
         F.round(units.convert(p, "m/s", "knot"), 6).alias("knots"), F.round(units.convert(q, "hPa", "Pa", missing=[7.0]), 6).alias("pascals"), F.round(units.convert_delta(q, "degC", "degF"), 6).alias("fahrenheit_delta"),
+        F.round(units.convert(q, "kg m-2 s-1", "kg/(m^2 hr)"), 6).alias("rain"), F.round(units.convert(q, "mW/cm2", "kW m**-2") * 10, 6).alias("flux"), F.round(units.convert(q, "kg kg-1", "g/kg"), 6).alias("mixing"),
+        F.round(units.convert(q, "1/cm3", "m-3"), 6).alias("number"), F.round(units.convert(q, "kW.h", "MJ"), 6).alias("energy"),
     )
 
 
@@ -521,10 +530,8 @@ def compare_arrays(spark, sf_dir):
 @query("""WITH n AS (SELECT DISTINCT 'f' || (event_id % 40) || '.v' || (event_id % 12) || '.dat' AS name FROM events)
 SELECT name, row_number() OVER (ORDER BY split_part(split_part(name, 'f', 2), '.', 1)::BIGINT, split_part(split_part(name, 'v', 2), '.', 1)::BIGINT, name) AS place FROM n""")
 def numeric_order(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id") % 40, F.lit(".v"), F.col("event_id") % 12, F.lit(".dat")).alias("name")).distinct()
-    return e.withColumn("place", F.row_number().over(Window.orderBy(*text.numeric_keys(F.col("name")))).cast("long"))
+    return chunks.numbered(e, text.numeric_keys(F.col("name")), "place")
 
 
 @query("""WITH n AS (SELECT DISTINCT event_id % 40 AS f, event_id % 12 AS v FROM events)
@@ -558,6 +565,16 @@ FIELD_MAP:
   state: V2, , NaN, bad
 """
 
+HEADED_CONF = """
+FILE_NAME_PATTERNS: [ab]\\d[.]csv
+TIME_COLUMNS:
+  Date: %Y-%m-%d
+  Time: %H:%M:%S
+FIELD_MAP:
+  temperature: Temp, degC
+  record: Record
+"""
+
 
 @query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'cells' WHEN event_id % 19 = 0 THEN 'time' END AS rejected, CASE WHEN event_id % 13 = 0 OR event_id % 19 = 0 THEN NULL ELSE epoch_us(date_trunc('second', ts)) END AS t,
   CASE WHEN event_id % 13 = 0 OR event_id % 19 = 0 OR event_id % 7 = 0 THEN NULL ELSE value END AS temperature, CASE WHEN event_id % 13 = 0 OR event_id % 19 = 0 THEN NULL ELSE event_id::DOUBLE END AS record,
@@ -574,6 +591,29 @@ def csv_ingest_records(spark, sf_dir):
     return found.select("event_id", "rejected", F.when(F.col("rejected").isNull(), F.col("t")).alias("t"), *[F.when(F.col("rejected").isNull(), csv_ingest.number(F.col("cells")[f.column], f)).alias(f.name) for f in conf.fields])
 
 
+@query("""SELECT event_id, epoch_us(date_trunc('second', ts)) AS t, value AS temperature, CASE WHEN event_id % 5 = 0 THEN 'say "a", b' ELSE 'x' END AS remark FROM events""")
+def csv_header_lines(spark, sf_dir):
+    """Files of two layouts, whose own header lines name their columns, after a line that is no record."""
+    conf = csv_ingest.parse_conf(HEADED_CONF)
+    e = table(spark, sf_dir, "events").withColumn("remark", F.when(F.col("event_id") % 5 == 0, F.lit('"say ""a"", b"')).otherwise(F.lit("x")))
+    a = e.where("event_id % 2 = 0").select(F.lit("/in/a1.csv").alias("file"), F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"), "value", "event_id", "remark").alias("line"))
+    b = e.where("event_id % 2 = 1").select(F.lit("/in/b1.csv").alias("file"), F.concat_ws(",", "remark", "event_id", "value", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")).alias("line"))
+    heads = [("/in/a1.csv", "instrument 7"), ("/in/a1.csv", "Date,Time,Temp,Record,Remark"), ("/in/b1.csv", "instrument 8"), ("/in/b1.csv", "Remark,Record,Temp,Date,Time")]
+    lines = a.unionByName(b).unionByName(spark.createDataFrame(heads, "file string, line string"))
+    found = csv_ingest.records(lines, conf, file="file").where("rejected is null")
+    return found.select(F.col("cells")["Record"].cast("long").alias("event_id"), "t", F.col("cells")["Temp"].cast("double").alias("temperature"), F.col("cells")["Remark"].alias("remark"))
+
+
+@query(f"""WITH {OBS}, v AS (SELECT *, CASE WHEN value IS NULL THEN -9999 ELSE value END AS x FROM obs), p AS (SELECT *, lag(x) OVER (PARTITION BY series ORDER BY coord, event_id) AS px FROM v)
+SELECT event_id, (CASE WHEN x = -9999 THEN 1 ELSE CASE WHEN x < 2 THEN 2 ELSE 0 END | CASE WHEN x > 95 THEN 4 ELSE 0 END | CASE WHEN px <> -9999 AND abs(x - px) > 40 THEN 8 ELSE 0 END
+  | CASE WHEN x > 60 THEN 256 ELSE 0 END | CASE WHEN px <> -9999 AND abs(x - px) > 20 THEN 512 ELSE 0 END END)::INTEGER AS qc_value FROM p""")
+def standard_checks(spark, sf_dir):
+    """All tests that a variable's attributes ask for."""
+    rows = observations(spark, sf_dir, "event_id").drop("qc").withColumn("value", F.coalesce("value", F.lit(-9999.0)))
+    rows = metadata.with_attributes(rows, "value", missing_value=-9999.0, valid_min=2.0, valid_max=95.0, valid_delta=40.0, warn_max=60.0, warn_delta=20.0)
+    return qc.standard_checks(rows, ["value"], ["series"], ["coord", "event_id"], DAY).select("event_id", "qc_value")
+
+
 @query("""SELECT epoch_us(ts) AS t, round(CASE WHEN event_id % 17 = 0 THEN -9999 ELSE value * 9 / 5 + 32 END, 6) AS temperature, (CASE WHEN event_id % 23 = 0 THEN 1 WHEN event_id % 29 = 0 THEN 2 ELSE 0 END)::INTEGER AS qc_temperature,
   (CASE WHEN event_id % 17 = 0 THEN -1 ELSE floor(value + 0.5) END)::SMALLINT AS count, 0::INTEGER AS qc_count, NULL::DOUBLE AS absent, 1::INTEGER AS qc_absent, epoch_us(ts) - 11500000 AS lo, epoch_us(ts) AS hi FROM events""")
 def map_outputs(spark, sf_dir):
@@ -606,9 +646,9 @@ def dataset_variables(spark, sf_dir):
     return rounded(rows.select("event_id", "value", "qc_value", *extra), "value")
 
 
-@query(f"""SELECT epoch_us(ts) AS t, event_id, round(value * 3.6, 6) AS speed, (CASE WHEN value > 20 THEN 2 ELSE 0 END)::INTEGER AS qc_speed FROM events WHERE epoch_us(ts) >= {START + 2 * DAY} AND epoch_us(ts) < {START + 5 * DAY}""")
+@query("""SELECT epoch_us(ts) AS t, event_id, round(value * 3.6, 6) AS speed, (CASE WHEN value > 20 THEN 2 ELSE 0 END)::INTEGER AS qc_speed FROM events""")
 def process_run(spark, sf_dir):
-    """Three daily intervals of a process, stored by day and read again."""
+    """Intervals of ten days of a process over the table's whole days, stored by month and read again: several intervals share a split."""
 
     class Speeds(process.Process):
         def transform_hook(self, begin, end):
@@ -618,8 +658,10 @@ def process_run(spark, sf_dir):
         return table(s, sf_dir, "events").select(times.micros(F.col("ts")).alias("t"), "event_id", "value")
 
     path = scratch.folder(spark, "speeds")
-    out = process.Output(path, ["t", "event_id"], [mapping.Target("speed", "value", "double", "m/s", "km/h")])
-    Speeds(spark, {"winds": process.Input([source])}, {"speeds": out}).run(START + 2 * DAY, START + 5 * DAY)
+    out = process.Output(path, ["t", "event_id"], [mapping.Target("speed", "value", "double", "m/s", "km/h")], split_mode="months")
+    begin, end = _days(source(spark), "t")
+    # whole intervals only are run, so the last one ends at or after the last sample
+    Speeds(spark, {"winds": process.Input([source])}, {"speeds": out}).run(begin, begin - (begin - end) // (10 * DAY) * 10 * DAY, 10 * DAY)
     return rounded(store.read(spark, path), "speed")
 
 
@@ -666,8 +708,11 @@ def stream_distinct(spark, sf_dir):
 @query("""WITH p AS (SELECT event_type AS series, ts, value, lag(value) OVER w AS pv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
 SELECT series, epoch_us(ts) AS t, value, (CASE WHEN step <= 0 THEN 16 WHEN step < 60000000 THEN 32 WHEN step > 7200000000 THEN 64 ELSE 0 END | CASE WHEN abs(value - pv) > 25 THEN 8 ELSE 0 END)::INTEGER AS qc FROM p""")
 def stream_step_checks(spark, sf_dir):
-    rows = _finished(spark, pipelines.step_checks(_stream(spark, sf_dir), "series", most_delta=25.0, least_step=60.0, most_step=7200.0), "steps")
-    return rows.select("series", F.unix_micros("ts").alias("t"), "value", "qc")
+    path = scratch.folder(spark, "steps")
+    limits = {"most_delta": 25.0, "least_step": 60.0, "most_step": 7200.0}
+    write = lambda rows, n: rows.write.mode("append").parquet(path)
+    pipelines.start_step_checks(_stream(spark, sf_dir), ["series"], write, f"{path}-last", f"{path}-state", ties=["event_id"], **limits).awaitTermination()
+    return spark.read.parquet(path).select("series", F.unix_micros("ts").alias("t"), "value", "qc")
 
 
 _SUN = """WITH a AS (SELECT event_id, epoch_us(ts) / 1000000.0 AS s, epoch_us(ts) / 1000000.0 / 86400.0 - 10957.5 AS n FROM events),

@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions import times, units
 from gridloom.functions.text import split_delimited
+from gridloom.operators import chunks
 
 
 @dataclass
@@ -29,7 +29,6 @@ class FieldMap:
 class CsvConf:
     delimiter: str = ","
     header: tuple[str, ...] = ()
-    header_line: int = 1
     file_patterns: tuple[str, ...] = ()
     file_time_patterns: tuple[str, ...] = ()
     time_columns: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -40,7 +39,7 @@ class CsvConf:
 def parse_conf(text: str) -> CsvConf:
     """Reads 'KEY: value' sections; continuation lines are indented or follow their key.
 
-    DELIMITER, HEADER (names), HEADER_LINE, FILE_NAME_PATTERNS, FILE_TIME_PATTERNS, TIME_COLUMNS (column: pattern, ...),
+    DELIMITER, HEADER (names; without it the files' own header lines count), FILE_NAME_PATTERNS, FILE_TIME_PATTERNS, TIME_COLUMNS (column: pattern, ...),
     TIME_OFFSET, and FIELD_MAP with lines 'variable: column, unit, missing[, missing ...]'. # starts a comment.
     """
     sections: dict[str, list[str]] = {}
@@ -62,8 +61,6 @@ def parse_conf(text: str) -> CsvConf:
     conf = CsvConf(header=listed("HEADER"), file_patterns=listed("FILE_NAME_PATTERNS"), file_time_patterns=listed("FILE_TIME_PATTERNS"))
     for name in sections.get("DELIMITER", []):
         conf.delimiter = {"space": " ", "tab": "\t", "comma": ","}.get(name.lower(), name.strip("'\""))
-    for line in sections.get("HEADER_LINE", []):
-        conf.header_line = int(line)
     for line in sections.get("TIME_OFFSET", []):
         conf.time_offset = float(line)
     for line in sections.get("TIME_COLUMNS", []):
@@ -76,9 +73,20 @@ def parse_conf(text: str) -> CsvConf:
     return conf
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line) of all text files under a path."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+def read_lines(spark: SparkSession, path: str, conf: CsvConf | None = None) -> DataFrame:
+    """(file, line) of all text files under a path; of those whose names match one of the configuration's patterns, if it has any."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    if conf is None or not conf.file_patterns:
+        return lines
+    name = F.element_at(F.split("file", "/"), -1)
+    return lines.where(F.greatest(*[name.rlike(f"^(?:{p})$") for p in conf.file_patterns], F.lit(False)))
+
+
+def _columns_of_files(rows: DataFrame, conf: CsvConf, file: str) -> DataFrame:
+    """(file, _names): the header line of each file, i.e. a line whose cells hold all columns that the configuration needs."""
+    needed = {*conf.time_columns, *(f.column for f in conf.fields)}
+    heads = rows.where(F.size(F.array_intersect("_cells", F.array(*map(F.lit, sorted(needed))))) == len(needed))
+    return heads.groupBy(F.col(file).alias("_head_of")).agg(F.min("_cells").alias("_names"))
 
 
 def number(text: Column, f: FieldMap) -> Column:
@@ -94,17 +102,25 @@ def number(text: Column, f: FieldMap) -> Column:
 def records(lines: DataFrame, conf: CsvConf, line: str = "line", file: str | None = None) -> DataFrame:
     """Adds cells (map of text by column), t (microseconds) and rejected (why, or null) to every record line.
 
-    A record is rejected if its number of cells isn't that of the header or no time pattern matches. Time columns are merged, later
+    Columns are those of the configuration's HEADER; without one, each file's header line gives them and is no record (``file`` must name its column; lines before it
+    are rejected as others are). A record is rejected if its number of cells isn't that of the header or no time pattern matches. Time columns are merged, later
     ones override; year, month and day that they lack come from the file name.
     """
-    names = list(conf.header)
-    cells = split_delimited(F.col(line), conf.delimiter)
-    rows = lines.withColumn("_cells", cells)
-    rows = rows.withColumn("cells", F.when(F.size("_cells") == len(names), F.map_from_arrays(F.array(*map(F.lit, names)), F.col("_cells"))))
+    # explode(array(x)) evaluates x once, however often it is used later
+    rows = lines.withColumn("_cells", F.explode(F.array(split_delimited(F.col(line), conf.delimiter))))
+    if conf.header:
+        rows = rows.withColumn("_names", F.array(*map(F.lit, conf.header)))
+    elif file is None:
+        raise ValueError("without HEADER the column of file names is needed")
+    else:
+        # one small row for each file; whether it is broadcast is left to its size
+        rows = rows.join(_columns_of_files(rows, conf, file), F.col(file) == F.col("_head_of"), "left").where(~F.col("_cells").eqNullSafe(F.col("_names"))).drop("_head_of")
+    cells = F.when(F.size("_cells") == F.size("_names"), F.map_from_arrays("_names", "_cells"))
+    rows = rows.withColumn("cells", F.explode(F.array(cells)))
     parts: dict[str, Column] = {}
     if file and conf.file_time_patterns:
         name = F.element_at(F.split(F.col(file), "/"), -1)
-        rows = rows.withColumn("_file_time", times.first_match(list(conf.file_time_patterns), name))
+        rows = rows.withColumn("_file_time", F.explode(F.array(times.first_match(list(conf.file_time_patterns), name))))
         stamp = F.timestamp_micros("_file_time")
         parts = {"year": F.year(stamp), "month": F.month(stamp), "day": F.day(stamp)}
     t = F.lit(None).cast("long")
@@ -115,17 +131,21 @@ def records(lines: DataFrame, conf: CsvConf, line: str = "line", file: str | Non
         t = times.first_match([" ".join(p) for p in zip(*(conf.time_columns[c] for c in columns), strict=False)], text, **parts)
     elif columns:
         t = times.first_match(list(conf.time_columns[columns[0]]), F.col("cells")[columns[0]], **parts)
-    rows = rows.withColumn("t", t + int(conf.time_offset * times.MICROS))
+    rows = rows.withColumn("t", F.explode(F.array(t + int(conf.time_offset * times.MICROS))))
     why = F.when(F.col("cells").isNull(), F.lit("cells")).when(F.col("t").isNull(), F.lit("time"))
-    return rows.withColumn("rejected", why).drop("_cells", "_file_time")
+    return rows.withColumn("rejected", why).drop("_cells", "_names", "_file_time")
 
 
-def roll_over(rows: DataFrame, keys: list[str], order: str, t: str = "t") -> DataFrame:
-    """Adds a day to times of day that begin anew within a file (keys): each step back of more than half a day."""
+def roll_over(rows: DataFrame, keys: list[str], order: str, t: str = "t", *, chunk: float = 100_000) -> DataFrame:
+    """Adds a day to times of day that begin anew within a file (keys): each step back of more than half a day.
+
+    order: a number that rises with the records; ``chunk`` of it is windowed at a time, so a long file isn't one task's work.
+    """
     day = 86400 * times.MICROS
-    w = Window.partitionBy(*keys).orderBy(order)
-    back = F.when(F.col(t) - F.lag(t).over(w) < -day // 2, 1).otherwise(0)
-    return rows.withColumn("_back", back).withColumn(t, F.col(t) + F.sum("_back").over(w) * day).drop("_back")
+    rows = chunks.previous(rows, list(keys), [order], [t], "_before", chunk)
+    back = F.when(F.col(t) - F.col(f"_before.{t}") < -day // 2, 1).otherwise(0)
+    rows = chunks.running_sum(rows.withColumn("_back", back).drop("_before"), list(keys), [order], F.col("_back"), "_days", chunk)
+    return rows.withColumn(t, F.col(t) + F.col("_days") * day).drop("_back", "_days")
 
 
 def samples(rows: DataFrame, conf: CsvConf, keys: list[str] = ()) -> DataFrame:

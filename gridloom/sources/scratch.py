@@ -5,10 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a private one only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path in the folder that spark.checkpoint.dir names. In a local session without that setting, as in tests, a private
+    one; on a cluster, where executors share no local folder, it must be set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{shared}/gridloom-{uuid.uuid4().hex}/{name}"
+
+
+def written(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows, written once and read from there by all that use them."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

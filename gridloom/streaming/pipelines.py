@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions import bits
+from gridloom.operators import chunks
+from gridloom.operators.chunks import DAY
 
 MAX_WAIT = "72 hours"
 
@@ -30,35 +31,55 @@ def distinct_samples(stream: DataFrame, keys: list[str], max_wait: str = MAX_WAI
     return stream.withWatermark("ts", max_wait).dropDuplicatesWithinWatermark(keys)
 
 
-def step_checks(stream: DataFrame, series: str, *, most_delta: float, least_step: float = 0.0, most_step: float = float("inf"), delta_flag: int = 8, step_flags: tuple[int, int, int] = (16, 32, 64), bad: int = 7) -> DataFrame:
-    """Delta and time-step flags against the sample before, which is kept as state across batches for each series.
+def step_checks(
+    batch: DataFrame, before: DataFrame, series: list[str], *, ties: list[str] = (), chunk: int = DAY, most_delta: float, least_step: float = 0.0, most_step: float = float("inf"),
+    delta_flag: int = 8, step_flags: tuple[int, int, int] = (16, 32, 64), bad: int = 7,
+) -> DataFrame:
+    """Delta and time-step flags of one batch against the sample before, in order of time (then ``ties``) within the batch.
 
-    Samples are taken in order of arrival time within a batch; all values of one series in one batch form one group, so batches should be
-    bounded by the source's rate options.
+    before: (series, t, value, qc), the last sample of each series in earlier batches; a batch's first sample is judged against it, even if it is the later one.
+    No series is gathered in one task, so a batch may be of any size and in any order of rows.
     """
-    out = f"{series} string, ts timestamp, value double, qc int"
-
-    def act(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values("ts", kind="stable")
-            found = []
-            for ts, value, qc in zip(frame["ts"], frame["value"], frame["qc"].fillna(0).astype(int), strict=True):
-                at = ts.value // 1000
-                flag = 0
-                if last is not None:
-                    step = (at - last[0]) / 1e6
-                    flag |= step_flags[0] if step <= 0 else step_flags[1] if step < least_step else step_flags[2] if step > most_step else 0
-                    if most_delta > 0 and not qc & bad and not last[2] & bad and abs(value - last[1]) > most_delta:
-                        flag |= delta_flag
-                found.append(qc | flag)
-                last = (int(at), float(value), int(qc))
-            yield pd.DataFrame({series: key[0], "ts": frame["ts"], "value": frame["value"], "qc": pd.Series(found, index=frame.index, dtype="int32")})
-        if last is not None:
-            state.update(last)
-
-    rows = stream.select(series, "ts", "value", "qc")
-    return rows.groupBy(series).applyInPandasWithState(act, out, "at long, value double, qc int", "append", GroupStateTimeout.NoTimeout)
+    rows = batch.select(*series, "ts", *ties, "value", F.coalesce(F.col("qc"), F.lit(0)).cast("int").alias("qc"), F.unix_micros("ts").alias("_t"))
+    rows = chunks.previous(rows, series, ["_t", *ties], ["_t", "value", "qc"], "_own", chunk)
+    known = before.select(*[F.col(c).alias(f"_s_{c}") for c in series], F.struct(F.col("t").alias("_t"), "value", "qc").alias("_known"))
+    rows = rows.join(known, functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in series]), "left")
+    rows = rows.withColumn("_last", F.coalesce("_own", "_known"))
+    step = (F.col("_t") - F.col("_last._t")) / 1e6
+    flag = F.when(step <= 0, step_flags[0]).when(step < least_step, step_flags[1]).when(step > most_step, step_flags[2]).otherwise(0)
+    fair = (F.col("qc").bitwiseAND(F.lit(bad)) == 0) & (F.col("_last.qc").bitwiseAND(F.lit(bad)) == 0)
+    jump = fair & (F.abs(F.col("value") - F.col("_last.value")) > most_delta) & F.lit(most_delta > 0)
+    return rows.select(*series, "ts", *ties, "value", bits.either(F.col("qc"), flag, bits.bit_if(F.coalesce(jump, F.lit(False)), delta_flag)).cast("int").alias("qc"))
+
+
+def last_samples(batch: DataFrame, before: DataFrame, series: list[str], ties: list[str] = ()) -> DataFrame:
+    """(series, t, value, qc): the last sample of each series in the batch, or in earlier ones where the batch has none."""
+    rows = batch.select(*series, F.unix_micros("ts").alias("t"), "value", F.coalesce(F.col("qc"), F.lit(0)).cast("int").alias("qc"), F.struct(F.lit(1).alias("new"), F.unix_micros("ts").alias("t"), *ties).alias("_o"))
+    older = before.select(*series, "t", "value", "qc", F.struct(F.lit(0).alias("new"), "t", *[F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in ties]).alias("_o"))
+    return rows.unionByName(older).groupBy(*series).agg(F.max_by(F.struct("t", "value", "qc"), "_o").alias("x")).select(*series, "x.*")
+
+
+def start_step_checks(stream: DataFrame, series: list[str], write: Callable[[DataFrame, int], None], state: str, checkpoint: str, *, ties: list[str] = (), available_now: bool = True, **limits):
+    """Starts a stream that flags steps and deltas across its batches.
+
+    The last sample of each series goes from batch to batch as a small table in the folder ``state``. A batch writes the slot that
+    the next one reads, and leaves its own alone, so a batch that is run again finds what it found before.
+    """
+
+    def act(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        try:
+            if n == 0:
+                fields = ", ".join(f"`{c}` {batch.schema[c].dataType.simpleString()}" for c in series)
+                before = batch.sparkSession.createDataFrame([], f"{fields}, t long, value double, qc int")
+            else:
+                before = batch.sparkSession.read.parquet(f"{state}/{(n - 1) % 2}")
+            write(step_checks(batch, before, series, ties=ties, **limits), n)
+            last_samples(batch, before, series, ties).write.mode("overwrite").parquet(f"{state}/{n % 2}")
+        finally:
+            batch.unpersist()
+
+    return sink(stream, act, checkpoint, available_now=available_now)
 
 
 def sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *, available_now: bool = True):

@@ -174,6 +174,9 @@ def test_streams(spark, tmp_path):
     assert got["s1", 0] == (3.0, 1.0, 0) and got["s0", 0] == (1.0, 2 / 3, 32) and ("s0", 9) not in got
     twice = stream().unionByName(stream())
     assert collect(pipelines.distinct_samples(twice, ["series", "ts"]), "distinct").count() == 60
-    checked = collect(pipelines.step_checks(stream(), "series", most_delta=1.5, least_step=1500.0, most_step=3000.0), "steps")
+    out = str(tmp_path / "steps")
+    write = lambda df, n: df.write.mode("append").parquet(out)
+    pipelines.start_step_checks(stream(), ["series"], write, str(tmp_path / "last"), f"{out}-state", most_delta=1.5, least_step=1500.0, most_step=3000.0).awaitTermination(120)
+    checked = spark.read.parquet(out)
     flags = {(r["series"], r["value"]): r["qc"] for r in checked.collect()}
     assert len(flags) == 60 and flags["s0", 0.0] == 0 and flags["s0", 4.0] == 1 | 32 and flags["s0", 2.0] == 8 | 32 and flags["s0", 40.0] == 8 | 32
