@@ -12,8 +12,8 @@ until its tokens agree with two neighbouring tokens of the left half and with tw
 sequence is the BPE encoding of its text if every neighbouring pair is, so the splice through
 the agreed pairs is exact.
 
-Defined results: a null text counts as empty and has no ids; repeated rows stay repeated rows; columns other than
-the text pass through. A text that holds the string of a special token gets that token's id, as in the library.
+Defined results: a null text counts as empty and has no ids, null ids decode to an empty text; repeated rows stay repeated rows; columns other than
+the text pass through whatever their names, but those named ids and decoded, which are replaced. A text that holds the string of a special token gets that token's id, as in the library.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches
+from gridloom.llm.common import bounded_batches, ddl, packed, quoted, unpacked
 
 LONG_CHARS = 1 << 15
 LEAF_CHARS = 1 << 14
@@ -63,7 +63,9 @@ class Codec:
         self.pattern, self.lower = pattern, lower
         self.specials = [t["content"] for t in json.loads(self.library.to_str())["added_tokens"]]
         size = self.library.get_vocab_size(with_added_tokens=True)
-        byte_of = {c: b for b, c in enumerate(_byte_chars())}
+        self.model = self.library.model
+        self.shown = dict(enumerate(_byte_chars()))
+        byte_of = {c: b for b, c in self.shown.items()}
         self.pieces = [b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in self.library.id_to_token(i) or "") for i in range(size)]
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -73,7 +75,9 @@ class Codec:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _word(self, word: str) -> bytes:
-        return self._whole(word).tobytes()
+        """The ids of a pre-token, by the library's model alone: its characters stand for bytes already."""
+        shown = word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(self.shown)
+        return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
@@ -215,18 +219,18 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     """
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*kept).alias("_row") if kept else F.struct(F.lit(0).alias("_")).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = packed(docs, text).select("_row", F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("_text"))
     short = _map_text(rows.where(F.length("_text") <= LONG_CHARS), lambda tool, t: tool.encode(t), path)
     long = rows.where(F.length("_text") > LONG_CHARS).withColumn("_key", F.monotonically_increasing_id())
     cut = long.mapInArrow(_leaf_batches(path), f"_key long, _leaf int, _cut boolean, _text string, _row {_row_type(rows)}")
     cut = cut.repartition(F.col("_key"), F.col("_leaf"))
     encoded = cut.mapInArrow(_encode_leaves(path), f"_key long, _leaf int, _cut boolean, ids array<int>, _row {_row_type(rows)}")
     whole = encoded.groupBy("_key").applyInArrow(_join_leaves(path), f"ids array<int>, _row {_row_type(rows)}")
-    return short.unionByName(whole).select(*([f"_row.`{c}`" for c in kept]), "ids")
+    return unpacked(short.unionByName(whole), kept, [], "ids")
 
 
 def _row_type(rows: DataFrame) -> str:
-    return rows.schema["_row"].dataType.simpleString()
+    return ddl(rows.schema["_row"].dataType)
 
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -299,14 +303,14 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            at = batch.schema.get_field_index(ids)
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                texts = [tool.decode(x) for x in _lists(part.column(at))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                texts = [tool.decode(x) for x in _lists(part.column(0))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["_ids", "_row", "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    rows = packed(encoded, ids).select(F.coalesce(F.col(quoted(ids)), F.array().cast("array<int>")).alias("_ids"), "_row")
+    decoded = rows.mapInArrow(run, f"_ids array<int>, _row {_row_type(rows)}, decoded string").withColumnRenamed("_ids", ids)
+    return unpacked(decoded, encoded.columns, [ids], "decoded")
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:

@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: Labels may be learnt only from rows whose crc32(doc_id as text) mod 3 differs from this.
 HELD_OUT_REMAINDER = 1
@@ -19,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a private one only where the cluster names none."""
+    """The shared folder of the session; a private one only in a local session that names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -95,21 +98,28 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def ddl(kind: DataType) -> str:
+    """A type as text, with the names in it quoted where they need it."""
+    if isinstance(kind, StructType):
+        return f"struct<{', '.join(f'{quoted(f.name)}: {ddl(f.dataType)}' for f in kind)}>"
+    return kind.simpleString()
+
+
 def packed(docs: DataFrame, *named: str) -> DataFrame:
     """The named columns, and all others in the struct _row, so that no working column can clash with them."""
-    others = [F.col(_quoted(c)).alias(c) for c in docs.columns if c not in named]
-    return docs.select(*[F.col(_quoted(c)) for c in named], F.struct(*others or [F.lit(0).alias("_")]).alias("_row"))
+    others = [F.col(quoted(c)).alias(c) for c in docs.columns if c not in named]
+    return docs.select(*[F.col(quoted(c)) for c in named], F.struct(*others or [F.lit(0).alias("_")]).alias("_row"))
 
 
 def unpacked(rows: DataFrame, columns: list[str], named: Iterable[str], *appended: str) -> DataFrame:
     """The columns that were packed, in their order, then the appended ones; those replace columns of the same name."""
     named = set(named)
-    kept = [F.col(_quoted(c)) if c in named else F.col(f"_row.{_quoted(c)}").alias(c) for c in columns if c not in appended]
-    return rows.select(*kept, *[F.col(_quoted(c)) for c in appended])
+    kept = [F.col(quoted(c)) if c in named else F.col(f"_row.{quoted(c)}").alias(c) for c in columns if c not in appended]
+    return rows.select(*kept, *[F.col(quoted(c)) for c in appended])
 
 
 def map_rows(rows: DataFrame, make, appended: str, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -130,5 +140,5 @@ def map_rows(rows: DataFrame, make, appended: str, text: str = "text", keep_text
             batch = batch if keep_text else batch.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
 
-    fields = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != text)
+    fields = ", ".join(f"{quoted(f.name)} {ddl(f.dataType)}" for f in rows.schema if keep_text or f.name != text)
     return rows.mapInArrow(run, f"{fields}, {appended}")

@@ -56,8 +56,11 @@ def test_special_strings_are_never_cut(tool):
 
 def test_documents(spark, tool):
     texts = ["", None, "Hello  world\n", "x" * 70000, "word " * 20000, "é'" * 40000, "same", "same", "漢字" * 20000]
-    docs = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], "doc_id long, text string, ids string").drop("ids")
-    rows = {r["doc_id"]: r for r in bpe.decode_documents(bpe.encode_documents(docs, PATH), PATH).collect()}
+    docs = spark.createDataFrame([(i, t, "e", "f", "g", "h") for i, t in enumerate(texts)], "doc_id long, text string, ids string, decoded string, `a.b c` string, _row string")
+    coded = bpe.decode_documents(bpe.encode_documents(docs, PATH), PATH)
+    assert coded.columns == ["doc_id", "a.b c", "_row", "ids", "decoded"]
+    rows = {r["doc_id"]: r for r in coded.collect()}
+    assert all(r["a.b c"] == "g" and r["_row"] == "h" for r in rows.values())
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
         assert rows[i]["ids"] == library(tool, t or "")
