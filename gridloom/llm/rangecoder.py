@@ -1,18 +1,18 @@
 """Token ids as a compact binary table: an adaptive context-mixing range coder.
 
 Format. A table of ids is a folder of Parquet files whose rows are *pages*. A page holds a run of whole
-documents in ascending doc_id order: part and page number, the position of its first id within the part,
-the documents' ids and lengths, and ``payload``. A payload starts with ``MAGIC``, the bits of an id and the number of
+documents in ascending doc_id order, up to ``PAGE_IDS`` ids, or a piece of a longer document: part and page number, the position of its first id within the part,
+the documents' ids and lengths, for pieces their number and the position of the document's first id (otherwise null), and ``payload``. A payload starts with ``MAGIC``, the bits of an id and the number of
 blocks (little-endian uint32 each), then per block its ids, bytes and CRC-32 (of the ids as
 little-endian uint32), then the blocks' streams. A block has up to ``BLOCK_IDS`` ids and decodes on its own: every model starts anew in it.
 
 Model. Order 2 predicts the id that last followed the same two ids, order 1 the one that last followed the
-same id, order 0 gives every id a share that grows with its count. A prediction's weight is the hit rate
-that predictions of its order and confidence had so far in the block. Of the coder's total, order 2
-gets its weight, order 1 its weight of the rest, order 0 what remains; predictions that agree pool
-their weights. So each id takes a single arithmetic-coding step with integer arithmetic only.
+same id, order 0 any id that the block had before, with a share that grows with its count. Which of them is right, or none, is
+coded first, with shares that mix what each had so far in the block in the same case (the confidences of both predictions and whether they agree). An id that order 0
+gives follows by its share, one that is new to the block with equal shares. All of it is integer arithmetic.
 
-Coding is sequential within a block, so all blocks of a page go through the coder in lockstep as NumPy vectors.
+Coding is sequential within a block, so all blocks of a page go through the coder in lockstep as NumPy vectors. Their number is bounded
+by the page, whatever a document's length.
 
 Defined results: a null text has only the end id; rows with one doc_id are ordered by a hash of the text; null doc_ids
 come first; a damaged block raises ValueError.
@@ -35,165 +35,172 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import BLOCK_CHARS, blocks, codec
 from gridloom.llm.common import bounded_batches
 
-MAGIC = b"GLR1"
+MAGIC = b"GLR2"
 BLOCK_IDS = 2048
-#: Ids after which a page is closed; a longer document is a page of its own.
-PAGE_IDS = 1 << 20
+#: Ids of a page at most; a longer document takes pages of its own.
+PAGE_IDS = 1 << 21
 END_ID = 1
+#: Ids must be below 2 ** MOST_BITS; the bits above hold a prediction's confidence.
+MOST_BITS = 26
 _SLOTS = 1 << 12
-_SCALE = 1 << 12
-_MOST = 4000
-_COUNT_WEIGHT = 32
-_CONF = 28
+_MASK = np.int32((1 << MOST_BITS) - 1)
+_STEP = 4
 _U = np.uint64
 _TOP, _LOW = _U(48), _U(1 << 40)
+_ORDER2, _ORDER1, _ORDER0, _NEW = range(4)
 
 # The split pattern of the lower-case vocabulary, restricted to the characters of Latin-1.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 WORD_PATTERN = re.compile(f"[{_L}]+|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_S}{_L}{_N}]+")
 
+#: Four counts of 16 bits share a word; times _SUMS, each field holds the sum of the fields up to it.
+_FIELD, _SUMS = _U(0xFFFF), _U(0x0001000100010001)
+#: Order 0 counts numbers below 4 ** 6 in a tree of such words: the first word of each level, and how far a number is shifted there.
+_FIRST = np.cumsum([0, *(4**k for k in range(5))]).astype(np.int32)
+_NODES, _ABOVE = int(_FIRST[-1]) + 4**5, np.arange(12, 0, -2, dtype=np.int32)
+
+
+def _at(words: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Field ``child`` of each word."""
+    return words >> (child.astype(_U) << _U(4)) & _FIELD
+
 
 class _Model:
     """Predictions of all lanes (blocks) at once."""
 
-    def __init__(self, lanes: int, bits: int):
-        self.bits = bits
-        # order 0: counts of ids under each node of a 16-way tree, one row of 16 children per node
-        self.levels = bits // 4
-        nodes = [16**k for k in range(self.levels)]
-        self.children = np.zeros((lanes * sum(nodes), 16), np.uint16)
-        self.flat = self.children.reshape(-1)
-        self.first = (np.arange(lanes)[:, None] * sum(nodes) + np.cumsum([0, *nodes[:-1]])).astype(np.int32)
-        self.above = (bits - 4 * np.arange(self.levels)).astype(np.int32)
-        self.digits = np.arange(16, dtype=np.int32)
-        self.digits_f = self.digits.astype(np.float32)
-        self.earlier = np.triu(np.ones((16, 16), np.float32), 1)
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes, dtype=np.int32)
         # what followed a context last, and above its bits the confidence in it
-        self.table = np.zeros(2 * lanes * _SLOTS, np.int32)
-        self.hits = np.ones(2 * lanes * 4, np.int64)
-        self.tries = np.full(2 * lanes * 4, 3, np.int64)
-        self.row = np.arange(2 * lanes).reshape(2, lanes)
-        self.prev = np.zeros((2, lanes), np.int64)
-        self.seen = 0
+        self.tables = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
+        self.slots = lane * _SLOTS
+        self.prev1, self.prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        # how often each of the four outcomes came in each case
+        self.counts, self.cases = np.full(lanes * 32, _SUMS), lane * 32
+        # order 0: ids by their number in the block, and a tree of the numbers' counts
+        self.known = np.zeros(lanes * BLOCK_IDS, np.int32)
+        self.news = np.zeros(lanes, np.int32)
+        self.tree = np.zeros(lanes * _NODES, _U)
 
     def predict(self, n: int) -> None:
-        a, b = self.prev[0, :n], self.prev[1, :n]
-        c = a * 40503
-        row = self.row[:, :n]
-        self.place = row * _SLOTS
-        self.place[0] += (c >> 3) & (_SLOTS - 1)
-        self.place[1] += (c ^ (b * 30011 + 977)) >> 2 & (_SLOTS - 1)
-        entry = self.table.take(self.place)
-        self.conf = entry >> _CONF
-        self.ids = entry & ((1 << _CONF) - 1)
-        self.case = row * 4 + self.conf
-        rate_hits, rate_tries = self.hits.take(self.case), self.tries.take(self.case)
-        known = self.conf > 0
-        w2 = np.where(known[1], _MOST * rate_hits[1] // rate_tries[1], 0)
-        w1 = np.where(known[0], (_MOST - w2) * rate_hits[0] // rate_tries[0], 0)
-        self.agree = known[0] & known[1] & (self.ids[0] == self.ids[1])
-        self.w2 = w2 + np.where(self.agree, w1, 0)
-        self.w1 = np.where(self.agree, 0, w1)
-        self.w0 = _SCALE - self.w1 - self.w2
-        self.total0 = (1 << self.bits) + _COUNT_WEIGHT * self.seen
-        self.known = known
-
-    def _place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tree's rows on the way to each id, and the child taken in each."""
-        ids = ids.astype(np.int32)[:, None]
-        return self.first[: len(ids)] + (ids >> self.above), (ids >> (self.above - 4)) & 15
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each id's share of SCALE * total0."""
-        rows, child = self._place(ids)
-        self.path = rows * 16 + child
-        smaller = self.children.take(rows, axis=0) * (self.digits < child[:, :, None])
-        return self._share(ids, smaller.reshape(len(ids), -1).sum(axis=1, dtype=np.int64))
-
-    def _share(self, ids: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        second = self.known[1] & (self.ids[1] == ids) & (self.w2 > 0)
-        first = self.known[0] & (self.ids[0] == ids) & ~second & (self.w1 > 0)
-        count = self.flat.take(self.path[:, -1]).astype(np.int64)
-        start = np.where(second, 0, np.where(first, self.w2 * self.total0, (self.w1 + self.w2) * self.total0 + self.w0 * (ids + _COUNT_WEIGHT * cum)))
-        width = np.where(second, self.w2 * self.total0, np.where(first, self.w1 * self.total0, self.w0 * (1 + _COUNT_WEIGHT * count)))
-        return start, width
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose share holds value, with the share's start and width."""
-        split1, split0 = self.w2 * self.total0, (self.w1 + self.w2) * self.total0
-        # whole numbers below 2 ** 24 are exact in single precision
-        rest = (np.maximum(value - split0, 0) // self.w0).astype(np.float32)
-        n = len(value)
-        lane = np.arange(n) * 16
-        found, cum = np.zeros(n, np.int64), np.zeros(n, np.float32)
-        for level in range(self.levels):
-            size = 1 << (self.bits - 4 * (level + 1))
-            before = self.children.take(self.first[:n, level] + found, axis=0).astype(np.float32) @ self.earlier
-            share = before * np.float32(_COUNT_WEIGHT)
-            share += self.digits_f * np.float32(size)
-            # the last child whose share starts at or before the rest
-            child = 15 - (share <= rest[:, None])[:, ::-1].argmax(axis=1)
-            at = lane + child
-            rest -= share.reshape(-1).take(at)
-            cum += before.reshape(-1).take(at)
-            found = found * 16 + child
-        cum = cum.astype(np.int64)
-        ids = np.where(value < split1, self.ids[1], np.where(value < split0, self.ids[0], found))
-        rows, child = self._place(ids)
-        self.path = rows * 16 + child
-        # where a prediction gave the id, cum belongs to another one, but isn't needed
-        return ids, *self._share(ids, cum)
-
-    def update(self, ids: np.ndarray) -> None:
+        a = self.prev1[:n] * np.int32(40503)
+        self.at1 = self.slots[:n] + ((a >> 3) & (_SLOTS - 1))
+        self.at2 = self.slots[:n] + (((a ^ (self.prev2[:n] * np.int32(30011) + np.int32(977))) >> 2) & (_SLOTS - 1))
+        one, two = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
+        self.sure1, self.sure2 = one >> MOST_BITS, two >> MOST_BITS
+        self.id1, self.id2 = one & _MASK, two & _MASK
+        self.case = self.cases[:n] + (self.sure2 << 3) + (self.sure1 << 1) + (self.id1 == self.id2)
+        self.share = self.counts.take(self.case)
+        self.upto = self.share * _SUMS
+
+    def hits(self, ids: np.ndarray) -> np.ndarray:
+        """The outcome of each id as far as orders 2 and 1 go; _ORDER0 for the others."""
+        two, one = (self.id2 == ids) & (self.sure2 > 0), (self.id1 == ids) & (self.sure1 > 0)
+        return np.where(two, _ORDER2, np.where(one, _ORDER1, _ORDER0)).astype(np.int32)
+
+    def way(self, lanes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the tree on the way to each number, level by level, and the field taken in each."""
+        node = (lanes * _NODES).astype(np.int32) + _FIRST[:, None] + (number >> _ABOVE[:, None])
+        return node, number >> (_ABOVE[:, None] - 2) & 3
+
+    def share0(self, node: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, width and total of the shares of the numbers at the end of the ways."""
+        words = self.tree.take(node)
+        sums, widths = words * _SUMS, _at(words, child)
+        return (_at(sums, child) - widths).sum(axis=0), widths[-1], sums[0] >> _U(48)
+
+    def find0(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number in order 0 whose share holds a value, with the share's start and width; counts it."""
+        number, rest, first = np.zeros(len(value), np.int32), value, (lanes * _NODES).astype(np.int32)
+        for start in _FIRST:
+            node = first + (start + number)
+            words = self.tree.take(node)
+            sums = words * _SUMS
+            child = (rest >= (sums & _FIELD)).astype(np.int32) + (rest >= (sums >> _U(16) & _FIELD)) + (rest >= (sums >> _U(32) & _FIELD))
+            place = child.astype(_U) << _U(4)
+            rest = rest - ((sums << _U(16)) >> place & _FIELD)
+            self.tree[node] = words + (_U(1) << place)
+            number = number * 4 + child
+        return np.minimum(number, BLOCK_IDS - 1), value - rest, words >> place & _FIELD
+
+    def count0(self, node: np.ndarray, child: np.ndarray) -> None:
+        self.tree[node] += _U(1) << (child.astype(_U) << _U(4))
+
+    def add(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers ids that are new to their blocks."""
+        number = self.news[lanes]
+        self.known[lanes * BLOCK_IDS + number] = ids
+        self.news[lanes] = number + 1
+        return number
+
+    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         n = len(ids)
-        self.flat[self.path] += np.uint16(1)
-        right_guess = (self.ids == ids) & self.known
-        # order 1 is judged where order 2 didn't settle the id already
-        judged = self.known.copy()
-        judged[0] &= ~self.agree & ~right_guess[1]
-        self.tries[self.case] += judged
-        self.hits[self.case] += judged & right_guess
-        self.table[self.place] = ids + (np.where(right_guess, np.minimum(self.conf + 1, 3), 1) << _CONF)
-        self.prev[1, :n], self.prev[0, :n] = self.prev[0, :n].copy(), ids
-        self.seen += 1
+        self.counts[self.case] = self.share + (_U(_STEP) << (outcome.astype(_U) << _U(4)))
+        for table, at, guess, sure in ((self.tables[0], self.at1, self.id1, self.sure1), (self.tables[1], self.at2, self.id2, self.sure2)):
+            table[at] = ids + ((np.minimum(sure * (guess == ids), 2) + 1) << MOST_BITS)
+        self.prev2[:n] = self.prev1[:n]
+        self.prev1[:n] = ids
 
 
 def encode_ids(ids: np.ndarray, bits: int) -> bytes:
     """The payload of a run of ids below 2 ** bits."""
-    bits = -(-bits // 4) * 4
-    if bits > 20:
-        raise ValueError("ids need more than 20 bits")
-    ids = np.asarray(ids, np.int64)
+    if bits > MOST_BITS:
+        raise ValueError(f"ids need more than {MOST_BITS} bits")
+    ids = np.asarray(ids)
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << bits:
         raise ValueError(f"an id is outside 0 to {(1 << bits) - 1}")
+    ids = ids.astype(np.int32)
     lanes = -(-len(ids) // BLOCK_IDS)
     head = MAGIC + struct.pack("<II", bits, lanes)
     if not lanes:
         return head
     last = len(ids) - (lanes - 1) * BLOCK_IDS
     steps = BLOCK_IDS if lanes > 1 else last
-    grid = np.zeros((steps, lanes), np.int64)
-    padded = np.zeros(lanes * BLOCK_IDS, np.int64)
-    padded[: len(ids)] = ids
-    grid[:] = padded.reshape(lanes, BLOCK_IDS)[:, :steps].T
-    model = _Model(lanes, bits)
+    grid = np.zeros(lanes * BLOCK_IDS, np.int32)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK_IDS)[:, :steps].T)
+    model = _Model(lanes)
+    # the encoder's way from an id to its number in the block; a slot may be taken over, the id is then new again
+    numbers, slots = np.zeros(lanes * _SLOTS, np.uint16), np.arange(lanes, dtype=np.int32) * _SLOTS
     low, span, place = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, np.int64)
     out = np.zeros((lanes, 3 * steps + 8), "<u2")
+    act = lambda at: _emit(out, place, low, at)
     for t in range(steps):
         n = lanes if t < last else lanes - 1
+        own = grid[t, :n]
         model.predict(n)
-        start, width = model.interval(grid[t, :n])
-        unit = span[:n] // _U(_SCALE * model.total0)
-        low[:n] += unit * start.astype(_U)
-        span[:n] = unit * width.astype(_U)
-        _shift(low, span, n, lambda at: _emit(out, place, low, at))
-        model.update(grid[t, :n])
+        outcome = model.hits(own)
+        rest = np.flatnonzero(outcome == _ORDER0)
+        id0 = own[rest]
+        slot = slots[rest] + ((id0 * np.int32(-1640531535) >> 18) & (_SLOTS - 1))
+        number = numbers.take(slot).astype(np.int32) - 1
+        seen = (number >= 0) & (model.known.take(rest * BLOCK_IDS + np.maximum(number, 0)) == id0)
+        outcome[rest[~seen]] = _NEW
+        width = _at(model.share, outcome)
+        unit = span[:n] // (model.upto >> _U(48))
+        low[:n] += unit * (_at(model.upto, outcome) - width)
+        span[:n] = unit * width
+        old, new = rest[seen], rest[~seen]
+        number[~seen] = model.add(new, id0[~seen])
+        node, child = model.way(rest, number)
+        if len(old):
+            start, width, total = model.share0(node[:, seen], child[:, seen])
+            unit = span[old] // total
+            low[old] += unit * start
+            span[old] = unit * width
+        if len(new):
+            unit = span[new] >> _U(bits)
+            low[new] += unit * id0[~seen].astype(_U)
+            span[new] = unit
+            numbers[slot[~seen]] = number[~seen] + 1
+        model.count0(node, child)
+        _shift(low, span, n, act)
+        model.update(own, outcome)
     for _ in range(4):
-        _emit(out, place, low, np.arange(lanes))
+        act(np.arange(lanes))
         low <<= _U(16)
     streams = [out[k, : place[k]].tobytes() for k in range(lanes)]
     words = ids.astype("<u4")
-    index = b"".join(struct.pack("<III", len(part), len(s), zlib.crc32(part.tobytes())) for s, part in zip(streams, (words[k * BLOCK_IDS : (k + 1) * BLOCK_IDS] for k in range(lanes)), strict=True))
+    index = b"".join(struct.pack("<III", len(part), len(s), zlib.crc32(part)) for s, part in zip(streams, (words[k * BLOCK_IDS : (k + 1) * BLOCK_IDS] for k in range(lanes)), strict=True))
     return head + index + b"".join(streams)
 
 
@@ -204,17 +211,19 @@ def _emit(out: np.ndarray, place: np.ndarray, low: np.ndarray, at: np.ndarray) -
 
 def _shift(low: np.ndarray, span: np.ndarray, n: int, act) -> None:
     """Moves out 16 bits of the first n lanes while they are settled or the span gets short."""
-    while True:
-        settled = ((low[:n] ^ (low[:n] + span[:n])) >> _TOP) == 0
-        short = span[:n] < _LOW
-        at = np.flatnonzero(settled | short)
-        if not len(at):
-            return
-        cut = at[~settled[at]]
+    x, y = low[:n], span[:n]
+    settled = ((x ^ (x + y)) >> _TOP) == 0
+    at = np.flatnonzero(settled | (y < _LOW))
+    settled = settled[at]
+    while len(at):
+        cut = at[~settled]
         span[cut] = (~low[cut] + _U(1)) & (_LOW - _U(1))
         act(at)
-        low[at] <<= _U(16)
-        span[at] <<= _U(16)
+        x, y = low[at] << _U(16), span[at] << _U(16)
+        low[at], span[at] = x, y
+        settled = ((x ^ (x + y)) >> _TOP) == 0
+        more = settled | (y < _LOW)
+        at, settled = at[more], settled[more]
 
 
 def decode_ids(payload: bytes) -> np.ndarray:
@@ -224,73 +233,104 @@ def decode_ids(payload: bytes) -> np.ndarray:
     bits, lanes = struct.unpack_from("<II", payload, 4)
     index = np.frombuffer(payload, "<u4", 3 * lanes, 12).reshape(lanes, 3).astype(np.int64)
     if not lanes:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     sizes, steps, last = index[:, 1] // 2, int(index[0, 0]), int(index[-1, 0])
     words = np.zeros((lanes, int(sizes.max()) + 4), np.uint16)
     at = 12 + 12 * lanes
     for k in range(lanes):
         words[k, : sizes[k]] = np.frombuffer(payload, "<u2", sizes[k], at)
         at += int(index[k, 1])
-    model = _Model(lanes, bits)
+    model = _Model(lanes)
     low, span, place = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.full(lanes, 4, np.int64)
     code = np.zeros(lanes, _U)
     for k in range(4):
         code = (code << _U(16)) | words[:, k].astype(_U)
-    grid = np.zeros((lanes, steps), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     most = words.shape[1] - 1
 
     def take(lanes_at: np.ndarray) -> None:
         code[lanes_at] = (code[lanes_at] << _U(16)) | words[lanes_at, np.minimum(place[lanes_at], most)].astype(_U)
         place[lanes_at] += 1
 
+    def value(lanes_at, unit: np.ndarray, total: np.ndarray) -> np.ndarray:
+        # in a damaged block a span may be used up; its checksum tells
+        return np.minimum((code[lanes_at] - low[lanes_at]) // np.maximum(unit, _U(1)), total - _U(1))
+
     for t in range(steps):
         n = lanes if t < last else lanes - 1
         model.predict(n)
-        unit = span[:n] // _U(_SCALE * model.total0)
-        value = np.minimum((code[:n] - low[:n]) // unit, _U(_SCALE * model.total0 - 1)).astype(np.int64)
-        ids, start, width = model.find(value)
-        ids = ids.astype(np.int64)
-        low[:n] += unit * start.astype(_U)
-        span[:n] = unit * width.astype(_U)
+        upto = model.upto
+        total = upto >> _U(48)
+        unit = span[:n] // total
+        found = value(slice(0, n), unit, total)
+        outcome = (found >= (upto & _FIELD)).astype(np.int32) + (found >= (upto >> _U(16) & _FIELD)) + (found >= (upto >> _U(32) & _FIELD))
+        width = _at(model.share, outcome)
+        low[:n] += unit * (_at(upto, outcome) - width)
+        span[:n] = unit * width
+        ids = np.where(outcome == _ORDER2, model.id2, model.id1)
+        old = np.flatnonzero(outcome == _ORDER0)
+        if len(old):
+            total = np.maximum(model.tree.take(old * _NODES) * _SUMS >> _U(48), _U(1))
+            unit = span[old] // total
+            number, start, width = model.find0(old, value(old, unit, total))
+            ids[old] = model.known.take(old * BLOCK_IDS + number)
+            low[old] += unit * start
+            span[old] = unit * width
+        new = np.flatnonzero(outcome == _NEW)
+        if len(new):
+            unit = span[new] >> _U(bits)
+            id0 = value(new, unit, _U(1 << bits)).astype(np.int32)
+            ids[new] = id0
+            low[new] += unit * id0.astype(_U)
+            span[new] = unit
+            model.count0(*model.way(new, model.add(new, id0)))
         _shift(low, span, n, take)
-        model.update(ids)
-        grid[:n, t] = ids
+        model.update(ids, outcome)
+        grid[t, :n] = ids
+    grid = np.ascontiguousarray(grid.T)
     parts = [grid[k, : index[k, 0]] for k in range(lanes)]
     for part, crc in zip(parts, index[:, 2], strict=True):
-        if zlib.crc32(part.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(part.astype("<u4")) != crc:
             raise ValueError("a block of ids is damaged")
     return np.concatenate(parts)
 
 
-_PAGES = "part int, page int, start long, doc_ids array<long>, lengths array<int>, payload binary"
+_PAGES = "part int, page int, start long, doc_ids array<long>, lengths array<int>, piece int, first long, payload binary"
+_PAGES_ARROW = pa.schema(
+    [("part", pa.int32()), ("page", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("piece", pa.int32()), ("first", pa.int64()), ("payload", pa.binary())]
+)
 
 
 def _page_batches(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, WORD_PATTERN, True)
-        bits = max(2, int(tool.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        bits = max(1, int(tool.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         part, page, start = TaskContext.get().partitionId(), 0, 0
-        doc_ids, lengths, parts, held = [], [], [], 0
+        doc_ids, parts, held = [], [], 0
 
-        def close() -> pa.RecordBatch:
-            payload = encode_ids(np.concatenate(parts), bits)
-            row = [[part], [page], [start], [doc_ids], [lengths], [payload]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "page", "start", "doc_ids", "lengths", "payload"])
+        def row(doc_ids: list, parts: list[np.ndarray], piece: int | None = None, first: int | None = None) -> pa.RecordBatch:
+            nonlocal page, start
+            payload, lengths = encode_ids(np.concatenate(parts), bits), [len(p) for p in parts]
+            values = [[part], [page], [start], [doc_ids], [lengths], [piece], [first], [payload]]
+            page, start = page + 1, start + sum(lengths)
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _PAGES_ARROW, strict=True)], schema=_PAGES_ARROW)
 
         for batch in chain.from_iterable(blocks(b, 1) for b in batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(tool.encode(text or ""), tool.kind.type(end_id))
-                if held and held + len(ids) > PAGE_IDS:
-                    yield close()
-                    page, start = page + 1, start + held
-                    doc_ids, lengths, parts, held = [], [], [], 0
+                if parts and held + len(ids) > PAGE_IDS:
+                    yield row(doc_ids, parts)
+                    doc_ids, parts, held = [], [], 0
+                if len(ids) > PAGE_IDS:
+                    first = start
+                    for piece, at in enumerate(range(0, len(ids), PAGE_IDS)):
+                        yield row([doc_id], [ids[at : at + PAGE_IDS]], piece, first)
+                    continue
                 doc_ids.append(doc_id)
-                lengths.append(len(ids))
                 parts.append(ids)
                 held += len(ids)
-        if held:
-            yield close()
+        if parts:
+            yield row(doc_ids, parts)
 
     return run
 
@@ -316,7 +356,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, doc_ids, lengths, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for first, doc_ids, lengths, piece, payload in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 ids = decode_ids(payload)
                 ends = np.cumsum(lengths)
                 if ends[-1] != len(ids):
@@ -326,13 +366,18 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 while step < len(doc_ids):
                     stop = max(step + 1, int(np.searchsorted(bounds, bounds[step] + BLOCK_CHARS, "right")) - 1)
                     stop = min(stop, len(doc_ids))
-                    cut = ids[bounds[step] : bounds[stop]].astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array((bounds[step : stop + 1] - bounds[step]).astype(np.int32)), pa.array(cut))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[step:stop], pa.int64()), pa.array(first + bounds[step:stop], pa.int64()), lists], ["doc_id", "start", "ids"])
+                    lists = pa.ListArray.from_arrays(pa.array((bounds[step : stop + 1] - bounds[step]).astype(np.int32)), pa.array(ids[bounds[step] : bounds[stop]]))
+                    columns = [pa.array(doc_ids[step:stop], pa.int64()), pa.array(first + bounds[step:stop], pa.int64()), pa.array([piece] * (stop - step), pa.int32()), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "piece", "ids"])
                     step = stop
 
-    placed = pages.join(parts, "part").select((F.col("start") + F.col("offset")).alias("start"), "doc_ids", "lengths", "payload")
-    return placed.mapInArrow(run, "doc_id long, start long, ids array<int>")
+    def decoded(chosen: DataFrame) -> DataFrame:
+        placed = chosen.join(parts, "part").select((F.coalesce("first", "start") + F.col("offset")).alias("start"), "doc_ids", "lengths", "piece", "payload")
+        return placed.mapInArrow(run, "doc_id long, start long, piece int, ids array<int>")
+
+    pieces = decoded(pages.where("piece is not null")).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("x"))
+    long = pieces.select("doc_id", "start", F.flatten("x.ids").alias("ids"))
+    return decoded(pages.where("piece is null")).select("doc_id", "start", "ids").unionByName(long)
 
 
 def digest(ids: DataFrame) -> DataFrame:

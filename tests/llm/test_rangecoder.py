@@ -69,6 +69,53 @@ def test_documents(spark):
         at += len(ids)
 
 
+def test_documents_longer_than_a_page(spark):
+    """Documents of several pages come back whole, between others, and no page has more lanes than its ids need."""
+    texts = ["short one", " ".join(f"w{k * 7919 % 5000}" for k in range(9000)), "", "word " * 4096, "x " * 4095, "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    folder = scratch_path(spark, "ids")
+
+    def pages(rows):
+        rangecoder.PAGE_IDS = 4096
+        try:
+            yield from rangecoder._page_batches(PATH, 1)(rows)
+        finally:
+            rangecoder.PAGE_IDS = 1 << 21
+
+    docs.coalesce(1).sortWithinPartitions("doc_id").select("doc_id", "text").mapInArrow(pages, rangecoder._PAGES).write.parquet(folder)
+    found = spark.read.parquet(folder)
+    assert found.where("piece is not null").count() >= 4 and found.selectExpr("max(aggregate(lengths, 0, (a, x) -> a + x)) as n").first()["n"] == 4096
+    rows = {r["doc_id"]: r for r in rangecoder.read_ids(spark, folder).collect()}
+    tool, at = Codec(PATH, rangecoder.WORD_PATTERN, lower=True), 0
+    for i, text in enumerate(texts):
+        ids = [*tool.library.encode(text, add_special_tokens=False).ids, 1]
+        assert (rows[i]["start"], rows[i]["ids"]) == (at, ids)
+        at += len(ids)
+
+
+def test_memory_of_long_runs():
+    """A page's model is bounded by its lanes; five million ids take three pages."""
+    import tracemalloc
+
+    ids = np.minimum(np.random.default_rng(1).zipf(1.2, 5_000_000), 49407)
+    tracemalloc.start()
+    for at in range(0, len(ids), rangecoder.PAGE_IDS):
+        page = ids[at : at + rangecoder.PAGE_IDS]
+        assert np.array_equal(rangecoder.decode_ids(rangecoder.encode_ids(page, 16)), page)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_ids_of_other_widths():
+    for bits in (1, 5, 20, 26):
+        ids = np.random.default_rng(bits).integers(0, 1 << bits, 3000)
+        assert np.array_equal(rangecoder.decode_ids(rangecoder.encode_ids(ids, bits)), ids)
+    with pytest.raises(ValueError):
+        rangecoder.encode_ids(np.array([8]), 3)
+    with pytest.raises(ValueError):
+        rangecoder.encode_ids(np.array([1]), 27)
+
+
 def test_empty_table(spark):
     folder = scratch_path(spark, "ids")
     rangecoder.write_ids(spark.createDataFrame([], "doc_id long, text string"), folder, PATH)
