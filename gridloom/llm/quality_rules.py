@@ -49,39 +49,40 @@ def ngram_buckets(text: bytes) -> Iterator[np.ndarray]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("trusted", pa.int64())])
-    totals = np.zeros((2, BUCKETS), np.int64)
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+    totals = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text, trusted in zip(utf8_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for text in utf8_texts(batch.column(0)):
             for buckets in ngram_buckets(text):
                 # a short text touches few buckets
                 if len(buckets) < BUCKETS // 16:
                     found, count = np.unique(buckets, return_counts=True)
-                    totals[0, found] += count
-                    if trusted:
-                        totals[1, found] += count
+                    totals[found] += count
                 else:
-                    count = np.bincount(buckets, minlength=BUCKETS)
-                    totals[0] += count
-                    if trusted:
-                        totals[1] += count
-    found = np.flatnonzero(totals[0])
-    yield batch_of(schema, [found.astype(np.int32), totals[0][found], totals[1][found]])
+                    totals += np.bincount(buckets, minlength=BUCKETS)
+    found = np.flatnonzero(totals)
+    yield batch_of(schema, [found.astype(np.int32), totals[found]])
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """N-grams of all texts by bucket; one row a bucket comes to the driver."""
+    found = texts.mapInArrow(_count_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(BUCKETS)
+    totals[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return totals
 
 
 def ngram_ratio(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(trusted / corpus) per bucket. ``trusted``: doc_ids of the trusted documents."""
+    """log(trusted / corpus) per bucket. ``trusted``: doc_ids of the trusted documents.
+
+    The corpus is counted without any join; how the trusted documents are picked is left to Spark, by the size of the ids.
+    """
     bounded_batches(docs.sparkSession)
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    # a merge join at every size: the trusted ids grow with the corpus and are never broadcast
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "doc_id", "left")
-    counts = rows.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(_count_batches, "bucket int, raw long, trusted long")
-    totals = np.zeros((2, BUCKETS))
-    for row in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toLocalIterator():
-        totals[:, row["bucket"]] = row["raw"], row["trusted"]
-    if not totals[1].sum():
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    wanted = _counts(rows.join(trusted.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi").select("text"))
+    if not wanted.sum():
         return np.zeros(BUCKETS, np.float32)
-    smooth = totals + SMOOTHING
+    smooth = np.array([_counts(rows.select("text")), wanted]) + SMOOTHING
     share = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     return (share[1] - share[0]).astype(np.float32)
 
