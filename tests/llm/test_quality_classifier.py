@@ -31,3 +31,11 @@ def test_odd_rows(spark, odd):
         assert scored.columns == ["doc_id", "text", "_row", "score"]
         assert all(0 <= r["score"] <= 1 for r in scored.collect()) and scored.count() == odd.count()
     assert qc.score(odd.limit(0), qc.Machine()).collect() == []
+
+
+def test_one_class(spark, odd):
+    for label, share in ((1, 1.0), (0, 0.0)):
+        labels = spark.createDataFrame([(k, label) for k in range(7)], "doc_id long, quality int")
+        scores = [r["score"] for r in qc.score(odd, qc.train_model(odd, labels)).collect()]
+        assert all(abs(s - share) <= 1.01e-4 for s in scores), scores
+    assert all(abs(r["score"] - 0.5) < 1e-9 for r in qc.score(odd, qc.train_model(odd, labels.limit(0))).collect())
