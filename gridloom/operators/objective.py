@@ -20,25 +20,35 @@ def distances(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.nda
     return METRES_PER_DEGREE * np.hypot(lat1[:, None] - lat2[None, :], (lon1[:, None] - lon2[None, :]) * np.cos(mean))
 
 
-def analyse(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, grid_lat: np.ndarray, grid_lon: np.ndarray, passes: int, scale_km: float) -> np.ndarray | None:
-    """Grid values after a number of passes; None if the weights can't be inverted."""
+def analyse(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, grid_lat: np.ndarray, grid_lon: np.ndarray, passes: int, scale_km: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grid values after a number of passes, and their slopes along latitude and longitude (per degree); NaN where no station has weight.
+
+    Each pass adds what the weighted means of the stations' values so far leave of the observed ones.
+    """
     length = scale_km * 1000
     weights = np.exp(-((distances(lat, lon, lat, lon) / length) ** 2))
     weights /= weights.sum(axis=1, keepdims=True)
-    rest = np.linalg.matrix_power(np.eye(len(values)) - weights, passes)
-    try:
-        corrected = np.linalg.solve(weights, (np.eye(len(values)) - rest) @ values)
-    except np.linalg.LinAlgError:
-        return None
+    corrected = np.zeros(len(values))
+    for _ in range(passes):
+        corrected = corrected + values - weights @ corrected
     onto = np.exp(-((distances(grid_lat, grid_lon, lat, lon) / length) ** 2))
     total = onto.sum(axis=1)
+    # derivatives of the squared distance: of its latitude part, of the shortening of a degree of longitude, of its longitude part
+    mean = np.radians((grid_lat[:, None] + lat[None, :]) / 2)
+    up, along = grid_lat[:, None] - lat[None, :], grid_lon[:, None] - lon[None, :]
+    scale = (METRES_PER_DEGREE / length) ** 2
+    by_lat = -scale * (2 * up - along**2 * np.sin(2 * mean) * np.radians(0.5)) * onto
+    by_lon = -scale * 2 * along * np.cos(mean) ** 2 * onto
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(total > 0, onto @ corrected / total, np.nan)
+        found = np.where(total > 0, onto @ corrected / total, np.nan)
+        slopes = [np.where(total > 0, (d @ corrected - found * d.sum(axis=1)) / total, np.nan) for d in (by_lat, by_lon)]
+    return found, *slopes
 
 
 def objective_analysis(rows: DataFrame, times: list[str], grid: list[tuple[float, float]], *, passes: int = 16, scale_km: float = 100.0, min_stations: int = 15, mask: int = 1) -> DataFrame:
-    """(times, lat, lon, value, nstat, qc) for rows (times, station, lat, lon, value, qc).
+    """(times, lat, lon, value, deriv_lat, deriv_lon, nstat, qc) for rows (times, station, lat, lon, value, qc).
 
+    deriv_lat and deriv_lon are the true slopes of the analysed field per degree (some older implementations always give 0).
     Bad stations are left out: SOME_BAD, or BAD with ALL_BAD or SOME_BAD and no value below ``min_stations`` good ones.
     """
     place = np.array(grid, float).reshape(-1, 2)
@@ -48,18 +58,20 @@ def objective_analysis(rows: DataFrame, times: list[str], grid: list[tuple[float
         group = group.sort_values("station", kind="stable")
         value = group["value"].to_numpy(float)
         good = np.isfinite(value) & (np.abs(value) < np.finfo(np.float32).max) & ((group["qc"].fillna(0).to_numpy(int) & mask) == 0)
-        n, qc, out = int(good.sum()), 0, None
+        n, qc, out = int(good.sum()), 0, [np.full(len(place), np.nan)] * 3
         if n < min_stations:
             qc = bits.BAD | (bits.ALL_BAD if n == 0 else bits.SOME_BAD)
         else:
             qc = bits.SOME_BAD if n < len(group) else 0
             lat, lon = group["lat"].to_numpy(float)[good], group["lon"].to_numpy(float)[good]
             out = analyse(value[good], lat, lon, place[:, 0], place[:, 1], passes, scale_km)
-        found = pd.DataFrame({"lat": place[:, 0], "lon": place[:, 1], "value": np.full(len(place), np.nan) if out is None else out})
+        names = ["value", "deriv_lat", "deriv_lon"]
+        found = pd.DataFrame({"lat": place[:, 0], "lon": place[:, 1], **dict(zip(names, out, strict=True))})
         for c in times:
             found[c] = group[c].iloc[0]
         found["nstat"], found["qc"] = n, qc
-        found["value"] = found["value"].astype(object).where(found["value"].notna(), None)
-        return found[[*times, "lat", "lon", "value", "nstat", "qc"]]
+        for c in names:
+            found[c] = found[c].astype(object).where(found[c].notna(), None)
+        return found[[*times, "lat", "lon", *names, "nstat", "qc"]]
 
-    return rows.groupBy(*times).applyInPandas(one, f"{fields}, lat double, lon double, value double, nstat int, qc int")
+    return rows.groupBy(*times).applyInPandas(one, f"{fields}, lat double, lon double, value double, deriv_lat double, deriv_lon double, nstat int, qc int")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import bits
-from gridloom.operators import bin_average, grid, nearest
+from gridloom.operators import bin_average, chunks, grid, nearest
+from gridloom.plans.params import Params
 
 #: Transforms that users add by name; they come before the built-in ones.
 REGISTERED: dict[str, Callable[..., DataFrame]] = {}
@@ -52,6 +53,50 @@ def transform(
     raise ValueError(f"no transform is named {method!r}")
 
 
+def target_grid(rows: DataFrame, series: list[str], params: Params, obj: str, dim: str, chunk: float, mapped: DataFrame | None = None) -> DataFrame:
+    """The grid (series, bin, coord) of a dimension. The first of these that there is counts: a mapped coordinate variable (bin, coord, and series columns if
+    they differ), the parameter values, the parameter interval (with start and length, else the extent of the data), the coordinates of the data.
+    """
+    find = lambda name, kind: params.for_dimension(obj, dim, name, kind)
+    listed = find("values", float)
+    if mapped is None and listed is not None:
+        mapped = grid.from_values(rows.sparkSession, listed if isinstance(listed, list) else [listed])
+    if mapped is not None:
+        missing = [s for s in series if s not in mapped.columns]
+        return _for_all(rows, mapped, missing) if missing else mapped.select(*series, "bin", "coord")
+    interval, start, length = find("interval", float), find("start", float), find("length", int)
+    if interval is None:
+        known = rows.select(*series, "coord").where("coord is not null").distinct()
+        return chunks.running_sum(known, series, ["coord"], F.lit(1), "_n", chunk).select(*series, (F.col("_n") - 1).alias("bin"), "coord")
+    whole = float(interval).is_integer() and (start is None or float(start).is_integer())
+    number = (lambda x: int(x)) if whole else float
+    if length is not None and start is not None:
+        return _for_all(rows, grid.regular(rows.sparkSession, number(start), number(interval), length), series)
+    found = grid.per_series(rows, series, "coord", number(interval), None if start is None else F.lit(number(start)))
+    return found if length is None else found.where(F.col("bin") < length)
+
+
+def by_parameters(rows: DataFrame, series: list[str], params: Params, obj: str, dim: str, *, chunk: float, mapped: DataFrame | None = None) -> DataFrame:
+    """Rows (series, coord, value, qc) onto the grid that parameters describe, by the method that they name or that the intervals suggest.
+
+    Looked up for the object and dimension: transform, width (default: interval), alignment, range, qc_mask, qc_bad, std_bad_max, std_ind_max,
+    goodfrac_bad_min, goodfrac_ind_min, and what target_grid() reads.
+    """
+    find = lambda name, kind, default=None: params.for_dimension(obj, dim, name, kind, default)
+    targets = target_grid(rows, series, params, obj, dim, chunk, mapped)
+    method, interval = find("transform", str), find("interval", float)
+    if method is None:
+        # the middle of the series' sampling intervals is one number
+        steps = grid.sampling_interval(rows, series, "coord", chunk).agg(F.median("interval")).first()[0]
+        method = choose(steps, interval)
+    limits = {name: v for name in ("std_bad_max", "std_ind_max", "goodfrac_bad_min", "goodfrac_ind_min") if (v := find(name, float)) is not None}
+    codes = find("qc_bad", int)
+    return transform(
+        rows, targets, series, method, chunk=chunk, width=find("width", float, interval), alignment=find("alignment", float, 0.5), reach=find("range", float), mask=find("qc_mask", int, 1),
+        bad_codes=codes if codes is None or isinstance(codes, list) else [codes], limits=bin_average.Limits(**limits),
+    )
+
+
 def serial(rows: DataFrame, steps: list[dict], keys: list[str]) -> DataFrame:
     """Transforms several dimensions one after another: each step names its ``dim`` (a column) and has transform()'s arguments.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import bits, metadata, solar, text, times, units
 from gridloom.operators import bin_average, chunks, grid, mapping, nearest, objective, outliers, overlap, qc, retrieve
 from gridloom.operators.chunks import DAY
-from gridloom.plans import datasets, process, transform
+from gridloom.plans import datasets, params, process, transform
 from gridloom.sources import csv_ingest, scratch, store
 from gridloom.streaming import pipelines
 
@@ -220,6 +220,23 @@ def bin_edges(spark, sf_dir):
     return found.withColumn("mid", grid.midpoint(F.col("lo"), F.col("hi")))
 
 
+TWO_HOURS = f"""
+# where no object is named, the dimension's own parameters count
+value:transform = bin_average;
+value:std_bad_max = 20; value:std_ind_max = 10; value:goodfrac_bad_min = 0.5; value:goodfrac_ind_min = 0.9;
+time:interval = {2 * HOUR}; time:start = {START}; time:alignment = 0;
+"""
+
+
+@query(f"""WITH {OBS}, bins AS (SELECT series, bin, ({START} + bin * {2 * HOUR})::DOUBLE AS coord FROM (SELECT series, unnest(generate_series(0, (max(coord) - {START}) // {2 * HOUR})) AS bin FROM obs GROUP BY series)),
+met AS (SELECT series, (coord - {START}) // {2 * HOUR} AS bin, value, qc, 1.0 AS share, 1.0 AS span, 1.0 AS weight FROM obs), {_average_sql('bins', 'met', 'series, bin', _LIMITS).format(columns='series, bin, coord')}""")
+def transform_by_parameters(spark, sf_dir):
+    """Grid, method, bins and limits from the text of parameters."""
+    rows = observations(spark, sf_dir)
+    found = transform.by_parameters(rows, ["series"], params.parse(TWO_HOURS), "value", "time", chunk=DAY)
+    return rounded(found.withColumn("coord", F.col("coord").cast("double")), "value", "value_std", "value_goodfraction")
+
+
 # --- quality checks -----------------------------------------------------------------------------------------------------------
 
 
@@ -735,14 +752,32 @@ def solar_position(spark, sf_dir):
     return rounded(e.select("event_id", *[v.alias(k) for k, v in sun.items()]), *sun)
 
 
-@query()
+_METRES = f"{objective.METRES_PER_DEGREE} * sqrt(pow({{0}}.lat - {{1}}.lat, 2) + pow(({{0}}.lon - {{1}}.lon) * cos(radians(({{0}}.lat + {{1}}.lat) / 2)), 2))"
+
+
+@query(f"""WITH RECURSIVE st AS (
+  SELECT epoch_us(ts) // {6 * HOUR} AS hour, user_id AS station, 36 + user_id % 13 / 10.0::DOUBLE AS lat, -98 + user_id % 17 / 10.0::DOUBLE AS lon, avg(value) AS v, user_id % 11 = 0 AS bad FROM events GROUP BY 1, 2),
+good AS (SELECT *, count(*) OVER (PARTITION BY hour) AS n FROM st WHERE NOT bad),
+pairs AS (SELECT *, w / sum(w) OVER (PARTITION BY hour, i) AS share FROM (
+  SELECT a.hour, a.station AS i, a.v, b.station AS j, exp(-pow({_METRES.format('a', 'b')} / 100000, 2)) AS w FROM good a JOIN good b USING (hour) WHERE a.n >= 15)),
+passes AS (
+  SELECT hour, station, v AS c, 1 AS k FROM good WHERE n >= 15
+  UNION ALL SELECT p.hour, p.i, sum(CASE WHEN p.i = p.j THEN q.c END) + any_value(p.v) - sum(p.share * q.c), any_value(q.k) + 1
+  FROM passes q JOIN pairs p ON p.hour = q.hour AND p.j = q.station WHERE q.k < 16 GROUP BY p.hour, p.i),
+places AS (SELECT unnest([36.2, 36.6, 37.0])::DOUBLE AS lat, unnest([-97.7, -97.2, -96.8])::DOUBLE AS lon),
+onto AS (SELECT g.lat, g.lon, a.hour, p.c, exp(-pow({_METRES.format('g', 'a')} / 100000, 2)) AS w FROM places g, good a JOIN passes p ON p.hour = a.hour AND p.station = a.station AND p.k = 16),
+field AS (SELECT hour, lat, lon, sum(w * c) / sum(w) AS value FROM onto GROUP BY ALL),
+hours AS (SELECT hour, count(*) AS n_all, count(*) FILTER (NOT bad) AS n FROM st GROUP BY 1)
+SELECT hour, lat, lon, round(value, 6) AS value, n::INTEGER AS nstat, (CASE WHEN n < 15 THEN CASE WHEN n = 0 THEN 257 ELSE 33 END WHEN n < n_all THEN 32 ELSE 0 END)::INTEGER AS qc
+FROM hours CROSS JOIN places LEFT JOIN field USING (hour, lat, lon)""")
 def objective_analysis(spark, sf_dir):
-    """Station values of every hour (users as stations) onto a small grid."""
+    """Station values of every six hours (users as stations) onto a small grid."""
     e = table(spark, sf_dir, "events")
     where = e.select(F.floor(times.micros(F.col("ts")) / (6 * HOUR)).alias("hour"), F.col("user_id").alias("station"), "value")
     rows = where.groupBy("hour", "station").agg(F.avg("value").alias("value"))
     rows = rows.select("hour", "station", (36 + F.col("station") % 13 / 10.0).alias("lat"), (-98 + F.col("station") % 17 / 10.0).alias("lon"), "value", F.when(F.col("station") % 11 == 0, 1).otherwise(0).alias("qc"))
-    return rounded(objective.objective_analysis(rows, ["hour"], [(36.2, -97.7), (36.6, -97.2), (37.0, -96.8)], min_stations=15), "value")
+    found = objective.objective_analysis(rows, ["hour"], [(36.2, -97.7), (36.6, -97.2), (37.0, -96.8)], min_stations=15)
+    return rounded(found.drop("deriv_lat", "deriv_lon"), "value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
