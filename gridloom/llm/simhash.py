@@ -79,6 +79,22 @@ def _popcount(values: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values)
 
 
+def within(differ: np.ndarray, segments: tuple[tuple[int, int], ...], distance: int) -> np.ndarray:
+    """Which differences of fingerprints have ``distance`` or fewer bits: first, from some segment of the ring on, all chains keep their
+    cumulative budgets (distance / segments for each segment); then the full count decides."""
+    counts = [_popcount(differ & np.uint64(((1 << width) - 1) << first)).astype(np.int64) for first, width in segments]
+    n, keep = len(segments), np.zeros(len(differ), bool)
+    for ring in range(n):
+        chain, ok = np.zeros(len(differ), np.int64), np.ones(len(differ), bool)
+        for length in range(1, n):
+            chain = chain + counts[(ring + length - 1) % n]
+            ok &= chain * n <= length * distance
+        keep |= ok
+    at = np.flatnonzero(keep)
+    keep[at] = _popcount(differ[at]) <= distance
+    return keep
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
