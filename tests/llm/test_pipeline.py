@@ -1,5 +1,9 @@
 import corpus_pipeline
-from gridloom.llm import bpe
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from gridloom.llm import toxicity
+from tests.llm import test_decontamination, test_line_dedup, test_near_dedup, test_toxicity
 
 
 def test_stages_on_odd_rows(spark, sf, odd):
@@ -12,12 +16,20 @@ def test_stages_on_odd_rows(spark, sf, odd):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
 
 
-def test_run_against_the_stages(spark, sf, documents):
+def test_run_against_brute_force(spark, sf, documents, labels):
+    """Every stage by its definition, document by document: only the fitted toxicity model is the operator's own."""
     rows = corpus_pipeline.run(spark, sf).collect()
-    assert len({r["doc_id"] for r in rows}) == len(rows)
-    docs = documents
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-    tool = bpe.codec(__import__("public_tokenizers").path(corpus_pipeline.VOCABULARY))
-    want = {r["doc_id"]: tool.library.encode(r["text"], add_special_tokens=False).ids for r in docs.collect()}
-    assert {r["doc_id"]: r["ids"] for r in rows} == want
+    assert rows[0].__fields__ == ["doc_id", "lang", "source", "ids"]
+    held = {r["doc_id"]: r for r in documents.collect()}
+    model = toxicity.train_model(documents, labels)
+    texts = {d: r["text"] for d, r in sorted(held.items()) if test_toxicity.brute_score(model, r["text"])[0] < toxicity.THRESHOLD}
+    texts = {d: text for d, (text, _) in test_line_dedup.brute(list(texts.items())).items()}
+    texts = {d: texts[d] for d in test_near_dedup.brute_kept(list(texts.items()))}
+    items = [(r["item_id"], test_decontamination.dec.words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    found = {d for d, *_ in test_decontamination.every_pair([(d, test_decontamination.dec.words(t)) for d, t in texts.items()], items)}
+    texts = {d: t for d, t in texts.items() if d not in found}
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    library.no_padding()
+    library.no_truncation()
+    want = {d: (held[d]["lang"], held[d]["source"], library.encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
+    assert {r["doc_id"]: (r["lang"], r["source"], r["ids"]) for r in rows} == want and len(rows) == len(want) < len(held)
