@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import bits, metadata, solar, text, times, units
 from gridloom.operators import bin_average, chunks, grid, mapping, nearest, objective, outliers, overlap, qc, retrieve
 from gridloom.operators.chunks import DAY
-from gridloom.plans import datasets, params, process, transform
+from gridloom.plans import datasets, ingest, params, process, transform
 from gridloom.sources import csv_ingest, scratch, store
 from gridloom.streaming import pipelines
 
@@ -682,6 +682,33 @@ def process_run(spark, sf_dir):
     return rounded(store.read(spark, path), "speed")
 
 
+@query("""SELECT epoch_us(date_trunc('second', ts)) AS t, event_id AS record, round(value * 9 / 5 + 32, 6) AS temperature, (CASE WHEN value * 9 / 5 + 32 > 150 THEN 4 ELSE 0 END)::INTEGER AS qc_temperature FROM events WHERE event_id % 13 <> 0""")
+def csv_ingest_process(spark, sf_dir):
+    """Raw files with header lines and broken records, ingested twice: what is stored already isn't stored again."""
+    e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d"), F.date_format("ts", "HH:mm:ss").alias("h"), "value")
+    line = F.concat_ws(",", "d", "h", "value", "event_id")
+    line = F.when(F.col("event_id") % 13 == 0, F.concat(line, F.lit(",?"))).otherwise(line).alias("value")
+    path, raw = scratch.folder(spark, "ingested"), scratch.folder(spark, "raw")
+    for k in range(2):
+        rows = e.where(F.col("event_id") % 2 == k).select(F.lit(1).alias("o"), line)
+        head = spark.createDataFrame([(0, "Date,Time,Temp,Record")], "o int, value string")
+        head.unionByName(rows).coalesce(1).select("value").write.text(f"{raw}/{k}")
+    conf = csv_ingest.parse_conf(HEADED_CONF)
+    conf.file_patterns = ("part-.*[.]txt",)
+    attributes = {"valid_max": 150.0}
+    target = mapping.Target("temperature", "temperature", "double", "degC", "degF")
+
+    class Mine(ingest.CsvIngest):
+        def filtered(self, name, rows):
+            return super().filtered(name, metadata.with_attributes(rows, "temperature", **attributes))
+
+    process_of = Mine(spark, conf, process.Output(path, ["t", "record"], [target], standard_checks=True, split_mode="months"))
+    for part in (f"{raw}/0", f"{raw}/*", f"{raw}/1"):
+        process_of.ingest(part)
+    found = store.read(spark, path).select("t", F.col("record").cast("long").alias("record"), "temperature", "qc_temperature")
+    return rounded(found, "temperature")
+
+
 @query("SELECT event_id, epoch_us(ts) AS t, event_type, value FROM events")
 def csv_roundtrip(spark, sf_dir):
     """Samples written as delimited text, split by month, and read again."""
