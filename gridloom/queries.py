@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import bits, metadata, solar, text, times, units
 from gridloom.operators import bin_average, chunks, grid, mapping, nearest, objective, outliers, overlap, qc, retrieve
 from gridloom.operators.chunks import DAY
-from gridloom.plans import datasets, ingest, params, process, transform
+from gridloom.plans import datasets, ingest, params, process, retriever, transform
 from gridloom.sources import csv_ingest, scratch, store
 from gridloom.streaming import pipelines
 
@@ -440,6 +440,26 @@ def retrieve_prioritised(spark, sf_dir):
     return rounded(retrieve.prioritised([first, second, rows.withColumn("value", F.col("value") * 3)], ["series"], "value"), "value").select("series", "coord", "value", "source")
 
 
+@query("""WITH a AS (SELECT event_type AS series, epoch_us(ts) AS t, CASE WHEN event_type <> 'view' THEN value * 9 / 5 + 32 END AS temperature, event_id % 4 AS qc_temperature, 'best' AS source FROM events WHERE event_type <> 'click'),
+b AS (SELECT event_type AS series, epoch_us(ts) AS t, value AS temperature, 0 AS qc_temperature, 'other' AS source FROM events),
+f AS (SELECT DISTINCT series FROM a WHERE temperature IS NOT NULL), u AS (SELECT * FROM a SEMI JOIN f USING (series) UNION ALL SELECT * FROM b ANTI JOIN f USING (series))
+SELECT series, t, round(temperature, 6) AS temperature, qc_temperature::INTEGER AS qc_temperature, NULL::SMALLINT AS humidity, 1::INTEGER AS qc_humidity, source FROM u""")
+def retriever_groups(spark, sf_dir):
+    """A declared group of two sources with other names and units; one of them lacks a series, and values of another."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), times.micros(F.col("ts")).alias("t"), "event_id", "value")
+
+    def best(s):
+        rows = e.where("series <> 'click'").select("series", "t", F.when(F.col("series") != "view", F.col("value")).alias("temp_c"), (F.col("event_id") % 4).alias("qc_temp_c"))
+        return metadata.with_attributes(rows, "temp_c", units="degC")
+
+    def other(s):
+        return metadata.with_attributes(e.select("series", "t", F.col("value").alias("temp")), "temp", units="degF")
+
+    wanted = [retriever.Wanted("temperature", ["temp_k", "temp_c", "temp"], "degF", "double"), retriever.Wanted("humidity", ["rh"], "%", "short", required=False)]
+    group = retriever.Group("met", [("none", lambda s: e), ("best", best), ("other", other)], wanted, ["series"])
+    return rounded(retriever.retrieve_group(spark, group, *_days(e, "t")), "temperature")
+
+
 @query("SELECT event_id, value AS temperature FROM events")
 def alternate_names(spark, sf_dir):
     e = table(spark, sf_dir, "events")
