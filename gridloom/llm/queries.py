@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontamination, line_dedup, pii, quality_classifier, quality_rules, rangecoder, simhash, toxicity
+from gridloom.llm import bpe, chat, decontamination, line_dedup, pii, quality_classifier, quality_rules, rangecoder, resampling, simhash, toxicity
 from gridloom.llm.common import held_out, scratch_path, table
 
 
@@ -64,10 +64,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_pii, op3_bpe, op4_token_output, op5_line_dedup, op6_chat_format, op7_quality_rules, op8_simhash, op9_quality_classifier, op10_decontamination)
+    found = (
+        op1_toxicity, op2_pii, op3_bpe, op4_token_output, op5_line_dedup, op6_chat_format, op7_quality_rules, op8_simhash, op9_quality_classifier, op10_decontamination,
+        op11_resampling,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE, "op11_resampling": resampling.ORACLE}
