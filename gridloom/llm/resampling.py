@@ -82,9 +82,9 @@ def count_sql(max_n: int, buckets: int) -> str:
         features = f"""
             SELECT doc, unnest({list(range(1, max_n + 1))}) AS n, unnest([{', '.join(f'f{k}' for k in range(max_n))}]) AS feature FROM (
               SELECT doc, own, {', '.join(f'{x} AS f{k}' for k, x in enumerate(runs))} FROM (
-                SELECT doc, piece, TRUE AS own, unnest({_words('text')}) AS word, unnest(range(len({_words('text')}))) AS at FROM slice
+                SELECT doc, piece, TRUE AS own, unnest({_words('text')}) AS word, unnest(range(len({_words('text')}))) AS nth FROM slice
                 UNION ALL SELECT doc, piece, FALSE, unnest({_words('tail')}), unnest(range(len({_words('tail')}))) FROM slice)
-              WHERE word <> '' WINDOW w AS (PARTITION BY doc, piece ORDER BY own DESC, at))
+              WHERE word <> '' WINDOW w AS (PARTITION BY doc, piece ORDER BY own DESC, nth))
             WHERE own"""
     return f"SELECT doc, n, crc32_of(feature) % {buckets} AS bucket, count(*) AS times FROM ({features}) WHERE feature IS NOT NULL GROUP BY ALL"
 
