@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontamination, line_dedup, pii, quality_classifier, quality_rules, rangecoder, resampling, simhash, structure_repair, toxicity
+from gridloom.llm import bpe, chat, decontamination, embedding_dedup, line_dedup, pii, quality_classifier, quality_rules, rangecoder, resampling, simhash, structure_repair, toxicity
 from gridloom.llm.common import held_out, scratch_path, table
 
 
@@ -72,13 +72,20 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity, op2_pii, op3_bpe, op4_token_output, op5_line_dedup, op6_chat_format, op7_quality_rules, op8_simhash, op9_quality_classifier, op10_decontamination,
-        op11_resampling, op12_structure_repair,
+        op11_resampling, op12_structure_repair, op13_embedding_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE, "op11_resampling": resampling.ORACLE, "op12_structure_repair": structure_repair.ORACLE}
+    return {
+        "op5_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE, "op11_resampling": resampling.ORACLE, "op12_structure_repair": structure_repair.ORACLE,
+        "op13_embedding_dedup": embedding_dedup.ORACLE,
+    }
