@@ -828,8 +828,11 @@ def objective_analysis(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from gridloom import store_queries  # noqa: F401  adds its own to QUERIES
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

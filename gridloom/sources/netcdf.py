@@ -90,8 +90,8 @@ class _Bytes:
         return out
 
 
-def header(data: bytes) -> Header:
-    """The definitions in a file's bytes."""
+def header(data: bytes, whole: int | None = None) -> Header:
+    """The definitions in a file's first bytes; ``whole`` is how many it has, where these are not all."""
     b = _Bytes(data)
     records = b.count()
     names, dims, unlimited = [], {}, None
@@ -114,8 +114,9 @@ def header(data: bytes) -> Header:
     if unlimited is not None:
         if records < 0 or records == 0xFFFFFFFF:
             # written by a stream: as many as the file holds
-            first = min((v.begin for v in held), default=len(data))
-            records = (len(data) - first) // out.stride if out.stride else 0
+            whole = len(data) if whole is None else whole
+            first = min((v.begin for v in held), default=whole)
+            records = (whole - first) // out.stride if out.stride else 0
         out.records = dims[unlimited] = records
     return out
 
