@@ -48,41 +48,61 @@ def time_steps(rows: DataFrame, series: list[str], order: list[str], time: str,
 
 # The limits that standard_checks() reads from a column's attributes, and the bit of each test.
 STANDARD_TESTS = {"missing": 1, "valid_min": 2, "valid_max": 3, "valid_delta": 4, "fail_min": 5, "fail_max": 6, "fail_delta": 7, "warn_min": 8, "warn_max": 9, "warn_delta": 10}
+#: Missing, below valid_min, above valid_max: bits of a value that no step is taken from or to.
+BAD_FOR_STEPS = 7
 
 
-def standard_checks(rows: DataFrame, variables: list[str], series: list[str], order: list[str], chunk: float) -> DataFrame:
+def standard_checks(rows: DataFrame, variables: list[str], series: list[str], order: list[str], chunk: float, before: DataFrame | None = None) -> DataFrame:
     """Adds or extends qc_<variable> by the tests that a variable's attributes ask for: missing values, and minimum, maximum and greatest step
-    of the kinds valid, fail (both bad) and warn (indeterminate). Tests without an attribute set nothing; a missing value fails no other test.
+    of the kinds valid, fail (both bad) and warn (indeterminate). Tests without an attribute set nothing; a missing value fails no other test,
+    and steps from or to a value with one of the bits ``BAD_FOR_STEPS`` aren't judged.
 
+    before: the last earlier row of each series (with its qc columns), which steps are also taken from; it isn't returned.
     All steps are taken by one ordered pass over the rows. Descriptions and assessments of the bits are attributes of qc_<variable>.
     """
     held = {v: metadata.attributes(rows, v) for v in variables}
-    stepped = [v for v in variables if any(f"{k}_delta" in held[v] for k in ("valid", "fail", "warn"))]
+    stepped = [v for v in variables if any(held[v].get(f"{k}_delta", 0) > 0 for k in ("valid", "fail", "warn"))]
     old = {c: metadata.attributes(rows, c) for c in rows.columns}
-    if stepped:
-        rows = previous(rows, series, order, [*stepped, *[c for v in stepped if (c := f"qc_{v}") in rows.columns]], "_before", chunk)
-        for c, values in old.items():
-            rows = rows.withMetadata(c, values)
+    missing = {v: metadata.missing_mask(rows, v) for v in variables}
+    flags, said = {}, {}
     for v in variables:
-        qc = f"qc_{v}"
-        value, missing = F.col(v), metadata.missing_mask(rows, v)
+        qc, value = f"qc_{v}", F.col(v)
         known = F.coalesce(F.col(qc), F.lit(0)) if qc in rows.columns else F.lit(0)
-        flags, said = [known, bits.bit_if(missing, 1)], {"bit_1_description": "value is missing", "bit_1_assessment": "Bad"}
+        parts, said[v] = [known, bits.bit_if(missing[v], 1)], {"bit_1_description": "value is missing", "bit_1_assessment": "Bad"}
         for kind in ("valid", "fail", "warn"):
-            tests = {"min": lambda limit: value < limit, "max": lambda limit: value > limit, "delta": lambda limit: F.abs(value - F.col(f"_before.{v}")) > limit}
-            for what, test in tests.items():
+            for what, test in (("min", lambda limit: value < limit), ("max", lambda limit: value > limit)):
                 limit, bit = held[v].get(f"{kind}_{what}"), STANDARD_TESTS[f"{kind}_{what}"]
-                if limit is None or (what == "delta" and limit <= 0):
-                    continue
-                failed = test(limit) & ~missing
-                if what == "delta":
-                    before = F.col(f"_before.{v}")
-                    failed = failed & before.isNotNull() & ~before.isin(*metadata.missing_values(rows, v))
-                flags.append(bits.bit_if(F.coalesce(failed, F.lit(False)), 1 << (bit - 1)))
-                said |= {f"bit_{bit}_description": f"{kind}_{what} is {limit}", f"bit_{bit}_assessment": "Indeterminate" if kind == "warn" else "Bad"}
-        attributes = {**(metadata.attributes(rows, qc) if qc in rows.columns else {}), **said}
-        rows = rows.withColumn(qc, bits.either(*flags).cast("int")).withMetadata(qc, attributes)
-    return rows.drop("_before")
+                if limit is not None:
+                    parts.append(bits.bit_if(F.coalesce(test(limit) & ~missing[v], F.lit(False)), 1 << (bit - 1)))
+        flags[v] = bits.either(*parts).cast("int")
+    rows = rows.withColumns({f"qc_{v}": flags[v] for v in variables})
+    if stepped:
+        wanted = [c for v in stepped for c in (v, f"qc_{v}")]
+        if before is not None:
+            types = {f.name: f.dataType for f in rows.schema}
+            earlier = before.select(*[F.col(c).cast(types[c]).alias(c) for c in dict.fromkeys([*series, *order, *wanted]) if c in before.columns], F.lit(True).alias("_earlier"))
+            rows = rows.withColumn("_earlier", F.lit(False)).unionByName(earlier, allowMissingColumns=True)
+        rows = previous(rows, series, order, wanted, "_before", chunk)
+        rows = rows.where("not _earlier").drop("_earlier") if before is not None else rows
+        for v in stepped:
+            value, qc, last = F.col(v), F.col(f"qc_{v}"), F.col(f"_before.{v}")
+            fine = ~bits.any_of(qc, BAD_FOR_STEPS) & last.isNotNull() & ~bits.any_of(F.coalesce(F.col(f"_before.qc_{v}"), F.lit(0)), BAD_FOR_STEPS)
+            parts = [qc]
+            for kind in ("valid", "fail", "warn"):
+                limit, bit = held[v].get(f"{kind}_delta"), STANDARD_TESTS[f"{kind}_delta"]
+                if limit is not None and limit > 0:
+                    parts.append(bits.bit_if(F.coalesce(fine & (F.abs(value - last) > limit), F.lit(False)), 1 << (bit - 1)))
+            rows = rows.withColumn(f"qc_{v}", bits.either(*parts).cast("int"))
+        rows = rows.drop("_before")
+    for v in variables:
+        for kind, what in ((k, w) for k in ("valid", "fail", "warn") for w in ("min", "max", "delta")):
+            limit, bit = held[v].get(f"{kind}_{what}"), STANDARD_TESTS[f"{kind}_{what}"]
+            if limit is not None and not (what == "delta" and limit <= 0):
+                said[v] |= {f"bit_{bit}_description": f"{kind}_{what} is {limit}", f"bit_{bit}_assessment": "Indeterminate" if kind == "warn" else "Bad"}
+        old[f"qc_{v}"] = {**old.get(f"qc_{v}", {}), **said[v]}
+    for c, values in old.items():
+        rows = rows.withMetadata(c, values)
+    return rows
 
 
 def nan_to_missing(value: Column, missing: float | None) -> Column:

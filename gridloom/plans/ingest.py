@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,32 +31,51 @@ class CsvIngest(Process):
     def samples_hook(self, samples: DataFrame) -> DataFrame:
         return samples
 
-    def stored(self) -> DataFrame | None:
+    def stored(self, begin: int, end: int) -> DataFrame | None:
+        """The stored samples of [begin, end); only files that reach it are read."""
         spec = self.output_specs[self.name]
-        try:
-            return store.read(self.spark, spec.path, fmt=spec.fmt)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-
-    def ingest(self, path: str) -> dict[str, int]:
-        """Runs over the files under a path; returns how many records were read and rejected, and how many samples were stored."""
+        return store.read(self.spark, spec.path, begin, end, fmt=spec.fmt)
+
+    def rejected(self) -> DataFrame | None:
+        """(file, line, rejected, t) of all records that were rejected so far, t being the time of the ingest."""
+        return store.read(self.spark, f"{self.output_specs[self.name].path}-rejected")
+
+    def ingest(self, path: str, batch: str | None = None) -> dict[str, int]:
+        """Runs over the files under a path; returns how many records were read and rejected, and how many samples were stored.
+
+        A batch that has a name is stored once: run again after a failure, or twice, it adds neither samples nor rejected records.
+        """
+        return self.ingest_lines(self.read_files(path), batch)
+
+    def ingest_lines(self, lines: DataFrame, batch: str | None = None) -> dict[str, int]:
         spec = self.output_specs[self.name]
-        records = self.records_hook(csv_ingest.records(self.read_files(path), self.conf, file="file"))
+        kind = {"mode": spec.split_mode, "interval": spec.split_interval, "start": spec.split_start, "tz_hours": spec.tz_hours, "fmt": spec.fmt}
+        records = self.records_hook(csv_ingest.records(lines, self.conf, file="file"))
         # counted, split and mapped from one place
         records = scratch.written(records, "records")
         counts = records.agg(F.count("*").alias("records"), F.count("rejected").alias("rejected")).first()
-        if counts["rejected"]:
-            records.where("rejected is not null").select("file", "line", "rejected").write.mode("append").parquet(f"{spec.path}-rejected")
         samples = self.samples_hook(csv_ingest.samples(records, self.conf, ["file"]))
-        rows = self.filtered(self.name, mapping.map_outputs(samples, spec.keys, spec.targets, dynamic=spec.dynamic))
-        old = self.stored()
-        if old is not None:
-            types = {f.name: f.dataType for f in rows.schema}
-            rows = overlap.not_stored(rows, old.select(*[F.col(k).cast(types[k]).alias(k) for k in spec.keys]), spec.keys)
-        rows = scratch.written(rows, "samples")
-        n = rows.count()
-        if n:
-            store.write(rows, spec.path, mode=spec.split_mode, interval=spec.split_interval, start=spec.split_start, tz_hours=spec.tz_hours, fmt=spec.fmt)
+        rows = mapping.map_outputs(samples, spec.keys, spec.targets, dynamic=spec.dynamic)
+        extent = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+        n = 0
+        if extent["a"] is not None:
+            self.interval = extent["a"], extent["b"] + 1
+            rows = self.filtered(self.name, rows)
+            old = self.stored(*self.interval)
+            if old is not None:
+                types = {f.name: f.dataType for f in rows.schema}
+                rows = overlap.not_stored(rows, old.select(*[F.col(k).cast(types[k]).alias(k) for k in spec.keys]), spec.keys)
+            rows = scratch.written(rows, "samples")
+            n = rows.count()
+        if counts["rejected"]:
+            # a file that is read again brings no new rejects: file and line tell records apart
+            bad = records.where("rejected is not null").select("file", "line", "rejected")
+            held = self.rejected()
+            if held is not None:
+                bad = overlap.not_stored(bad, held.select("file", "line", "rejected"), ["file", "line", "rejected"])
+            bad = scratch.written(bad.dropDuplicates().withColumn("t", F.unix_micros(F.current_timestamp())), "rejected")
+            if not bad.isEmpty():
+                store.write(bad, f"{spec.path}-rejected", mode="months", batch=batch)
+        if n and not store.write(rows, spec.path, batch=batch, **kind):
+            n = 0
         return {"records": counts["records"], "rejected": counts["rejected"], "stored": n}

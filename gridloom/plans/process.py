@@ -41,6 +41,14 @@ class Output:
     duplicates: str = "fail"
     #: Whether limits among the variables' attributes set quality bits before rows are stored.
     standard_checks: bool = False
+    #: The keys that tell series apart, within which steps of samples are judged; other keys only settle their order.
+    series: list[str] = field(default_factory=list)
+    #: Whether steps are taken from the last stored sample too, so that results don't depend on how the time is cut into intervals.
+    prior_sample: bool = True
+    #: Whether values that aren't finite become the variable's missing value, or null where it has none.
+    filter_nans: bool = False
+    #: Variables that standard checks leave alone.
+    unchecked: list[str] = field(default_factory=list)
     #: Rows at or before this time, or after ``latest``, aren't stored (microseconds; None: no limit).
     earliest: int | None = None
     latest: int | None = None
@@ -99,25 +107,43 @@ class Process:
         """The rows that are stored: without repeated ones, checked, through quality_hook(), and with valid times."""
         spec = self.output_specs[name]
         attributes = {c: metadata.attributes(rows, c) for c in rows.columns}
-        rows = rows.dropDuplicates()
         others = [c for c in rows.columns if c not in spec.keys]
-        if others and spec.duplicates == "first":
-            rows = rows.groupBy(*spec.keys).agg(F.min(F.struct(*others)).alias("_row")).select(*spec.keys, *[F.col(f"_row.`{c}`").alias(c) for c in others])
-        elif others:
+        if spec.filter_nans:
+            floats = [c for c in others if rows.schema[c].dataType.simpleString() in ("float", "double")]
+            missing = {c: next(iter(attributes[c].get(a) for a in ("missing_value", "_FillValue") if a in attributes[c]), None) for c in floats}
+            missing = {c: x[0] if isinstance(x, list) else x for c, x in missing.items()}
+            rows = rows.withColumns({c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(missing[c]).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c in floats})
+        # one shuffle by the keys: rows that repeat all columns are one distinct struct
+        row = F.struct(*others)
+        if not others:
+            rows = rows.dropDuplicates()
+        elif spec.duplicates == "first":
+            rows = rows.groupBy(*spec.keys).agg(F.min(row).alias("_row")).select(*spec.keys, *[F.col(f"_row.`{c}`").alias(c) for c in others])
+        else:
             failing = F.raise_error(F.concat(F.lit(f"{name}: samples with the same keys differ: "), F.to_json(F.struct(*spec.keys))))
-            counted = rows.groupBy(*spec.keys).agg(F.count("*").alias("_n"), F.min(F.struct(*others)).alias("_row"))
-            rows = counted.select(*spec.keys, *[F.when(F.col("_n") == 1, F.col(f"_row.`{c}`")).otherwise(failing.cast(rows.schema[c].dataType)).alias(c) for c in others])
+            counted = rows.groupBy(*spec.keys).agg(F.min(row).alias("_row"), F.max(row).alias("_other"))
+            one = F.col("_row").eqNullSafe(F.col("_other"))
+            rows = counted.select(*spec.keys, *[F.when(one, F.col(f"_row.`{c}`")).otherwise(failing.cast(rows.schema[c].dataType)).alias(c) for c in others])
         for c, held in attributes.items():
             rows = rows.withMetadata(c, held)
         if spec.standard_checks:
-            checked = [c for c in rows.columns if any(metadata.attributes(rows, c).get(f"{k}_{w}") is not None for k in ("valid", "warn", "fail") for w in ("min", "max", "delta"))]
-            series = [k for k in spec.keys if k != "t"]
-            rows = qc.standard_checks(rows, checked, series, ["t"], DAY)
+            limits = [f"{k}_{w}" for k in ("valid", "warn", "fail") for w in ("min", "max", "delta")]
+            checked = [c for c in others if c not in spec.unchecked and any(attributes[c].get(x) is not None for x in limits)]
+            order = ["t", *[k for k in spec.keys if k != "t" and k not in spec.series]]
+            stepped = [c for c in checked if any(attributes[c].get(f"{k}_delta") for k in ("valid", "warn", "fail"))]
+            before = self.prior(spec, rows, order, stepped) if stepped and spec.prior_sample else None
+            rows = qc.standard_checks(rows, checked, spec.series, order, DAY, before)
         rows = self.quality_hook(name, rows)
         if spec.earliest is not None:
             rows = rows.where(F.col("t") > spec.earliest)
         return rows if spec.latest is None else rows.where(F.col("t") <= spec.latest)
 
+    def prior(self, spec: Output, rows: DataFrame, order: list[str], variables: list[str]) -> DataFrame | None:
+        """The last stored sample before the interval, of each series that has rows now, with the quality that it was stored with."""
+        series = rows.select(*spec.series).distinct() if spec.series else None
+        columns = [*spec.series, *order, *[c for v in variables for c in (v, f"qc_{v}")]]
+        return store.last_before(self.spark, spec.path, self.interval[0], series, order, columns, fmt=spec.fmt)
+
     def store(self) -> None:
         for name, rows in self.outputs.items():
             spec = self.output_specs[name]

@@ -641,9 +641,10 @@ def csv_header_lines(spark, sf_dir):
     return found.select(F.col("cells")["Record"].cast("long").alias("event_id"), "t", F.col("cells")["Temp"].cast("double").alias("temperature"), F.col("cells")["Remark"].alias("remark"))
 
 
-@query(f"""WITH {OBS}, v AS (SELECT *, CASE WHEN value IS NULL THEN -9999 ELSE value END AS x FROM obs), p AS (SELECT *, lag(x) OVER (PARTITION BY series ORDER BY coord, event_id) AS px FROM v)
-SELECT event_id, (CASE WHEN x = -9999 THEN 1 ELSE CASE WHEN x < 2 THEN 2 ELSE 0 END | CASE WHEN x > 95 THEN 4 ELSE 0 END | CASE WHEN px <> -9999 AND abs(x - px) > 40 THEN 8 ELSE 0 END
-  | CASE WHEN x > 60 THEN 256 ELSE 0 END | CASE WHEN px <> -9999 AND abs(x - px) > 20 THEN 512 ELSE 0 END END)::INTEGER AS qc_value FROM p""")
+@query(f"""WITH {OBS}, v AS (SELECT *, CASE WHEN value IS NULL THEN -9999 ELSE value END AS x FROM obs), f AS (SELECT *, x = -9999 OR x < 2 OR x > 95 AS bad FROM v),
+p AS (SELECT *, lag(x) OVER w AS px, NOT bad AND NOT lag(bad) OVER w AS fine FROM f WINDOW w AS (PARTITION BY series ORDER BY coord, event_id))
+SELECT event_id, (CASE WHEN x = -9999 THEN 1 ELSE CASE WHEN x < 2 THEN 2 ELSE 0 END | CASE WHEN x > 95 THEN 4 ELSE 0 END | CASE WHEN fine AND abs(x - px) > 40 THEN 8 ELSE 0 END
+  | CASE WHEN x > 60 THEN 256 ELSE 0 END | CASE WHEN fine AND abs(x - px) > 20 THEN 512 ELSE 0 END END)::INTEGER AS qc_value FROM p""")
 def standard_checks(spark, sf_dir):
     """All tests that a variable's attributes ask for."""
     rows = observations(spark, sf_dir, "event_id").drop("qc").withColumn("value", F.coalesce("value", F.lit(-9999.0)))

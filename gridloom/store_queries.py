@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import metadata, times
+from gridloom.operators import chunks
+from gridloom.plans import process
 from gridloom.queries import query, table
-from gridloom.sources import array_source, scratch
+from gridloom.sources import array_source, scratch, store
 
 
 @query("SELECT vec_id, label, len(embedding) AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings WHERE label >= 3 AND vec_id > 40")
@@ -17,3 +21,57 @@ def array_files_roundtrip(spark, sf_dir):
     rows.repartition(4, "vec_id").sortWithinPartitions("vec_id").write.format(array_source.NAME).option("dim", "row").mode("append").save(path)
     back = array_source.load(spark, path, ["vec_id", "label", "embedding"], [("label", ">=", 3), ("vec_id", ">", 40)], dim="row", nulls="true")
     return back.select("vec_id", "label", F.size("embedding").alias("n"), F.col("embedding")[0].alias("first"), F.element_at("embedding", -1).alias("last"))
+
+
+def _checked(spark, sf_dir):
+    """Events as samples whose steps of more than 40 are bad, and those below 2."""
+    e = table(spark, sf_dir, "events").select(times.micros(F.col("ts")).alias("t"), "event_id", F.col("event_type").alias("series"), "value")
+    return metadata.with_attributes(e, "value", valid_min=2.0, valid_delta=40.0, missing_value=-9999.0)
+
+
+class _Stored(process.Process):
+    """Stores its input as it is."""
+
+    rows: DataFrame
+
+    def retrieve(self, begin, end):
+        self.inputs = {"out": self.rows.where((F.col("t") >= begin) & (F.col("t") < end))}
+
+    def map_outputs(self, begin, end):
+        self.outputs = dict(self.transformed)
+
+
+@query("""WITH e AS (SELECT epoch_us(ts) AS t, event_id, event_type AS series, value FROM events),
+p AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY t, event_id) AS before FROM e),
+q AS (SELECT event_id, (CASE WHEN value < 2 THEN 2 WHEN before >= 2 AND abs(value - before) > 40 THEN 8 ELSE 0 END)::INTEGER AS qc FROM p)
+SELECT event_id, qc AS qc_1, qc AS qc_2, qc AS qc_7 FROM q""")
+def process_checks(spark, sf_dir):
+    """The same process over one, two and seven intervals: steps are judged across them, from the last sample that each series has in the store."""
+    rows = _checked(spark, sf_dir)
+    begin, end = rows.agg(F.min("t"), F.max("t") + 1).first()
+    found = None
+    for parts in (1, 2, 7):
+        out = process.Output(scratch.folder(spark, "checked"), ["t", "event_id", "series"], [], standard_checks=True, series=["series"], split_mode="months")
+        one = _Stored(spark, {}, {"out": out})
+        one.rows = rows
+        length = -(-(end - begin) // parts)
+        one.run(begin, begin + parts * length, length)
+        own = store.read(spark, out.path).select("event_id", F.col("qc_value").alias(f"qc_{parts}"))
+        found = own if found is None else found.join(own, "event_id", "full")
+    return found
+
+
+@query("""WITH e AS (SELECT epoch_us(ts) AS t, event_id, event_type, value, date_trunc('day', ts) AS d FROM events), b AS (SELECT min(d) AS d FROM e)
+SELECT t, event_id, CASE WHEN e.d >= b.d + INTERVAL 3 DAY AND e.d < b.d + INTERVAL 6 DAY THEN value * 2 ELSE value END AS value FROM e, b
+WHERE NOT (e.d >= b.d + INTERVAL 3 DAY AND e.d < b.d + INTERVAL 6 DAY AND (event_type = 'click' OR e.d = b.d + INTERVAL 4 DAY))""")
+def reprocess_interval(spark, sf_dir):
+    """Three days in the middle of stored months are processed again, with other values and fewer rows, none on one day: the rerun leaves exactly its own rows there."""
+    e = table(spark, sf_dir, "events").select(times.micros(F.col("ts")).alias("t"), "event_id", "event_type", "value")
+    begin, end = e.agg(F.min("t"), F.max("t")).first()
+    first = begin // chunks.DAY * chunks.DAY
+    p = _Stored(spark, {}, {"out": process.Output(scratch.folder(spark, "reprocessed"), ["t", "event_id"], [], split_mode="months")})
+    p.rows = e
+    p.run(first, end + 1, end + 1 - first)
+    p.rows = e.where(F.col("event_type") != "click").where(~F.col("t").between(first + 4 * chunks.DAY, first + 5 * chunks.DAY - 1)).withColumn("value", F.col("value") * 2)
+    p.run(first + 3 * chunks.DAY, first + 6 * chunks.DAY, 3 * chunks.DAY)
+    return store.read(spark, p.output_specs["out"].path).select("t", "event_id", "value")
