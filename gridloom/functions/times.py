@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column
@@ -170,3 +171,8 @@ def parse_split(text: str) -> tuple[str, int]:
     if not m:
         raise ValueError(f"{text!r} is no output interval")
     return f"{m[2]}s", int(m[1])
+
+
+def stamp(micros: int) -> str:
+    """A time as yyyymmdd.hhmmss, for names of files."""
+    return (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)).strftime("%Y%m%d.%H%M%S")

@@ -20,6 +20,8 @@ class CsvIngest(Process):
     def __init__(self, spark: SparkSession, conf: csv_ingest.CsvConf, output: Output, name: str = "raw", order: str | None = None):
         super().__init__(spark, {}, {name: output})
         self.conf, self.name, self.order = conf, name, order
+        #: Records of the ingest that ran last, with file, line, cells, t and rejected.
+        self.records: DataFrame | None = None
 
     def read_files(self, path: str) -> DataFrame:
         return csv_ingest.read_lines(self.spark, path, self.conf)
@@ -52,7 +54,7 @@ class CsvIngest(Process):
         kind = {"mode": spec.split_mode, "interval": spec.split_interval, "start": spec.split_start, "tz_hours": spec.tz_hours, "fmt": spec.fmt}
         records = self.records_hook(csv_ingest.records(lines, self.conf, file="file"))
         # counted, split and mapped from one place
-        records = scratch.written(records, "records")
+        self.records = records = scratch.written(records, "records")
         counts = records.agg(F.count("*").alias("records"), F.count("rejected").alias("rejected")).first()
         samples = self.samples_hook(csv_ingest.samples(records, self.conf, ["file"]))
         rows = mapping.map_outputs(samples, spec.keys, spec.targets, dynamic=spec.dynamic)

@@ -76,7 +76,12 @@ def parse_conf(text: str) -> CsvConf:
 def read_lines(spark: SparkSession, path: str, conf: CsvConf | None = None) -> DataFrame:
     """(file, line) of all text files under a path; of those whose names match one of the configuration's patterns, if it has any."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    if conf is None or not conf.file_patterns:
+    return lines if conf is None else of_patterns(lines, conf)
+
+
+def of_patterns(lines: DataFrame, conf: CsvConf) -> DataFrame:
+    """The lines of the files whose names match one of the configuration's patterns, if it has any."""
+    if not conf.file_patterns:
         return lines
     name = F.element_at(F.split("file", "/"), -1)
     return lines.where(F.greatest(*[name.rlike(f"^(?:{p})$") for p in conf.file_patterns], F.lit(False)))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import metadata, times
-from gridloom.operators import chunks
-from gridloom.plans import process
+from gridloom.operators import chunks, mapping
+from gridloom.plans import ingest, process
 from gridloom.queries import query, table
-from gridloom.sources import array_source, scratch, store
+from gridloom.sources import array_source, csv_ingest, scratch, store
+from gridloom.streaming import arrivals
 
 
 @query("SELECT vec_id, label, len(embedding) AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings WHERE label >= 3 AND vec_id > 40")
@@ -75,3 +77,58 @@ def reprocess_interval(spark, sf_dir):
     p.rows = e.where(F.col("event_type") != "click").where(~F.col("t").between(first + 4 * chunks.DAY, first + 5 * chunks.DAY - 1)).withColumn("value", F.col("value") * 2)
     p.run(first + 3 * chunks.DAY, first + 6 * chunks.DAY, 3 * chunks.DAY)
     return store.read(spark, p.output_specs["out"].path).select("t", "event_id", "value")
+
+
+_ARRIVING = """
+HEADER: WHEN, VALUE, EVENT
+FILE_NAME_PATTERNS: part-.*[.]txt
+TIME_COLUMNS:
+  WHEN: %Y-%m-%d %H:%M:%S
+FIELD_MAP:
+  event_id: EVENT
+  value: VALUE
+"""
+
+
+class _LostOnce(arrivals.Arrivals):
+    """Loses the driver in the second batch: all is stored, but the stream hasn't committed."""
+
+    lost = False
+
+    def batch(self, lines, n):
+        super().batch(lines, n)
+        if n == 1 and not self.lost:
+            self.lost = True
+            raise InterruptedError("the driver is lost here on purpose")
+
+
+@query("""SELECT epoch_us(date_trunc('second', ts)) AS t, event_id, value, 'archived' AS state FROM events WHERE event_id % 11 <> 0
+UNION ALL SELECT NULL, event_id, NULL, 'rejected' FROM events WHERE event_id % 11 = 0""")
+def stream_ingest(spark, sf_dir):
+    """Files of raw records ingested as they arrive, in batches of which one is run twice: samples, and records that were rejected, once each; the files end in the archive."""
+    e = table(spark, sf_dir, "events")
+    when = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    line = F.concat_ws(",", F.when(F.col("event_id") % 11 == 0, "never").otherwise(when), "value", "event_id")
+    raw, out = scratch.folder(spark, "arriving"), scratch.folder(spark, "arrived")
+    e.select(line.alias("value")).repartition(6, "value").write.text(raw)
+    output = process.Output(out, ["t", "event_id"], [mapping.Target("value", "value", "double")], split_mode="months")
+
+    class Numbered(ingest.CsvIngest):
+        def samples_hook(self, samples):
+            return samples.withColumn("event_id", F.col("event_id").cast("long"))
+
+    loop = _LostOnce(Numbered(spark, csv_ingest.parse_conf(_ARRIVING), output, "events"), raw, f"{out}-archive", f"{out}-bad", f"{out}-state", most_files=2)
+    try:
+        loop.run()
+    except StreamingQueryException:
+        if not loop.lost:
+            raise
+    loop.run()
+    # the rejected records' lines, as the archive has them
+    bad = loop.process.rejected().select(F.element_at(F.split("file", "/"), -1).alias("name"))
+    files = spark.read.text(f"{out}-archive").where("value like 'never%'").select("value", F.regexp_extract(F.col("_metadata.file_path"), r"raw\.([^/]*)$", 1).alias("name"))
+    counted = bad.groupBy("name").agg(F.count("*").alias("n"))
+    # of each file as many as were rejected, or else none
+    found = files.groupBy("name").agg(F.collect_list(F.element_at(F.split("value", ","), -1).cast("long")).alias("ids")).join(counted, "name").where(F.size("ids") == F.col("n"))
+    rejected = found.select(F.lit(None).cast("long").alias("t"), F.explode("ids").alias("event_id"), F.lit(None).cast("double").alias("value"), F.lit("rejected").alias("state"))
+    return store.read(spark, out).select("t", "event_id", "value", F.lit("archived").alias("state")).unionByName(rejected)
