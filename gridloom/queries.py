@@ -749,8 +749,8 @@ def _stream(spark, sf_dir) -> DataFrame:
 def _finished(spark, stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what there is and reads what it wrote."""
     path = scratch.folder(spark, name)
-    pipelines.sink(stream, lambda rows, n: rows.write.mode("append").parquet(path), f"{path}-state").awaitTermination()
-    return spark.read.parquet(path)
+    pipelines.sink(stream, pipelines.to_folder(path), f"{path}-state").awaitTermination()
+    return spark.read.parquet(path).drop("batch")
 
 
 @query("""WITH w AS (SELECT event_type AS series, date_trunc('hour', ts) AS h, value FROM events)
@@ -775,8 +775,7 @@ SELECT series, epoch_us(ts) AS t, value, (CASE WHEN step <= 0 THEN 16 WHEN step
 def stream_step_checks(spark, sf_dir):
     path = scratch.folder(spark, "steps")
     limits = {"most_delta": 25.0, "least_step": 60.0, "most_step": 7200.0}
-    write = lambda rows, n: rows.write.mode("append").parquet(path)
-    pipelines.start_step_checks(_stream(spark, sf_dir), ["series"], write, f"{path}-last", f"{path}-state", ties=["event_id"], **limits).awaitTermination()
+    pipelines.start_step_checks(_stream(spark, sf_dir), ["series"], pipelines.to_folder(path), f"{path}-last", f"{path}-state", ties=["event_id"], **limits).awaitTermination()
     return spark.read.parquet(path).select("series", F.unix_micros("ts").alias("t"), "value", "qc")
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from gridloom.functions import metadata, times
 from gridloom.operators import chunks, mapping
 from gridloom.plans import ingest, process
-from gridloom.queries import query, table
+from gridloom.queries import HOUR, query, table
 from gridloom.sources import array_source, csv_ingest, scratch, store
-from gridloom.streaming import arrivals
+from gridloom.streaming import arrivals, inputs, pipelines
 
 
 @query("SELECT vec_id, label, len(embedding) AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings WHERE label >= 3 AND vec_id > 40")
@@ -132,3 +132,66 @@ def stream_ingest(spark, sf_dir):
     found = files.groupBy("name").agg(F.collect_list(F.element_at(F.split("value", ","), -1).cast("long")).alias("ids")).join(counted, "name").where(F.size("ids") == F.col("n"))
     rejected = found.select(F.lit(None).cast("long").alias("t"), F.explode("ids").alias("event_id"), F.lit(None).cast("double").alias("value"), F.lit("rejected").alias("state"))
     return store.read(spark, out).select("t", "event_id", "value", F.lit("archived").alias("state")).unionByName(rejected)
+
+
+def _two_inputs(spark, sf_dir, start, name: str):
+    """Clicks and views as two inputs whose files come one a batch, views two batches late; the stream is stopped in the middle and started anew."""
+    e = table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("user"), "event_id", "value", "event_type")
+    low, high = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    path, files = scratch.folder(spark, name), 6
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * files / (high - low + 1)), F.lit(files - 1)).cast("int")
+    parts = e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("part", part)
+    schema = parts.drop("part", "event_type").schema
+
+    def put(kind: str, k: int) -> None:
+        rows = parts.where((F.col("event_type") == kind) & (F.col("part") == k)).drop("part", "event_type")
+        rows.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{path}-{kind}")
+
+    def source(kind: str):
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-{kind}")
+
+    out, last = f"{path}-out", 0
+    for clicks, views in ((3, 1), (files, files - 2)):
+        for kind, n in (("click", clicks), ("view", views)):
+            for k in range(0 if not last else last - (2 if kind == "view" else 0), n):
+                put(kind, k)
+        last = clicks
+        pipelines.sink(start(source("click"), source("view")), pipelines.to_folder(out), f"{path}-state").awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+_INPUTS = """e AS (SELECT ts, epoch_us(ts) AS t, user_id AS user, event_id, value, event_type FROM events), r AS (SELECT min(t) AS low, max(t) AS high FROM e),
+p AS (SELECT e.*, least(floor((t - low) * 6 / (high - low + 1)), 5) AS part FROM e, r),
+clicks AS (SELECT * FROM p WHERE event_type = 'click'), views AS (SELECT * FROM p WHERE event_type = 'view' AND part < 4)"""
+
+
+@query(f"""WITH {_INPUTS},
+c AS (SELECT t // {6 * HOUR} AS k, user % 5 AS station, value FROM clicks),
+v AS (SELECT unnest([t // {6 * HOUR} - 1, t // {6 * HOUR}, t // {6 * HOUR} + 1]) AS k, t, user % 5 AS station, value FROM views),
+w AS (SELECT * FROM v WHERE t >= k * {6 * HOUR} - {2 * HOUR} AND t < (k + 1) * {6 * HOUR} + {HOUR}),
+x AS (SELECT k, station, count(*) FILTER (s = 1) AS n_clicks, count(*) FILTER (s = 2) AS n_views, avg(value) FILTER (s = 1) AS a, max(value) FILTER (s = 2) AS b
+  FROM (SELECT k, station, value, 1 AS s FROM c UNION ALL SELECT k, station, value, 2 FROM w) GROUP BY k, station)
+SELECT k * {6 * HOUR} AS t, station, n_clicks, n_views, round(a, 6) AS clicks_value, b AS views_value FROM x
+WHERE k * {6 * HOUR} <= least((SELECT max(k) FROM c), (SELECT max(k) FROM w)) * {6 * HOUR} - {12 * HOUR}""")
+def stream_two_inputs(spark, sf_dir):
+    """Intervals of six hours of two streams, one wanted from two hours before to one after; those that the slower input has passed by half a day."""
+
+    def start(clicks, views):
+        station = lambda rows: rows.withColumn("station", F.col("user") % 5)
+        both = {"clicks": inputs.Stream(station(clicks), max_wait="12 hours"), "views": inputs.Stream(station(views), "2 hours", "1 hour", "12 hours")}
+        return inputs.intervals(both, ["station"], "6 hours", {"clicks": {"value": F.avg}, "views": {"value": F.max}})
+
+    rows = _two_inputs(spark, sf_dir, start, "intervals")
+    return rows.select(F.unix_micros("begin").alias("t"), "station", "n_clicks", "n_views", F.round("clicks_value", 6).alias("clicks_value"), "views_value")
+
+
+@query(f"""WITH {_INPUTS}
+SELECT c.event_id, v.event_id AS view_id, v.t - c.t AS apart FROM clicks c JOIN views v ON v.user = c.user AND v.t BETWEEN c.t - {6 * HOUR} AND c.t + {HOUR}""")
+def stream_pairs(spark, sf_dir):
+    """Each click with the same user's views from six hours before it to one after, as both arrive."""
+
+    def start(clicks, views):
+        return inputs.paired(inputs.Stream(clicks, max_wait="3 days"), inputs.Stream(views, "6 hours", "1 hour", "3 days"), ["user"])
+
+    rows = _two_inputs(spark, sf_dir, start, "pairs")
+    return rows.select("event_id", F.col("right_event_id").alias("view_id"), (F.unix_micros("right_ts") - F.unix_micros("ts")).alias("apart"))

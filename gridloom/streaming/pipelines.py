@@ -86,3 +86,8 @@ def sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
     """Starts the stream; every micro-batch goes to ``write`` with its number, which makes repeated writes recognisable."""
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def to_folder(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch to a folder of its number, so that one that runs again replaces what it wrote."""
+    return lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
