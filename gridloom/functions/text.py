@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,28 +34,55 @@ def numeric_keys(text: Column) -> list[Column]:
 
 
 def count_delimiters(line: Column, delimiter: str = ",") -> Column:
-    """Delimiters outside double quotes."""
-    bare = F.regexp_replace(line, '"[^"]*"', "")
-    return (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))).cast("int")
+    """Delimiters outside quotes."""
+    return (F.size(_cells(line, delimiter)) - 1).cast("int")
 
 
-#: Stands for a delimiter inside quotes while a line is split.
-_HELD = "\ue000"
+#: A regular expression takes a cell with so many quotes on the stack of its matcher; lines with more are read token by token.
+_MOST_QUOTES = 1000
 
 
-def split_delimited(line: Column, delimiter: str = ",") -> Column:
-    """Fields of a delimited line: quotes hold delimiters, a doubled quote inside them is one, fields are trimmed, a run of spaces counts as one delimiter.
+def _cells(line: Column, delimiter: str) -> Column:
+    """The cells between the delimiters that stand outside quotes, as they are.
 
-    The line is cut at its quotes first and only then at delimiters, so time is linear in its length. What follows the last quote is outside.
+    From left to right a quote, single or double, opens and the next of its kind closes; one that is never closed holds the rest of the line.
     """
+    d = re.escape(delimiter)
+    cut = f"{d}+" if delimiter == " " else d
+    plain = f"[^{d}\"']*+" if len(delimiter) == 1 else f"(?:(?!{d})[^\"'])*+"
+    cell = f"{plain}(?:(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)){plain})*+"
+    # each match takes a delimiter, so none is empty
+    fast = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f"(?s){cut}({cell})"), F.lit(1))
+    quotes = F.length(line) - F.length(F.translate(line, "\"'", ""))
+    tokens = F.split(line, f"(?<=[\"'])|(?=[\"'])|(?<={d})|(?={d})")
+    start = F.struct(F.lit("").alias("quote"), F.lit("").alias("own"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        ends = (s["quote"] == "") & (x == delimiter)
+        if delimiter == " ":
+            # a run of spaces is one delimiter
+            skipped = ends & (s["own"] == "") & (F.size(s["done"]) > 0)
+        else:
+            skipped = F.lit(False)
+        quote = F.when(s["quote"] == "", F.when(x.isin('"', "'"), x).otherwise("")).when(s["quote"] == x, "").otherwise(s["quote"])
+        done = F.when(ends & ~skipped, F.concat(s["done"], F.array(s["own"]))).otherwise(s["done"])
+        return F.struct(quote.alias("quote"), F.when(ends, F.lit("")).otherwise(F.concat(s["own"], x)).alias("own"), done.alias("done"))
+
+    slow = F.aggregate(tokens, start, step, lambda s: F.concat(s["done"], F.array(s["own"])))
+    return F.when(quotes > _MOST_QUOTES, slow).otherwise(fast)
+
+
+def split_delimited(line: Column, delimiter: str = ",") -> Column:
+    """Fields of a delimited line: quotes of either kind hold delimiters, a doubled quote inside double ones is one, fields are trimmed, a run of spaces counts as
+    one delimiter. Quotes around a whole field go; those that are never closed, or stand inside it, stay."""
     line = F.trim(line) if delimiter == " " else line
-    # the pieces are bound once as the argument of a transform over one element
-    joined = F.transform(
-        F.array(F.split(line, '"')),
-        lambda parts: F.array_join(F.transform(parts, lambda x, k: F.when((F.size(parts) - k) % 2 == 1, x).otherwise(F.replace(x, F.lit(delimiter), F.lit(_HELD)))), '"'),
-    )
-    cells = F.split(joined[0], " +" if delimiter == " " else "\\Q" + delimiter + "\\E")
-    return F.transform(cells, lambda x: F.replace(F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"')), F.lit(_HELD), F.lit(delimiter)))
+
+    def bare(x: Column) -> Column:
+        x = F.regexp_replace(x, r"^[\s]+|[\s]+$", "") if delimiter != "\t" else F.trim(x)
+        inner = F.substring(x, F.lit(2), F.length(x) - 2)
+        return F.when((F.length(x) > 1) & x.startswith('"') & x.endswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).when((F.length(x) > 1) & x.startswith("'") & x.endswith("'"), inner).otherwise(x)
+
+    return F.transform(_cells(line, delimiter), bare)
 
 
 def version_parts(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import times, units
 from gridloom.functions.text import split_delimited
 from gridloom.operators import chunks
+from gridloom.sources import multiline
 
 
 @dataclass
@@ -34,13 +35,17 @@ class CsvConf:
     time_columns: dict[str, tuple[str, ...]] = field(default_factory=dict)
     fields: list[FieldMap] = field(default_factory=list)
     time_offset: float = 0.0
+    #: Whether quotes hold line ends, so that a record may have several lines.
+    multiline: bool = False
+    #: Whether a text that is neither a number nor in a variable's table of texts fails the job; else it becomes null.
+    strict_texts: bool = True
 
 
 def parse_conf(text: str) -> CsvConf:
     """Reads 'KEY: value' sections; continuation lines are indented or follow their key.
 
     DELIMITER, HEADER (names; without it the files' own header lines count), FILE_NAME_PATTERNS, FILE_TIME_PATTERNS, TIME_COLUMNS (column: pattern, ...),
-    TIME_OFFSET, and FIELD_MAP with lines 'variable: column, unit, missing[, missing ...]'. # starts a comment.
+    TIME_OFFSET, MULTILINE (yes: quotes hold line ends), and FIELD_MAP with lines 'variable: column, unit, missing[, missing ...]'. # starts a comment.
     """
     sections: dict[str, list[str]] = {}
     key = None
@@ -63,6 +68,7 @@ def parse_conf(text: str) -> CsvConf:
         conf.delimiter = {"space": " ", "tab": "\t", "comma": ","}.get(name.lower(), name.strip("'\""))
     for line in sections.get("TIME_OFFSET", []):
         conf.time_offset = float(line)
+    conf.multiline = any(line.lower() in ("yes", "true", "1") for line in sections.get("MULTILINE", []))
     for line in sections.get("TIME_COLUMNS", []):
         column, _, patterns = line.partition(":")
         conf.time_columns[column.strip()] = tuple(p.strip() for p in patterns.split(",") if p.strip())
@@ -74,9 +80,19 @@ def parse_conf(text: str) -> CsvConf:
 
 
 def read_lines(spark: SparkSession, path: str, conf: CsvConf | None = None) -> DataFrame:
-    """(file, line) of all text files under a path; of those whose names match one of the configuration's patterns, if it has any."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    return lines if conf is None else of_patterns(lines, conf)
+    """(file, line, at) of all text files under a path; of those whose names match one of the configuration's patterns, if it has any.
+
+    at: what orders the lines of a file. Lines end with LF, CR or both; with the configuration's ``multiline`` those inside quotes hold on.
+    """
+    return lines_of(spark.read.text(path), conf)
+
+
+def lines_of(texts: DataFrame, conf: CsvConf | None) -> DataFrame:
+    """The same of a text source's rows, of a stream too (without ``multiline``)."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), at.alias("at"))
+    lines = lines if conf is None else of_patterns(lines, conf)
+    return multiline.joined(lines) if conf is not None and conf.multiline else lines
 
 
 def of_patterns(lines: DataFrame, conf: CsvConf) -> DataFrame:
@@ -91,12 +107,16 @@ def _columns_of_files(rows: DataFrame, conf: CsvConf, file: str) -> DataFrame:
     """(file, _names): the header line of each file, i.e. a line whose cells hold all columns that the configuration needs."""
     needed = {*conf.time_columns, *(f.column for f in conf.fields)}
     heads = rows.where(F.size(F.array_intersect("_cells", F.array(*map(F.lit, sorted(needed))))) == len(needed))
-    return heads.groupBy(F.col(file).alias("_head_of")).agg(F.min("_cells").alias("_names"))
+    # the first of several, where the order of lines is known; later ones are rejected as records
+    first = F.min_by("_cells", "at") if "at" in rows.columns else F.min("_cells")
+    return heads.groupBy(F.col(file).alias("_head_of")).agg(first.alias("_names"))
 
 
-def number(text: Column, f: FieldMap) -> Column:
-    """The number a cell stands for; null if it is empty, listed as missing, or no number."""
+def number(text: Column, f: FieldMap, strict: bool = False) -> Column:
+    """The number a cell stands for; null if it is empty, listed as missing, or no number. strict: a text that a table of texts lacks fails the job."""
     out = text.try_cast("double")
+    if strict and f.texts:
+        out = F.when(out.isNull() & text.isNotNull(), F.raise_error(F.concat(F.lit(f"{f.name}: no number stands for the text "), text)).cast("double")).otherwise(out)
     for said, value in f.texts.items():
         out = F.when(F.lower(text) == said.lower(), F.lit(float(value))).otherwise(out)
     if f.unit and f.out_unit:
@@ -141,18 +161,20 @@ def records(lines: DataFrame, conf: CsvConf, line: str = "line", file: str | Non
     return rows.withColumn("rejected", why).drop("_cells", "_names", "_file_time")
 
 
-def roll_over(rows: DataFrame, keys: list[str], order: str, t: str = "t", *, chunk: float = 100_000) -> DataFrame:
-    """Adds a day to times of day that begin anew within a file (keys): each step back of more than half a day.
+def roll_over(rows: DataFrame, keys: list[str], order: str, t: str = "t", *, part: str = "days", chunk: float = 100_000) -> DataFrame:
+    """Adds a day (``part`` months, years: a month, a year) to times that begin anew within a file (keys): each step back of more than half of one.
 
     order: a number that rises with the records; ``chunk`` of it is windowed at a time, so a long file isn't one task's work.
     """
-    day = 86400 * times.MICROS
+    months = {"days": 0, "months": 1, "years": 12}[part]
+    length = {"days": 1, "months": 31, "years": 366}[part] * 86400 * times.MICROS
     rows = chunks.previous(rows, list(keys), [order], [t], "_before", chunk)
-    back = F.when(F.col(t) - F.col(f"_before.{t}") < -day // 2, 1).otherwise(0)
-    rows = chunks.running_sum(rows.withColumn("_back", back).drop("_before"), list(keys), [order], F.col("_back"), "_days", chunk)
-    return rows.withColumn(t, F.col(t) + F.col("_days") * day).drop("_back", "_days")
+    back = F.when(F.col(t) - F.col(f"_before.{t}") < -length // 2, 1).otherwise(0)
+    rows = chunks.running_sum(rows.withColumn("_back", back).drop("_before"), list(keys), [order], F.col("_back"), "_turns", chunk)
+    later = F.unix_micros(F.timestamp_micros(F.col(t)) + F.make_ym_interval(F.lit(0), F.col("_turns").cast("int") * months)) if months else F.col(t) + F.col("_turns") * length
+    return rows.withColumn(t, later).drop("_back", "_turns")
 
 
 def samples(rows: DataFrame, conf: CsvConf, keys: list[str] = ()) -> DataFrame:
     """(keys, t, variables) of the records that aren't rejected."""
-    return rows.where("rejected is null").select(*keys, "t", *[number(F.col("cells")[f.column], f).alias(f.name) for f in conf.fields])
+    return rows.where("rejected is null").select(*keys, "t", *[number(F.col("cells")[f.column], f, conf.strict_texts).alias(f.name) for f in conf.fields])

@@ -195,3 +195,39 @@ def stream_pairs(spark, sf_dir):
 
     rows = _two_inputs(spark, sf_dir, start, "pairs")
     return rows.select("event_id", F.col("right_event_id").alias("view_id"), (F.unix_micros("right_ts") - F.unix_micros("ts")).alias("apart"))
+
+
+_SPANNING = """
+TIME_COLUMNS:
+  WHEN: %Y-%m-%d %H:%M:%S
+MULTILINE: yes
+FIELD_MAP:
+  value: VALUE
+  event_id: EVENT
+"""
+
+
+@query("""SELECT event_id, epoch_us(date_trunc('second', ts)) AS t, value, CASE WHEN event_id % 3 = 0 THEN 'first, "' || event_type || chr(34) || chr(10) || 'it''s the second' || chr(10) ELSE event_type END AS remark FROM events""")
+def csv_multiline(spark, sf_dir):
+    """Raw files whose quotes hold line ends, delimiters and other quotes, cut into many blocks: whole records, wherever a block ends."""
+    e = table(spark, sf_dir, "events")
+    remark = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"first, ""'), "event_type", F.lit('""\nit\'s the second\n"'))).otherwise(F.col("event_type"))
+    line = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "value", remark, "event_id")
+    path = scratch.folder(spark, "spanning")
+    head = spark.createDataFrame([(0, "WHEN,VALUE,REMARK,EVENT")], "o int, value string")
+    for k in range(2):
+        rows = e.where(F.col("event_id") % 2 == k).select(F.lit(1).alias("o"), line.alias("value"))
+        head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{path}/{k}")
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    # blocks of a sixteenth of the table
+    size = e.count() * 80 // 16
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", max(4096, size))
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        conf = csv_ingest.parse_conf(_SPANNING)
+        lines = csv_ingest.read_lines(spark, f"{path}/*", conf)
+    finally:
+        for c, value in held.items():
+            spark.conf.set(c, value)
+    found = csv_ingest.records(lines, conf, file="file").where("rejected is null")
+    return found.select(F.col("cells")["EVENT"].cast("long").alias("event_id"), "t", F.col("cells")["VALUE"].cast("double").alias("value"), F.col("cells")["REMARK"].alias("remark"))

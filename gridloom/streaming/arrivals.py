@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import times
 from gridloom.plans.ingest import CsvIngest
-from gridloom.sources import csv_ingest, store
+from gridloom.sources import csv_ingest, multiline, store
 from gridloom.streaming import pipelines
 
 
@@ -40,12 +41,12 @@ class Arrivals:
 
     def lines(self) -> DataFrame:
         found = self.spark.readStream.schema("value string").option("maxFilesPerTrigger", self.most_files).text(self.source)
-        found = found.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-        return csv_ingest.of_patterns(found, self.process.conf)
+        return csv_ingest.lines_of(found, dataclasses.replace(self.process.conf, multiline=False))
 
     def batch(self, lines: DataFrame, n: int) -> None:
         """One batch; override it to do more with its rows."""
         self.settle()
+        lines = multiline.joined(lines) if self.process.conf.multiline else lines
         self.process.ingest_lines(lines, f"{self.name}-{n}")
         rows = self.process.records.groupBy("file").agg(
             F.count("*").alias("records"), F.count("rejected").alias("rejected"), F.min(F.when(F.col("rejected").isNull(), F.col("t"))).alias("begin"), F.max(F.when(F.col("rejected").isNull(), F.col("t"))).alias("end")
