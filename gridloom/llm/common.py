@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -40,6 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which may be long after an iterative job has filled the disks with those of its past rounds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/gridloom-{uuid.uuid4().hex}/{tag}"
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_of, bounded_batches, checkpointed, packed, unpacked, utf8_texts
+from gridloom.llm.common import batch_of, bounded_batches, checkpointed, packed, release_shuffles, unpacked, utf8_texts
 
 MAX_DISTANCE = 2
 SHINGLE_WORDS = 3
@@ -151,24 +151,21 @@ def links(fps: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps; no node's neighbours are ever gathered in one row.
+    Alternates large-star and small-star steps until every node but the roots has one neighbour, its root; no node's neighbours are ever
+    gathered in one row. A round moves the edges four times: all its groupings, joins and distinct rows go by one column.
     """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").repartition("u").distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        if low.where("m < u and n > 1").isEmpty():
+            return low.select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
+        low = low.select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition("u").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = checkpointed(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(roots.select("node"), "node", "left_anti")).distinct()
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = checkpointed(small.where("u <> v").repartition("u").distinct())
+        release_shuffles(edges.sparkSession)
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
