@@ -44,6 +44,14 @@ def per_series(rows: DataFrame, series: list[str], coord: str, interval: int, st
     return grid.select(*series, "bin", (F.col("_start") + F.col("bin") * interval).alias("coord"))
 
 
+def from_bounds(rows: DataFrame, bounds: str, bin: str) -> DataFrame:
+    """Adds lo and hi from a bounds variable, a struct or array of two edges in either order; ``bin`` names the bins. Rows without both edges go."""
+    kind = rows.schema[bounds].dataType
+    a, b = (F.col(bounds)[f.name] for f in kind.fields[:2]) if hasattr(kind, "fields") else (F.get(bounds, F.lit(k)) for k in (0, 1))
+    found = rows.withColumns({"lo": F.least(a, b), "hi": F.greatest(a, b)}).withColumn("bin", F.col(bin))
+    return found.where(a.isNotNull() & b.isNotNull())
+
+
 def with_width(rows: DataFrame, coord: str, width: Column | float, alignment: float = 0.5) -> DataFrame:
     """Adds lo and hi: cells of a width, aligned 0 (coordinate in front), 0.5 (in the middle) or 1 (at the back)."""
     width = width if isinstance(width, Column) else F.lit(width)

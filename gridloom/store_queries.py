@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import metadata, times
-from gridloom.operators import chunks, mapping
+from gridloom.operators import bin_average, chunks, grid, mapping
 from gridloom.plans import ingest, process
-from gridloom.queries import HOUR, query, table
+from gridloom.queries import HOUR, OBS, _average_sql, observations, query, rounded, table
 from gridloom.sources import array_source, csv_ingest, scratch, store
 from gridloom.streaming import arrivals, inputs, pipelines
 
@@ -231,3 +231,42 @@ def csv_multiline(spark, sf_dir):
             spark.conf.set(c, value)
     found = csv_ingest.records(lines, conf, file="file").where("rejected is null")
     return found.select(F.col("cells")["EVENT"].cast("long").alias("event_id"), "t", F.col("cells")["VALUE"].cast("double").alias("value"), F.col("cells")["REMARK"].alias("remark"))
+
+
+_LOG_BINS = """bins AS (SELECT series, k AS bin, CASE WHEN k = 0 THEN 0.0 ELSE pow(2.0, k - 1) END::DOUBLE AS lo, pow(2.0, k)::DOUBLE AS hi FROM (SELECT DISTINCT series FROM obs), (SELECT unnest(generate_series(0, 24)) AS k)),
+cells AS (SELECT series, value, qc, (coord - (SELECT min(coord) FROM obs)) / 1000000.0 AS i0, (coord - (SELECT min(coord) FROM obs)) / 1000000.0 + pow(4.0, event_id % 9) AS i1 FROM obs),
+met AS (SELECT series, bin, value, qc, 1.0 AS weight, 1 - greatest(0, (lo - i0) / (i1 - i0)) - greatest(0, (i1 - hi) / (i1 - i0)) AS share,
+  (1 - greatest(0, (lo - i0) / (i1 - i0)) - greatest(0, (i1 - hi) / (i1 - i0))) * (i1 - i0) AS span FROM bins JOIN cells USING (series) WHERE i1 >= lo AND i0 < hi)"""
+
+
+@query(f"WITH {OBS}, {_LOG_BINS}, {_average_sql('bins', 'met', 'series, bin').format(columns='series, bin, lo, hi')}")
+def bin_average_irregular(spark, sf_dir):
+    """Samples that last from a second to 18 hours into bins each twice as wide as the one before, given by a bounds variable."""
+    rows = observations(spark, sf_dir, "event_id")
+    start = rows.agg(F.min("coord")).first()[0]
+    begin = (F.col("coord") - start) / 1_000_000
+    cells = rows.select("series", begin.alias("lo"), (begin + F.pow(F.lit(4.0), F.col("event_id") % 9)).alias("hi"), "value", "qc")
+    edges = F.struct(F.when(F.col("k") == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("k") - 1)).alias("lo"), F.pow(F.lit(2.0), F.col("k")).alias("hi"))
+    bounds = rows.select("series").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long")))).withColumn("bounds", edges)
+    bins = grid.from_bounds(bounds, "bounds", "k").select("series", "bin", "lo", "hi")
+    return rounded(bin_average.average_cells(cells, bins, ["series"]), "value", "value_std", "value_goodfraction")
+
+
+_PROPS = f"""props AS (SELECT series, low + k * {5 * chunks.DAY + 5 * HOUR} AS start, [{6 * HOUR}, {HOUR}, {11 * HOUR}][k + 1] AS width, low + {HOUR // 2} AS origin
+  FROM (SELECT series, min(coord) AS low FROM obs GROUP BY series), (SELECT unnest([0, 1, 2]) AS k)),
+reach AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY series ORDER BY start), (SELECT max(coord) + 1 FROM obs)) AS until FROM props),
+bins AS (SELECT series, greatest(origin + k * width, start) AS lo, least(origin + (k + 1) * width, until) AS hi FROM (
+  SELECT *, unnest(generate_series(floor((start - origin) / width)::BIGINT, ceil((until - origin) / width)::BIGINT - 1)) AS k FROM reach WHERE start < until)),
+met AS (SELECT o.series, lo, value, qc, 1.0 AS share, 1.0 AS span, 1.0 AS weight FROM bins b JOIN obs o ON o.series = b.series AND coord >= lo AND coord < hi)"""
+
+
+@query(f"WITH {OBS}, {_PROPS}, {_average_sql('bins', 'met', 'series, lo').format(columns='series, lo, hi')}")
+def bin_average_by_properties(spark, sf_dir):
+    """Bins of six hours, then of one, then of eleven, cut where the width changes, which is at other times for each series."""
+    rows = observations(spark, sf_dir)
+    end = rows.agg(F.max("coord")).first()[0] + 1
+    k = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(width).alias("width")) for n, width in enumerate((6 * HOUR, HOUR, 11 * HOUR))]))
+    props = rows.groupBy("series").agg(F.min("coord").alias("low")).withColumn("k", k)
+    props = props.select("series", (F.col("low") + F.col("k.n") * (5 * chunks.DAY + 5 * HOUR)).alias("start"), "k.width", (F.col("low") + HOUR // 2).alias("origin"))
+    found = bin_average.average_by_properties(rows, props, ["series"], "coord", end, chunks.DAY)
+    return rounded(found, "value", "value_std", "value_goodfraction")
