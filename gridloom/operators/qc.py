@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,6 +106,70 @@ def standard_checks(rows: DataFrame, variables: list[str], series: list[str], or
     return rows
 
 
+def limits_arrays(values: Column, *, missing: list[float] = (), missing_flags: list[int] = (), low: float | None = None, high: float | None = None, low_flag: int = 4, high_flag: int = 8) -> Column:
+    """limits() of each element of an array, with a flag for each missing value."""
+
+    def flag(x: Column) -> Column:
+        out = F.when(x.isNull(), F.lit(missing_flags[0] if missing_flags else 1))
+        for value, own in zip(missing, missing_flags, strict=True):
+            out = out.when(x == value, F.lit(own))
+        out = out.when(x < low, F.lit(low_flag)) if low is not None else out
+        out = out.when(x > high, F.lit(high_flag)) if high is not None else out
+        return out.otherwise(F.lit(0))
+
+    return F.transform(values, flag)
+
+
+def strides(shape: list[int]) -> list[int]:
+    """How far apart neighbours along each axis are in an array that has its last axis' elements side by side."""
+    out = [1] * len(shape)
+    for k in range(len(shape) - 1, 0, -1):
+        out[k - 1] = out[k] * shape[k]
+    return out
+
+
+def place(index: Column, shape: list[int]) -> list[Column]:
+    """The place along each axis of an element, by its index in such an array."""
+    return [(F.floor(index / step) % n).cast("int") for step, n in zip(strides(shape), shape)]
+
+
+def delta_arrays(rows: DataFrame, series: list[str], order: list[str], value: str, qc: str, shape: list[int], deltas: list[float], flags: list[int], chunk: float, *, bad: int = 7, before: DataFrame | None = None) -> DataFrame:
+    """Sets flags where elements of arrays differ from those before them, along the order of the rows and along each axis, by more than the axis' delta.
+
+    The arrays of ``value``, and those of flags in ``qc``, hold ``shape`` elements of one record, the last axis' side by side. The first delta is for the row before in its
+    series (or the last of ``before``, with the same columns), the next are for the axes of the shape; 0, or none, leaves an axis alone. Elements with a flag of ``bad`` are neither
+    judged nor compared with; arrays of another length than the shape's keep their flags. All axes are judged in one pass over an array.
+    """
+    deltas = [*deltas, *[0.0] * (len(shape) + 1 - len(deltas))]
+    flags = [*flags, *[0] * (len(deltas) - len(flags))]
+    steps, length, columns = strides(shape), math.prod(shape), rows.columns
+    if deltas[0] > 0:
+        if before is not None:
+            rows = rows.withColumn("_earlier", F.lit(False)).unionByName(before.select(*columns).withColumn("_earlier", F.lit(True)))
+        rows = previous(rows, series, order, [value, qc], "_before", chunk)
+        rows = rows.where("not _earlier").drop("_earlier") if before is not None else rows
+    own, held = F.col(value), F.col(qc)
+
+    def judged(x: Column, i: Column) -> Column:
+        known, mark = F.get(held, i), F.lit(0)
+        free = lambda of: (F.coalesce(of, F.lit(0)).bitwiseAND(F.lit(bad)) == 0)
+        for axis, (delta, own_flag) in enumerate(zip(deltas, flags)):
+            if delta <= 0:
+                continue
+            if axis == 0:
+                last, last_flag, there = F.get(F.col(f"_before.{value}"), i), F.get(F.col(f"_before.{qc}"), i), F.col("_before").isNotNull()
+            else:
+                at = i - F.lit(steps[axis - 1])
+                there = place(i, shape)[axis - 1] > 0
+                last, last_flag = (F.get(c, F.greatest(at, F.lit(0))) for c in (own, held))
+            jump = there & free(known) & free(last_flag) & (F.abs(x - last) > delta)
+            mark = mark.bitwiseOR(F.when(jump, F.lit(own_flag)).otherwise(F.lit(0)))
+        return F.coalesce(known, F.lit(0)).bitwiseOR(mark)
+
+    found = F.when((F.size(own) == length) & (F.size(held) == length), F.transform(own, judged)).otherwise(held)
+    return rows.withColumn(qc, found).select(*columns)
+
+
 def nan_to_missing(value: Column, missing: float | None) -> Column:
     """Values that aren't finite become the missing value; they stay if there is none."""
     return value if missing is None else F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(missing)).otherwise(value)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import metadata, times
-from gridloom.operators import bin_average, chunks, grid, mapping
+from gridloom.operators import bin_average, chunks, grid, mapping, qc
 from gridloom.plans import ingest, process
 from gridloom.queries import HOUR, OBS, _average_sql, observations, query, rounded, table
 from gridloom.sources import array_source, csv_ingest, scratch, store
@@ -270,3 +270,17 @@ def bin_average_by_properties(spark, sf_dir):
     props = props.select("series", (F.col("low") + F.col("k.n") * (5 * chunks.DAY + 5 * HOUR)).alias("start"), "k.width", (F.col("low") + HOUR // 2).alias("origin"))
     found = bin_average.average_by_properties(rows, props, ["series"], "coord", end, chunks.DAY)
     return rounded(found, "value", "value_std", "value_goodfraction")
+
+
+@query("""WITH e AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) WHERE label IS NOT NULL),
+f AS (SELECT *, x < -0.25 OR x > 0.3 AS bad FROM e),
+d AS (SELECT *, lag(x) OVER r AS px, lag(bad) OVER r AS pbad, lag(x, 8) OVER a AS ax, lag(bad, 8) OVER a AS abad, CASE WHEN (i - 1) % 8 > 0 THEN lag(x) OVER a END AS bx, lag(bad) OVER a AS bbad
+  FROM f WINDOW r AS (PARTITION BY label, i ORDER BY vec_id), a AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, list((CASE WHEN x < -0.25 THEN 2 WHEN x > 0.3 THEN 4 ELSE 0 END | CASE WHEN NOT bad AND NOT pbad AND abs(x - px) > 0.3 THEN 16 ELSE 0 END
+  | CASE WHEN NOT bad AND NOT abad AND abs(x - ax) > 0.25 THEN 32 ELSE 0 END | CASE WHEN NOT bad AND NOT bbad AND abs(x - bx) > 0.2 THEN 64 ELSE 0 END)::INTEGER ORDER BY i)::VARCHAR AS qc FROM d GROUP BY vec_id""")
+def qc_delta_arrays(spark, sf_dir):
+    """Vectors as records of eight by eight: limits, and steps to the vector before of the same label and along both axes."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    rows = e.withColumn("q", qc.limits_arrays(F.col("v"), low=-0.25, high=0.3, low_flag=2, high_flag=4))
+    found = qc.delta_arrays(rows, ["label"], ["vec_id"], "v", "q", [8, 8], [0.3, 0.25, 0.2], [16, 32, 64], 1000)
+    return found.select("vec_id", F.concat(F.lit("["), F.array_join(F.transform("q", lambda x: x.cast("string")), ", "), F.lit("]")).alias("qc"))
