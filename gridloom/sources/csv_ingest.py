@@ -178,3 +178,40 @@ def roll_over(rows: DataFrame, keys: list[str], order: str, t: str = "t", *, par
 def samples(rows: DataFrame, conf: CsvConf, keys: list[str] = ()) -> DataFrame:
     """(keys, t, variables) of the records that aren't rejected."""
     return rows.where("rejected is null").select(*keys, "t", *[number(F.col("cells")[f.column], f, conf.strict_texts).alias(f.name) for f in conf.fields])
+
+
+def version_of(file: Column, versions: list[tuple[int | None, CsvConf]]) -> Column:
+    """Which configuration (its place in the list) is for a file: of those with a pattern that its name matches, the one that is valid since last at the time in its name.
+
+    A configuration without a time is valid from the beginning, one without patterns for any name; a file whose name tells no time takes the last one. Null if none is for it.
+    """
+    name = F.element_at(F.split(file, "/"), -1)
+    best = F.lit(None).cast("struct<since: bigint, k: int>")
+    for k, (since, conf) in enumerate(versions):
+        fits = F.greatest(*[name.rlike(f"^(?:{p})$") for p in conf.file_patterns], F.lit(False)) if conf.file_patterns else F.lit(True)
+        at = times.first_match(list(conf.file_time_patterns), name) if conf.file_time_patterns else F.lit(None).cast("long")
+        began = F.lit(since if since is not None else -(1 << 62)).cast("long")
+        valid = fits & (at.isNull() | (at >= began))
+        best = F.greatest(best, F.when(valid, F.struct(began.alias("since"), F.lit(k).alias("k"))))
+    return best["k"]
+
+
+def samples_by_version(spark: SparkSession, path: str, versions: list[tuple[int | None, CsvConf]], keys: list[str] = ("file",)) -> tuple[DataFrame, DataFrame]:
+    """(keys, version, t, variables) of the files under a path, each read by the configuration for it, and (file, line, version, rejected) of the records that
+    no sample comes from. A file is read once, by its own configuration; the names of the files come to the driver, as they do for any read."""
+    names = spark.read.format("binaryFile").load(path).select("path").withColumn("version", version_of(F.col("path"), versions))
+    files: dict[int, list[str]] = {}
+    for r in names.where("version is not null").collect():
+        files.setdefault(r["version"], []).append(r["path"])
+    good, bad = [], []
+    for k, own in sorted(files.items()):
+        conf = versions[k][1]
+        found = records(lines_of(spark.read.text(own), conf), conf, file="file").withColumn("version", F.lit(k))
+        good.append(samples(found, conf, [*keys, "version"]))
+        bad.append(found.where("rejected is not null").select("file", "line", "version", "rejected"))
+    if not good:
+        raise ValueError(f"no configuration is for the files of {path}")
+    for rows in (good, bad):
+        while len(rows) > 1:
+            rows.append(rows.pop(0).unionByName(rows.pop(0), allowMissingColumns=True))
+    return good[0], bad[0]

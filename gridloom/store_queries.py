@@ -284,3 +284,37 @@ def qc_delta_arrays(spark, sf_dir):
     rows = e.withColumn("q", qc.limits_arrays(F.col("v"), low=-0.25, high=0.3, low_flag=2, high_flag=4))
     found = qc.delta_arrays(rows, ["label"], ["vec_id"], "v", "q", [8, 8], [0.3, 0.25, 0.2], [16, 32, 64], 1000)
     return found.select("vec_id", F.concat(F.lit("["), F.array_join(F.transform("q", lambda x: x.cast("string")), ", "), F.lit("]")).alias("qc"))
+
+
+_OLD_LAYOUT = """
+HEADER: WHEN, VALUE, EVENT
+FILE_NAME_PATTERNS: met[.].*[.]csv
+FILE_TIME_PATTERNS: met[.]%0Y%0m%0d[.]csv
+TIME_COLUMNS:
+  WHEN: %Y-%m-%d %H:%M:%S
+FIELD_MAP:
+  value: VALUE, degC
+  event_id: EVENT
+"""
+_NEW_LAYOUT = _OLD_LAYOUT.replace("HEADER: WHEN, VALUE, EVENT", "DELIMITER: ;\nHEADER: EVENT, WHEN, VALUE")
+
+
+@query("""SELECT event_id, epoch_us(date_trunc('second', ts)) AS t, value, (CASE WHEN date_trunc('day', ts) >= (SELECT date_trunc('day', min(ts)) + INTERVAL 10 DAY FROM events) THEN 1 ELSE 0 END)::INTEGER AS version FROM events""")
+def csv_conf_versions(spark, sf_dir):
+    """Raw files of five days each, in one layout up to the tenth day and in another one since: each is read by the configuration that is valid at its time."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = e.agg(F.date_trunc("day", F.min("ts")).cast("timestamp").alias("a"), F.max("ts").alias("b")).select(F.unix_micros("a"), F.unix_micros("b")).first()
+    path = scratch.folder(spark, "versions")
+    when, step = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), 5 * chunks.DAY
+    folder = store._Folder(spark, path)
+    for k in range((last - first) // step + 1):
+        line = F.concat_ws(",", when, "value", "event_id") if k < 2 else F.concat_ws(";", "event_id", when, "value")
+        part = F.unix_micros("ts").between(first + k * step, first + (k + 1) * step - 1)
+        e.where(part).select(line.alias("value")).coalesce(1).write.text(f"{path}/made-{k}")
+        for x in folder.files.listStatus(folder.child(f"made-{k}")):
+            if x.getPath().getName().startswith("part-"):
+                folder.files.mkdirs(folder.child("raw"))
+                folder.files.rename(x.getPath(), folder.child(f"raw/met.{times.stamp(first + k * step)[:8]}.csv"))
+    versions = [(None, csv_ingest.parse_conf(_OLD_LAYOUT)), (first + 2 * step, csv_ingest.parse_conf(_NEW_LAYOUT))]
+    rows, _ = csv_ingest.samples_by_version(spark, f"{path}/raw", versions)
+    return rows.select(F.col("event_id").cast("long").alias("event_id"), "t", "value", "version")
