@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions import metadata, times
+from gridloom.functions import bits, metadata, times
 from gridloom.operators import bin_average, chunks, grid, mapping, qc
-from gridloom.plans import ingest, process
-from gridloom.queries import HOUR, OBS, _average_sql, observations, query, rounded, table
+from gridloom.plans import hooks, ingest, process, transform
+from gridloom.queries import HOUR, HOURS, OBS, START, _average_sql, observations, query, rounded, table
 from gridloom.sources import array_source, csv_ingest, scratch, store
 from gridloom.streaming import arrivals, inputs, pipelines
 
@@ -318,3 +319,40 @@ def csv_conf_versions(spark, sf_dir):
     versions = [(None, csv_ingest.parse_conf(_OLD_LAYOUT)), (first + 2 * step, csv_ingest.parse_conf(_NEW_LAYOUT))]
     rows, _ = csv_ingest.samples_by_version(spark, f"{path}/raw", versions)
     return rows.select(F.col("event_id").cast("long").alias("event_id"), "t", "value", "version")
+
+
+@query(f"""WITH e AS (SELECT epoch_us(ts) AS t, event_type AS series FROM events), s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY series ORDER BY t) <= {HOUR} THEN 0 ELSE 1 END AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM s)
+SELECT series, min(t) AS begin_t, max(t) AS end_t, count(*) AS n FROM r GROUP BY series, run""")
+def hook_table_function(spark, sf_dir):
+    """Runs of samples without a gap of over an hour, by a user's table function over ordered partitions, in the hook of a process."""
+
+    class Sessions(_Stored):
+        def process_data_hook(self, begin, end):
+            runs = hooks.apply(self.outputs["out"], hooks.Runs, ["series"], ["t"], keys="series", time="t", gap=HOUR)
+            self.outputs["out"] = runs.withColumnsRenamed({"begin": "t"})
+
+    e = table(spark, sf_dir, "events").select(times.micros(F.col("ts")).alias("t"), F.col("event_type").alias("series"))
+    begin, end = e.agg(F.min("t"), F.max("t")).first()
+    out = process.Output(scratch.folder(spark, "runs"), ["series", "t"], [], split_mode="months")
+    one = Sessions(spark, {}, {"out": out})
+    one.rows = e
+    one.run(begin, end + 1, end + 1 - begin)
+    return store.read(spark, out.path).select("series", F.col("t").alias("begin_t"), F.col("end").alias("end_t"), "n")
+
+
+@query(f"""WITH {OBS}, {HOURS}, g AS (SELECT series, (coord - {START}) // {HOUR} AS bin, value, qc, value IS NOT NULL AND qc & 1 = 0 AS good FROM obs),
+m AS (SELECT series, bin, median(value) FILTER (good) AS v, count(*) AS n, count(*) FILTER (NOT good) AS bad, coalesce(bit_or(qc) FILTER (good), 0) AS q FROM g GROUP BY series, bin)
+SELECT h.series, h.bin, round(v, 6) AS value, (CASE WHEN n IS NULL THEN {bits.OUTSIDE | bits.BAD} ELSE CASE WHEN n = bad THEN {bits.ALL_BAD | bits.BAD} ELSE 0 END | CASE WHEN bad > 0 THEN {bits.SOME_BAD} ELSE 0 END
+  | CASE WHEN q & 2 <> 0 THEN {bits.INDETERMINATE} ELSE 0 END END)::INTEGER AS qc FROM hours h LEFT JOIN m USING (series, bin)""")
+def transform_registered(spark, sf_dir):
+    """Hourly medians by a transform that a user has registered: a grouped-aggregate function over each bin's good values."""
+
+    @F.pandas_udf("double")
+    def median(x: pd.Series) -> float:
+        return float(x.median())
+
+    hooks.register_aggregate("hourly_median", median, HOUR, alignment=0.0)
+    rows = observations(spark, sf_dir)
+    found = transform.transform(rows, grid.per_series(rows, ["series"], "coord", HOUR, start=F.lit(START)), ["series"], "hourly_median", chunk=chunks.DAY)
+    return rounded(found.select("series", "bin", "value", "qc"), "value")
