@@ -79,9 +79,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashed = np.fromiter(map(zlib.crc32, counts), np.int64, len(counts)) & (BUCKETS - 1)
         weight = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
         weight /= max(1e-9, np.sqrt((weight**2).sum()))
+        # words that share a bucket are one feature
+        hashed, inverse = np.unique(hashed, return_inverse=True)
         index += [hashed, BUCKETS + np.arange(_STATS)]
-        value += [weight, np.array(structure(text, counts, len(words)), np.float64)]
-        starts.append(starts[-1] + len(counts) + _STATS)
+        value += [np.bincount(inverse, weight, len(hashed)), np.array(structure(text, counts, len(words)), np.float64)]
+        starts.append(starts[-1] + len(hashed) + _STATS)
     return np.concatenate(index or [np.zeros(0, np.int64)]), np.concatenate(value or [np.zeros(0)]), np.array(starts, np.int64)
 
 
@@ -152,9 +154,7 @@ def train_model(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) ->
             rows = []
             for doc_id, text, label in zip(batch.column(0).to_pylist(), utf8_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 index, value, _ = features([text])
-                # words that share a bucket are one feature
-                where, inverse = np.unique(index, return_inverse=True)
-                rows.append((doc_id, label, where.astype(np.int32), np.bincount(inverse, value).astype(np.float32)))
+                rows.append((doc_id, label, index.astype(np.int32), value.astype(np.float32)))
             yield batch_of(schema, list(zip(*rows, strict=True)) or [[]] * 4)
 
     rows = training_texts(docs, labels, "quality", bound).select(F.col("doc_id").cast("long"), "text", "label")
