@@ -173,6 +173,6 @@ def parse_split(text: str) -> tuple[str, int]:
     return f"{m[2]}s", int(m[1])
 
 
-def stamp(micros: int) -> str:
+def name_stamp(micros: int) -> str:
     """A time as yyyymmdd.hhmmss, for names of files."""
     return (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)).strftime("%Y%m%d.%H%M%S")

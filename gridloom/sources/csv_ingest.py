@@ -88,7 +88,7 @@ def read_lines(spark: SparkSession, path: str, conf: CsvConf | None = None) -> D
 
 
 def lines_of(texts: DataFrame, conf: CsvConf | None) -> DataFrame:
-    """The same of a text source's rows, of a stream too (without ``multiline``)."""
+    """The same of a text source's rows."""
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     lines = texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), at.alias("at"))
     lines = lines if conf is None else of_patterns(lines, conf)

@@ -315,7 +315,7 @@ def csv_conf_versions(spark, sf_dir):
         for x in folder.files.listStatus(folder.child(f"made-{k}")):
             if x.getPath().getName().startswith("part-"):
                 folder.files.mkdirs(folder.child("raw"))
-                folder.files.rename(x.getPath(), folder.child(f"raw/met.{times.stamp(first + k * step)[:8]}.csv"))
+                folder.files.rename(x.getPath(), folder.child(f"raw/met.{times.name_stamp(first + k * step)[:8]}.csv"))
     versions = [(None, csv_ingest.parse_conf(_OLD_LAYOUT)), (first + 2 * step, csv_ingest.parse_conf(_NEW_LAYOUT))]
     rows, _ = csv_ingest.samples_by_version(spark, f"{path}/raw", versions)
     return rows.select(F.col("event_id").cast("long").alias("event_id"), "t", "value", "version")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -41,11 +40,14 @@ class Arrivals:
 
     def lines(self) -> DataFrame:
         found = self.spark.readStream.schema("value string").option("maxFilesPerTrigger", self.most_files).text(self.source)
-        return csv_ingest.lines_of(found, dataclasses.replace(self.process.conf, multiline=False))
+        found = found.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"))
+        return csv_ingest.of_patterns(found, self.process.conf)
 
     def batch(self, lines: DataFrame, n: int) -> None:
         """One batch; override it to do more with its rows."""
         self.settle()
+        # a stream's rows have no numbers, those of a batch do
+        lines = lines.select("file", "line", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at"))
         lines = multiline.joined(lines) if self.process.conf.multiline else lines
         self.process.ingest_lines(lines, f"{self.name}-{n}")
         rows = self.process.records.groupBy("file").agg(
@@ -82,7 +84,7 @@ class Arrivals:
         folder.files.mkdirs(folder.child(f"settled/{last}"))
 
     def new_name(self, file: str, at: int, kind: str) -> str:
-        return f"{self.name}.{times.stamp(at)}.{kind}.{file.rpartition('/')[2]}"
+        return f"{self.name}.{times.name_stamp(at)}.{kind}.{file.rpartition('/')[2]}"
 
     def _move(self, file: str, to: str) -> bool:
         old, new = store._Folder(self.spark, file), store._Folder(self.spark, to)

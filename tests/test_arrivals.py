@@ -92,3 +92,10 @@ def test_an_ingest_of_the_same_files_stores_nothing_twice(spark, tmp_path, arriv
     p.ingest(str(tmp_path / "in") + "/raw1.csv")
     t = int(dt.datetime(2024, 6, 1, 10, tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
     assert read == [(t, t + 1)]
+
+
+def test_records_that_span_lines(spark, tmp_path, arrivals):
+    arrivals.process.conf.multiline, arrivals.process.conf.header = True, ("WHEN", "V", "REMARK")
+    put(tmp_path, "raw0.csv", '2024-01-01 10:00,1,"a\nb"\n2024-01-01 10:10,2,\'c\n\'\n', 1000)
+    assert arrivals.run() == [] and names(tmp_path / "in") == []
+    assert sorted(r["v"] for r in store.read(spark, str(tmp_path / "out")).collect()) == [1.0, 2.0]
