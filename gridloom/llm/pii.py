@@ -349,18 +349,17 @@ class Field:
             at = before[at]
         return found[::-1]
 
-    def sums(self, part: Part) -> tuple[list[float], list[float], float, list[list[float]], list[int]]:
-        """Log sums over all paths: up to and including a segment, after it, in all; and what the gradient needs."""
+    def sums(self, part: Part) -> tuple[list[float], list[float], float]:
+        """Log sums over all paths: up to and including a segment, after it, in all."""
         segments, scores, follow = part.segments, self.scores(part), self.follow.tolist()
         n = len(segments)
         order = sorted(range(n), key=lambda i: segments[i][2])
         ends = [segments[i][2] for i in order]
-        upto, alpha, place = [[-math.inf] * NONE], [0.0] * n, [0] * n
+        upto, alpha = [[-math.inf] * NONE], [0.0] * n
         for m, i in enumerate(order):
             s, k, _, _ = segments[i]
-            place[i] = bisect_right(ends, s, 0, m)
             total = follow[part.left][k]
-            for c, x in enumerate(upto[place[i]]):
+            for c, x in enumerate(upto[bisect_right(ends, s, 0, m)]):
                 if x > -math.inf:
                     total = _add(total, x + follow[c][k])
             alpha[i] = scores[i] + total
@@ -379,11 +378,11 @@ class Field:
             beta[i] = _add(last[k], later[n - bisect_left(starts, e, i)][k])
             row = [_add(x, follow[c][k] + scores[i] + beta[i]) for c, x in enumerate(later[-1])]
             later.append(row)
-        return alpha, beta, total, upto, place
+        return alpha, beta, total
 
     def odds(self, part: Part, of: list[int]) -> list[float]:
         """Posterior log-odds of segments."""
-        alpha, beta, total, _, _ = self.sums(part)
+        alpha, beta, total = self.sums(part)
         inside = [min(alpha[i] + beta[i] - total, -1e-12) for i in of]
         return [x - math.log(-math.expm1(x)) for x in inside]
 
@@ -397,24 +396,68 @@ class Field:
             found += [part.segments[i][:3] for i in chosen]
         return found
 
-    def gradient(self, part: Part, gold: set[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log-likelihood of the path of the gold segments, and its gradients."""
-        alpha, beta, total, upto, place = self.sums(part)
-        scores, follow = self.scores(part), self.follow
-        grad, trans = np.zeros_like(self.weights), np.zeros_like(self.follow)
-        likelihood, last = -total, part.left
-        for i, (_, k, _, x) in enumerate(part.segments):
-            grad[list(x)] -= math.exp(alpha[i] + beta[i] - total)
-            after = scores[i] + beta[i] - total
-            trans[part.left, k] -= math.exp(follow[part.left, k] + after)
-            for c, before in enumerate(upto[place[i]]):
-                if before > -math.inf:
-                    trans[c, k] -= math.exp(before + follow[c, k] + after)
-            if i in gold:
-                grad[list(x)] += 1
-                trans[last, k] += 1
-                likelihood += scores[i] + follow[last, k]
-                last = k
+
+class Examples:
+    """Parts with nothing fixed beside them and the numbers of their true segments, padded to one width, for the gradient of all at once."""
+
+    def __init__(self, examples: list[tuple[Part, set[int]]]):
+        examples = sorted(examples, key=lambda x: -len(x[0].segments))
+        n, width = len(examples), len(examples[0][0].segments)
+        self.sizes = np.array([len(part.segments) for part, _ in examples])
+        self.kind, self.gold = np.zeros((n, width), np.int64), np.zeros((n, width))
+        # by end: which segment it is and how many end where it starts or before; by start: how many start where it ends or after
+        self.order, self.place, self.after = (np.zeros((n, width), np.int64) for _ in range(3))
+        self.steps = np.zeros((NONE + 1, NONE))
+        owner, feature = [], []
+        for p, (part, gold) in enumerate(examples):
+            segments = part.segments
+            order = sorted(range(len(segments)), key=lambda i: segments[i][2])
+            starts, ends = [x[0] for x in segments], [segments[i][2] for i in order]
+            last = NONE
+            for m, i in enumerate(order):
+                self.order[p, m], self.place[p, m] = i, bisect_right(ends, segments[i][0], 0, m)
+            for i, (_, k, e, x) in enumerate(segments):
+                self.kind[p, i], self.after[p, i] = k, len(segments) - bisect_left(starts, e, i)
+                owner += [p * width + i] * len(x)
+                feature += x
+                if i in gold:
+                    self.gold[p, i] = 1
+                    self.steps[last, k] += 1
+                    last = k
+        self.owner, self.feature = np.array(owner, np.int64), np.array(feature, np.int64)
+
+    def gradient(self, field: Field) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of the paths of the true segments, and its gradients."""
+        n, width = self.kind.shape
+        follow, rows = field.follow, np.arange(n)
+        scores = np.bincount(self.owner, field.weights[self.feature], n * width).reshape(n, width)
+        upto, later = (np.full((n, width + 1, NONE), -np.inf) for _ in range(2))
+        alpha, beta = np.zeros((n, width)), np.zeros((n, width))
+        before = np.full((n, width, NONE + 1), -np.inf)
+        for m in range(width):
+            r = rows[: np.count_nonzero(self.sizes > m)]
+            i = self.order[r, m]
+            k = self.kind[r, i]
+            own = follow[:, k].T.copy()
+            own[:, :NONE] += upto[r, self.place[r, m]]
+            before[r, i] = own
+            alpha[r, i] = scores[r, i] + np.logaddexp.reduce(own, axis=1)
+            upto[r, m + 1] = upto[r, m]
+            upto[r, m + 1, k] = np.logaddexp(upto[r, m, k], alpha[r, i])
+        total = np.logaddexp(0.0, np.logaddexp.reduce(upto[rows, self.sizes], axis=1))
+        for m in range(width):
+            r = rows[: np.count_nonzero(self.sizes > m)]
+            i = self.sizes[r] - 1 - m
+            k = self.kind[r, i]
+            beta[r, i] = np.logaddexp(0.0, later[r, self.after[r, i], k])
+            later[r, m + 1] = np.logaddexp(later[r, m], follow[:NONE, k].T + (scores[r, i] + beta[r, i])[:, None])
+        held = np.arange(width) < self.sizes[:, None]
+        share = np.where(held, np.exp(alpha + beta - total[:, None]), 0.0)
+        grad = np.bincount(self.feature, (self.gold - share).ravel()[self.owner], len(field.weights))
+        flow = np.exp(before + (scores + beta - total[:, None])[:, :, None])[held]
+        trans = self.steps.copy()
+        np.subtract.at(trans.T, self.kind[held], flow)
+        likelihood = float((scores * self.gold).sum() + (self.steps * follow).sum() - total.sum())
         return likelihood, grad, trans
 
 
@@ -492,11 +535,10 @@ def fit(stretches: list[str], steps: int = 80, rate: float = 0.5, decay: float =
         field.weights[::PER_KIND] = -10
         return field
     scale = [np.full_like(field.weights, 1e-8), np.full_like(field.follow, 1e-8)]
+    held, shrink = Examples(examples), decay * len(examples) / 100
     for _ in range(steps):
-        grad, trans = -decay * len(examples) / 100 * field.weights, -decay * len(examples) / 100 * field.follow
-        for part, held in examples:
-            _, g, t = field.gradient(part, held)
-            grad, trans = grad + g, trans + t
+        _, grad, trans = held.gradient(field)
+        grad, trans = grad - shrink * field.weights, trans - shrink * field.follow
         for value, slope, total in ((field.weights, grad, scale[0]), (field.follow, trans, scale[1])):
             total += slope**2
             value += rate * slope / np.sqrt(total)

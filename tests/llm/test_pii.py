@@ -49,19 +49,35 @@ def random_field(seed, scale=1.0):
     return field
 
 
+def within(field, path):
+    """The score of a path of one part, whose segments always follow each other."""
+    kinds = [pii.NONE, *(k for _, k, _, _ in path)]
+    return sum(field.weights[list(x)].sum() + field.follow[before, k] for before, (_, k, _, x) in zip(kinds, path))
+
+
 def test_gradient():
     field = random_field(1, 0.3)
-    part = next(pii.parts(TEXT, []))
-    gold = {field.path(part)[0]}
-    base, grad, trans = field.gradient(part, gold)
+    texts = [TEXT, "at 10 [.] 0 [.] 0 [.] 1 today", "or (415) 555-0100 (212) 555-0101"]
+    examples = []
+    for part in (p for text in texts for p in pii.parts(text, [])):
+        examples.append((part, set(random_field(len(examples)).path(part))))
+    assert len({len(part.segments) for part, _ in examples}) > 2 and sum(len(gold) for _, gold in examples) > 2
+    held = pii.Examples(examples)
+    base, grad, trans = held.gradient(field)
     for i in [*np.flatnonzero(grad)[::7]]:
         field.weights[i] += 1e-6
-        assert abs((field.gradient(part, gold)[0] - base) / 1e-6 - grad[i]) < 1e-3
+        assert abs((held.gradient(field)[0] - base) / 1e-6 - grad[i]) < 1e-3
         field.weights[i] -= 1e-6
     for place in itertools.product(range(5), range(4)):
         field.follow[place] += 1e-6
-        assert abs((field.gradient(part, gold)[0] - base) / 1e-6 - trans[place]) < 1e-3
+        assert abs((held.gradient(field)[0] - base) / 1e-6 - trans[place]) < 1e-3
         field.follow[place] -= 1e-6
+    # the likelihood, over every path of each part
+    total = 0.0
+    for part, gold in examples:
+        paths = [within(field, path) for path in every_path(part.segments)]
+        total += within(field, [x for i, x in enumerate(part.segments) if i in gold]) - float(np.logaddexp.reduce(paths))
+    assert abs(base - total) < 1e-9
 
 
 def every_path(segments):
