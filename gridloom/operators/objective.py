@@ -1,17 +1,31 @@
 """Objective analysis of station values onto a latitude-longitude grid by repeated Gaussian corrections.
 
-Each time is one group of at most the number of stations, so the linear algebra of a group is small.
+Each time is first one group of at most the number of stations, whose values are corrected once. The grid is cut into parts of
+``GRID_PART`` points on average; every time then meets every part in a row of its own, so a task holds one time's stations and a part
+of the grid, whatever the size of the grid and the number of times.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.functions import bits
 
 METRES_PER_DEGREE = 111190.0
+GRID_PART = 1024
+#: Keys that times are dealt out over, at least, however few parts a grid has.
+SPREAD = 64
+#: Rows (a time's stations and a part of the grid each) that a Python worker gets at once.
+BATCH_ROWS = 500
+#: Weights between stations and points that are held at once.
+STRIP = 1 << 20
 
 
 def distances(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
@@ -20,58 +34,88 @@ def distances(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.nda
     return METRES_PER_DEGREE * np.hypot(lat1[:, None] - lat2[None, :], (lon1[:, None] - lon2[None, :]) * np.cos(mean))
 
 
-def analyse(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, grid_lat: np.ndarray, grid_lon: np.ndarray, passes: int, scale_km: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grid values after a number of passes, and their slopes along latitude and longitude (per degree); NaN where no station has weight.
-
-    Each pass adds what the weighted means of the stations' values so far leave of the observed ones.
-    """
-    length = scale_km * 1000
-    weights = np.exp(-((distances(lat, lon, lat, lon) / length) ** 2))
+def corrected(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, passes: int, scale_km: float) -> np.ndarray:
+    """Station values after a number of passes, each of which adds what the weighted means of the values so far leave of the observed ones."""
+    weights = np.exp(-((distances(lat, lon, lat, lon) / (scale_km * 1000)) ** 2))
     weights /= weights.sum(axis=1, keepdims=True)
-    corrected = np.zeros(len(values))
+    found = np.zeros(len(values))
     for _ in range(passes):
-        corrected = corrected + values - weights @ corrected
-    onto = np.exp(-((distances(grid_lat, grid_lon, lat, lon) / length) ** 2))
-    total = onto.sum(axis=1)
-    # derivatives of the squared distance: of its latitude part, of the shortening of a degree of longitude, of its longitude part
-    mean = np.radians((grid_lat[:, None] + lat[None, :]) / 2)
-    up, along = grid_lat[:, None] - lat[None, :], grid_lon[:, None] - lon[None, :]
-    scale = (METRES_PER_DEGREE / length) ** 2
-    by_lat = -scale * (2 * up - along**2 * np.sin(2 * mean) * np.radians(0.5)) * onto
-    by_lon = -scale * 2 * along * np.cos(mean) ** 2 * onto
-    with np.errstate(invalid="ignore", divide="ignore"):
-        found = np.where(total > 0, onto @ corrected / total, np.nan)
-        slopes = [np.where(total > 0, (d @ corrected - found * d.sum(axis=1)) / total, np.nan) for d in (by_lat, by_lon)]
-    return found, *slopes
-
-
-def objective_analysis(rows: DataFrame, times: list[str], grid: list[tuple[float, float]], *, passes: int = 16, scale_km: float = 100.0, min_stations: int = 15, mask: int = 1) -> DataFrame:
-    """(times, lat, lon, value, deriv_lat, deriv_lon, nstat, qc) for rows (times, station, lat, lon, value, qc).
-
-    deriv_lat and deriv_lon are the true slopes of the analysed field per degree (some older implementations always give 0).
-    Bad stations are left out: SOME_BAD, or BAD with ALL_BAD or SOME_BAD and no value below ``min_stations`` good ones.
+        found = found + values - weights @ found
+    return found
+
+
+def field(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, grid_lat: np.ndarray, grid_lon: np.ndarray, scale_km: float) -> np.ndarray:
+    """Weighted means of (corrected) station values at points, and their slopes along latitude and longitude (per degree); NaN where no station has weight."""
+    out, strip = [np.zeros((3, 0))], max(1, STRIP // max(1, len(values)))
+    for at in range(0, len(grid_lat), strip):
+        y, x = grid_lat[at : at + strip], grid_lon[at : at + strip]
+        onto = np.exp(-((distances(y, x, lat, lon) / (scale_km * 1000)) ** 2))
+        total = onto.sum(axis=1)
+        # derivatives of the squared distance: of its latitude part, of the shortening of a degree of longitude, of its longitude part
+        mean = np.radians((y[:, None] + lat[None, :]) / 2)
+        up, along = y[:, None] - lat[None, :], x[:, None] - lon[None, :]
+        scale = (METRES_PER_DEGREE / (scale_km * 1000)) ** 2
+        by_lat = -scale * (2 * up - along**2 * np.sin(2 * mean) * np.radians(0.5)) * onto
+        by_lon = -scale * 2 * along * np.cos(mean) ** 2 * onto
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = np.where(total > 0, onto @ values / total, np.nan)
+            slopes = [np.where(total > 0, (d @ values - found * d.sum(axis=1)) / total, np.nan) for d in (by_lat, by_lon)]
+        out.append(np.stack([found, *slopes]))
+    return np.concatenate(out, axis=1)
+
+
+def station_fields(rows: DataFrame, times: list[str], *, passes: int = 16, scale_km: float = 100.0, min_stations: int = 15, mask: int = 1) -> DataFrame:
+    """(times, nstat, qc, lats, lons, values): the good stations of each time with their corrected values; none where they are too few.
+
+    ``rows`` are (times, station, lat, lon, value, qc). Bad stations are left out: SOME_BAD, or BAD with ALL_BAD or SOME_BAD below ``min_stations`` good ones.
     """
-    place = np.array(grid, float).reshape(-1, 2)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*times).schema)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("station", kind="stable")
-        value = group["value"].to_numpy(float)
-        good = np.isfinite(value) & (np.abs(value) < np.finfo(np.float32).max) & ((group["qc"].fillna(0).to_numpy(int) & mask) == 0)
-        n, qc, out = int(good.sum()), 0, [np.full(len(place), np.nan)] * 3
+        place = group[["lat", "lon"]].to_numpy(float, na_value=np.nan)
+        value = group["value"].to_numpy(float, na_value=np.nan)
+        good = np.isfinite(value) & (np.abs(value) < np.finfo(np.float32).max) & np.isfinite(place).all(axis=1) & ((group["qc"].fillna(0).to_numpy(int) & mask) == 0)
+        n, lists = int(good.sum()), [[], [], []]
         if n < min_stations:
             qc = bits.BAD | (bits.ALL_BAD if n == 0 else bits.SOME_BAD)
         else:
             qc = bits.SOME_BAD if n < len(group) else 0
-            lat, lon = group["lat"].to_numpy(float)[good], group["lon"].to_numpy(float)[good]
-            out = analyse(value[good], lat, lon, place[:, 0], place[:, 1], passes, scale_km)
-        names = ["value", "deriv_lat", "deriv_lon"]
-        found = pd.DataFrame({"lat": place[:, 0], "lon": place[:, 1], **dict(zip(names, out, strict=True))})
-        for c in times:
-            found[c] = group[c].iloc[0]
-        found["nstat"], found["qc"] = n, qc
-        for c in names:
-            found[c] = found[c].astype(object).where(found[c].notna(), None)
-        return found[[*times, "lat", "lon", *names, "nstat", "qc"]]
-
-    return rows.groupBy(*times).applyInPandas(one, f"{fields}, lat double, lon double, value double, deriv_lat double, deriv_lon double, nstat int, qc int")
+            lists = [place[good, 0], place[good, 1], corrected(value[good], place[good, 0], place[good, 1], passes, scale_km)]
+        found = {c: [group[c].iloc[0]] for c in times} | {"nstat": [n], "qc": [qc]}
+        return pd.DataFrame(found | {c: [x] for c, x in zip(("lats", "lons", "values"), lists, strict=True)})
+
+    return rows.select(*times, "station", "lat", "lon", "value", "qc").groupBy(*times).applyInPandas(one, f"{fields}, nstat int, qc int, lats array<double>, lons array<double>, values array<double>")
+
+
+def objective_analysis(rows: DataFrame, times: list[str], grid: DataFrame, *, scale_km: float = 100.0, part: int = GRID_PART, **options) -> DataFrame:
+    """(times, lat, lon, value, deriv_lat, deriv_lon, nstat, qc) for rows (times, station, lat, lon, value, qc) at the points (lat, lon) of ``grid``.
+
+    deriv_lat and deriv_lon are the true slopes of the analysed field per degree (some older implementations always give 0). Points without both
+    coordinates are left out, repeated ones stay. The session's Arrow batches are lowered to ``BATCH_ROWS`` rows. ``options`` are those of ``station_fields``; where it finds too few stations, there are no values.
+    """
+    batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(rows.sparkSession.conf.get(batches)) <= BATCH_ROWS:
+        rows.sparkSession.conf.set(batches, BATCH_ROWS)
+    grid = grid.select(F.col("lat").cast("double"), F.col("lon").cast("double")).where("lat is not null and lon is not null")
+    n = max(1, math.ceil(grid.count() / part))
+    salts = max(1, SPREAD // n)
+    parts = grid.groupBy(F.pmod(F.xxhash64("lat", "lon"), F.lit(n)).cast("int").alias("_part")).agg(F.sort_array(F.collect_list(F.struct("lat", "lon"))).alias("_p"))
+    parts = parts.select("_part", F.col("_p.lat").alias("_lats"), F.col("_p.lon").alias("_lons"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    found = station_fields(rows, times, scale_km=scale_km, **options)
+    found = found.withColumns({"_salt": F.pmod(F.xxhash64(*times), F.lit(salts)).cast("int"), "_part": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
+    both = found.join(parts, ["_part", "_salt"]).select(*times, "nstat", "qc", "lats", "lons", "values", "_lats", "_lons")
+    names = ["value", "deriv_lat", "deriv_lon"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*times).schema)
+    kept = [*times, "nstat", "qc"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lats, lons, values, y, x = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("lats", "lons", "values", "_lats", "_lons"))
+                out = field(values, lats, lons, y, x, scale_km) if len(values) else np.full((3, len(y)), np.nan)
+                own = {c: batch.column(c).take(pa.array(np.full(len(y), k))) for c in kept}
+                yield pa.RecordBatch.from_pydict(own | {"lat": pa.array(y), "lon": pa.array(x)} | {c: pa.array(v, mask=np.isnan(v)) for c, v in zip(names, out, strict=True)})
+
+    made = both.mapInArrow(place, f"{fields}, nstat int, qc int, lat double, lon double, value double, deriv_lat double, deriv_lon double")
+    return made.select(*times, "lat", "lon", *names, "nstat", "qc")

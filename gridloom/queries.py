@@ -799,6 +799,7 @@ def solar_position(spark, sf_dir):
     return rounded(e.select("event_id", *[v.alias(k) for k, v in sun.items()]), *sun)
 
 
+_K = f"{(objective.METRES_PER_DEGREE / 100_000) ** 2!r}"
 _METRES = f"{objective.METRES_PER_DEGREE} * sqrt(pow({{0}}.lat - {{1}}.lat, 2) + pow(({{0}}.lon - {{1}}.lon) * cos(radians(({{0}}.lat + {{1}}.lat) / 2)), 2))"
 
 
@@ -811,20 +812,25 @@ passes AS (
   SELECT hour, station, v AS c, 1 AS k FROM good WHERE n >= 15
   UNION ALL SELECT p.hour, p.i, sum(CASE WHEN p.i = p.j THEN q.c END) + any_value(p.v) - sum(p.share * q.c), any_value(q.k) + 1
   FROM passes q JOIN pairs p ON p.hour = q.hour AND p.j = q.station WHERE q.k < 16 GROUP BY p.hour, p.i),
-places AS (SELECT unnest([36.2, 36.6, 37.0])::DOUBLE AS lat, unnest([-97.7, -97.2, -96.8])::DOUBLE AS lon),
-onto AS (SELECT g.lat, g.lon, a.hour, p.c, exp(-pow({_METRES.format('g', 'a')} / 100000, 2)) AS w FROM places g, good a JOIN passes p ON p.hour = a.hour AND p.station = a.station AND p.k = 16),
-field AS (SELECT hour, lat, lon, sum(w * c) / sum(w) AS value FROM onto GROUP BY ALL),
+places AS (SELECT (36 + n_nationkey / 20.0)::DOUBLE AS lat, (-98 + n_nationkey * 7 % 25 / 20.0)::DOUBLE AS lon FROM nation),
+onto AS (SELECT *, -2 * {_K} * ((lat - s_lat) - pow(lon - s_lon, 2) * sin(2 * mid) * radians(0.25)) * w AS dy, -2 * {_K} * (lon - s_lon) * pow(cos(mid), 2) * w AS dx FROM (
+  SELECT g.lat, g.lon, a.lat AS s_lat, a.lon AS s_lon, a.hour, p.c, radians((g.lat + a.lat) / 2) AS mid, exp(-pow({_METRES.format('g', 'a')} / 100000, 2)) AS w
+  FROM places g, good a JOIN passes p ON p.hour = a.hour AND p.station = a.station AND p.k = 16)),
+field AS (SELECT hour, lat, lon, sum(w * c) / sum(w) AS value, sum(dy * c) / sum(w) - sum(w * c) * sum(dy) / pow(sum(w), 2) AS deriv_lat,
+  sum(dx * c) / sum(w) - sum(w * c) * sum(dx) / pow(sum(w), 2) AS deriv_lon FROM onto GROUP BY ALL),
 hours AS (SELECT hour, count(*) AS n_all, count(*) FILTER (NOT bad) AS n FROM st GROUP BY 1)
-SELECT hour, lat, lon, round(value, 6) AS value, n::INTEGER AS nstat, (CASE WHEN n < 15 THEN CASE WHEN n = 0 THEN 257 ELSE 33 END WHEN n < n_all THEN 32 ELSE 0 END)::INTEGER AS qc
+SELECT hour, lat, lon, round(value, 5) AS value, round(deriv_lat, 4) AS deriv_lat, round(deriv_lon, 4) AS deriv_lon, n::INTEGER AS nstat,
+  (CASE WHEN n < 15 THEN CASE WHEN n = 0 THEN 257 ELSE 33 END WHEN n < n_all THEN 32 ELSE 0 END)::INTEGER AS qc
 FROM hours CROSS JOIN places LEFT JOIN field USING (hour, lat, lon)""")
 def objective_analysis(spark, sf_dir):
-    """Station values of every six hours (users as stations) onto a small grid."""
+    """Station values of every six hours (users as stations), and their slopes, onto a grid of points (nations) in parts."""
     e = table(spark, sf_dir, "events")
     where = e.select(F.floor(times.micros(F.col("ts")) / (6 * HOUR)).alias("hour"), F.col("user_id").alias("station"), "value")
     rows = where.groupBy("hour", "station").agg(F.avg("value").alias("value"))
     rows = rows.select("hour", "station", (36 + F.col("station") % 13 / 10.0).alias("lat"), (-98 + F.col("station") % 17 / 10.0).alias("lon"), "value", F.when(F.col("station") % 11 == 0, 1).otherwise(0).alias("qc"))
-    found = objective.objective_analysis(rows, ["hour"], [(36.2, -97.7), (36.6, -97.2), (37.0, -96.8)], min_stations=15)
-    return rounded(found.drop("deriv_lat", "deriv_lon"), "value")
+    points = table(spark, sf_dir, "nation").select((36 + F.col("n_nationkey") / 20).alias("lat"), (-98 + F.col("n_nationkey") * 7 % 25 / 20).alias("lon"))
+    found = objective.objective_analysis(rows, ["hour"], points, min_stations=15)
+    return found.withColumns({"value": F.round("value", 5), "deriv_lat": F.round("deriv_lat", 4), "deriv_lon": F.round("deriv_lon", 4)})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,9 +142,28 @@ def test_objective_analysis(spark):
     stations = [(f"s{k}", 36 + rnd.random() * 2, -98 + rnd.random() * 2) for k in range(20)]
     rows = [(t, s, lat, lon, 3.0 + t if t < 2 else lat, 1 if s == "s3" and t == 1 else 0) for t in range(3) for s, lat, lon in stations] + [(9, *stations[0], 1.0, 0)]
     frame = spark.createDataFrame(rows, "t long, station string, lat double, lon double, value double, qc int")
-    found = objective.objective_analysis(frame, ["t"], [(36.5, -97.5), (37.2, -96.9)], min_stations=15).orderBy("t", "lat").collect()
+    grid = spark.createDataFrame([(36.5, -97.5), (37.2, -96.9)], "lat double, lon double")
+    found = objective.objective_analysis(frame, ["t"], grid, min_stations=15).orderBy("t", "lat").collect()
     got = {(r["t"], r["lat"]): (r["value"], r["nstat"], r["qc"]) for r in found}
     assert abs(got[0, 36.5][0] - 3) < 1e-6 and got[0, 36.5][1:] == (20, 0)
     assert abs(got[1, 37.2][0] - 4) < 1e-6 and got[1, 37.2][1:] == (19, 32)
     assert abs(got[2, 37.2][0] - 37.2) < 0.4
     assert got[9, 36.5] == (None, 1, 1 | 32)
+    # many parts, repeated points and points without a coordinate, times of any type, ties and nulls among stations
+    rows = [("a", "2024-01-01", s, lat, lon, lat * lon, None if s == "s1" else 0) for s, lat, lon in stations] * 2 + [(None, "2024-01-02", "s0", None, 1.0, 2.0, 0), (None, "2024-01-02", "s0", 1.0, 1.0, None, 0)]
+    frame = spark.createDataFrame(rows, "g string, d string, station string, lat double, lon double, value double, qc int").withColumn("d", F.to_timestamp("d"))
+    places = [(36 + rnd.random() * 2, -98 + rnd.random() * 2) for _ in range(57)]
+    grid = spark.createDataFrame([*places, places[0], (None, 1.0)], "lat double, lon double")
+    found = objective.objective_analysis(frame, ["g", "d"], grid, min_stations=15, part=5)
+    rows = found.collect()
+    assert len(rows) == 2 * 58 and found.limit(0).collect() == [] and objective.objective_analysis(frame, ["g", "d"], grid.limit(0)).collect() == []
+    assert {(r["value"], r["nstat"], r["qc"]) for r in rows if r["g"] is None} == {(None, 0, 1 | 256)}
+    lat, lon = np.array([s[1] for s in stations * 2]), np.array([s[2] for s in stations * 2])
+    values = objective.corrected(lat * lon, lat, lon, 16, 100.0)
+    for r in rows:
+        if r["g"]:
+            at = lambda y, x: objective.field(values, lat, lon, np.array([y]), np.array([x]), 100.0)[0, 0]
+            assert abs(r["value"] - at(r["lat"], r["lon"])) < 1e-9
+            # slopes against differences
+            assert abs(r["deriv_lat"] - (at(r["lat"] + 1e-5, r["lon"]) - at(r["lat"] - 1e-5, r["lon"])) / 2e-5) < 1e-3
+            assert abs(r["deriv_lon"] - (at(r["lat"], r["lon"] + 1e-5) - at(r["lat"], r["lon"] - 1e-5)) / 2e-5) < 1e-3
