@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.bits import mask_for
-from gridloom.functions.units import FILLS
+from gridloom.functions.units import FILLS, factors
 
 METRICS = ("std", "goodfraction", "dist", "dist_1", "dist_2", "nstat", "deriv_lat", "deriv_lon")
 
+#: Attributes that say where values come from; they follow a variable to its targets.
+PROVENANCE = ("source_dataset", "source_variable", "cell_transform")
+
 #: Type names of array datasets and the types that hold them here; unsigned ones take the next wider type.
 TYPES = {
     "char": T.StringType(), "byte": T.ByteType(), "short": T.ShortType(), "int": T.IntegerType(), "float": T.FloatType(), "double": T.DoubleType(), "ubyte": T.ShortType(), "ushort": T.IntegerType(), "uint": T.LongType(),
@@ -28,6 +31,16 @@ def with_attributes(rows: DataFrame, column: str, **values) -> DataFrame:
     return rows.withMetadata(column, merged)
 
 
+def in_unit(held: dict, unit: str) -> dict:
+    """Attributes of a column after its values are converted: the unit, limits and steps."""
+    if not held.get("units") or held["units"] == unit:
+        return {**held, "units": unit}
+    scale, offset = factors(held["units"], unit)
+    limits = {f"{k}_{w}": held[f"{k}_{w}"] * scale + offset for k in ("valid", "warn", "fail") for w in ("min", "max") if f"{k}_{w}" in held}
+    steps = {f"{k}_delta": held[f"{k}_delta"] * scale for k in ("valid", "warn", "fail") if f"{k}_delta" in held}
+    return {**held, **limits, **steps, "units": unit}
+
+
 def missing_values(rows: DataFrame, column: str) -> list:
     """missing_value and _FillValue attributes, else the default fill of the type."""
     held = attributes(rows, column)

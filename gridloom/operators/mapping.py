@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import bits, units
-from gridloom.functions.metadata import METRICS
-
+from gridloom.functions.metadata import METRICS, PROVENANCE, in_unit
 
 
 @dataclass
@@ -26,7 +25,7 @@ class Target:
     attributes: dict[str, object] = field(default_factory=dict)
 
 
-def _column(t: Target) -> Column:
+def _column(t: Target, held: dict, dynamic: bool) -> Column:
     out = F.col(t.source)
     if t.source_unit and t.unit:
         out = units.convert(out, t.source_unit, t.unit)
@@ -36,12 +35,14 @@ def _column(t: Target) -> Column:
         out = out.cast(t.kind)
     if t.missing is not None:
         out = F.coalesce(out, F.lit(t.missing).cast(t.kind) if t.kind else F.lit(t.missing))
-    return out.alias(t.name, metadata={**t.attributes, **({"units": t.unit} if t.unit else {}), "source": t.source})
+    inherited = (in_unit(held, t.unit) if t.unit else held) if dynamic else {k: held[k] for k in PROVENANCE if k in held}
+    return out.alias(t.name, metadata={**inherited, **t.attributes, **({"units": t.unit} if t.unit else {}), "source": t.source})
 
 
 def map_outputs(rows: DataFrame, keys: list[str], targets: list[Target], *, dynamic: bool = False) -> DataFrame:
     """Selects the targets with their quality and metric companions.
 
+    Where a variable comes from follows it; its other attributes do so if ``dynamic``, with those of the target before them.
     Targets whose source is absent are left out if ``dynamic``, else they are null; a target without a quality column in the input gets 0.
     """
     out = [F.col(k) for k in keys]
@@ -50,7 +51,7 @@ def map_outputs(rows: DataFrame, keys: list[str], targets: list[Target], *, dyna
             if not dynamic:
                 out += [F.lit(t.missing).cast(t.kind or "double").alias(t.name), F.lit(bits.BAD).alias(f"qc_{t.name}")]
             continue
-        out.append(_column(t))
+        out.append(_column(t, dict(rows.schema[t.source].metadata), dynamic))
         qc = F.coalesce(F.col(f"qc_{t.source}"), F.lit(0)) if f"qc_{t.source}" in rows.columns else F.lit(0)
         out.append((qc if t.roll_up_mask is None else bits.roll_up(qc, t.roll_up_mask)).cast("int").alias(f"qc_{t.name}"))
         out += [F.col(f"{t.source}_{m}").alias(f"{t.name}_{m}") for m in METRICS if f"{t.source}_{m}" in rows.columns]
@@ -72,13 +73,23 @@ def station_view(rows: DataFrame, keys: list[str], separator: str = "@") -> Data
     return rows.select(*keys, F.explode(F.array(*each)).alias("_s")).select(*keys, "_s.*")
 
 
-def compare_schemas(old: DataFrame, new: DataFrame) -> list[tuple[str, str, str]]:
-    """(column, what, detail): added, removed, type or attribute differences, in order of name."""
-    a, b = ({f.name: f for f in x.schema} for x in (old, new))
+#: Attributes that change from run to run without meaning, by column (None: of any column).
+EXCLUDED: dict[str | None, list[str]] = {None: ["history", "source_dataset"], "time": ["units"], "time_bounds": ["units"], "time_offset": ["units"], "base_time": ["string"]}
+
+
+def compare_schemas(old: DataFrame, new: DataFrame, exclude: dict[str | None, list[str]] | None = None, ignore: list[str] = ()) -> list[tuple[str, str, str]]:
+    """(column, what, detail): added, removed, type or attribute differences, in order of name.
+
+    exclude: attributes that aren't compared, by column (None: of all columns), such as ``EXCLUDED``; ignore: columns that aren't compared.
+    """
+    a, b = ({f.name: f for f in x.schema if f.name not in ignore} for x in (old, new))
+    exclude = exclude or {}
     out = [(c, "removed", a[c].dataType.simpleString()) for c in a if c not in b] + [(c, "added", b[c].dataType.simpleString()) for c in b if c not in a]
     for c in a.keys() & b.keys():
         if a[c].dataType != b[c].dataType:
             out.append((c, "type", f"{a[c].dataType.simpleString()} to {b[c].dataType.simpleString()}"))
-        if a[c].metadata != b[c].metadata:
-            out.append((c, "attributes", f"{a[c].metadata} to {b[c].metadata}"))
+        left = {*exclude.get(None, ()), *exclude.get(c, ())}
+        before, after = ({k: v for k, v in x[c].metadata.items() if k not in left} for x in (a, b))
+        if before != after:
+            out.append((c, "attributes", f"{before} to {after}"))
     return sorted(out)

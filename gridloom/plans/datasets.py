@@ -42,11 +42,8 @@ def convert_units(rows: DataFrame, source: str, target: str, only: list[str] | N
             continue
         said = held.get("missing_value", [])
         missing = said if isinstance(said, list) else [said]
-        scale, offset = units.factors(source, target)
-        limits = {k: held[k] * scale + offset for k in ("valid_min", "valid_max", "warn_min", "warn_max", "fail_min", "fail_max") if k in held}
-        delta = {"valid_delta": held["valid_delta"] * scale} if "valid_delta" in held else {}
         column = units.convert(F.col(f.name).cast("double"), source, target, missing=missing)
-        out = out.withColumn(f.name, column.alias(f.name, metadata={**held, **limits, **delta, "units": target}))
+        out = out.withColumn(f.name, column.alias(f.name, metadata=metadata.in_unit(held, target)))
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import metadata, units
 from gridloom.operators import retrieve
+from gridloom.plans import provenance
 
 
 @dataclass
@@ -45,15 +46,18 @@ class Group:
 
 
 def _column(rows: DataFrame, want: Wanted) -> dict:
-    """The variable's column, and its quality column, by the first alternate name that the source has."""
+    """The variable's column with its attributes, and its quality column, by the first alternate name that the source has."""
     for name in want.names or [want.name]:
         if name in rows.columns and (not want.companions or f"qc_{name}" in rows.columns):
             value, held = F.col(name), metadata.attributes(rows, name)
             if want.unit and held.get("units"):
-                value = units.convert(value, held["units"], want.unit)
+                said = held.get("missing_value", [])
+                value = units.convert(value, held["units"], want.unit, missing=said if isinstance(said, list) else [said])
+                held = metadata.in_unit(held, want.unit)
             value = units.cast_rounded(value, want.kind) if want.kind in units.RANGES else value.cast(want.kind) if want.kind else value
             flags = F.coalesce(F.col(f"qc_{name}"), F.lit(0)).cast("int") if f"qc_{name}" in rows.columns else F.lit(0)
-            return {want.name: value, f"qc_{want.name}": flags}
+            held[provenance.SOURCE_VARIABLE] = name
+            return {want.name: value.alias(want.name, metadata=held), f"qc_{want.name}": flags.alias(f"qc_{want.name}", metadata=metadata.attributes(rows, f"qc_{name}") if f"qc_{name}" in rows.columns else {})}
     return {}
 
 
@@ -66,9 +70,9 @@ def compiled(spark: SparkSession, group: Group, begin: int, end: int) -> list[tu
         for want in group.variables:
             own = _column(rows, want)
             complete &= bool(own) or not want.required
-            columns |= own or {want.name: F.lit(None).cast(want.kind or "double"), f"qc_{want.name}": F.lit(1)}
+            columns |= own or {want.name: F.lit(None).cast(want.kind or "double").alias(want.name), f"qc_{want.name}": F.lit(1).alias(f"qc_{want.name}")}
         if complete:
-            found.append((source, rows.select(group.coord, *group.keys, *[c.alias(n) for n, c in columns.items()])))
+            found.append((source, rows.select(group.coord, *group.keys, *columns.values())))
     return found
 
 
@@ -86,7 +90,14 @@ def retrieve_group(spark: SparkSession, group: Group, begin: int, end: int) -> D
     needed = [w.name for w in group.variables if w.required] or [w.name for w in group.variables]
     has = tagged.groupBy(*group.keys, "_rank").agg(*[F.count(c).alias(f"_n{k}") for k, c in enumerate(needed)])
     best = has.where(" and ".join(f"_n{k} > 0" for k in range(len(needed)))).groupBy(*group.keys).agg(F.min("_rank").alias("_rank"))
-    return tagged.join(best, [*group.keys, "_rank"], "left_semi").select(*[c for c in tagged.columns if c != "_rank"])
+    chosen = tagged.join(best, [*group.keys, "_rank"], "left_semi").select(*[c for c in tagged.columns if c != "_rank"])
+    # attributes are those of the first source that has the variable
+    for want in group.variables:
+        having = [(source, rows) for source, rows in found if provenance.source_variable(rows, want.name)]
+        if having:
+            held = metadata.attributes(having[0][1], want.name)
+            chosen = chosen.withMetadata(want.name, {**held, provenance.SOURCE_DATASET: ", ".join(source for source, _ in having)})
+    return chosen
 
 
 def by_system(rows: DataFrame, group: Group) -> dict[str | None, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import bits
 from gridloom.operators import bin_average, chunks, grid, nearest
+from gridloom.plans import provenance
 from gridloom.plans.params import Params
 
 #: Transforms that users add by name; they come before the built-in ones.
@@ -76,11 +77,12 @@ def target_grid(rows: DataFrame, series: list[str], params: Params, obj: str, di
     return found if length is None else found.where(F.col("bin") < length)
 
 
-def by_parameters(rows: DataFrame, series: list[str], params: Params, obj: str, dim: str, *, chunk: float, mapped: DataFrame | None = None) -> DataFrame:
+def by_parameters(rows: DataFrame, series: list[str], params: Params, obj: str, dim: str, *, chunk: float, mapped: DataFrame | None = None, default_width: bool = True) -> DataFrame:
     """Rows (series, coord, value, qc) onto the grid that parameters describe, by the method that they name or that the intervals suggest.
 
     Looked up for the object and dimension: transform, width (default: interval), alignment, range, qc_mask, qc_bad, std_bad_max, std_ind_max,
-    goodfrac_bad_min, goodfrac_ind_min, and what target_grid() reads.
+    goodfrac_bad_min, goodfrac_ind_min, and what target_grid() reads. The column value keeps its attributes; cell_transform says what was done.
+    Without ``default_width``, averages need a width among the parameters.
     """
     find = lambda name, kind, default=None: params.for_dimension(obj, dim, name, kind, default)
     targets = target_grid(rows, series, params, obj, dim, chunk, mapped)
@@ -90,11 +92,14 @@ def by_parameters(rows: DataFrame, series: list[str], params: Params, obj: str,
         steps = grid.sampling_interval(rows, series, "coord", chunk).agg(F.median("interval")).first()[0]
         method = choose(steps, interval)
     limits = {name: v for name in ("std_bad_max", "std_ind_max", "goodfrac_bad_min", "goodfrac_ind_min") if (v := find(name, float)) is not None}
-    codes = find("qc_bad", int)
-    return transform(
-        rows, targets, series, method, chunk=chunk, width=find("width", float, interval), alignment=find("alignment", float, 0.5), reach=find("range", float), mask=find("qc_mask", int, 1),
-        bad_codes=codes if codes is None or isinstance(codes, list) else [codes], limits=bin_average.Limits(**limits),
-    )
+    codes, width, alignment, reach, mask = find("qc_bad", int), find("width", float, interval if default_width else None), find("alignment", float, 0.5), find("range", float), find("qc_mask", int, 1)
+    codes = codes if codes is None or isinstance(codes, list) else [codes]
+    found = transform(rows, targets, series, method, chunk=chunk, width=width, alignment=alignment, reach=reach, mask=mask, bad_codes=codes, limits=bin_average.Limits(**limits))
+    if method == "passthrough" or "value" not in found.columns:
+        return provenance.kept(rows, found, ["value"])
+    # what the method made use of
+    used = {"bin_average": {"width": width, "alignment": alignment, **limits}, "interpolate": {"range": reach}, "subsample": {"range": reach}}.get(method, {})
+    return provenance.transformed(rows, found, "value", provenance.transform_text(dim, method, **used, qc_bad=codes))
 
 
 def serial(rows: DataFrame, steps: list[dict], keys: list[str]) -> DataFrame:
@@ -103,7 +108,7 @@ def serial(rows: DataFrame, steps: list[dict], keys: list[str]) -> DataFrame:
     While one dimension is transformed, all other keys make up the series; the output of a step is the input of the next.
     """
     for step in steps:
-        step = dict(step)
+        step, before = dict(step), rows
         dim = step.pop("dim")
         series = [k for k in keys if k != dim]
         targets = step.pop("targets")
@@ -113,6 +118,9 @@ def serial(rows: DataFrame, steps: list[dict], keys: list[str]) -> DataFrame:
             targets = _for_all(rows, targets, missing)
         out = transform(rows.withColumnRenamed(dim, "coord"), targets, series, chunk=step.pop("chunk"), **step)
         rows = out.withColumnRenamed("coord", dim).drop("bin")
+        if "value" in rows.columns:
+            said = {k: step.get(k) for k in {"bin_average": ("width", "alignment"), "interpolate": ("reach",), "subsample": ("reach",)}.get(step["method"], ())}
+            rows = provenance.kept(before, rows, ["value"]) if step["method"] == "passthrough" else provenance.transformed(before, rows, "value", provenance.transform_text(dim, step["method"], **said))
     return rows
 
 

@@ -5,7 +5,7 @@ rename that fails where the name is taken; it holds the files that come and go,
 not at all, open only the files that reach their interval, and never list the data folders. Two commits that were prepared on
 the same state don't both get in if one replaces times that the other touches (``Conflict``); else the later one is numbered anew. Files that a
 commit replaced stay for those who read them until ``vacuum``. The log is read by Spark, from the latest summary on that every
-``SUMMARY``-th commit writes.
+``SUMMARY``-th commit writes. Columns have the attributes that were stored last; ``changes`` tells when they got them.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ class Commit:
         out = rows.withColumn("split", split).repartitionByRange("split", self.coord).sortWithinPartitions("split", self.coord)
         writer = out.write.partitionBy("split").format(self.fmt)
         (writer.option("header", True) if self.fmt == "csv" else writer).save(at)
-        known = T.StructType([*(self.schema or []), *(f for f in rows.schema if f.name not in types)])
+        known = T.StructType([*self._described({f.name: f.metadata for f in rows.schema}), *(f for f in rows.schema if f.name not in types)])
         try:
             back = self.spark.read.format(self.fmt).schema(T.StructType([*rows.schema, T.StructField("split", T.StringType())])).option("header", self.fmt == "csv").load(at)
             found = back.groupBy(F.col("_metadata.file_path").alias("file"), "split").agg(F.min(self.coord).alias("start"), F.max(self.coord).alias("end"), F.count("*").alias("n")).collect()
@@ -122,11 +122,34 @@ class Commit:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             found = []
-        if self.schema is None or len(known) > len(self.schema):
-            self.lines.append({"action": "schema", "file": known.json()})
-            self.schema = known
+        self._know(known, min((r["start"] for r in found if r["start"] is not None), default=None))
         return [{"action": "add", **r.asDict()} for r in found]
 
+    def _described(self, attributes: dict[str, dict]) -> list[T.StructField]:
+        """The stored columns with new values of attributes."""
+        return [T.StructField(f.name, f.dataType, f.nullable, {**f.metadata, **attributes.get(f.name, {})}) for f in self.schema or []]
+
+    def _know(self, known: T.StructType, start: int | None) -> None:
+        """Notes a schema that has other columns or attributes than the stored one; samples have them from ``start`` on."""
+        if self.schema is not None and known.json() == self.schema.json():
+            return
+        self.lines.append({"action": "schema", "file": known.json()})
+        before = {f.name: f.metadata for f in self.schema or []}
+        for f in known:
+            old = before.get(f.name, {})
+            changed = {k: f.metadata.get(k) for k in {*old, *f.metadata} if old.get(k) != f.metadata.get(k)}
+            if self.schema is not None and (changed or f.name not in before):
+                self.lines.append({"action": "change", "batch": f.name, "file": json.dumps(changed, sort_keys=True), **({} if start is None else {"start": start})})
+        self.schema = known
+
+    def describe(self, attributes: dict[str, dict]) -> None:
+        """New values of attributes of stored columns, without new samples; None removes one."""
+        absent = attributes.keys() - {f.name for f in self.schema or []}
+        if absent:
+            raise ValueError(f"no columns {sorted(absent)} are stored")
+        fields = [T.StructField(f.name, f.dataType, f.nullable, {k: v for k, v in f.metadata.items() if v is not None}) for f in self._described(attributes)]
+        self._know(T.StructType(fields), None)
+
     def _load(self, files: list[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], self.schema)
@@ -163,7 +186,10 @@ class Commit:
         """Fails if commits since this one was prepared touch what it replaces, or replace what it touches."""
         own = [x for x in self.lines if x["action"] == "commit"]
         batches = {x["batch"] for x in self.lines if x["action"] == "batch"}
-        for r in _logged(self.folder, names).where("action in ('commit', 'batch')").collect():
+        schemas = [x["file"] for x in self.lines if x["action"] == "schema"]
+        for r in _logged(self.folder, names).where("action in ('commit', 'batch', 'schema')").collect():
+            if r["action"] == "schema" and schemas and r["file"] != schemas[-1]:
+                raise Conflict("another writer has changed columns or attributes")
             if r["action"] == "batch" and r["batch"] in batches:
                 raise Conflict(f"batch {r['batch']} was committed by another writer")
             for x in own:
@@ -185,7 +211,7 @@ class Commit:
             known = newer
         if number % SUMMARY == 0:
             log = _logged(self.folder, [x for x in self.folder.versions() if int(x[:12]) <= number])
-            held = _live(log).unionByName(log.where("action in ('schema', 'batch')")).orderBy("version").drop("version").collect()
+            held = _live(log).unionByName(log.where("action in ('schema', 'batch', 'change')")).orderBy("version").drop("version").collect()
             last = max((k for k, r in enumerate(held) if r["action"] == "schema"), default=None)
             held = [r.asDict() for k, r in enumerate(held) if r["action"] != "schema" or k == last]
             self.folder.put(f"{number:012d}.summary.json", [{k: v for k, v in r.items() if v is not None} for r in held])
@@ -248,6 +274,19 @@ def last_before(spark: SparkSession, path: str, before: int, series: DataFrame |
     return found
 
 
+def describe(spark: SparkSession, path: str, attributes: dict[str, dict]) -> None:
+    """Sets attributes of stored columns (None removes one) in a commit of their own; the data files stay as they are."""
+    change = Commit(spark, path)
+    change.describe(attributes)
+    change.commit()
+
+
+def changes(spark: SparkSession, path: str) -> DataFrame:
+    """(column, attributes, start): what was new in columns after the first commit, as JSON, and the first sample stored with it (null: none)."""
+    folder = _Folder(spark, path)
+    return _logged(folder, folder.versions()).where("action = 'change'").select(F.col("batch").alias("column"), F.col("file").alias("attributes"), "start")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, split, start, end, n) of every file that the dataset has."""
     folder = _Folder(spark, path)

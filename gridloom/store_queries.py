@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import bits, metadata, times
 from gridloom.operators import bin_average, chunks, grid, mapping, qc
-from gridloom.plans import hooks, ingest, process, transform
-from gridloom.queries import HOUR, HOURS, OBS, START, _average_sql, observations, query, rounded, table
+from gridloom.operators.chunks import DAY
+from gridloom.plans import hooks, ingest, params, process, retriever, transform
+from gridloom.queries import HOUR, HOURS, OBS, START, _average_sql, _days, observations, query, rounded, table
 from gridloom.sources import array_source, csv_ingest, scratch, store
 from gridloom.streaming import arrivals, inputs, pipelines
 
@@ -356,3 +357,28 @@ def transform_registered(spark, sf_dir):
     rows = observations(spark, sf_dir)
     found = transform.transform(rows, grid.per_series(rows, ["series"], "coord", HOUR, start=F.lit(START)), ["series"], "hourly_median", chunk=chunks.DAY)
     return rounded(found.select("series", "bin", "value", "qc"), "value")
+
+
+_LINEAGE = "time: bin_average (width: 7200000000 alignment: 0)"
+
+
+@query(f"""SELECT event_type AS series, ({START} + (epoch_us(ts) - {START}) // {2 * HOUR} * {2 * HOUR})::DOUBLE AS coord, round(avg(value) * 3.6, 6) AS wind,
+  CASE WHEN event_type = 'click' THEN 'backup' ELSE 'main' END AS source, 'main, backup' AS source_dataset, 'speed' AS source_variable, '{_LINEAGE}' AS cell_transform, 'km/h' AS units, 180.0::DOUBLE AS valid_max
+FROM events GROUP BY 1, 2""")
+def provenance_stored(spark, sf_dir):
+    """Two-hourly means of what two sources have under different names and units, stored and read again: where they come from is read with them."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), times.micros(F.col("ts")).alias("coord"), "value")
+    low, high = _days(e, "coord")
+    main = metadata.with_attributes(e.where("series <> 'click'").withColumnRenamed("value", "speed"), "speed", units="m/s", valid_max=50.0)
+    backup = metadata.with_attributes(e.withColumn("velocity", F.col("value") * 100).drop("value"), "velocity", units="cm/s", valid_max=6000.0)
+    group = retriever.Group("winds", [("main", lambda s: main), ("backup", lambda s: backup)], [retriever.Wanted("value", ["speed", "velocity"], unit="km/h")], ["series"], "coord")
+    found = retriever.retrieve_group(spark, group, low, high).withColumnRenamed("qc_value", "qc")
+    by_time = params.parse(f"value:transform = bin_average; time:interval = {2 * HOUR}; time:start = {START}; time:alignment = 0;")
+    means = transform.by_parameters(found, ["series", "source"], by_time, "value", "time", chunk=DAY)
+    rows = mapping.map_outputs(means.withColumn("t", F.col("coord").cast("long")), ["series", "source", "t"], [mapping.Target("wind", "value")], dynamic=True)
+    path = scratch.folder(spark, "lineage")
+    store.write(rows, path, mode="months")
+    stored = store.read(spark, path)
+    held = metadata.attributes(stored, "wind")
+    said = [F.lit(held.get(k)).alias(k) for k in ("source_dataset", "source_variable", "cell_transform", "units")]
+    return stored.where("wind is not null").select("series", F.col("t").cast("double").alias("coord"), F.round("wind", 6).alias("wind"), "source", *said, F.round(F.lit(held.get("valid_max")).cast("double"), 6).alias("valid_max"))
