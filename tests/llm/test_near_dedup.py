@@ -112,3 +112,78 @@ def test_shared_counts():
     for a, b in combinations(range(30), 2):
         assert found[a, b] == len(np.intersect1d(sets[a], sets[b]))
     assert near_dedup.shared_counts([np.array([1], np.int32), np.array([2], np.int32)]).sum() == 0
+
+
+def similarity(x, y):
+    x, y = (near_dedup.shingles(t.encode()) for t in (x, y))
+    return len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+
+
+def lowest_own(words, tag, rnd, below, number):
+    """The words with others after them, whose shingles come before all of the words' own by hash."""
+    words = list(words)
+    for _ in range(number):
+        words.append(next(w for w in (f"{tag}{rnd.getrandbits(40)}" for _ in range(10**6)) if near_dedup.shingles(" ".join([*words[-4:], w]).encode())[0] < below))
+    return " ".join(words)
+
+
+def test_own_shingles_first(spark, monkeypatch):
+    """What two similar texts share comes after 45 shingles of their own: the order and what is counted settle no result."""
+    rnd = random.Random(8)
+    words = [f"s{k}" for k in range(400)]
+    below = near_dedup.shingles(" ".join(words).encode())[0]
+    texts = [lowest_own(words, tag, rnd, below, 45) for tag in "xy"]
+    assert 0.8 <= similarity(*texts) < 0.82
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()] == [0]
+
+
+def far_apart(rnd):
+    """Two texts at a similarity of 0.8 whose own words are chosen to turn majorities over."""
+    words = [f"f{rnd.random()}" for _ in range(44)]
+    texts, prints = [], []
+    for k in range(2):
+        own = list(words)
+        for _ in range(5):
+            tries = [[*own, f"o{rnd.random()}"] for _ in range(300)]
+            sums = [near_dedup.fingerprint(near_dedup.shingles(" ".join(t).encode())) for t in tries]
+            far = [(x ^ prints[0]).bit_count() if k else -(x & (1 << 64) - 1).bit_count() for x in (s & (1 << 64) - 1 for s in sums)]
+            at = int(np.argmax(far))
+            own = tries[at]
+        texts.append(" ".join(own))
+        prints.append(sums[at] & (1 << 64) - 1)
+    return texts, (prints[0] ^ prints[1]).bit_count()
+
+
+def test_beyond_the_hamming_bound(spark, monkeypatch):
+    """Texts at the similarity that differ in more bits than the bound are found, in small buckets and in hot ones."""
+    rnd = random.Random(9)
+    texts, bits = max((far_apart(rnd) for _ in range(3)), key=lambda x: x[1])
+    assert similarity(*texts) >= 0.8 and bits > near_dedup.MAX_DISTANCE
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()] == [0]
+    monkeypatch.setattr(near_dedup, "HOT_BUCKET", 1)
+    assert [r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()] == [0]
+
+
+def test_counts_are_of_all_documents(spark):
+    """A shingle in every hundredth document is counted in each of them, however many there are."""
+    rows = [(i, f"alone{i} b{i} c{i} d{i} e{i}" if i % 100 else f"w{i} x y z common words here") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    common, counts = near_dedup._common(docs)
+    at = near_dedup.buckets(near_dedup.shingles(b"x y z common words"))[0]
+    assert 200 <= dict(zip(common.tolist(), counts.tolist()))[at] < 205
+    assert len(common) < 20 and len(near_dedup._common(docs.limit(0))[0]) == 0
+
+
+def test_need_is_never_more_than_similar_sets_share():
+    """Of sets at the similarity and above, of any sizes and in any order, no sketches share fewer than they need."""
+    rnd, none = random.Random(10), np.zeros(0, np.uint64)
+    for _ in range(3000):
+        shared = [rnd.getrandbits(64) for _ in range(rnd.randint(1, 120))]
+        left = rnd.randint(0, len(shared) // 4)
+        low = rnd.choice((20, 60, 64))
+        x, y = (np.unique(np.array(shared + [rnd.getrandbits(low) for _ in range(k)], np.uint64)) for k in (left, len(shared) // 4 - left))
+        if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+            found = np.intersect1d(near_dedup.sketch(x, none, none), near_dedup.sketch(y, none, none))
+            assert len(found) >= near_dedup.need(np.array([len(x)]), np.array([len(y)]))[0]
