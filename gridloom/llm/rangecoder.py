@@ -4,15 +4,17 @@ Format. A table of ids is a folder of Parquet files whose rows are *pages*. A pa
 documents in ascending doc_id order, up to ``PAGE_IDS`` ids, or a piece of a longer document: part and page number, the position of its first id within the part,
 the documents' ids and lengths, for pieces their number and the position of the document's first id (otherwise null), and ``payload``. A payload starts with ``MAGIC``, the bits of an id and the number of
 blocks (little-endian uint32 each), then per block its ids, bytes and CRC-32 (of the ids as
-little-endian uint32), then the blocks' streams. A block has up to ``BLOCK_IDS`` ids and decodes on its own: every model starts anew in it.
+little-endian uint32), then the blocks. A block has up to ``BLOCK_IDS`` ids and decodes on its own: every model starts anew in it. It holds
+the lengths of its lanes' streams in words (little-endian uint16), then the streams (little-endian uint32).
 
-Model. Order 2 predicts the id that last followed the same two ids, order 1 the one that last followed the
-same id, order 0 any id that the block had before, with a share that grows with its count. Which of them is right, or none, is
-coded first, with shares that mix what each had so far in the block in the same case (the confidences of both predictions and whether they agree). An id that order 0
-gives follows by its share, one that is new to the block with equal shares. All of it is integer arithmetic.
+Model. An id's share is mixed from three orders: what followed the same two ids, the same id, and any ids, by how often each id did in the block so far. A pair of ids that
+is frequent has a table of its own, which counts as order 2 with the shares of order 1 as ``_VIRTUAL_IDS`` ids more. What a table leaves, the more the more different ids
+it has for its count, is shared out by order 0, and there a share is left for ids that are new to the block, all of equal shares. All of it is integer arithmetic.
 
-Coding is sequential within a block, so all blocks of a page go through the coder in lockstep as NumPy vectors. Their number is bounded
-by the page, whatever a document's length.
+A block is coded in up to ``STEPS`` steps, in each of which all its lanes, runs of ``STEPS`` ids, code an id as NumPy vectors. Before the steps ``ROUNDS``
+both sides make the tables anew from all ids of the steps before. The number of lanes is bounded by the page, whatever a document's length.
+
+Words are found, and looked up by their distinct values, for a batch of texts at once.
 
 Defined results: a null text has only the end id; rows with one doc_id are ordered by a hash of the text; null doc_ids
 come first; a damaged block raises ValueError.
@@ -23,8 +25,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,113 +35,305 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import BLOCK_CHARS, blocks, codec
-from gridloom.llm.common import bounded_batches
+from gridloom.llm.bpe import BLOCK_CHARS, Codec, codec
+from gridloom.llm.common import bounded_batches, str_texts
 
-MAGIC = b"GLR2"
-BLOCK_IDS = 2048
+MAGIC = b"GLR3"
+#: Ids of a block at most, the steps it is coded in, and those before which the tables are made anew.
+BLOCK_IDS, STEPS, ROUNDS = 1 << 21, 512, (2, 8, 32, 128)
 #: Ids of a page at most; a longer document takes pages of its own.
 PAGE_IDS = 1 << 21
 END_ID = 1
-#: Ids must be below 2 ** MOST_BITS; the bits above hold a prediction's confidence.
+#: A code has 63 bits in a register, at least 31 of which are left for an id.
 MOST_BITS = 26
-_SLOTS = 1 << 12
-_MASK = np.int32((1 << MOST_BITS) - 1)
-_STEP = 4
+#: Bits of the shares in a table and in order 0.
+_BITS, _BITS0 = 12, 14
+#: Ids, by count, with shares in tables and in order 0; tables of order 1 and of order 2.
+_KNOWN, _KNOWN0, _TABLES1, _TABLES2 = 1 << 12, 1 << 13, 1 << 11, 1 << 11
+#: How often an id or a pair comes that has a table of its own.
+_OFTEN1, _OFTEN2 = 64, 1024
+_VIRTUAL_IDS = 16
 _U = np.uint64
-_TOP, _LOW = _U(48), _U(1 << 40)
-_ORDER2, _ORDER1, _ORDER0, _NEW = range(4)
+_LOW, _WORD = _U(1 << 31), _U(32)
+#: Rows of steps whose shares the encoder holds at a time.
+_ROWS = 64
 
 # The split pattern of the lower-case vocabulary, restricted to the characters of Latin-1.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 WORD_PATTERN = re.compile(f"[{_L}]+|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_S}{_L}{_N}]+")
-
-#: Four counts of 16 bits share a word; times _SUMS, each field holds the sum of the fields up to it.
-_FIELD, _SUMS = _U(0xFFFF), _U(0x0001000100010001)
-#: Order 0 counts numbers below 4 ** 6 in a tree of such words: the first word of each level, and how far a number is shifted there.
-_FIRST = np.cumsum([0, *(4**k for k in range(5))]).astype(np.int32)
-_NODES, _ABOVE = int(_FIRST[-1]) + 4**5, np.arange(12, 0, -2, dtype=np.int32)
-
-
-def _at(words: np.ndarray, child: np.ndarray) -> np.ndarray:
-    """Field ``child`` of each word."""
-    return words >> (child.astype(_U) << _U(4)) & _FIELD
-
-
-class _Model:
-    """Predictions of all lanes (blocks) at once."""
-
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes, dtype=np.int32)
-        # what followed a context last, and above its bits the confidence in it
-        self.tables = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
-        self.slots = lane * _SLOTS
-        self.prev1, self.prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        # how often each of the four outcomes came in each case
-        self.counts, self.cases = np.full(lanes * 32, _SUMS), lane * 32
-        # order 0: ids by their number in the block, and a tree of the numbers' counts
-        self.known = np.zeros(lanes * BLOCK_IDS, np.int32)
-        self.news = np.zeros(lanes, np.int32)
-        self.tree = np.zeros(lanes * _NODES, _U)
-
-    def predict(self, n: int) -> None:
-        a = self.prev1[:n] * np.int32(40503)
-        self.at1 = self.slots[:n] + ((a >> 3) & (_SLOTS - 1))
-        self.at2 = self.slots[:n] + (((a ^ (self.prev2[:n] * np.int32(30011) + np.int32(977))) >> 2) & (_SLOTS - 1))
-        one, two = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
-        self.sure1, self.sure2 = one >> MOST_BITS, two >> MOST_BITS
-        self.id1, self.id2 = one & _MASK, two & _MASK
-        self.case = self.cases[:n] + (self.sure2 << 3) + (self.sure1 << 1) + (self.id1 == self.id2)
-        self.share = self.counts.take(self.case)
-        self.upto = self.share * _SUMS
-
-    def hits(self, ids: np.ndarray) -> np.ndarray:
-        """The outcome of each id as far as orders 2 and 1 go; _ORDER0 for the others."""
-        two, one = (self.id2 == ids) & (self.sure2 > 0), (self.id1 == ids) & (self.sure1 > 0)
-        return np.where(two, _ORDER2, np.where(one, _ORDER1, _ORDER0)).astype(np.int32)
-
-    def way(self, lanes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words of the tree on the way to each number, level by level, and the field taken in each."""
-        node = (lanes * _NODES).astype(np.int32) + _FIRST[:, None] + (number >> _ABOVE[:, None])
-        return node, number >> (_ABOVE[:, None] - 2) & 3
-
-    def share0(self, node: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, width and total of the shares of the numbers at the end of the ways."""
-        words = self.tree.take(node)
-        sums, widths = words * _SUMS, _at(words, child)
-        return (_at(sums, child) - widths).sum(axis=0), widths[-1], sums[0] >> _U(48)
-
-    def find0(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The number in order 0 whose share holds a value, with the share's start and width; counts it."""
-        number, rest, first = np.zeros(len(value), np.int32), value, (lanes * _NODES).astype(np.int32)
-        for start in _FIRST:
-            node = first + (start + number)
-            words = self.tree.take(node)
-            sums = words * _SUMS
-            child = (rest >= (sums & _FIELD)).astype(np.int32) + (rest >= (sums >> _U(16) & _FIELD)) + (rest >= (sums >> _U(32) & _FIELD))
-            place = child.astype(_U) << _U(4)
-            rest = rest - ((sums << _U(16)) >> place & _FIELD)
-            self.tree[node] = words + (_U(1) << place)
-            number = number * 4 + child
-        return np.minimum(number, BLOCK_IDS - 1), value - rest, words >> place & _FIELD
-
-    def count0(self, node: np.ndarray, child: np.ndarray) -> None:
-        self.tree[node] += _U(1) << (child.astype(_U) << _U(4))
-
-    def add(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Numbers ids that are new to their blocks."""
-        number = self.news[lanes]
-        self.known[lanes * BLOCK_IDS + number] = ids
-        self.news[lanes] = number + 1
-        return number
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        n = len(ids)
-        self.counts[self.case] = self.share + (_U(_STEP) << (outcome.astype(_U) << _U(4)))
-        for table, at, guess, sure in ((self.tables[0], self.at1, self.id1, self.sure1), (self.tables[1], self.at2, self.id2, self.sure2)):
-            table[at] = ids + ((np.minimum(sure * (guess == ids), 2) + 1) << MOST_BITS)
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_KINDS = bytes(next((k for k, chars in ((_LETTER, _L), (_NUMBER, _N), (_SPACE, _S)) if re.match(f"[{chars}]", chr(b))), _OTHER) for b in range(256))
+_SPACES = bytes(b for b in range(256) if _KINDS[b] == _SPACE)
+#: Words in each of the two generations of a memo.
+MEMO_WORDS = 1 << 18
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of WORD_PATTERN in a lower-case Latin-1 text start, and where they do with all white space taken out."""
+    kinds = np.frombuffer(text.translate(_KINDS), np.uint8)
+    seen = kinds != _SPACE
+    begins = np.ones(len(kinds), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+    begins |= kinds == _NUMBER
+    begins &= seen
+    # 's, 't, 're, 've, 'm, 'll and 'd, unless another sign comes just before
+    codes = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero((codes == ord("'")) & begins)
+    at = at[at + 1 < len(codes)]
+    one, two = codes[at + 1], np.where(at + 2 < len(codes), codes.take(at + 2, mode="clip"), 0)
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    size = np.where(np.isin(one, list(b"stmd")), 2, np.where(long, 3, 0))
+    at, size = at[size > 0], size[size > 0]
+    begins[at + 1] = False
+    after = (at + size)[at + size < len(codes)]
+    begins[after] = seen[after]
+    starts = np.flatnonzero(begins)
+    return starts, (np.cumsum(seen, dtype=np.int32)[starts] - 1).astype(np.int32)
+
+
+class _Words(dict):
+    """The ids of words as bytes. Of two generations the older is dropped when the younger is full, so that words in use stay."""
+
+    def __init__(self, tool: Codec):
+        self.tool, self.older = tool, {}
+        byte = tool.shown
+        self.shown = ["".join(byte[b] for b in chr(c).encode()) for c in range(256)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array(self.tool.kind.char, [t.id for t in self.tool.model.tokenize("".join(map(self.shown.__getitem__, word)))]).tobytes()
+        if len(word) < 256:
+            if len(self) >= MEMO_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _words(tool: Codec) -> _Words:
+    return _Words(tool)
+
+
+def encode_texts(tool: Codec, words: _Words, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with an end id, and where each text's ids end."""
+    odd = []
+    try:
+        latin = "\n".join(texts).lower().encode("latin-1")
+    except UnicodeEncodeError:
+        latin = b""
+    if not latin or any(s.lower().encode() in latin for s in tool.specials):
+        odd = [k for k, text in enumerate(texts) if not _plain(text, tool.specials)]
+        plain = texts.copy()
+        for k in odd:
+            plain[k] = ""
+        latin = "\n".join(plain).lower().encode("latin-1")
+    else:
+        plain = texts
+    starts, places = word_bounds(latin)
+    data = latin.translate(None, _SPACES)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(places, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    ids = list(map(words.__getitem__, found.dictionary.to_pylist()))
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)) // tool.kind.itemsize, out=offsets[1:])
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), tool.kind))).take(found.indices)
+    ends = lists.offsets.to_numpy()[np.searchsorted(starts, np.cumsum([len(text) + 1 for text in plain]))]
+    values = np.insert(lists.values.to_numpy(), ends, tool.kind.type(end_id))
+    ends = ends + np.arange(1, len(texts) + 1)
+    if odd:
+        parts = np.split(values, ends[:-1])
+        for k in odd:
+            parts[k] = np.append(tool.encode(texts[k]), tool.kind.type(end_id))
+        values, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    return values, ends
+
+
+def _plain(text: str, specials: list[str]) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(s in text for s in specials)
+
+
+def _begins(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each comes."""
+    keys = np.sort(keys)
+    at = _begins(keys)
+    return keys[at], np.diff(at, append=len(keys))
+
+
+class _Tables:
+    """Shares of ids, by the steps of a block so far.
+
+    Ids have numbers by their count. Table 0 is for all rare ids, the next ones are for the frequent ids, and then come those for pairs of them. A table's entries are in the
+    order of their ids' numbers; the last one, of number _KNOWN, is what it leaves to order 0.
+    """
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.number = np.zeros(1 << bits, np.int32)  # one more than it; 0: none
+        self.ids = np.zeros(0, np.int32)
+        self.learn(np.zeros((0, 1), np.int32))
+
+    def learn(self, grid: np.ndarray) -> None:
+        """Makes all tables from a row of ids for each step."""
+        self.number[self.ids] = 0
+        if self.bits <= 18:
+            counts = np.bincount(grid.ravel(), minlength=1 << self.bits)
+            ids = np.flatnonzero(counts)
+            counts = counts[ids]
+        else:
+            ids, counts = _runs(grid.ravel())
+        order = np.argsort(-counts, kind="stable")[:_KNOWN0]
+        self.ids, counts = ids[order].astype(np.int32), counts[order]
+        known = len(order)
+        self.number[self.ids] = np.arange(1, known + 1)
+        # order 0; the last share is that of new ids
+        once = (1 << _BITS0) // 2 * int((counts == 1).sum()) // max(1, grid.size)
+        share = 1 + counts * ((1 << _BITS0) - 64 - known - min(once, 1 << (_BITS0 - 2))) // max(1, grid.size)
+        self.start0 = np.concatenate([[0], np.cumsum(share)]).astype(_U)
+        self.share0 = np.append(share, (1 << _BITS0) - share.sum()).astype(_U)
+        self.contexts = min(_TABLES1, int(np.searchsorted(-counts, -_OFTEN1, "right")))
+        row = self.numbers(grid)
+        first = self.first(row)
+        self.second = np.zeros((self.contexts + 1) * (self.contexts + 1), np.int16)
+        usual = row[1:] < _KNOWN
+        key, n = _runs((first[:-1] * np.int32(_KNOWN) + row[1:])[usual & (first[:-1] > 0)])
+        context, succ = key // _KNOWN, key % _KNOWN
+        total = np.bincount(first[:-1].ravel(), minlength=self.contexts + 1) + np.bincount(context, minlength=self.contexts + 1)
+        share = n * ((1 << _BITS) - 1) // total[context]
+        often = np.flatnonzero((n >= _OFTEN2) & (succ < self.contexts))
+        often = often[np.argsort(-n[often], kind="stable")[:_TABLES2]]
+        if len(often):
+            self.second[context[often] * (self.contexts + 1) + succ[often] + 1] = np.arange(1, len(often) + 1)
+            pair = self.second.take(first[:-2] * np.int32(self.contexts + 1) + first[1:-1])
+            found = (pair > 0) & usual[1:]
+            key2, n2 = _runs((pair * np.int32(_KNOWN) + row[2:])[found])
+            # with the shares of order 1, which count as some ids more
+            unit = (1 << _BITS) // _VIRTUAL_IDS
+            ends = np.searchsorted(context, np.arange(self.contexts + 2))
+            own = succ[often] + 1
+            size = ends[own + 1] - ends[own]
+            place = np.arange(size.sum()) + np.repeat(ends[own] - np.cumsum(size) + size, size)
+            mixed = np.concatenate([key2, np.repeat(np.arange(1, len(often) + 1), size) * _KNOWN + succ[place]])
+            weight = np.concatenate([n2 * unit, share[place]])
+            order = np.argsort(mixed, kind="stable")
+            at = _begins(mixed[order])
+            mixed, weight = mixed[order][at], np.add.reduceat(weight[order], at)
+            total = np.bincount(pair.ravel(), minlength=len(often) + 1) * unit + (1 << _BITS)
+            share2 = weight * ((1 << _BITS) - 1) // total[mixed // _KNOWN]
+            context, succ, share = np.append(context, mixed // _KNOWN + self.contexts), np.append(succ, mixed % _KNOWN), np.append(share, share2)
+        kept = share > 0
+        context, succ, share = context[kept], succ[kept], share[kept]
+        n = self.contexts + 1 + len(often)
+        rest = (1 << _BITS) - np.bincount(context, share, n).astype(np.int64)
+        ends = np.searchsorted(context, np.arange(n), "right")
+        self.table, self.succ = np.insert(context, ends, np.arange(n)), np.insert(succ, ends, _KNOWN)
+        self.rest = ends + np.arange(n)
+        share = np.insert(share, ends, rest)
+        self.share = share.astype(_U)
+        self.start = (np.cumsum(share) - share - (self.table << _BITS)).astype(_U)
+
+    def numbers(self, ids: np.ndarray) -> np.ndarray:
+        """The ids' numbers; that of order 0's last share for new ones."""
+        found = self.number.take(ids) - 1
+        found[found < 0] = len(self.ids)
+        return found
+
+    def first(self, numbers: np.ndarray) -> np.ndarray:
+        """The tables of order 1 after ids of these numbers."""
+        return np.where(numbers < self.contexts, numbers + 1, 0)
+
+    def after(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The tables after two ids, by the tables of order 1 after each of them."""
+        pair = self.second.take(before * (self.contexts + 1) + last).astype(np.int32)
+        return np.where(pair > 0, pair + self.contexts, last)
+
+
+def _shape(n: int) -> tuple[int, int, int]:
+    """Lanes, steps and the last lane's steps of a block of n ids."""
+    lanes = -(-n // STEPS)
+    return lanes, min(n, STEPS), n - (lanes - 1) * STEPS
+
+
+def _rounds(steps: int) -> Iterator[tuple[int, int]]:
+    edges = [0, *(r for r in ROUNDS if r < steps), steps]
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
+def _shares(tables: _Tables, entries: np.ndarray, grid: np.ndarray, begun: int, ended: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and width of the shares of the ids of some steps, and which of them are new. entries: one more than the entry, by table and number."""
+    numbers = tables.numbers(grid[max(0, begun - 2) : ended])
+    first = tables.first(numbers)
+    first = np.concatenate([np.zeros((max(0, 2 - begun), grid.shape[1]), first.dtype), first])
+    numbers = numbers[min(2, begun) :]
+    table = tables.after(first[:-2], first[1:-1])
+    entry = entries.take(table * _KNOWN + np.minimum(numbers, _KNOWN - 1)) - 1
+    missed = (entry < 0) | (numbers >= _KNOWN)
+    entry[missed] = tables.rest[table[missed]]
+    start, share = tables.start.take(entry) << _U(_BITS0), tables.share.take(entry)
+    left, number = share[missed], numbers[missed]
+    share <<= _U(_BITS0)
+    start[missed] += tables.start0.take(number) * left
+    share[missed] = tables.share0.take(number) * left
+    return start, share, numbers == len(tables.ids)
+
+
+def _encode_block(ids: np.ndarray, bits: int) -> bytes:
+    lanes, steps, last = _shape(len(ids))
+    grid = np.zeros(lanes * steps, np.int32)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 63, _U)
+    width = steps * (_BITS + _BITS0 + bits) // 32 + 8
+    out, place = np.zeros(lanes * width, "<u4"), np.arange(lanes) * width
+
+    def emit(at: np.ndarray) -> None:
+        word, to = low[at] >> _U(31), place[at]
+        out[to] = word.astype(np.uint32)
+        place[at] = to + 1
+        to = to[word > _U(0xFFFFFFFF)]
+        while len(to):
+            # a carry into the words before
+            to = to - 1
+            out[to] += np.uint32(1)
+            to = to[out[to] == 0]
+        low[at] = (low[at] & (_LOW - _U(1))) << _WORD
+        span[at] <<= _WORD
+
+    tables = _Tables(bits)
+    for begun, ended in _rounds(steps):
+        if begun:
+            tables.learn(grid[:begun])
+        entries, own = np.zeros(len(tables.rest) * _KNOWN, np.int32), np.flatnonzero(tables.succ < _KNOWN)
+        entries[tables.table[own] * _KNOWN + tables.succ[own]] = own + 1
+        for t in range(begun, ended):
+            row = (t - begun) % _ROWS
+            if not row:
+                start, share, fresh = _shares(tables, entries, grid, t, min(t + _ROWS, ended))
+            n = lanes if t < last else lanes - 1
+            unit = span[:n] >> _U(_BITS + _BITS0)
+            low[:n] += unit * start[row, :n]
+            np.multiply(unit, share[row, :n], out=span[:n])
+            emit(np.flatnonzero(span[:n] < _LOW))
+            new = np.flatnonzero(fresh[row, :n])
+            if len(new):
+                unit = span[new] >> _U(bits)
+                low[new] += unit * grid[t, new].astype(_U)
+                span[new] = unit
+                emit(new[unit < _LOW])
+    # one word more tells the streams' ends
+    low += _LOW - _U(1)
+    emit(np.arange(lanes))
+    sizes = place - np.arange(lanes) * width
+    return sizes.astype("<u2").tobytes() + out.reshape(lanes, width)[np.arange(width) < sizes[:, None]].tobytes()
 
 
 def encode_ids(ids: np.ndarray, bits: int) -> bytes:
@@ -148,151 +343,93 @@ def encode_ids(ids: np.ndarray, bits: int) -> bytes:
     ids = np.asarray(ids)
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << bits:
         raise ValueError(f"an id is outside 0 to {(1 << bits) - 1}")
-    ids = ids.astype(np.int32)
-    lanes = -(-len(ids) // BLOCK_IDS)
-    head = MAGIC + struct.pack("<II", bits, lanes)
-    if not lanes:
-        return head
-    last = len(ids) - (lanes - 1) * BLOCK_IDS
-    steps = BLOCK_IDS if lanes > 1 else last
-    grid = np.zeros(lanes * BLOCK_IDS, np.int32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK_IDS)[:, :steps].T)
-    model = _Model(lanes)
-    # the encoder's way from an id to its number in the block; a slot may be taken over, the id is then new again
-    numbers, slots = np.zeros(lanes * _SLOTS, np.uint16), np.arange(lanes, dtype=np.int32) * _SLOTS
-    low, span, place = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, np.int64)
-    out = np.zeros((lanes, 3 * steps + 8), "<u2")
-    act = lambda at: _emit(out, place, low, at)
-    for t in range(steps):
-        n = lanes if t < last else lanes - 1
-        own = grid[t, :n]
-        model.predict(n)
-        outcome = model.hits(own)
-        rest = np.flatnonzero(outcome == _ORDER0)
-        id0 = own[rest]
-        slot = slots[rest] + ((id0 * np.int32(-1640531535) >> 18) & (_SLOTS - 1))
-        number = numbers.take(slot).astype(np.int32) - 1
-        seen = (number >= 0) & (model.known.take(rest * BLOCK_IDS + np.maximum(number, 0)) == id0)
-        outcome[rest[~seen]] = _NEW
-        width = _at(model.share, outcome)
-        unit = span[:n] // (model.upto >> _U(48))
-        low[:n] += unit * (_at(model.upto, outcome) - width)
-        span[:n] = unit * width
-        old, new = rest[seen], rest[~seen]
-        number[~seen] = model.add(new, id0[~seen])
-        node, child = model.way(rest, number)
-        if len(old):
-            start, width, total = model.share0(node[:, seen], child[:, seen])
-            unit = span[old] // total
-            low[old] += unit * start
-            span[old] = unit * width
-        if len(new):
-            unit = span[new] >> _U(bits)
-            low[new] += unit * id0[~seen].astype(_U)
-            span[new] = unit
-            numbers[slot[~seen]] = number[~seen] + 1
-        model.count0(node, child)
-        _shift(low, span, n, act)
-        model.update(own, outcome)
-    for _ in range(4):
-        act(np.arange(lanes))
-        low <<= _U(16)
-    streams = [out[k, : place[k]].tobytes() for k in range(lanes)]
-    words = ids.astype("<u4")
-    index = b"".join(struct.pack("<III", len(part), len(s), zlib.crc32(part)) for s, part in zip(streams, (words[k * BLOCK_IDS : (k + 1) * BLOCK_IDS] for k in range(lanes)), strict=True))
-    return head + index + b"".join(streams)
-
-
-def _emit(out: np.ndarray, place: np.ndarray, low: np.ndarray, at: np.ndarray) -> None:
-    out[at, place[at]] = (low[at] >> _TOP).astype(np.uint16)
-    place[at] += 1
-
-
-def _shift(low: np.ndarray, span: np.ndarray, n: int, act) -> None:
-    """Moves out 16 bits of the first n lanes while they are settled or the span gets short."""
-    x, y = low[:n], span[:n]
-    settled = ((x ^ (x + y)) >> _TOP) == 0
-    at = np.flatnonzero(settled | (y < _LOW))
-    settled = settled[at]
-    while len(at):
-        cut = at[~settled]
-        span[cut] = (~low[cut] + _U(1)) & (_LOW - _U(1))
-        act(at)
-        x, y = low[at] << _U(16), span[at] << _U(16)
-        low[at], span[at] = x, y
-        settled = ((x ^ (x + y)) >> _TOP) == 0
-        more = settled | (y < _LOW)
-        at, settled = at[more], settled[more]
+    parts = [ids[at : at + BLOCK_IDS].astype("<u4") for at in range(0, len(ids), BLOCK_IDS)]
+    streams = [_encode_block(part.astype(np.int32), bits) for part in parts]
+    index = b"".join(struct.pack("<III", len(part), len(s), zlib.crc32(part)) for s, part in zip(streams, parts, strict=True))
+    return MAGIC + struct.pack("<II", bits, len(parts)) + index + b"".join(streams)
+
+
+def _decode_block(stream: bytes, n_ids: int, bits: int) -> np.ndarray:
+    lanes, steps, last = _shape(n_ids)
+    sizes = np.frombuffer(stream, "<u2", lanes).astype(np.int64)
+    if 2 * lanes + 4 * int(sizes.sum()) != len(stream):
+        raise ValueError("a block of ids is damaged")
+    width = int(sizes.max()) + 3
+    words = np.zeros((lanes, width), _U)
+    words[np.arange(width) < sizes[:, None]] = np.frombuffer(stream, "<u4", -1, 2 * lanes)
+    # a register has 63 bits, so all words after the first are taken a bit late
+    code = (words[:, 0] << _U(31)) | (words[:, 1] >> _U(1))
+    words = words.ravel()
+    words[:-1] = ((words[:-1] & _U(1)) << _U(31)) | (words[1:] >> _U(1))
+    span, place = np.full(lanes, 1 << 63, _U), np.arange(lanes) * width + 1
+    grid = np.zeros((steps, lanes), np.int32)
+
+    def take(at: np.ndarray) -> None:
+        to = place[at]
+        code[at] = (code[at] << _WORD) | words.take(to, mode="clip")
+        span[at] <<= _WORD
+        place[at] = to + 1
+
+    def value(code: np.ndarray, unit: np.ndarray, bits: int) -> np.ndarray:
+        # beyond the shares only in a damaged block; its checksum tells
+        return np.minimum(code // unit, _U((1 << bits) - 1))
+
+    tables, before, first = _Tables(bits), np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    for begun, ended in _rounds(steps):
+        if begun:
+            tables.learn(grid[:begun])
+            before, first = (tables.first(tables.numbers(row)) for row in grid[begun - 2 : begun])
+        slots = np.repeat(np.arange(len(tables.share), dtype=np.int32), tables.share.astype(np.int64))
+        slots0 = np.repeat(np.arange(len(tables.share0), dtype=np.int32), tables.share0.astype(np.int64))
+        ids, rest = np.append(tables.ids, np.int32(0)), tables.succ == _KNOWN
+        entry_ids, entry_first = ids.take(np.where(rest, 0, tables.succ)), tables.first(tables.succ).astype(np.int32)
+        for t in range(begun, ended):
+            n = lanes if t < last else lanes - 1
+            unit = span[:n] >> _U(_BITS + _BITS0)
+            found = value(code[:n], unit, _BITS + _BITS0)
+            entry = slots.take(tables.after(before[:n], first[:n]) * (1 << _BITS) + (found >> _U(_BITS0)).astype(np.int32))
+            start, share = tables.start.take(entry) << _U(_BITS0), tables.share.take(entry) << _U(_BITS0)
+            row, now = entry_ids.take(entry), entry_first.take(entry)
+            missed = np.flatnonzero(rest.take(entry))
+            left = share[missed] >> _U(_BITS0)
+            number = slots0.take(((found[missed] - start[missed]) // left).astype(np.int32))
+            start[missed] += tables.start0.take(number) * left
+            share[missed] = tables.share0.take(number) * left
+            row[missed], now[missed] = ids.take(number), tables.first(number)
+            code[:n] -= unit * start
+            np.multiply(unit, share, out=span[:n])
+            take(np.flatnonzero(span[:n] < _LOW))
+            new = missed[number == len(tables.ids)]
+            if len(new):
+                unit = span[new] >> _U(bits)
+                found = value(code[new], unit, bits)
+                row[new] = found.astype(np.int32)
+                code[new] -= unit * found
+                span[new] = unit
+                take(new[unit < _LOW])
+            grid[t, :n] = row
+            before, first = first, now
+    return grid.T.reshape(-1)[:n_ids]
 
 
 def decode_ids(payload: bytes) -> np.ndarray:
     """The ids of a payload; raises ValueError where a block's checksum fails."""
-    if payload[:4] != MAGIC:
+    if payload[:4] != MAGIC or len(payload) < 12:
         raise ValueError("not a payload of this format")
-    bits, lanes = struct.unpack_from("<II", payload, 4)
-    index = np.frombuffer(payload, "<u4", 3 * lanes, 12).reshape(lanes, 3).astype(np.int64)
-    if not lanes:
-        return np.zeros(0, np.int32)
-    sizes, steps, last = index[:, 1] // 2, int(index[0, 0]), int(index[-1, 0])
-    words = np.zeros((lanes, int(sizes.max()) + 4), np.uint16)
-    at = 12 + 12 * lanes
-    for k in range(lanes):
-        words[k, : sizes[k]] = np.frombuffer(payload, "<u2", sizes[k], at)
-        at += int(index[k, 1])
-    model = _Model(lanes)
-    low, span, place = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.full(lanes, 4, np.int64)
-    code = np.zeros(lanes, _U)
-    for k in range(4):
-        code = (code << _U(16)) | words[:, k].astype(_U)
-    grid = np.zeros((steps, lanes), np.int32)
-    most = words.shape[1] - 1
-
-    def take(lanes_at: np.ndarray) -> None:
-        code[lanes_at] = (code[lanes_at] << _U(16)) | words[lanes_at, np.minimum(place[lanes_at], most)].astype(_U)
-        place[lanes_at] += 1
-
-    def value(lanes_at, unit: np.ndarray, total: np.ndarray) -> np.ndarray:
-        # in a damaged block a span may be used up; its checksum tells
-        return np.minimum((code[lanes_at] - low[lanes_at]) // np.maximum(unit, _U(1)), total - _U(1))
-
-    for t in range(steps):
-        n = lanes if t < last else lanes - 1
-        model.predict(n)
-        upto = model.upto
-        total = upto >> _U(48)
-        unit = span[:n] // total
-        found = value(slice(0, n), unit, total)
-        outcome = (found >= (upto & _FIELD)).astype(np.int32) + (found >= (upto >> _U(16) & _FIELD)) + (found >= (upto >> _U(32) & _FIELD))
-        width = _at(model.share, outcome)
-        low[:n] += unit * (_at(upto, outcome) - width)
-        span[:n] = unit * width
-        ids = np.where(outcome == _ORDER2, model.id2, model.id1)
-        old = np.flatnonzero(outcome == _ORDER0)
-        if len(old):
-            total = np.maximum(model.tree.take(old * _NODES) * _SUMS >> _U(48), _U(1))
-            unit = span[old] // total
-            number, start, width = model.find0(old, value(old, unit, total))
-            ids[old] = model.known.take(old * BLOCK_IDS + number)
-            low[old] += unit * start
-            span[old] = unit * width
-        new = np.flatnonzero(outcome == _NEW)
-        if len(new):
-            unit = span[new] >> _U(bits)
-            id0 = value(new, unit, _U(1 << bits)).astype(np.int32)
-            ids[new] = id0
-            low[new] += unit * id0.astype(_U)
-            span[new] = unit
-            model.count0(*model.way(new, model.add(new, id0)))
-        _shift(low, span, n, take)
-        model.update(ids, outcome)
-        grid[t, :n] = ids
-    grid = np.ascontiguousarray(grid.T)
-    parts = [grid[k, : index[k, 0]] for k in range(lanes)]
-    for part, crc in zip(parts, index[:, 2], strict=True):
-        if zlib.crc32(part.astype("<u4")) != crc:
+    bits, count = struct.unpack_from("<II", payload, 4)
+    at, found = 12 + 12 * count, [np.zeros(0, np.int32)]
+    if bits > MOST_BITS or at + sum(struct.unpack_from("<I", payload, k)[0] for k in range(16, min(at, len(payload) - 4), 12)) != len(payload):
+        raise ValueError("the blocks of a payload are damaged")
+    for k in range(count):
+        n, size, crc = struct.unpack_from("<III", payload, 12 + 12 * k)
+        if n > BLOCK_IDS:
+            raise ValueError("a block of ids is damaged")
+        ids = _decode_block(payload[at : at + size], n, bits)
+        at += size
+        if zlib.crc32(ids.astype("<u4")) != crc:
             raise ValueError("a block of ids is damaged")
-    return np.concatenate(parts)
+        found.append(ids)
+    return np.concatenate(found)
 
 
 _PAGES = "part int, page int, start long, doc_ids array<long>, lengths array<int>, piece int, first long, payload binary"
@@ -315,9 +452,9 @@ def _page_batches(path: str, end_id: int):
             page, start = page + 1, start + sum(lengths)
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _PAGES_ARROW, strict=True)], schema=_PAGES_ARROW)
 
-        for batch in chain.from_iterable(blocks(b, 1) for b in batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(tool.encode(text or ""), tool.kind.type(end_id))
+        for batch in filter(len, batches):
+            values, ends = encode_texts(tool, _words(tool), str_texts(batch.column(1)), end_id)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), np.split(values, ends[:-1]), strict=True):
                 if parts and held + len(ids) > PAGE_IDS:
                     yield row(doc_ids, parts)
                     doc_ids, parts, held = [], [], 0

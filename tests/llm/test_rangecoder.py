@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -120,3 +121,73 @@ def test_empty_table(spark):
     folder = scratch_path(spark, "ids")
     rangecoder.write_ids(spark.createDataFrame([], "doc_id long, text string"), folder, PATH)
     assert rangecoder.digest(rangecoder.read_ids(spark, folder)).collect() == []
+
+
+def _chain(n, known, ways, width=1):
+    """Ids each of which has ``ways`` equally likely ids after it."""
+    rng = np.random.default_rng(known)
+    after, steps, ids = rng.integers(0, known, (known, ways)), rng.integers(0, ways, n), np.zeros(n, np.int64)
+    for k in range(1, n):
+        ids[k] = after[ids[k - 1], steps[k]]
+    return ids * width
+
+
+def test_several_ids_after_an_id():
+    # one guess for each context is wrong three times of four here
+    ids = _chain(400_000, 500, 4)
+    payload = rangecoder.encode_ids(ids, 16)
+    assert np.array_equal(rangecoder.decode_ids(payload), ids)
+    assert len(payload) * 8 / len(ids) < 3.5
+
+
+def test_processor_time_of_an_id():
+    # compared with a loop of Python on the same machine
+    ids = _chain(1 << 20, 2000, 40)
+    began = time.process_time()
+    for _ in range(20):
+        sum(range(100_000))
+    turn = (time.process_time() - began) / 2_000_000
+    began = time.process_time()
+    assert np.array_equal(rangecoder.decode_ids(rangecoder.encode_ids(ids, 16)), ids)
+    assert (time.process_time() - began) / len(ids) < 30 * turn
+
+
+@pytest.mark.parametrize("bits,ids", [(16, lambda: np.random.default_rng(1).integers(0, 49408, 300_000)), (26, lambda: _chain(300_000, 60, 3, 1_000_003)), (16, lambda: np.repeat(np.arange(600), 700))])
+def test_tables_of_all_orders(bits, ids, monkeypatch):
+    ids = ids()
+    assert np.array_equal(rangecoder.decode_ids(rangecoder.encode_ids(ids, bits)), ids)
+    monkeypatch.setattr(rangecoder, "BLOCK_IDS", 100_000)
+    payload = rangecoder.encode_ids(ids, bits)
+    assert payload[8] == -(-len(ids) // 100_000) and np.array_equal(rangecoder.decode_ids(payload), ids)
+
+
+def test_any_damage_is_found():
+    ids, rnd = _chain(40_000, 300, 3), random.Random(4)
+    payload = rangecoder.encode_ids(ids, 16)
+    for at in [*range(4, 60), *(rnd.randrange(len(payload)) for _ in range(40))]:
+        damaged = bytearray(payload)
+        damaged[at] ^= 1 << rnd.randrange(8)
+        try:
+            # the width of an id matters for new ids only, so its damage may do no harm
+            found = rangecoder.decode_ids(bytes(damaged))
+        except ValueError:
+            continue
+        assert at < 8 and np.array_equal(found, ids)
+    for end in (0, 3, 11, 30, 200, len(payload) - 1):
+        with pytest.raises(ValueError):
+            rangecoder.decode_ids(payload[:end])
+
+
+@pytest.mark.parametrize("memo", [2, 1 << 18])
+def test_batches_of_texts_equal_library(memo, monkeypatch):
+    monkeypatch.setattr(rangecoder, "MEMO_WORDS", memo)
+    tool, rnd = Codec(PATH, rangecoder.WORD_PATTERN, lower=True), random.Random(8)
+    words = rangecoder._Words(tool)
+    batches = [[""], ["", ""], ["'"], ["a'", "s"], ["it'", "'s", "'S's 'rex"], [" \xa0\x85\x1c"], ["<|endoftext|>", "a b", "<|ENDOFTEXT|>", "漢字", "x" * 300]]
+    for alphabet in ("a'SlltvRe 12", "!?'sdm.a1 \n\t", "".join(map(chr, range(256))), "漢é<|endoftext|> aİ"):
+        batches += [["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(200)]]
+    for texts in batches:
+        want = [[*tool.library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        values, ends = rangecoder.encode_texts(tool, words, texts, 1)
+        assert values.tolist() == [i for ids in want for i in ids] and ends.tolist() == np.cumsum([len(ids) for ids in want]).tolist()
+    assert len(words) <= memo and len(words.older) <= memo
