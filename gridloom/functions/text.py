@@ -38,7 +38,7 @@ def count_delimiters(line: Column, delimiter: str = ",") -> Column:
     return (F.size(_cells(line, delimiter)) - 1).cast("int")
 
 
-#: A regular expression takes a cell with so many quotes on the stack of its matcher; lines with more are read token by token.
+#: A regular expression takes a cell with so many quotes on the stack of its matcher; lines with more are read piece by piece.
 _MOST_QUOTES = 1000
 
 
@@ -54,21 +54,11 @@ def _cells(line: Column, delimiter: str) -> Column:
     # each match takes a delimiter, so none is empty
     fast = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f"(?s){cut}({cell})"), F.lit(1))
     quotes = F.length(line) - F.length(F.translate(line, "\"'", ""))
-    tokens = F.split(line, f"(?<=[\"'])|(?=[\"'])|(?<={d})|(?={d})")
-    start = F.struct(F.lit("").alias("quote"), F.lit("").alias("own"), F.array().cast("array<string>").alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        ends = (s["quote"] == "") & (x == delimiter)
-        if delimiter == " ":
-            # a run of spaces is one delimiter
-            skipped = ends & (s["own"] == "") & (F.size(s["done"]) > 0)
-        else:
-            skipped = F.lit(False)
-        quote = F.when(s["quote"] == "", F.when(x.isin('"', "'"), x).otherwise("")).when(s["quote"] == x, "").otherwise(s["quote"])
-        done = F.when(ends & ~skipped, F.concat(s["done"], F.array(s["own"]))).otherwise(s["done"])
-        return F.struct(quote.alias("quote"), F.when(ends, F.lit("")).otherwise(F.concat(s["own"], x)).alias("own"), done.alias("done"))
-
-    slow = F.aggregate(tokens, start, step, lambda s: F.concat(s["done"], F.array(s["own"])))
+    # the same by single quoted, plain and cutting pieces: cuts become marks that nothing else in the line can be, as its own \x01 are marked too
+    pieces = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f"(?s)\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|{cut}|{plain[:-2]}++"), F.lit(0))
+    marked = F.transform(pieces, lambda x: F.when(x.startswith(delimiter), F.lit("\x01b")).otherwise(F.replace(x, F.lit("\x01"), F.lit("\x01a"))))
+    cells = F.split(F.array_join(marked, ""), "\x01b")
+    slow = F.transform(F.slice(cells, 2, F.size(cells)), lambda x: F.replace(x, F.lit("\x01a"), F.lit("\x01")))
     return F.when(quotes > _MOST_QUOTES, slow).otherwise(fast)
 
 

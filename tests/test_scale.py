@@ -30,6 +30,19 @@ def test_long_lines(spark):
     assert [r["n"] for r in rows.select(F.size(text.split_delimited(F.col("line"))).alias("n")).collect()] == [100_000, 100_000]
 
 
+@pytest.mark.parametrize("delimiter", [",", " ", "\t", "||", "|"])
+def test_lines_read_piece_by_piece(spark, monkeypatch, delimiter):
+    rnd = random.Random(delimiter)
+    lines = ["", delimiter, delimiter * 3, None, f"\x01b{delimiter}\x01a\x01", f'"a{delimiter}b', "\n", f"x{delimiter}\n"]
+    lines += ["".join(rnd.choice([delimiter, '"', "'", "a", " ", "|", "\x01", "b", "\n", "é"]) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "k int, line string").coalesce(1)
+    got = []
+    for most in (1000, -1):
+        monkeypatch.setattr(text, "_MOST_QUOTES", most)
+        got.append(rows.orderBy("k").select(text.split_delimited(F.col("line"), delimiter).alias("c"), text.count_delimiters(F.col("line"), delimiter).alias("n")).collect())
+    assert got[0] == got[1]
+
+
 @pytest.mark.parametrize(
     "source,target,scale",
     [
