@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +96,14 @@ class _Words(dict):
     """The ids of words as bytes. Of two generations the older is dropped when the younger is full, so that words in use stay."""
 
     def __init__(self, tool: Codec):
-        self.tool, self.older = tool, {}
-        byte = tool.shown
-        self.shown = ["".join(byte[b] for b in chr(c).encode()) for c in range(256)]
+        self.tokenize, self.kind, self.older = tool.model.tokenize, tool.kind.char, {}
+        self.shown = ["".join(tool.shown[b] for b in chr(c).encode()) for c in range(256)]
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = array(self.tool.kind.char, [t.id for t in self.tool.model.tokenize("".join(map(self.shown.__getitem__, word)))]).tobytes()
+            shown = word.decode() if word.isascii() and word.isalpha() else "".join(map(self.shown.__getitem__, word))
+            ids = array(self.kind, [t.id for t in self.tokenize(shown)]).tobytes()
         if len(word) < 256:
             if len(self) >= MEMO_WORDS:
                 self.older = dict(self)
@@ -134,7 +135,9 @@ def encode_texts(tool: Codec, words: _Words, texts: list[str], end_id: int) -> t
     starts, places = word_bounds(latin)
     data = latin.translate(None, _SPACES)
     found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(places, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-    ids = list(map(words.__getitem__, found.dictionary.to_pylist()))
+    _, bounds, distinct = found.dictionary.buffers()
+    bounds, distinct = np.frombuffer(bounds, np.int32, len(found.dictionary) + 1).tolist(), (distinct or b"") and distinct.to_pybytes()
+    ids = [words[distinct[a:b]] for a, b in pairwise(bounds)]
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)) // tool.kind.itemsize, out=offsets[1:])
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), tool.kind))).take(found.indices)
