@@ -1,8 +1,9 @@
 """Objective analysis of station values onto a latitude-longitude grid by repeated Gaussian corrections.
 
-Each time is first one group of at most the number of stations, whose values are corrected once. The grid is cut into parts of
-``GRID_PART`` points on average; every time then meets every part in a row of its own, so a task holds one time's stations and a part
-of the grid, whatever the size of the grid and the number of times.
+Stations at one place have the same weights, so what is corrected for them is the mean of their values, which counts as often as there are stations: that gives
+the same field. Each time is first one group of its places, whose means are corrected once, with at most ``KEPT`` weights between places held at once, whatever their number. The grid is cut into parts of
+``GRID_PART`` points on average; every time then meets every part in a row of its own, so a task holds one time's places and a part
+of the grid, whatever the size of the grid and the number of times. The work of a time grows with the square of its places, not of its stations; times are dealt out.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ GRID_PART = 1024
 SPREAD = 64
 #: Rows (a time's stations and a part of the grid each) that a Python worker gets at once.
 BATCH_ROWS = 500
-#: Weights between stations and points that are held at once.
+#: Weights between places (or points) that are held at once.
 STRIP = 1 << 20
+#: Weights of a time's places that are kept from pass to pass; those of more places are made anew in each.
+KEPT = 1 << 22
 
 
 def distances(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
@@ -34,22 +37,36 @@ def distances(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.nda
     return METRES_PER_DEGREE * np.hypot(lat1[:, None] - lat2[None, :], (lon1[:, None] - lon2[None, :]) * np.cos(mean))
 
 
-def corrected(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, passes: int, scale_km: float) -> np.ndarray:
-    """Station values after a number of passes, each of which adds what the weighted means of the values so far leave of the observed ones."""
-    weights = np.exp(-((distances(lat, lon, lat, lon) / (scale_km * 1000)) ** 2))
-    weights /= weights.sum(axis=1, keepdims=True)
-    found = np.zeros(len(values))
+def corrected(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, passes: int, scale_km: float, counts: np.ndarray | None = None) -> np.ndarray:
+    """Values of places after a number of passes, each of which adds what the weighted means of the values so far leave of the observed ones.
+
+    ``counts``: of how many stations at its place a value is the mean (none: of one each).
+    """
+    n, step = len(values), max(1, STRIP // max(1, len(values)))
+
+    def weights(at: int) -> np.ndarray:
+        part = np.exp(-((distances(lat[at : at + step], lon[at : at + step], lat, lon) / (scale_km * 1000)) ** 2))
+        if counts is not None:
+            part *= counts
+        part /= part.sum(axis=1, keepdims=True)
+        return part
+
+    held = [weights(at) for at in range(0, n, step)] if n * n <= KEPT else None
+    found = np.zeros(n)
     for _ in range(passes):
-        found = found + values - weights @ found
+        means = [part @ found for part in (held if held is not None else map(weights, range(0, n, step)))]
+        found = found + values - np.concatenate(means)
     return found
 
 
-def field(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, grid_lat: np.ndarray, grid_lon: np.ndarray, scale_km: float) -> np.ndarray:
-    """Weighted means of (corrected) station values at points, and their slopes along latitude and longitude (per degree); NaN where no station has weight."""
+def field(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, grid_lat: np.ndarray, grid_lon: np.ndarray, scale_km: float, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weighted means of (corrected) values of places at points, and their slopes along latitude and longitude (per degree); NaN where no place has weight. ``counts`` as for corrected()."""
     out, strip = [np.zeros((3, 0))], max(1, STRIP // max(1, len(values)))
     for at in range(0, len(grid_lat), strip):
         y, x = grid_lat[at : at + strip], grid_lon[at : at + strip]
         onto = np.exp(-((distances(y, x, lat, lon) / (scale_km * 1000)) ** 2))
+        if counts is not None:
+            onto *= counts
         total = onto.sum(axis=1)
         # derivatives of the squared distance: of its latitude part, of the shortening of a degree of longitude, of its longitude part
         mean = np.radians((y[:, None] + lat[None, :]) / 2)
@@ -65,27 +82,33 @@ def field(values: np.ndarray, lat: np.ndarray, lon: np.ndarray, grid_lat: np.nda
 
 
 def station_fields(rows: DataFrame, times: list[str], *, passes: int = 16, scale_km: float = 100.0, min_stations: int = 15, mask: int = 1) -> DataFrame:
-    """(times, nstat, qc, lats, lons, values): the good stations of each time with their corrected values; none where they are too few.
+    """(times, nstat, qc, lats, lons, counts, values): the places of each time's good stations, how many are there, and their corrected mean values; none where they are too few.
 
     ``rows`` are (times, station, lat, lon, value, qc). Bad stations are left out: SOME_BAD, or BAD with ALL_BAD or SOME_BAD below ``min_stations`` good ones.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*times).schema)
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+    small = F.coalesce(F.abs("_value") < float(np.finfo(np.float32).max), F.lit(False))
+    good = finite("_value") & small & finite("_lat") & finite("_lon") & ~bits.any_of(F.col("qc"), mask)
+    placed = rows.select(*times, "qc", *[F.col(c).cast("double").alias(f"_{c}") for c in ("lat", "lon", "value")]).withColumn("_good", good)
+    # bad stations are counted only, in one row for each time
+    placed = placed.select(*times, "_good", *[F.when(F.col("_good"), F.col(c)).alias(c) for c in ("_lat", "_lon", "_value")])
+    places = placed.groupBy(*times, "_good", "_lat", "_lon").agg(F.avg("_value").alias("_mean"), F.count("*").alias("_count"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("station", kind="stable")
-        place = group[["lat", "lon"]].to_numpy(float, na_value=np.nan)
-        value = group["value"].to_numpy(float, na_value=np.nan)
-        good = np.isfinite(value) & (np.abs(value) < np.finfo(np.float32).max) & np.isfinite(place).all(axis=1) & ((group["qc"].fillna(0).to_numpy(int) & mask) == 0)
-        n, lists = int(good.sum()), [[], [], []]
+        fine = group[group["_good"]].sort_values(["_lat", "_lon"], kind="stable")
+        count = fine["_count"].to_numpy(float)
+        n, lists = int(count.sum()), [[], [], [], []]
         if n < min_stations:
             qc = bits.BAD | (bits.ALL_BAD if n == 0 else bits.SOME_BAD)
         else:
-            qc = bits.SOME_BAD if n < len(group) else 0
-            lists = [place[good, 0], place[good, 1], corrected(value[good], place[good, 0], place[good, 1], passes, scale_km)]
+            qc = bits.SOME_BAD if n < group["_count"].sum() else 0
+            lat, lon, mean = (fine[c].to_numpy(float) for c in ("_lat", "_lon", "_mean"))
+            lists = [lat, lon, count, corrected(mean, lat, lon, passes, scale_km, count)]
         found = {c: [group[c].iloc[0]] for c in times} | {"nstat": [n], "qc": [qc]}
-        return pd.DataFrame(found | {c: [x] for c, x in zip(("lats", "lons", "values"), lists, strict=True)})
+        return pd.DataFrame(found | {c: [x] for c, x in zip(("lats", "lons", "counts", "values"), lists, strict=True)})
 
-    return rows.select(*times, "station", "lat", "lon", "value", "qc").groupBy(*times).applyInPandas(one, f"{fields}, nstat int, qc int, lats array<double>, lons array<double>, values array<double>")
+    return places.groupBy(*times).applyInPandas(one, f"{fields}, nstat int, qc int, lats array<double>, lons array<double>, counts array<double>, values array<double>")
 
 
 def objective_analysis(rows: DataFrame, times: list[str], grid: DataFrame, *, scale_km: float = 100.0, part: int = GRID_PART, **options) -> DataFrame:
@@ -104,7 +127,7 @@ def objective_analysis(rows: DataFrame, times: list[str], grid: DataFrame, *, sc
     parts = parts.select("_part", F.col("_p.lat").alias("_lats"), F.col("_p.lon").alias("_lons"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     found = station_fields(rows, times, scale_km=scale_km, **options)
     found = found.withColumns({"_salt": F.pmod(F.xxhash64(*times), F.lit(salts)).cast("int"), "_part": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
-    both = found.join(parts, ["_part", "_salt"]).select(*times, "nstat", "qc", "lats", "lons", "values", "_lats", "_lons")
+    both = found.join(parts, ["_part", "_salt"]).select(*times, "nstat", "qc", "lats", "lons", "counts", "values", "_lats", "_lons")
     names = ["value", "deriv_lat", "deriv_lon"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*times).schema)
     kept = [*times, "nstat", "qc"]
@@ -112,8 +135,8 @@ def objective_analysis(rows: DataFrame, times: list[str], grid: DataFrame, *, sc
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                lats, lons, values, y, x = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("lats", "lons", "values", "_lats", "_lons"))
-                out = field(values, lats, lons, y, x, scale_km) if len(values) else np.full((3, len(y)), np.nan)
+                lats, lons, counts, values, y, x = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("lats", "lons", "counts", "values", "_lats", "_lons"))
+                out = field(values, lats, lons, y, x, scale_km, counts) if len(values) else np.full((3, len(y)), np.nan)
                 own = {c: batch.column(c).take(pa.array(np.full(len(y), k))) for c in kept}
                 yield pa.RecordBatch.from_pydict(own | {"lat": pa.array(y), "lon": pa.array(x)} | {c: pa.array(v, mask=np.isnan(v)) for c, v in zip(names, out, strict=True)})
 

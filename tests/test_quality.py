@@ -167,3 +167,24 @@ def test_objective_analysis(spark):
             # slopes against differences
             assert abs(r["deriv_lat"] - (at(r["lat"] + 1e-5, r["lon"]) - at(r["lat"] - 1e-5, r["lon"])) / 2e-5) < 1e-3
             assert abs(r["deriv_lon"] - (at(r["lat"], r["lon"] + 1e-5) - at(r["lat"], r["lon"] - 1e-5)) / 2e-5) < 1e-3
+
+
+def test_objective_analysis_of_many_stations(spark, monkeypatch):
+    """Stations at few places count as their means there; strips of weights change nothing."""
+    rnd = np.random.default_rng(5)
+    lat, lon, value = 36 + rnd.integers(0, 6, 90) / 4, -98 + rnd.integers(0, 4, 90) / 4, rnd.normal(size=90)
+    values = objective.corrected(value, lat, lon, 16, 100.0)
+    y, x = np.array([36.3, 37.1]), np.array([-97.9, -97.2])
+    each = objective.field(values, lat, lon, y, x, 100.0)
+    frame = spark.createDataFrame([(1, k, float(a), float(b), float(v), 0) for k, (a, b, v) in enumerate(zip(lat, lon, value, strict=True))] + [(1, 99, 36.0, -98.0, float("nan"), 0)], "t long, station long, lat double, lon double, value double, qc int")
+    grid = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, x, strict=True)], "lat double, lon double")
+    found = objective.objective_analysis(frame, ["t"], grid).orderBy("lat").collect()
+    assert np.allclose([[r[c] for r in found] for c in ("value", "deriv_lat", "deriv_lon")], each, atol=1e-9) and {(r["nstat"], r["qc"]) for r in found} == {(90, 32)}
+    monkeypatch.setattr(objective, "STRIP", 200)
+    for kept in (0, 1 << 22):
+        monkeypatch.setattr(objective, "KEPT", kept)
+        assert np.allclose(objective.corrected(value, lat, lon, 16, 100.0), values, atol=1e-12)
+    # a time of 60,000 stations, whose weights for each other would take 29 GB
+    many = spark.range(60_000).select(F.lit(1).alias("t"), F.col("id").alias("station"), (36 + F.col("id") % 13 / 10).alias("lat"), (-98 + F.col("id") % 17 / 10).alias("lon"), F.lit(2.5).alias("value"), F.lit(0).alias("qc"))
+    found = objective.objective_analysis(many, ["t"], grid).collect()
+    assert len(found) == 2 and all(abs(r["value"] - 2.5) < 1e-9 and r["nstat"] == 60_000 for r in found)
