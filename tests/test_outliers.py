@@ -20,7 +20,7 @@ def expected(method: str, x: float, window: np.ndarray) -> int:
     return sum(flag for flag, k in zip((16, 32), THRESHOLDS[method], strict=True) if abs(x - centre) > spread * k)
 
 
-@pytest.mark.parametrize("method", ["median_mad", "iqd"])
+@pytest.mark.parametrize("method", ["median_mad", "iqd", "mean_mad"])
 def test_dense_windows(spark, method):
     """Windows of 40,000 samples, of which each has many at the same time: the work must not grow with the windows' lengths."""
     n, width = 120_000, 4_000
