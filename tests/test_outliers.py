@@ -71,3 +71,20 @@ def test_spans():
                 assert abs(off[k] - np.abs(s - mean[k]).mean()) <= 1e-15 * n * np.abs(s).max()
     # equal values have no spread at all
     assert not spans.moments(np.full(100, 0.1), np.arange(50), np.arange(50) + 49)[1].any()
+
+
+@pytest.mark.parametrize("method", ["std", "mean_dev"])
+def test_dense_windows_of_means(spark, method):
+    """Windows of up to 400,000 samples: sums over them must not be made anew for each row. A large offset costs no digits."""
+    n, width, offset = 400_000, 40_000, 1e7
+    rows = spark.range(n).select("id", F.lit("a").alias("s"), F.floor(F.col("id") / 10).alias("t"), (offset + F.pow(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20), F.lit(-0.4))).alias("value"), F.when(F.col("id") % 11 == 0, 1).otherwise(0).alias("qc"))
+    bad, ind = THRESHOLDS[method]
+    began = time.monotonic()
+    found = outliers.flag_outliers(rows, ["s"], "t", "value", "qc", method, width, min_points=5, bad_threshold=bad, ind_threshold=ind).toPandas().sort_values("id")
+    took = time.monotonic() - began
+    t, x, good = found["t"].to_numpy(), found["value"].to_numpy(), np.arange(n) % 11 != 0
+    assert len(found) == n
+    for i in range(0, n, 4001):
+        window = x[good & (np.abs(t - t[i]) <= width // 2)] - offset
+        assert found["qc"].iloc[i] == (expected(method, x[i] - offset, window) if good[i] else 1), i
+    assert took < 60
