@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +67,11 @@ def timezone_offset(longitude: Column) -> Column:
     return F.when(west < -180, hours + 24).otherwise(hours)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # What each directive of a time pattern matches.
 DIRECTIVES = {
     "Y": r"\d{4}", "y": r"\d{1,2}", "C": r"\d{1,2}", "m": r"\d{1,2}", "d": r"\d{1,2}", "e": r"\d{1,2}", "j": r"\d{1,3}", "H": r"\d{1,2}", "M": r"\d{1,2}", "S": r"\d{1,2}(?:\.\d+)?",
@@ -106,24 +112,41 @@ class TimePattern:
 
     def parse(self, text: Column, *, year: Column | None = None, month: Column | None = None, day: Column | None = None) -> Column:
         """Microseconds since 1970; null without a match or for impossible values. Parts that the pattern lacks come from the arguments."""
-        number = lambda *names: self.part(text, *names).cast("double")
         if "s" in self.fields or "o" in self.fields:
-            return (number("s", "o") * MICROS).cast("long")
+            return (self.part(text, "s", "o").cast("double") * MICROS).cast("long")
+        # each expression is long and needed often: the text, its parts and their numbers are evaluated once for a row
+        found = lambda x: F.struct(*[F.regexp_extract(x, self.regex, k + 1).alias(f"_{k}") for k in range(len(self.fields))], *[v.alias(k) for k, v in (("year", year), ("month", month), ("day", day)) if v is not None])
+        return once(text, lambda x: once(found(x), lambda p: once(self._numbers(p, year is not None, month is not None, day is not None), self._micros)))
+
+    def _numbers(self, p: Column, has_year: bool, has_month: bool, has_day: bool) -> Column:
+        """struct(right, years, months, days, hour, minute, second) of the texts of the directives, and of the parts given besides; right: whether the pattern matched."""
+
+        def text(*names: str) -> Column:
+            # no directive matches an empty text
+            return next((F.nullif(p[f"_{self.fields.index(n)}"], F.lit("")) for n in names if n in self.fields), F.lit(None).cast("string"))
+
+        number = lambda *names: text(*names).cast("double")
         none = F.lit(None).cast("int")
-        years = F.coalesce(number("Y").cast("int"), (number("C") * 100 + F.coalesce(number("y"), F.lit(0))).cast("int") if "C" in self.fields else four_digit_year(number("y").cast("int")), none if year is None else year)
-        name = F.lower(F.substring(self.part(text, "b", "B"), 1, 3))
-        months = F.coalesce(number("m").cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), name).cast("int"), F.lit(0)), none if month is None else month)
-        days = F.coalesce(number("d", "e").cast("int"), none if day is None else day)
+        years = F.coalesce(number("Y").cast("int"), (number("C") * 100 + F.coalesce(number("y"), F.lit(0))).cast("int") if "C" in self.fields else four_digit_year(number("y").cast("int")), p["year"] if has_year else none)
+        name = F.lower(F.substring(text("b", "B"), 1, 3))
+        months = F.coalesce(number("m").cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), name).cast("int"), F.lit(0)), p["month"] if has_month else none)
+        days = F.coalesce(number("d", "e").cast("int"), p["day"] if has_day else none)
         if "j" in self.fields:
             whole = month_and_day(years, number("j").cast("int"))
             months, days = F.month(whole), F.day(whole)
         hour = F.coalesce(number("H"), F.floor(number("h") / 100), F.lit(0.0))
         if "p" in self.fields:
-            late = F.lower(F.substring(self.part(text, "p"), 1, 1)) == "p"
+            late = F.lower(F.substring(text("p"), 1, 1)) == "p"
             hour = hour % 12 + F.when(late, 12).otherwise(0)
         minute = F.coalesce(number("M"), number("h") % 100, F.lit(0.0))
         second = F.coalesce(number("S"), F.lit(0.0)) + F.coalesce(number("q"), F.lit(0.0)) / MICROS
-        right = self.part(text, *self.fields).isNotNull() & (months.between(1, 12)) & days.between(1, days_in_month(years, F.least(F.greatest(months, F.lit(1)), F.lit(12)))) & hour.between(0, 23) & minute.between(0, 59) & (second < 61)
+        values = {"right": text(*self.fields).isNotNull(), "years": years, "months": months, "days": days, "hour": hour, "minute": minute, "second": second}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    @staticmethod
+    def _micros(n: Column) -> Column:
+        years, months, days, hour, minute, second = (n[k] for k in ("years", "months", "days", "hour", "minute", "second"))
+        right = n["right"] & (months.between(1, 12)) & days.between(1, days_in_month(years, F.least(F.greatest(months, F.lit(1)), F.lit(12)))) & hour.between(0, 23) & minute.between(0, 59) & (second < 61)
         # evaluated for right parts only
         day_number = F.datediff(F.make_date(years, months, days), F.lit("1970-01-01").cast("date")).cast("long")
         return F.when(right, day_number * (86400 * MICROS) + F.round((hour * 3600 + minute * 60 + second) * MICROS).cast("long"))

@@ -103,9 +103,13 @@ def of_patterns(lines: DataFrame, conf: CsvConf) -> DataFrame:
     return lines.where(F.greatest(*[name.rlike(f"^(?:{p})$") for p in conf.file_patterns], F.lit(False)))
 
 
-def _columns_of_files(rows: DataFrame, conf: CsvConf, file: str) -> DataFrame:
+def _columns_of_files(rows: DataFrame, conf: CsvConf, file: str, line: str) -> DataFrame:
     """(file, _names): the header line of each file, i.e. a line whose cells hold all columns that the configuration needs."""
     needed = {*conf.time_columns, *(f.column for f in conf.fields)}
+    # lines that lack a name aren't split for this; a name with quotes may be written with doubled ones
+    for name in sorted(needed):
+        if not set("\"'") & set(name):
+            rows = rows.where(F.col(line).contains(F.lit(name)))
     heads = rows.where(F.size(F.array_intersect("_cells", F.array(*map(F.lit, sorted(needed))))) == len(needed))
     # the first of several, where the order of lines is known; later ones are rejected as records
     first = F.min_by("_cells", "at") if "at" in rows.columns else F.min("_cells")
@@ -139,7 +143,7 @@ def records(lines: DataFrame, conf: CsvConf, line: str = "line", file: str | Non
         raise ValueError("without HEADER the column of file names is needed")
     else:
         # one small row for each file; whether it is broadcast is left to its size
-        rows = rows.join(_columns_of_files(rows, conf, file), F.col(file) == F.col("_head_of"), "left").where(~F.col("_cells").eqNullSafe(F.col("_names"))).drop("_head_of")
+        rows = rows.join(_columns_of_files(rows, conf, file, line), F.col(file) == F.col("_head_of"), "left").where(~F.col("_cells").eqNullSafe(F.col("_names"))).drop("_head_of")
     cells = F.when(F.size("_cells") == F.size("_names"), F.map_from_arrays("_names", "_cells"))
     rows = rows.withColumn("cells", F.explode(F.array(cells)))
     parts: dict[str, Column] = {}

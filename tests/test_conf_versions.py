@@ -35,3 +35,26 @@ def test_versions(spark, tmp_path):
     assert [r["k"] for r in names.select("f", csv_ingest.version_of(F.col("f"), versions).alias("k")).orderBy("f").collect()] == [1, 2, None]
     with pytest.raises(ValueError, match="no configuration"):
         csv_ingest.samples_by_version(spark, str(tmp_path / "other"), versions)
+
+
+def test_parts_of_times_once(spark, tmp_path):
+    """The parts of a time are cut out once for a row, and only lines that hold all names are split in search of headers."""
+    import io
+    from contextlib import redirect_stdout
+
+    from pyspark.sql import functions as F
+
+    from gridloom.functions import times
+    from gridloom.sources import csv_ingest
+
+    rows = spark.createDataFrame([("x 2024-02-29 7:05:09.5 y",), ("2023-02-29 07:05:09",), ("no",), (None,)], "s string")
+    found = rows.select(times.first_match(["%Y-%m-%d %H:%M:%S"], F.col("s")).alias("t"))
+    assert [r["t"] for r in found.collect()] == [1_709_190_309_500_000, None, None, None]
+    text = io.StringIO()
+    with redirect_stdout(text):
+        found.explain()
+    assert 0 < text.getvalue().count("regexp_extract(") <= 6
+    (tmp_path / "a.csv").write_text("junk\n 'Date' ,\"He said \"\"T\"\"\",Temp\n2024-01-01,1,2\n")
+    conf = csv_ingest.CsvConf(time_columns={"Date": ("%Y-%m-%d",)}, fields=[csv_ingest.FieldMap("v", 'He said "T"')])
+    got = csv_ingest.samples(csv_ingest.records(csv_ingest.read_lines(spark, str(tmp_path)), conf, file="file"), conf).collect()
+    assert [(r["t"], r["v"]) for r in got] == [(1_704_067_200_000_000, 1.0)]
